@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from loomframe.llm.common import table
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm.sentencepiece_codec import encode_digests
+
+    return encode_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomframe.llm.exact_dedup import exact_dedup
 
