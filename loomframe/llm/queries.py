@@ -15,6 +15,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), limit=2048)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomframe.llm.exact_dedup import exact_dedup
 
