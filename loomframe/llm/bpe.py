@@ -10,7 +10,7 @@ from __future__ import annotations
 import ahocorasick
 
 #: Marks the end of a word inside this module; it is never part of a vocabulary file's text.
-WORD_END = ""
+WORD_END = chr(0xE000)
 
 
 class Merges:

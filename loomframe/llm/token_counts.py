@@ -22,7 +22,7 @@ from loomframe.llm.bpe import WORD_END, Merges, PrefixTable
 from loomframe.llm.common import ddl, per_document, ship
 
 #: Unicode white space, and the vocabulary's way of cutting words.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x2000))) + "-" + chr(0x200A)
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 _SPACES = re.compile(f"[{SPACE}]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
