@@ -15,6 +15,13 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm.toxicity import toxicity_scores
+
+    out = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomframe.llm.token_counts import token_counts
 
@@ -33,6 +40,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP7_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
