@@ -9,6 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from loomframe.llm.common import table
 
 
+def op1_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm.grid_order_join import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON vec_id = x LEFT JOIN n ON vec_id = a
+"""
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomframe.llm.sentencepiece_codec import encode_digests
 
@@ -22,6 +41,31 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm.line_dedup import drop_boilerplate
+
+    out = drop_boilerplate(table(spark, sf_dir, "documents"), ratio=0.1, least_pages=3)
+    return out.select("doc_id", "text", "n_lines", "n_dropped")
+
+
+OP4_SQL = r"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+b AS (SELECT l.source, line FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source WHERE trim(line) <> ''
+      GROUP BY l.source, line, total HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT doc_id) > 0.1 * total),
+m AS (SELECT l.*, b.line IS NOT NULL AS gone FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.line = b.line)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(m.line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') END AS text,
+       count(m.k) AS n_lines, count(m.k) FILTER (WHERE gone) AS n_dropped
+FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id, d.text
+"""
+
+
+def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm.resharding import reshard_documents
+
+    return reshard_documents(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomframe.llm.token_counts import token_counts
 
@@ -65,4 +109,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op1_grid_order_join": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL}
