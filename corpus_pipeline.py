@@ -1,13 +1,59 @@
-"""Corpus pipeline; its stages are added as their operators are."""
+"""Corpus pipeline: quality, toxicity, boilerplate lines, near-duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame; all but
+the last return the columns of documents. Between stages the rows are written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomframe.llm import line_dedup, packing, quality, simhash, toxicity
+from loomframe.llm.common import scratch, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects (score below 0.7) go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more for toxicity go."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"), threshold=0.5)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on more than a tenth of their source's documents go; every document stays, with its new length."""
+    cleaned = line_dedup.drop_boilerplate(docs, host_col="source", ratio=0.1, least_pages=3)
+    return cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents within two fingerprint bits of each other the one with the smallest id stays."""
+    return simhash.keep_one_of_each(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens, packed into sequences."""
+    return packing.pack(docs, capacity=1024, end_id=2)
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+#: Tokenisation, learned models and Golay keys have no SQL; tests hold run() against a plain Python version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

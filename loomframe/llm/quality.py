@@ -141,6 +141,18 @@ def apply(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, ddl(SCORES))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns unchanged, whose score is threshold or more; filtered in one pass, no join."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, folds, held_out, id_col=id_col, text_col=text_col, **options))
+
+    def run(it):
+        score = model.value.scorer()
+        for batch in it:
+            yield batch.filter(pa.array([score(t) >= threshold for t in texts(batch, text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id_col, held_out, score, predicted: one row per input row, on its whole text.
 

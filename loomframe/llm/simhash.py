@@ -143,3 +143,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     out = prints.join(named, "fp")
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Ids of dropped rows up to which they are broadcast: eight bytes each.
+BROADCAST_ROWS = 1_000_000
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns unchanged, without the rows whose component has a smaller id.
+
+    Of rows that share an id and stay, one stays. A row with a null id can't be named and stays. The ids that go are
+    broadcast only below BROADCAST_ROWS of them, else joined.
+    """
+    found = scratch(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "component_id"), "near-duplicates")
+    gone = found.where("__id != component_id").select("__id").distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    if found.where("__id IS NOT NULL").groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    return kept

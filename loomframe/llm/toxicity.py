@@ -210,6 +210,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     return vocabulary, Scorer(index, words, base, (sum(bare) + 2 * base) / (len(bare) + 2), k, prior)
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns unchanged, whose score is below threshold; filtered in one pass, no join."""
+    shipped = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, folds, held_out, id_col=id_col, text_col=text_col, **options))
+
+    def run(it):
+        vocabulary, scorer = shipped.value
+        held = Terms(vocabulary)
+        for batch in it:
+            yield batch.filter(pa.array([scorer.score(held.counts(t))[0] < threshold for t in texts(batch, text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id_col, held_out, score, predicted, and as evidence neighbours (ids), similarities and terms: a row per row.
 
