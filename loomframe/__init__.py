@@ -1,0 +1 @@
+"""Spark-native analytics for screen-interaction datasets."""

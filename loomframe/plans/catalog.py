@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from loomframe.plans import dedup_queries, export_queries, label_queries, metric_queries, review_queries, time_queries  # noqa: F401
+from loomframe.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)

@@ -1 +1 @@
-
+"""Readers and writers of the interchange formats."""
