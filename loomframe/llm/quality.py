@@ -73,8 +73,11 @@ class Model:
         return score
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, int]], buckets: int, dim: int = 8, epochs: int = 8, rate: float = 4.0, seed: int = 11) -> Model:
-    """examples: (distinct rows, counts, label). Plain SGD, one document at a time, with a linearly falling rate."""
+def train(examples: list[tuple[np.ndarray, np.ndarray, int]], buckets: int, dim: int = 8, epochs: int = 8, least_steps: int = 20_000, rate: float = 4.0, seed: int = 11) -> Model:
+    """examples: (distinct rows, counts, label). Plain SGD, one document at a time, with a linearly falling rate.
+
+    Few examples are gone through more often, so that there are least_steps steps in all.
+    """
     if not examples:
         return Model(np.zeros(buckets, np.float32), 0.0)
     rng = np.random.default_rng(seed)
@@ -82,6 +85,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], buckets: int, dim:
     out = np.zeros((2, dim), np.float32)
     ones = sum(y for *_, y in examples)
     bias = np.log(np.array([len(examples) - ones + 1.0, ones + 1.0])).astype(np.float32)
+    epochs = max(epochs, -(-least_steps // len(examples)))
     steps, done = epochs * len(examples), 0
     for _ in range(epochs):
         for k in rng.permutation(len(examples)):

@@ -2,7 +2,7 @@
 
 Terms are words and their first 3 to 7 letters (inflected forms share these), each also as a term of its own where it
 comes at least twice or three times in a text. The vocabulary holds the terms that
-go with the label in a bounded sample of labelled rows by a chi-square test; document frequencies are counted over all
+go with the label in a bounded sample of labelled rows by a likelihood-ratio test; document frequencies are counted over all
 documents. The labelled examples stand in an inverted index cut into blocks with the largest weight of each term per
 block: blocks are read by falling upper bound until no block can reach the k-th best example, so the k nearest are
 exact. Votes weighted by similarity, with the base rate as a prior, give the score; the neighbours are its evidence.
@@ -183,18 +183,19 @@ def _vectors(vocabulary: dict[str, int]):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, sample_rows: int = 12_000, vocabulary_size: int = 4096, least_chi: float = 60.0, k: int = 15, prior: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, int], Scorer]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, sample_rows: int = 12_000, vocabulary_size: int = 4096, least_evidence: float = 26.0, k: int = 15, prior: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, int], Scorer]:
     """Vocabulary and scorer from at most sample_rows labelled rows outside the held-out fold."""
     ship(docs.sparkSession)
     rows = sample(docs, labels, label, folds, held_out, sample_rows, id_col, text_col)
     total, ones = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     words: list[str] = []
     if 0 < ones < total:
-        a, b, n, m = F.col("hits").cast("double"), F.col("n").cast("double"), float(total), float(ones)
-        apart = a * (n - m - (b - a)) - (m - a) * (b - a)
-        counted = rows.mapInArrow(_sample_terms, ddl(TERMS)).groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where(F.col("n") < total)
-        chi = counted.withColumn("chi", n * apart * apart / (b * (n - b) * m * (n - m))).where((F.col("chi") >= least_chi) & (F.col("hits") * total > F.col("n") * ones))
-        words = [r["term"] for r in chi.orderBy(F.desc("chi"), "term").limit(vocabulary_size).select("term").collect()]  # bounded by vocabulary_size
+        hits, n, share = F.col("hits").cast("double"), F.col("n").cast("double"), ones / total
+        part = lambda k, p: F.when(k > 0, k * F.ln(k / (n * p))).otherwise(0.0)
+        evidence = 2 * (part(hits, share) + part(n - hits, 1 - share))
+        counted = rows.mapInArrow(_sample_terms, ddl(TERMS)).groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+        chosen = counted.withColumn("evidence", evidence).where((F.col("evidence") >= least_evidence) & (hits > n * share))
+        words = [r["term"] for r in chosen.orderBy(F.desc("evidence"), "term").limit(vocabulary_size).select("term").collect()]  # bounded by vocabulary_size
     vocabulary = {w: i for i, w in enumerate(words)}
     every = docs.select(F.col(text_col).alias("text"))
     frequencies = np.zeros(len(words))
