@@ -112,3 +112,33 @@ def test_windows_and_monitor_streams(spark, tmp_path, data):
     w = Window.partitionBy("user_id").orderBy("event_id")
     want = e.select(F.col("event_id").alias("frame_no"), F.max(F.col("value") > 60).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("latched"))
     assert spark.table("m").select("frame_no", "latched").exceptAll(want).count() == 0 and spark.table("m").count() == e.count()
+
+
+def test_packages(spark, tmp_path):
+    from loomframe.sources import packages
+
+    files = spark.createDataFrame([("b", b"2"), ("a", b"1")], "name string, content binary")
+    h = packages.write_package(spark, str(tmp_path / "p"), packages.ToolProfile("t"), {"map50": 0.5}, ["x"], files)
+    assert h == packages.content_hash(files.orderBy("name")).first()[0] and packages.read_document(spark, str(tmp_path / "p" / "profile.json"))["dataset_hash"] == h
+    for v, status in ((1, "pending"), (2, "edited")):
+        packages.save_sample_part(spark.createDataFrame([("s", "a", v, status)], "session_id string, sample_id string, version int, status string"), str(tmp_path), "review")
+    assert packages.current_part(spark, str(tmp_path), "review").first().status == "edited"
+    assert packages.next_sample_ids(packages.current_part(spark, str(tmp_path), "review")).first().next_id == "sample_000002"
+
+
+def test_teaching(spark):
+    from loomframe.operators import teaching
+
+    def teacher(request):
+        if "bad" in request:
+            raise RuntimeError
+        return {"primitive_id": "p"}
+
+    df = spark.createDataFrame([(1, "ok"), (2, "bad")], "id int, r string")
+    got = {r.id: r.chosen for r in teaching.teach(df, "id", "r", teacher, retries=1).collect()}
+    assert got[1].primitive_id == "p" and got[2] is None
+    img = spark.createDataFrame([(1, b"x")], "id int, c binary")
+    model = lambda c: [{"label": "a", "bbox": [0, 0, 0.5, 0.5]}, {"label": "a", "bbox": [0, 0, 0.5, 0.49]}, {"label": "b", "bbox": [0.6, 0.6, 0.6, 0.9]}]
+    out = teaching.prelabel(img, "id", "c", model, F.lit(100), F.lit(100)).collect()
+    assert [(r.label, r.x2) for r in out] == [("a", 50.0)]
+    assert teaching.analyze(spark.createDataFrame([("Slider", 0.9), ("x", 0.1), ("y", 0.5)], "label string, score double"), {"slider": "drag"}).select("affordance").collect() == [("drag",), ("click",)]
