@@ -39,7 +39,7 @@ pr AS (SELECT *, CASE WHEN hot IS NOT NULL THEN hot WHEN len(allowed) > 0 THEN a
   CASE WHEN hot IS NOT NULL THEN 'hotkey_match' WHEN len(allowed) = 1 THEN 'roi_match' WHEN len(allowed) > 1 THEN 'roi_ambiguous' WHEN pop THEN 'default_popup_key' END AS by1 FROM al),
 st AS (SELECT *, (SELECT arg_min(situation_id, ord) FROM sits WHERE list_contains(prims, primitive_id) AND list_has_any(regions, roi_hits)) AS s1, (SELECT arg_min(situation_id, ord) FROM sits WHERE list_contains(prims, primitive_id)) AS s2 FROM pr),
 sc AS (SELECT st.*, coalesce(s1, s2) AS situation_id, CASE WHEN s1 IS NOT NULL THEN 'roi_match' WHEN s2 IS NOT NULL THEN 'primitive_default' END AS by2, (SELECT screens[1] FROM sits WHERE sits.situation_id = coalesce(s1, s2)) AS screen_type FROM st),
-lab AS (SELECT vec_id, primitive_id, situation_id, screen_type, concat_ws(',', by1, by2) AS signals, round(least(0.75, (primitive_id IS NOT NULL)::INT * 0.35 + (situation_id IS NOT NULL)::INT * 0.25 + (screen_type IS NOT NULL)::INT * 0.10 + coalesce(by1 = 'hotkey_match', false)::INT * 0.20 + (coalesce(by1 = 'roi_match', false) OR coalesce(by2 = 'roi_match', false))::INT * 0.15), 6) AS confidence FROM sc)"""
+lab AS (SELECT vec_id, primitive_id, situation_id, screen_type, concat_ws(',', by1, by2) AS signals, round(least(0.75, (primitive_id IS NOT NULL)::INT * 0.35 + (situation_id IS NOT NULL)::INT * 0.25 + (screen_type IS NOT NULL)::INT * 0.10 + coalesce(by1 = 'hotkey_match', false)::INT * 0.20 + (coalesce(by1 = 'roi_match', false) OR coalesce(by2 = 'roi_match', false))::INT * 0.15), 6)::DOUBLE AS confidence FROM sc)"""
 
 
 def _points(spark, d):
@@ -155,7 +155,7 @@ def _flagged(spark, d):
 
 
 FLAGS_SQL = f"{QUALITY_SQL}, f AS (SELECT *, list_filter([CASE WHEN short THEN 'quality_issue' END, CASE WHEN labeled AND quality = 0 THEN 'missing_primitive_id' END, CASE WHEN labeled AND toxic = 1 THEN 'missing_situation_id' END, CASE WHEN foreign_ THEN 'legacy_invalid_action' END, CASE WHEN dup THEN 'duplicate_non_representative' END], lambda x: x IS NOT NULL) AS flags FROM q)"
-SCORE_SQL = "round(greatest(0, least(1, 1 - CASE WHEN list_contains(flags, 'quality_issue') THEN 0.25 ELSE 0 END - CASE WHEN list_contains(flags, 'duplicate_non_representative') THEN 0.2 ELSE 0 END - CASE WHEN list_contains(flags, 'missing_primitive_id') THEN 0.35 ELSE 0 END - CASE WHEN list_contains(flags, 'missing_situation_id') THEN 0.25 ELSE 0 END - CASE WHEN list_contains(flags, 'legacy_invalid_action') THEN 0.1 ELSE 0 END)), 6)"
+SCORE_SQL = "round(greatest(0, least(1, 1 - CASE WHEN list_contains(flags, 'quality_issue') THEN 0.25 ELSE 0 END - CASE WHEN list_contains(flags, 'duplicate_non_representative') THEN 0.2 ELSE 0 END - CASE WHEN list_contains(flags, 'missing_primitive_id') THEN 0.35 ELSE 0 END - CASE WHEN list_contains(flags, 'missing_situation_id') THEN 0.25 ELSE 0 END - CASE WHEN list_contains(flags, 'legacy_invalid_action') THEN 0.1 ELSE 0 END)), 6)::DOUBLE"
 
 
 @query("quality_score", f"WITH {FLAGS_SQL} SELECT doc_id, array_to_string(flags, ',') AS flags, {SCORE_SQL} AS score FROM f")

@@ -143,7 +143,7 @@ def _ensemble(spark, d):
     return _judged(spark, d).select("vec_id", F.round(improve.ensemble((F.col("vec_id") * 37 % 101) / 101.0, F.col("j.score")), 6).alias("score"))
 
 
-@query("heuristic_judge", f"WITH {JUDGE_SQL} SELECT vec_id, inside AS click_inside, round(score, 6) AS score, penalties FROM j")
+@query("heuristic_judge", f"WITH {JUDGE_SQL} SELECT vec_id, inside AS click_inside, round(score, 6)::DOUBLE AS score, penalties FROM j")
 def heuristic_judge(spark, d):
     return _judged(spark, d).select("vec_id", F.col("j.click_inside"), F.round("j.score", 6).alias("score"), F.array_join("j.penalties", ",").alias("penalties"))
 
