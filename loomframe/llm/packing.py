@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from functools import lru_cache
@@ -21,10 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import ddl, scratch, ship, texts
-from loomframe.llm.token_counts import SPACE
+from loomframe.llm.token_counts import SPACE, byte_letters
 
 _CUT = re.compile(f" (?=[^{SPACE}])")
 _NOT_PLAIN = re.compile(f" (?:[{SPACE}]|$)")
+#: Runs that the vocabulary's pattern makes words of: Latin letters, digits, ASCII marks without the apostrophe.
+_RUNS = re.compile("[A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F))) + r"]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
+#: Characters below this are letters, or not, in every version of Unicode alike.
+_LATIN = chr(0x250)
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_IDS = PIECES.append(pa.field("ids", pa.list_(pa.int64())))
 PLACES = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -45,9 +50,52 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remember = remember
         self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        letters = byte_letters()
+        self.letters = {chr(k): "".join(letters[b] for b in chr(k).encode()) for k in range(ord(_LATIN))}
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        """One word of the vocabulary's pattern, a space before it included: the library's merges apply to it alone."""
+        found = self.words.get(word)
+        if found is None:
+            if word.isascii() and word != "\n":  # visible ASCII stands for itself
+                spelled = self.letters[" "] + word[1:] if word[0] == " " else word
+            else:
+                spelled = "".join(map(self.letters.__getitem__, word))
+            found = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            if len(self.words) >= self.remember:
+                self.words.clear()
+            if len(word) <= 60:
+                self.words[word] = found
+        return found
+
+    def _learn(self, part: str) -> bytes | None:
+        """Ids of a part made of Latin letters, digits, ASCII marks but apostrophes, and single inner line ends, each
+        run of which is a word of the pattern; else None."""
+        runs = _RUNS.findall(part)
+        if not runs or len("".join(runs)) != len(part) or "\n\n" in part or part[0] == "\n" or part[-1] == "\n":
+            return None
+        runs[0] = " " + runs[0]
+        found = self._word(runs[0]) if len(runs) == 1 else b"".join(map(self._word, runs))
+        self._keep(part, found)
+        return found
+
+    def _head(self, part: str) -> bytes:
+        """The first part of a text, which has no space before it."""
+        runs = _RUNS.findall(part)
+        if not runs or len("".join(runs)) != len(part) or "\n" in part:
+            return self._encode([part])[0] if part else b""
+        return b"".join(map(self._word, runs))
+
+    def _keep(self, part: str, found: bytes) -> None:
+        if len(part) <= 60:
+            if len(self.known) >= self.remember:
+                self.known.clear()
+            self.known[part] = found
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -56,14 +104,18 @@ class Encoder:
             return self._encode([text])[0]
         parts = _CUT.split(text) if _NOT_PLAIN.search(text) else text.split(" ")
         found = list(map(self.known.get, parts))
-        found[0] = self._encode([parts[0]])[0]
+        found[0] = self._head(parts[0])
         if None in found:
-            missing = list({p for p, f in zip(parts, found, strict=True) if f is None})
-            new = dict(zip(missing, self._encode([" " + p for p in missing]), strict=True))
-            found = [f if f is not None else new[p] for p, f in zip(parts, found, strict=True)]
-            if len(self.known) + len(new) > self.remember:
-                self.known.clear()
-            self.known.update((p, b) for p, b in new.items() if len(p) <= 60)
+            hard: dict[str, list[int]] = {}
+            for k in [k for k, f in enumerate(found) if f is None]:
+                part = parts[k]
+                found[k] = self.known.get(part) or self._learn(part)
+                if found[k] is None:
+                    hard.setdefault(part, []).append(k)
+            for part, ids in zip(hard, self._encode([" " + p for p in hard]), strict=True):
+                self._keep(part, ids)
+                for k in hard[part]:
+                    found[k] = ids
         return b"".join(found)
 
 
@@ -145,7 +197,7 @@ class Bins:
             self.bins.update(group)
         self.bins += Counter()
 
-    def improve(self, effort: int = 20_000) -> None:
+    def improve(self, effort: int = 150_000) -> None:
         """Exchanges between an emptier and a fuller underfull bin, while any raises the sum of squared fills, the
         emptiest bins first. effort bounds the pairs of patterns that are looked at, so the time doesn't grow."""
         stuck: set[tuple] = set()

@@ -31,7 +31,7 @@ CUTS = pa.schema([("doc_id", pa.int64()), ("cut", pa.int64()), ("n_tokens", pa.i
 PREFIXES = pa.schema([("doc_id", pa.int64()), ("ends", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte: itself where it is printable, else the next free one from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     free = iter(range(256, 512))
@@ -52,7 +52,7 @@ class Counter:
         special = [t["content"] for t in spec["added_tokens"]]
         ranks = {(own(a), own(b)): k for k, (a, b) in enumerate(m.split(" ") if isinstance(m, str) else m for m in model["merges"])}
         self.table = PrefixTable([own(t) for t in model["vocab"] if t not in special], Merges(lambda a, b, get=ranks.get: get((a, b))))
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")")
         self.specials = set(special)
         self.starts = {s[:2] for s in special}
