@@ -17,10 +17,11 @@ def hash_bits(block: Column) -> Column:
 
     The first value is the most significant bit.
     """
-    rest = F.array_sort(F.slice(block, 2, 63))
-    middle = F.element_at(rest, 32)  # 63 values
-    over = F.transform(block, lambda v: F.when(v > middle, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(over, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
+    middle = F.element_at(F.sort_array(F.slice(block, 2, 63)), 32)  # 63 values
+    bit = lambda v, m: F.when(v > m, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    # An array of one binds the median, so that it is found once a block and not once a value.
+    bound = F.transform(F.array(middle), lambda m: F.aggregate(block, F.lit(0).cast("long"), lambda acc, v: F.shiftleft(acc, 1).bitwiseOR(bit(v, m))))
+    return F.get(bound, F.lit(0))
 
 
 def hamming(a: Column, b: Column) -> Column:
