@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import line_dedup, packing, quality, simhash, toxicity
+from loomframe.llm import line_dedup, near_copies, packing, quality, simhash, toxicity
 from loomframe.llm.common import scratch, table
 
 
@@ -30,8 +30,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents within two fingerprint bits of each other the one with the smallest id stays."""
-    return simhash.keep_one_of_each(docs)
+    """Of each group linked by a similarity of 0.8 or more over five-word shingles the smallest id stays."""
+    return simhash.keep_one_of_each(docs, groups=near_copies.near_copies)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ STAGES = [
     ("quality_classifier", quality_stage),
     ("toxicity", toxicity_stage),
     ("line_dedup", line_stage),
-    ("simhash_near_dedup", near_duplicate_stage),
+    ("near_dedup", near_duplicate_stage),
     ("best_fit_packing", packing_stage),
 ]
 

@@ -14,6 +14,7 @@ have at most 65 fingerprints each.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import combinations
 
@@ -149,13 +150,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 BROADCAST_ROWS = 1_000_000
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns unchanged, without the rows whose component has a smaller id.
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """docs, all columns unchanged, without the rows whose component by groups has a smaller id.
 
     Of rows that share an id and stay, one stays. A row with a null id can't be named and stays. The ids that go are
     broadcast only below BROADCAST_ROWS of them, else joined.
     """
-    found = scratch(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "component_id"), "near-duplicates")
+    found = scratch(groups(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "component_id"), "near-duplicates")
     gone = found.where("__id != component_id").select("__id").distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     kept = docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
