@@ -1,19 +1,20 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their first 3 to 7 letters (inflected forms share these), each also as a term of its own where it
-comes at least twice or three times in a text. The vocabulary holds the terms that
-go with the label in a bounded sample of labelled rows by a likelihood-ratio test; document frequencies are counted over all
-documents. The labelled examples stand in an inverted index cut into blocks with the largest weight of each term per
-block: blocks are read by falling upper bound until no block can reach the k-th best example, so the k nearest are
-exact. Votes weighted by similarity, with the base rate as a prior, give the score; the neighbours are its evidence.
+Terms are all words of a bounded sample of labelled rows. Their first 3 to 7 letters (inflected forms share these), and
+words and beginnings that come at least twice or three times in a text, are terms too where they go with the label by a
+likelihood-ratio test. Terms that go with the label weigh fully, all others a little, so every example is indexed and
+every text that shares a word with one has neighbours; document frequencies are counted over all documents. Blocks of
+examples stand in order of an upper bound from the largest weight of each term per block: the best are read first, and
+reading ends when no block can reach the k-th best example, so the k nearest are exact. Votes weighted by similarity,
+with the base rate as a prior, give the score; the neighbours are its evidence.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -78,30 +79,51 @@ class Terms:
 class BlockMaxIndex:
     """Unit vectors of examples by term, in blocks of examples."""
 
-    def __init__(self, vectors: list[tuple[int, int, Counter]], idf: np.ndarray, block: int = 64) -> None:
+    def __init__(self, vectors: Iterable[tuple[int, int, Counter]], idf: np.ndarray, block: int = 64) -> None:
         self.idf = idf
         rows = []
         for doc_id, y, counts in vectors:
             if v := self.weigh(counts):
-                rows.append((sorted(v, key=v.get, reverse=True), v, doc_id, y))
-        rows.sort(key=lambda r: (r[0], r[2]))  # alike examples share blocks, so that bounds are tight
-        self.ids = [r[2] for r in rows]
-        self.labels = np.array([r[3] for r in rows], np.int64)
+                own = sorted(v, key=v.get, reverse=True)
+                rows.append((own[:8], np.array(own, np.int32), np.array([v[t] for t in own]), doc_id, y))
+        rows.sort(key=lambda r: (r[0], r[3]))  # alike examples share blocks, so that bounds are tight
+        self.ids = [r[3] for r in rows]
+        self.labels = np.array([r[4] for r in rows], np.int64)
         self.block = block
         self.blocks = -(-len(rows) // block)
-        lists: dict[int, tuple[list, list]] = {}
-        for k, (_, v, *_rest) in enumerate(rows):
-            for t, w in v.items():
-                at, weights = lists.setdefault(t, ([], []))
-                at.append(k)
-                weights.append(w)
-        self.postings = {}
-        for t, (at, weights) in lists.items():
-            at, weights = np.array(at), np.array(weights)
-            edges = np.searchsorted(at, np.arange(self.blocks + 1) * block)
-            top = np.zeros(self.blocks)
-            np.maximum.at(top, at // block, weights)
-            self.postings[t] = (at, weights, edges, top)
+        doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
+        term = np.concatenate([np.zeros(0, np.int32), *(r[1] for r in rows)])
+        weight = np.concatenate([np.zeros(0), *(r[2] for r in rows)])
+        del rows
+        self.rows = np.searchsorted(doc, np.arange(len(self.ids) + 1))
+        self.row_terms, self.row_weights = term, weight
+        self._open()
+
+    def _open(self) -> None:
+        """What is made anew in each process: the inverted index, and room for a text's weights."""
+        term = self.row_terms
+        doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.rows))
+        order = np.argsort(term, kind="stable")
+        self.starts = np.searchsorted(term[order], np.arange(len(self.idf) + 1))
+        self.at, self.weights = doc[order], self.row_weights[order]
+        cell = term[order].astype(np.int64) * max(1, self.blocks) + self.at // self.block
+        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
+        self.tops = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.top_blocks = (cell[first] % max(1, self.blocks)).astype(np.int32)
+        self.top_starts = np.searchsorted(cell[first] // max(1, self.blocks), np.arange(len(self.idf) + 1))
+        frequent = np.flatnonzero(np.diff(self.starts) >= max(32, len(self.ids) // 6))[:512]
+        self.column = {int(t): c for c, t in enumerate(frequent)}
+        self.full = np.zeros((len(frequent), len(self.ids)))
+        for c, t in enumerate(frequent):
+            self.full[c, self.at[self.starts[t] : self.starts[t + 1]]] = self.weights[self.starts[t] : self.starts[t + 1]]
+        self.dense = np.zeros(len(self.idf))
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("idf", "ids", "labels", "block", "blocks", "rows", "row_terms", "row_weights")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._open()
 
     def weigh(self, counts: Counter) -> dict[int, float]:
         """TF-IDF weights of unit length; empty if no term counts."""
@@ -109,44 +131,93 @@ class BlockMaxIndex:
         norm = math.sqrt(sum(w * w for w in v.values()))
         return {t: w / norm for t, w in v.items()} if norm else {}
 
+    def _sums(self, query: list[tuple[int, float]], starts: np.ndarray, at: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+        cuts = [(starts[t], starts[t + 1], w) for t, w in query]
+        if not cuts:
+            return np.zeros(size)
+        return np.bincount(np.concatenate([at[s:e] for s, e, _ in cuts]), np.concatenate([w * weights[s:e] for s, e, w in cuts]), size)
+
+    def _read(self, b: int) -> np.ndarray:
+        """Cosines of the examples of a block."""
+        ends = self.rows[b * self.block : (b + 1) * self.block + 1]
+        products = self.row_weights[ends[0] : ends[-1]] * self.dense[self.row_terms[ends[0] : ends[-1]]]
+        return np.add.reduceat(products, ends[:-1] - ends[0])
+
     def nearest(self, counts: Counter, k: int) -> list[tuple[float, int]]:
         """The k examples of largest cosine above 0 as (cosine, example), ties to the smaller example; exact."""
-        query = [(w, *self.postings[t]) for t, w in self.weigh(counts).items() if t in self.postings]
-        if not query:
-            return []
-        bound = sum(w * top for w, *_, top in query)
-        best: list[tuple[float, int]] = []  # smallest first, as (cosine, -example)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[0][0] - 1e-12:
+        return self.nearest_of([counts], k)[0]
+
+    def nearest_of(self, every: list[Counter], k: int) -> list[list[tuple[float, int]]]:
+        """nearest of several texts; those that bounds don't settle are multiplied with all examples together."""
+        out: list = []
+        wide = []
+        for i, counts in enumerate(every):
+            query = [(t, w) for t, w in self.weigh(counts).items() if self.starts[t] < self.starts[t + 1]]
+            found = self._by_blocks(query, k) if query else []
+            out.append(found)
+            if found is None:
+                wide.append((i, query))
+        for a in range(0, len(wide), 64):
+            part = wide[a : a + 64]
+            q = np.zeros((len(part), len(self.full)))
+            for row, (_, query) in enumerate(part):
+                for t, w in query:
+                    if t in self.column:
+                        q[row, self.column[t]] = w
+            for (i, query), sums in zip(part, q @ self.full, strict=True):
+                sums += self._sums([x for x in query if x[0] not in self.column], self.starts, self.at, self.weights, len(self.ids))
+                at, dots = self._best(np.arange(len(self.ids)), sums, k)
+                out[i] = list(zip(dots.tolist(), at.tolist(), strict=True))
+        return out
+
+    def _by_blocks(self, query: list[tuple[int, float]], k: int) -> list[tuple[float, int]] | None:
+        """The nearest from blocks by falling bound; None if after two blocks more than ten could hold some."""
+        bound = self._sums(query, self.top_starts, self.top_blocks, self.tops, self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        own = [t for t, _ in query]
+        self.dense[own] = [w for _, w in query]
+        at, dots = np.zeros(0, np.int64), np.zeros(0)
+        for n, b in enumerate(order):
+            least = dots[k - 1] - 1e-9 if len(dots) >= k else 0.0
+            if bound[b] <= 0 or bound[b] < least:
                 break
-            start = b * self.block
-            dots = np.zeros(self.block)
-            for w, at, weights, edges, _ in query:
-                s, e = edges[b], edges[b + 1]
-                dots[at[s:e] - start] += w * weights[s:e]
-            for i in np.flatnonzero(dots > 0):
-                item = (round(float(dots[i]), 12), -int(start + i))
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+            if n == 2 and np.count_nonzero(bound >= least) > 10:
+                self.dense[own] = 0
+                return None
+            found = self._read(b)
+            at, dots = self._best(np.concatenate((at, b * self.block + np.arange(len(found)))), np.concatenate((dots, found)), k)
+        self.dense[own] = 0
+        return list(zip(dots.tolist(), at.tolist(), strict=True))
+
+    @staticmethod
+    def _best(at: np.ndarray, dots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(dots) > k:
+            near = dots >= np.partition(dots, len(dots) - k)[-k] - 1e-11
+            at, dots = at[near], dots[near]
+        dots = np.round(dots, 12)
+        at, dots = at[dots > 0], dots[dots > 0]
+        order = np.lexsort((at, -dots))[:k]
+        return at[order], dots[order]
 
 
 class Scorer:
-    """base: share of label 1 among examples; without: among examples that hold no term of the vocabulary."""
+    """base: share of label 1 among examples; without: among examples without words. leading: number of terms that
+    go with the label, which come first."""
+
+    def __init__(self, index: BlockMaxIndex, words: list[str], base: float, without: float, k: int, prior: float, leading: int) -> None:
+        self.index, self.words, self.base, self.without, self.k, self.prior, self.leading = index, words, base, without, k, prior, leading
 
-    def __init__(self, index: BlockMaxIndex, words: list[str], base: float, without: float, k: int, prior: float) -> None:
-        self.index, self.words, self.base, self.without, self.k, self.prior = index, words, base, without, k, prior
+    def scores(self, every: list[Counter]) -> list[tuple[float, list[int], list[float], list[str]]]:
+        return [self._score(counts, near) for counts, near in zip(every, self.index.nearest_of(every, self.k), strict=True)]
 
-    def score(self, counts: Counter) -> tuple[float, list[int], list[float], list[str]]:
-        near = self.index.nearest(counts, self.k)
+    def _score(self, counts: Counter, near: list[tuple[float, int]]) -> tuple[float, list[int], list[float], list[str]]:
         if not near:
             return self.without, [], [], []
         total = sum(s for s, _ in near)
         votes = sum(s for s, i in near if self.index.labels[i])
         score = (votes + self.prior * self.base) / (total + self.prior)
-        evidence = [self.words[t] for t, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        leading = [(t, n) for t, n in counts.items() if t < self.leading]
+        evidence = [self.words[t] for t, _ in sorted(leading, key=lambda x: (-x[1], x[0]))]
         return score, [self.index.ids[i] for _, i in near], [s for s, _ in near], evidence
 
 
@@ -162,9 +233,15 @@ def _sample_terms(it):
             yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64()), pa.array([hits[t] for t in n], pa.int64())], schema=TERMS)
 
 
-def _document_counts(vocabulary: dict[str, int]):
+def _sample_words(it):
+    for batch in it:
+        found = {w for text in texts(batch) for w in _WORD.findall(text.lower())}
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["term"])
+
+
+def _document_counts(shipped):
     def run(it):
-        held, n = Terms(vocabulary), Counter()
+        held, n = Terms(shipped.value), Counter()
         for batch in it:
             for text in texts(batch):
                 n.update(held.counts(text).keys())
@@ -173,9 +250,9 @@ def _document_counts(vocabulary: dict[str, int]):
     return run
 
 
-def _vectors(vocabulary: dict[str, int]):
+def _vectors(shipped):
     def run(it):
-        held = Terms(vocabulary)
+        held = Terms(shipped.value)
         for batch in it:
             counts = [held.counts(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([list(c) for c in counts], pa.list_(pa.int64())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], schema=VECTORS)
@@ -183,8 +260,11 @@ def _vectors(vocabulary: dict[str, int]):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, sample_rows: int = 12_000, vocabulary_size: int = 4096, least_evidence: float = 26.0, k: int = 15, prior: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, int], Scorer]:
-    """Vocabulary and scorer from at most sample_rows labelled rows outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, sample_rows: int = 12_000, vocabulary_size: int = 4096, least_evidence: float = 26.0, little: float = 0.05, k: int = 15, prior: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, int], Scorer]:
+    """Vocabulary and scorer from at most sample_rows labelled rows outside the held-out fold.
+
+    vocabulary_size: most terms of full weight. little: weight of all other words of the sample.
+    """
     ship(docs.sparkSession)
     rows = sample(docs, labels, label, folds, held_out, sample_rows, id_col, text_col)
     total, ones = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -196,19 +276,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
         counted = rows.mapInArrow(_sample_terms, ddl(TERMS)).groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
         chosen = counted.withColumn("evidence", evidence).where((F.col("evidence") >= least_evidence) & (hits > n * share))
         words = [r["term"] for r in chosen.orderBy(F.desc("evidence"), "term").limit(vocabulary_size).select("term").collect()]  # bounded by vocabulary_size
+    leading = len(words)
+    others = rows.mapInArrow(_sample_words, "term string").distinct().orderBy("term").toArrow().column("term").to_pylist()  # bounded by sample_rows
+    words += sorted(set(others) - set(words))
     vocabulary = {w: i for i, w in enumerate(words)}
     every = docs.select(F.col(text_col).alias("text"))
     frequencies = np.zeros(len(words))
+    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
     if words:
-        for r in every.mapInArrow(_document_counts(vocabulary), ddl(COUNTS)).groupBy("term_id").agg(F.sum("n").alias("n")).collect():  # bounded by vocabulary_size
-            frequencies[r["term_id"]] = r["n"]
+        counted = every.mapInArrow(_document_counts(shipped), ddl(COUNTS)).groupBy("term_id").agg(F.sum("n").alias("n")).toArrow()  # bounded by the vocabulary
+        frequencies[counted.column("term_id").to_numpy()] = counted.column("n").to_numpy()
     idf = np.log((1 + every.count()) / (1 + frequencies)) + 1
-    found = rows.mapInArrow(_vectors(vocabulary), ddl(VECTORS)).collect()  # bounded by sample_rows
-    found.sort(key=lambda r: r["doc_id"])
-    bare = [r["y"] for r in found if not r["terms"]]
+    idf[leading:] *= little
+    found = rows.mapInArrow(_vectors(shipped), ddl(VECTORS)).toArrow().sort_by("doc_id")  # bounded by sample_rows
+    ids, ys = found.column("doc_id").to_pylist(), found.column("y").to_pylist()
+    terms, tf = found.column("terms"), found.column("tf")
+    bare = [y for y, own in zip(ys, terms, strict=True) if not len(own)]
     base = (ones + 1) / (total + 2)
-    index = BlockMaxIndex([(r["doc_id"], r["y"], Counter(dict(zip(r["terms"], r["tf"], strict=True)))) for r in found], idf)
-    return vocabulary, Scorer(index, words, base, (sum(bare) + 2 * base) / (len(bare) + 2), k, prior)
+    index = BlockMaxIndex(((i, y, Counter(dict(zip(t.as_py(), n.as_py(), strict=True)))) for i, y, t, n in zip(ids, ys, terms, tf, strict=True)), idf)
+    return vocabulary, Scorer(index, words, base, (sum(bare) + 2 * base) / (len(bare) + 2), k, prior, leading)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -219,7 +305,10 @@ def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds:
         vocabulary, scorer = shipped.value
         held = Terms(vocabulary)
         for batch in it:
-            yield batch.filter(pa.array([scorer.score(held.counts(t))[0] < threshold for t in texts(batch, text_col)], pa.bool_()))
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                found = scorer.scores([held.counts(t) for t in texts(part, text_col)])
+                yield part.filter(pa.array([f[0] < threshold for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -227,8 +316,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds:
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id_col, held_out, score, predicted, and as evidence neighbours (ids), similarities and terms: a row per row.
 
-    The score is near the share of label 1 among texts like this one. Null text counts as empty; a text without a term
-    of the vocabulary has the share of label 1 among such examples and no neighbours. Without labelled rows of both
+    The score is near the share of label 1 among texts like this one. Null text counts as empty; a text that
+    shares no word with an example has the share of label 1 among examples without words and no neighbours. Without labelled rows of both
     labels every score is the smoothed base rate. Only the text enters a score. Other columns are ignored.
     """
     vocabulary, scorer = fit(docs, labels, label, folds, held_out, id_col=id_col, text_col=text_col, **options)
@@ -239,9 +328,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", fo
         vocabulary, scorer = shipped.value
         held = Terms(vocabulary)
         for batch in it:
-            if batch.num_rows:
-                found = zip(*(scorer.score(held.counts(t)) for t in texts(batch)), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, f.type) for v, f in zip(found, list(SCORES)[1:], strict=True))], schema=SCORES)
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                found = zip(*scorer.scores([held.counts(t) for t in texts(part)]), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, f.type) for v, f in zip(found, list(SCORES)[1:], strict=True))], schema=SCORES)
 
     out = rows.mapInArrow(run, ddl(SCORES))
     return out.select(F.col("doc_id").alias(id_col), (remainder("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "neighbours", "similarities", "evidence")

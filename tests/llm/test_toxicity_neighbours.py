@@ -1,0 +1,29 @@
+"""Every text that shares a word with a labelled example has neighbours."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomframe.llm import toxicity
+
+
+def test_every_example_and_text_takes_part(spark, data):
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    _, scorer = toxicity.fit(docs, labels)
+    sampled = toxicity.sample(docs, labels, "toxic", 5, 0, 12_000).where(F.col("text").rlike(r"\w")).count()
+    assert len(scorer.index.ids) == sampled > 50
+    out = toxicity.toxicity_scores(docs, labels)
+    assert out.where("size(neighbours) > 0").count() >= 0.98 * docs.count()
+    assert out.select(F.round("score", 9)).distinct().count() > 20
+
+
+def test_batches_find_the_same_as_one_by_one(spark, data):
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    vocabulary, scorer = toxicity.fit(docs, labels)
+    held = toxicity.Terms(vocabulary)
+    counts = [held.counts(r.text or "") for r in docs.limit(60).collect()]
+    index = scorer.index
+    vectors = [dict(zip(index.row_terms[a:b].tolist(), index.row_weights[a:b].tolist())) for a, b in zip(index.rows, index.rows[1:])]
+    for c, near in zip(counts, index.nearest_of(counts, 15)):
+        own = index.weigh(c)
+        want = sorted((s for s in (sum(w * v.get(t, 0) for t, w in own.items()) for v in vectors) if s > 0), reverse=True)[:15]
+        assert [s for s, _ in near] == pytest.approx(want, abs=1e-9)
