@@ -15,6 +15,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,14 @@ from pyspark.sql import functions as F
 from loomframe.llm.common import ddl, scratch, ship, texts
 from loomframe.llm.token_counts import SPACE, byte_letters
 
+#: Letters of the Latin blocks, and ASCII marks without the apostrophe.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_MARKS = r"!-&(-/:-@\[-`{-~"
 _CUT = re.compile(f" (?=[^{SPACE}])")
 _NOT_PLAIN = re.compile(f" (?:[{SPACE}]|$)")
-#: Runs that the vocabulary's pattern makes words of: Latin letters, digits, ASCII marks without the apostrophe.
-_RUNS = re.compile("[A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F))) + r"]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
+#: Words of the vocabulary's pattern in a text that these alone make up: a run of letters, of digits or of marks, each
+#: with a space before it or none, and single line ends.
+_WORDS = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n(?![{SPACE}])")
 #: Characters below this are letters, or not, in every version of Unicode alike.
 _LATIN = chr(0x250)
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -38,8 +43,9 @@ PLACES = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())
 class Encoder:
     """Ids of byte-level BPE as little-endian 32-bit bytes, as the tokenizers library gives them.
 
-    Before a space that a visible character follows the vocabulary's pattern always begins a new word, and it never
-    looks back, so the stretches between such spaces are encoded by themselves and remembered in a bounded memory.
+    A text of Latin letters, digits and ASCII marks falls into runs that the vocabulary's pattern makes words of; words
+    are remembered in a bounded memory. In other texts the stretches between spaces before visible characters are
+    encoded by themselves, since the pattern always begins a new word there and never looks back.
     """
 
     def __init__(self, path: str, remember: int = 400_000) -> None:
@@ -50,44 +56,25 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remember = remember
         self.known: dict[str, bytes] = {}
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         letters = byte_letters()
+        self.mark = letters[ord(" ")]
         self.letters = {chr(k): "".join(letters[b] for b in chr(k).encode()) for k in range(ord(_LATIN))}
         self.words: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
         """One word of the vocabulary's pattern, a space before it included: the library's merges apply to it alone."""
-        found = self.words.get(word)
-        if found is None:
-            if word.isascii() and word != "\n":  # visible ASCII stands for itself
-                spelled = self.letters[" "] + word[1:] if word[0] == " " else word
-            else:
-                spelled = "".join(map(self.letters.__getitem__, word))
-            found = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        if word.isascii() and word != "\n":  # visible ASCII stands for itself
+            spelled = self.mark + word[1:] if word[0] == " " else word
+        else:
+            spelled = "".join(map(self.letters.__getitem__, word))
+        found = array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
+        if len(word) <= 60:
             if len(self.words) >= self.remember:
                 self.words.clear()
-            if len(word) <= 60:
-                self.words[word] = found
+            self.words[word] = found
         return found
 
-    def _learn(self, part: str) -> bytes | None:
-        """Ids of a part made of Latin letters, digits, ASCII marks but apostrophes, and single inner line ends, each
-        run of which is a word of the pattern; else None."""
-        runs = _RUNS.findall(part)
-        if not runs or len("".join(runs)) != len(part) or "\n\n" in part or part[0] == "\n" or part[-1] == "\n":
-            return None
-        runs[0] = " " + runs[0]
-        found = self._word(runs[0]) if len(runs) == 1 else b"".join(map(self._word, runs))
-        self._keep(part, found)
-        return found
-
-    def _head(self, part: str) -> bytes:
-        """The first part of a text, which has no space before it."""
-        runs = _RUNS.findall(part)
-        if not runs or len("".join(runs)) != len(part) or "\n" in part:
-            return self._encode([part])[0] if part else b""
-        return b"".join(map(self._word, runs))
-
     def _keep(self, part: str, found: bytes) -> None:
         if len(part) <= 60:
             if len(self.known) >= self.remember:
@@ -102,19 +89,32 @@ class Encoder:
             return b""
         if any(s in text for s in self.special):
             return self._encode([text])[0]
+        words = _WORDS.findall(text)
+        if len("".join(words)) != len(text):
+            return self._by_parts(text)
+        found = list(map(self.words.get, words))
+        if None in found:
+            get, learn = self.words.get, self._word
+            found = [f or get(w) or learn(w) for f, w in zip(found, words, strict=True)]
+        return b"".join(found)
+
+    def _by_parts(self, text: str) -> bytes:
+        """A text with other characters: the library encodes the stretches between spaces."""
         parts = _CUT.split(text) if _NOT_PLAIN.search(text) else text.split(" ")
-        found = list(map(self.known.get, parts))
-        found[0] = self._head(parts[0])
+        found: list = list(map(self.known.get, parts))
+        found[0] = self._encode([parts[0]])[0] if parts[0] else b""
         if None in found:
-            hard: dict[str, list[int]] = {}
+            missing: dict[str, list[int]] = {}
             for k in [k for k, f in enumerate(found) if f is None]:
-                part = parts[k]
-                found[k] = self.known.get(part) or self._learn(part)
-                if found[k] is None:
-                    hard.setdefault(part, []).append(k)
-            for part, ids in zip(hard, self._encode([" " + p for p in hard]), strict=True):
+                words = _WORDS.findall(part := " " + parts[k])
+                if len("".join(words)) == len(part) and part[-1] != "\n":
+                    found[k] = b"".join([self.words.get(w) or self._word(w) for w in words])
+                    self._keep(parts[k], found[k])
+                else:
+                    missing.setdefault(parts[k], []).append(k)
+            for part, ids in zip(missing, self._encode([" " + p for p in missing]), strict=True):
                 self._keep(part, ids)
-                for k in hard[part]:
+                for k in missing[part]:
                     found[k] = ids
         return b"".join(found)
 
@@ -197,28 +197,30 @@ class Bins:
             self.bins.update(group)
         self.bins += Counter()
 
-    def improve(self, effort: int = 150_000) -> None:
-        """Exchanges between an emptier and a fuller underfull bin, while any raises the sum of squared fills, the
-        emptiest bins first. effort bounds the pairs of patterns that are looked at, so the time doesn't grow."""
-        stuck: set[tuple] = set()
-        while effort > 0:
+    def improve(self) -> int:
+        """Exchanges between an emptier and a fuller underfull bin until none raises the sum of squared fills or the
+        room left over is less than one bin, the emptiest bins first. Two patterns that have no exchange never get one,
+        so they are looked at once. Returns the number of exchanges."""
+        fruitless: set[tuple] = set()
+        done = 0
+        while True:
             under = sorted((p for p in self.bins if sum(p) < self.capacity), key=lambda p: (sum(p), p))
-            low = next((p for p in under if p not in stuck), None)
-            if low is None or sum(self.bins[p] * (self.capacity - sum(p)) for p in under) < self.capacity:
-                return  # nothing left to try, or the room left over is less than one bin
-            done = False
-            for high in reversed(under):
-                if high == low and self.bins[low] < 2:
-                    continue
-                effort -= 1
-                if pair := self._exchange(low, high):
-                    many = self.bins[low] // 2 if high == low else min(self.bins[low], self.bins[high])
-                    self._replace(low, high, pair, many)
-                    stuck.clear()
-                    done = True
-                    break
-            if not done:
-                stuck.add(low)
+            if sum(self.bins[p] * (self.capacity - sum(p)) for p in under) < self.capacity:
+                return done
+            found = next(((low, high, pair) for low in under for high in reversed(under) if (pair := self._look(low, high, fruitless))), None)
+            if found is None:
+                return done
+            low, high, pair = found
+            self._replace(low, high, pair, self.bins[low] // 2 if high == low else min(self.bins[low], self.bins[high]))
+            done += 1
+
+    def _look(self, low, high, fruitless: set) -> tuple | None:
+        if (low, high) in fruitless or (high == low and self.bins[low] < 2):
+            return None
+        pair = self._exchange(low, high)
+        if pair is None:
+            fruitless.add((low, high))
+        return pair
 
     def _replace(self, low, high, pair, many) -> None:
         self.bins[low] -= many
@@ -270,30 +272,31 @@ def places(bins: Counter) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]
     return {s: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for s, r in rows.items()}
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, path: str | None = None, with_ids: bool = False, group_rows: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, path: str | None = None, with_ids: bool = False, group_rows: int = 1_000) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset (and ids if with_ids).
 
     A document is its ids and end_id; one longer than capacity is cut into pieces of capacity after a shorter first
     one. Null text counts as empty: end_id alone. Ids may be null or repeated, each row is packed. Other columns are
-    ignored; an empty table gives no rows. group_rows: about how many pieces of a length are numbered together.
+    ignored; an empty table gives no rows. group_rows: about how many pieces of a length are numbered together (the
+    square root of their number, where that is more); the groups of a length are then counted up.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     run, schema = _pieces(path, capacity, end_id, with_ids)
-    pieces = scratch(rows.mapInArrow(run, ddl(schema)), "pieces")
+    pieces = scratch(rows.mapInArrow(run, ddl(schema)).withColumn("rid", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
-    table = places(solve(counts, capacity))
-    total = sum(counts.values())
-    groups = max(1, -(-max(counts.values(), default=0) // group_rows))
-    shipped = spark.sparkContext.broadcast(table)  # bounded by capacity, not by the corpus
-    piece = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    shipped = spark.sparkContext.broadcast(places(solve(counts, capacity)))  # bounded by capacity, not by the corpus
+    many = [(length, -(-n // max(group_rows, isqrt(n)))) for length, n in counts.items()]
+    groups = F.broadcast(spark.createDataFrame(many, "length bigint, groups bigint"))  # at most capacity rows
+    # rid differs between repeated rows, so that no group of them lands in one task
+    piece = pieces.join(groups, "length").withColumn("group", F.expr("pmod(xxhash64(rid), groups)"))
     sizes = piece.groupBy("length", "group").agg(F.count("*").alias("n"))
     before = sizes.select("length", "group", (F.sum("n").over(Window.partitionBy("length").orderBy("group")) - F.col("n")).alias("before"))
-    ranked = piece.withColumn("k", F.row_number().over(Window.partitionBy("length", "group").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = piece.withColumn("k", F.row_number().over(Window.partitionBy("length", "group").orderBy("rid")) - 1)
     ranked = ranked.join(before, ["length", "group"]).withColumn("rank", F.col("before") + F.col("k"))
-
     own = [f.name for f in schema]
+    out = pa.schema([*schema, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def place(it):
         held = shipped.value
@@ -307,8 +310,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                 run_ = np.searchsorted(first, rank[rows_], "right") - 1
                 sequence[rows_] = seq[run_] + rank[rows_] - first[run_]
                 offset[rows_] = off[run_]
-            out = pa.schema([*schema, ("sequence_id", pa.int64()), ("offset", pa.int64())])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in own] + [pa.array(sequence), pa.array(offset)], schema=out)
 
-    placed = ranked.select(*own, "rank").mapInArrow(place, ddl(pa.schema([*schema, ("sequence_id", pa.int64()), ("offset", pa.int64())])))
-    return placed.withColumnRenamed("doc_id", id_col) if total else placed.limit(0).withColumnRenamed("doc_id", id_col)
+    return ranked.select(*own, "rank").mapInArrow(place, ddl(out)).withColumnRenamed("doc_id", id_col)
