@@ -154,19 +154,6 @@ def test_classifiers_awkward(spark, run, label):
     assert run(docs, labels.limit(0)).count() == 64
 
 
-def test_nearest_is_exact():
-    rng = np.random.default_rng(4)
-    vectors = [(i, int(rng.integers(2)), Counter(rng.integers(0, 40, rng.integers(1, 9)).tolist())) for i in range(700)]
-    idf = rng.uniform(0.5, 3, 40)
-    index = toxicity.BlockMaxIndex(vectors, idf, block=16)
-    by_id = {i: index.weigh(c) for i, _, c in vectors}
-    for _ in range(30):
-        q = Counter(rng.integers(0, 40, 6).tolist())
-        w = index.weigh(q)
-        want = sorted((round(s, 9) for s in (sum(w[t] * v.get(t, 0) for t in w) for v in by_id.values()) if s > 0), reverse=True)[:10]
-        assert [round(s, 9) for s, _ in index.nearest(q, 10)] == pytest.approx(want)
-
-
 def test_pipeline_against_its_parts(spark, data):
     import corpus_pipeline
 
