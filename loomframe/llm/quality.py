@@ -1,13 +1,15 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word and its character n-grams are hashed to rows of one table, and a word that repeats the one before it adds
-one more row (the word pair as a feature); a document is the mean of its rows, softmax on top. The table is trained by stochastic gradient descent in numpy on a bounded, documented sample of labelled rows.
-A trained model is linear in the mean, so each row of the table becomes one number for scoring and each word's sum is
-remembered per worker in a bounded memory. Every document is scored on its whole text.
+Every word and its n-grams of characters are hashed to rows of one table, and a word that repeats the one before it adds
+one more row (the word pair as a feature); a document is the mean of its rows, softmax on top. The table is trained by
+stochastic gradient descent in numpy on a bounded, documented sample of labelled rows. A trained model is linear in the
+mean, so each row of the table becomes one number for scoring and each word's sum is remembered per worker in a bounded
+memory. Words that aren't known yet are hashed together, in numpy. Every document is scored on its whole text.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from operator import eq
 from zlib import crc32
@@ -17,18 +19,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import ddl, per_document, ship, texts
+from loomframe.llm.common import ddl, ship, texts
 from loomframe.llm.labelled import remainder, sample
 
+#: Multiplier of the n-gram hash (2^64 divided by the golden ratio, odd).
+MIX = np.uint64(0x9E3779B97F4A7C15)
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 EXAMPLES = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("rows", pa.binary()), ("counts", pa.binary())])
 
 
-def subwords(word: str, buckets: int, low: int = 2, high: int = 4) -> list[int]:
-    """Rows of a word: itself and the n-grams of <word>. The n-grams of a very long word are all taken."""
-    marked = f"<{word}>".encode("utf-8", "replace")
-    n = len(marked)
-    return [crc32(marked, 7) % buckets, *(crc32(marked[i : i + k]) % buckets for k in range(low, high + 1) for i in range(n - k + 1))]
+def subwords(words: list[str], buckets: int, low: int = 2, high: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, ends): the rows of word i are rows[ends[i]:ends[i + 1]].
+
+    A word's rows are itself and the n-grams of the characters of <word>, from low to high. Very long words have all.
+    """
+    marked = [f"<{w}>" for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    text = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    of_word = [np.arange(len(words))]
+    found = [np.fromiter((crc32(m.encode("utf-8", "replace"), 7) for m in marked), np.int64, len(marked)) % buckets]
+    for k in range(low, high + 1):
+        n = len(text) - k + 1
+        if n < 1:
+            continue
+        h = np.full(n, k, np.uint64)
+        for j in range(k):
+            h = (h ^ text[j : j + n]) * MIX
+            h ^= h >> np.uint64(29)
+        inside = word[:n] == word[k - 1 :]
+        of_word.append(word[:n][inside])
+        found.append((h[inside] >> np.uint64(16)).astype(np.int64) % buckets)
+    owner, rows = np.concatenate(of_word), np.concatenate(found)
+    order = np.argsort(owner, kind="stable")
+    return rows[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
 
 
 def repeats(words: list[str]) -> int:
@@ -48,29 +72,30 @@ class Model:
     bias: float
 
     def scorer(self, remember: int = 400_000):
+        """A function from texts to their scores."""
         known: dict[str, complex] = {}
-        weights, buckets = self.weights, len(self.weights)
+        weights, buckets = self.weights.astype(np.float64), len(self.weights)
         again = complex(float(weights[repeat_row(buckets)]), 1)
 
-        def learn(word: str) -> complex:
-            rows = subwords(word, buckets)
-            found = complex(float(weights[rows].sum()), len(rows))
-            if len(word) <= 60:
-                if len(known) >= remember:
-                    known.clear()
-                known[word] = found
-            return found
+        def learn(words: list[str]) -> None:
+            rows, ends = subwords(words, buckets)
+            sums = np.add.reduceat(weights[rows], ends[:-1])
+            known.update(zip(words, (sums + 1j * np.diff(ends)).tolist(), strict=True))
 
-        def score(text: str) -> float:
-            words = text.split()
-            found = list(map(known.get, words))
-            if None in found:
-                found = [f if f is not None else learn(w) for f, w in zip(found, words, strict=True)]
-            total = sum(found) + again * repeats(words)
-            z = self.bias + (total.real / total.imag if words else 0.0)
-            return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+        def scores(every: list[str]) -> list[float]:
+            if len(known) > remember:
+                known.clear()
+            split = [text.split() for text in every]
+            if new := {w for words in split for w in words if w not in known}:
+                learn(list(new))
+            totals = np.array([sum(map(known.__getitem__, words)) + again * repeats(words) for words in split], complex)
+            z = self.bias + totals.real / np.maximum(totals.imag, 1)
+            for w in new:  # a very long word isn't kept
+                if len(w) > 60:
+                    del known[w]
+            return (1 / (1 + np.exp(-np.clip(z, -50, 50)))).tolist()
 
-        return score
+        return scores
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray, int]], buckets: int, dim: int = 8, epochs: int = 8, least_steps: int = 20_000, rate: float = 4.0, seed: int = 11) -> Model:
@@ -112,13 +137,14 @@ def _featurise(buckets: int):
         for batch in it:
             rows, counts = [], []
             for text in texts(batch):
-                known: dict[str, list[int]] = {}
                 words = text.split()
-                every = [known.get(w) or known.setdefault(w, subwords(w, buckets)) for w in words]
-                every.append([repeat_row(buckets)] * repeats(words))
-                found, n = np.unique(np.fromiter((r for w in every for r in w), np.int32), return_counts=True)
+                every = Counter(words)
+                own, ends = subwords(list(every), buckets)
+                times = np.repeat(np.fromiter(every.values(), np.int64, len(every)), np.diff(ends))
+                n = np.bincount(np.append(own, repeat_row(buckets)), np.append(times, repeats(words)))
+                found = np.flatnonzero(n)
                 rows.append(found.astype(np.int32).tobytes())
-                counts.append(n.astype(np.int32).tobytes())
+                counts.append(n[found].astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(rows, pa.binary()), pa.array(counts, pa.binary())], schema=EXAMPLES)
 
     return run
@@ -139,20 +165,28 @@ def apply(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(it):
-        score = shipped.value.scorer()
-        return per_document(lambda t: (score(t),), SCORES)(it)
+        scores = shipped.value.scorer()
+        for batch in it:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(texts(part)), pa.float64())], schema=SCORES)
 
     return rows.mapInArrow(run, ddl(SCORES))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns unchanged, whose score is threshold or more; filtered in one pass, no join."""
+    """The rows of docs, all columns unchanged, whose score is threshold or more; filtered in one pass, no join.
+
+    Null text counts as empty. Repeated rows and null ids are rows like others; an empty table stays empty.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, folds, held_out, id_col=id_col, text_col=text_col, **options))
 
     def run(it):
-        score = model.value.scorer()
+        scores = model.value.scorer()
         for batch in it:
-            yield batch.filter(pa.array([score(t) >= threshold for t in texts(batch, text_col)], pa.bool_()))
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                yield part.filter(pa.array(np.array(scores(texts(part, text_col))) >= threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
