@@ -1,13 +1,17 @@
-"""Near copies by the Jaccard similarity of five-word shingles: prefix keys, join, exact check, components.
+"""Near copies by SimHash and Golay keys: candidates from a wide fingerprint, judged by five-word shingles.
 
-Two sets of similarity 0.8 or more share one of their first n - ceil(0.8 n) + 1 shingles in any order common to all
-sets, so these shingles are the keys and no pair is missed. The order puts shingles that are frequent in a sample of
-documents last; the sample changes how many candidates there are, never the result. Every candidate is checked on the
-whole sets. Shingles stand as 64-bit hashes.
+Near copies of similarity 0.8 differ in far more than two bits of a fingerprint, so the fingerprint here is wide: 384
+bits over a text's distinct words, whose edits move fewer bits than those of shingles. It is cut into 16 segments of 23
+bits. Each segment is decoded with the Golay code to the indices of the code words near it (simhash.golay_indices), and
+an index with the first bits of the segment after it, taken exactly, is a key. With e errors in all, some segment has at
+most e / 16 of them (pigeonhole), and with the few that near copies have, most of the sixteen keys hold.
 
-Only distinct sets take part, so exact copies never multiply. A crowded key is first linked through a few hubs. Then
-its sets outside its largest component are compared with all its sets of other components; pairs within a component
-can't change the components.
+Documents that share a key are candidates if few bits of the fingerprint differ; a candidate is a link if the Jaccard
+similarity of the sets of five-word shingles is 0.8 or more, computed on the whole texts.
+
+Only distinct sets take part, so exact copies never multiply. Each member of a key is first compared with the key's
+smallest member. Then, in keys that hold several components, members outside the key's largest component are compared
+with members of other components; pairs within a component can't change the components.
 """
 
 from __future__ import annotations
@@ -15,21 +19,32 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import ddl, scratch, ship, texts
 from loomframe.llm.components import connected_components
+from loomframe.llm.simhash import golay_indices
 
 SEED = 42
-COMMON = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
-PREFIXES = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
+#: Number of segments, bits of a segment, 64-bit words of a fingerprint.
+SEGMENTS, WIDTH, WORDS = 16, 23, 6
+#: Bits of the next segment in a key. One more for each doubling of the documents beyond 10^8 keeps keys small.
+EXACT = 10
+#: Most differing bits of candidates: of the first word, and of all.
+NEAR, NEAR_ALL = 22, 96
+FP = [f"w{k}" for k in range(WORDS)]
+PRINTS = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), *((w, pa.int64()) for w in FP)])
+KEYS = pa.schema([("node", pa.int64()), ("w0", pa.int64()), ("keys", pa.list_(pa.int32()))])
 SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
-def shingles(text: str, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles; a text of fewer words than width is one shingle."""
-    words = text.encode("utf-8", "replace").lower().split()
+def split_words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "replace").lower().split()
+
+
+def shingles(words: list[bytes], width: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; fewer words than width are one shingle."""
     joined = b" ".join(words)
     n = len(words) - width + 1
     if n <= 1:
@@ -41,124 +56,136 @@ def shingles(text: str, width: int = 5) -> np.ndarray:
     return np.unique(np.array(hashes, np.uint64).view(np.int64))
 
 
-def prefix(own: np.ndarray, common: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The keys of a set: its first shingles, those of common (sorted) last and by their places."""
-    length = len(own) - -(-4 * len(own) // 5) + 1
-    if not len(common):
-        return own[:length]
-    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-    known = common[at] == own
-    first = own[~known][:length]
-    late = own[known][np.argsort(places[at[known]])]
-    return np.concatenate((first, late[: length - len(first)]))
-
-
 def node_of(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
 
 
-def _count(it):
+def _lanes(h: np.ndarray) -> np.ndarray:
+    """WORDS independent 64-bit hashes of each hash."""
+    out = np.empty((len(h), WORDS), np.uint64)
+    for k in range(WORDS):
+        x = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = x ^ (x >> np.uint64(31))
+    return out
+
+
+def fingerprint(words: list[bytes]) -> np.ndarray:
+    """A bit is 1 if it is set in over half of the distinct words' hashes; no words: all 0."""
+    own = sorted(set(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
+    counts = np.zeros(64 * WORDS, np.int64)
+    for k in range(0, len(h), 8192):
+        counts += np.unpackbits(_lanes(h[k : k + 8192]).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * counts > len(h), bitorder="little").view(np.int64)
+
+
+def keys_of(prints: np.ndarray, exact: int = EXACT) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every key of the fingerprints, rows of WORDS 64-bit numbers."""
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
+    segments = bits[:, : SEGMENTS * WIDTH].reshape(-1, SEGMENTS, WIDTH) @ (1 << np.arange(WIDTH, dtype=np.int64))
+    rows, keys = [], []
+    for k in range(SEGMENTS):
+        row, index = golay_indices(segments[:, k])
+        rows.append(row)
+        low = segments[row, (k + 1) % SEGMENTS] & ((1 << exact) - 1)
+        keys.append((k << (12 + exact)) | (low << 12) | index)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _prints(it):
     for batch in it:
-        if batch.num_rows:
-            found, n = np.unique(np.concatenate([shingles(t) for t in texts(batch)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], schema=COMMON)
+        for a in range(0, batch.num_rows, 1000):
+            part = batch.slice(a, 1000)
+            nodes, prints = [], []
+            for text in texts(part):
+                words = split_words(text)
+                nodes.append(node_of(shingles(words)))
+                prints.append(fingerprint(words))
+            columns = np.array(prints).T
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), *map(pa.array, columns)], schema=PRINTS)
+
+
+def _keys(exact: int):
+    def run(it):
+        for batch in it:
+            prints = np.stack([batch.column(w).to_numpy() for w in FP], axis=1)
+            row, key = keys_of(prints, exact)
+            order = np.argsort(row, kind="stable")
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(prints))))).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("w0"), keys], schema=KEYS)
+
+    return run
 
 
 def _sets(it):
     for batch in it:
         for a in range(0, batch.num_rows, 500):
-            part = batch.slice(a, 500)
-            sets = [shingles(t) for t in texts(part)]
+            sets = [shingles(split_words(t)) for t in texts(batch.slice(a, 500))]
             yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=SETS)
 
 
-def common_shingles(rows: DataFrame, sample_rows: int = 20_000, least: int = 8, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of at least `least` sampled documents, sorted, and their places in the order, the rarest first."""
-    step = max(1, rows.count() // sample_rows)
-    counted = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").mapInArrow(_count, ddl(COMMON))
-    often = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "shingle").limit(most).collect()  # bounded by most
-    common, n = np.array([r["shingle"] for r in often], np.int64), np.array([r["n"] for r in often], np.int64)
-    order = np.argsort(common)
-    places = np.empty(len(common), np.int64)
-    places[np.lexsort((common, n))] = np.arange(len(common))
-    return common[order], places[order]
-
-
-def prefixes(rows: DataFrame) -> DataFrame:
-    """doc_id, node (hash of the whole set), size and keys of each row's set."""
-    order = rows.sparkSession.sparkContext.broadcast(common_shingles(rows))
-
-    def run(it):
-        common, places = order.value
-        for batch in it:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                sets = [shingles(t) for t in texts(part)]
-                values = [map(node_of, sets), map(len, sets), [prefix(s, common, places) for s in sets]]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(list(v), f.type) for v, f in zip(values, list(PREFIXES)[1:], strict=True))], schema=PREFIXES)
-
-    return rows.mapInArrow(run, ddl(PREFIXES))
-
-
 def similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a similarity of 0.8 or more.
+    """The pairs (a, b) near in all bits whose whole sets have a similarity of 0.8 or more.
 
-    nodes: node, least_id. rows: doc_id, text. Texts are fetched by id; a null or repeated id may fetch others too.
+    nodes: node, least_id, fingerprint words. rows: doc_id, text. Texts are fetched by id; a null or repeated id may
+    fetch others too.
     """
-    wanted = scratch(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least_id"), "node"), "candidate-nodes")
+    one, two = (nodes.select(F.col("node").alias(k), *(F.col(w).alias(f"{k}{w}") for w in FP)) for k in "ab")
+    differ = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in FP), F.lit(0))
+    near = scratch(pairs.join(one, "a").join(two, "b").where(differ <= NEAR_ALL).select("a", "b"), "candidates")
+    wanted = scratch(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least_id"), "node"), "candidate-nodes")
     named = rows.join(wanted.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     fetched = named.unionByName(rows.where("doc_id IS NULL")).select("text").mapInArrow(_sets, ddl(SETS))
     sets = scratch(fetched.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
     one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
-    both = pairs.join(one, "a").join(two, "b")
+    # sets of similarity 0.8 have four fifths of each other's size
+    alike = "5 * least(size(a_set), size(b_set)) >= 4 * greatest(size(a_set), size(b_set))"
+    both = near.join(one, "a").join(two, "b").where(alike)
     return both.where("9 * size(array_intersect(a_set, b_set)) >= 4 * (size(a_set) + size(b_set))").select("a", "b")
 
 
-#: Two sets can be similar only if the smaller has four fifths of the larger's size.
-ALIKE_SIZE = "5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)"
+def _pair(x: str, y: str):
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _pairs(x: DataFrame, y: DataFrame, condition: str) -> DataFrame:
-    found = x.alias("x").join(y.alias("y"), F.expr(f"x.key = y.key AND x.node != y.node AND {ALIKE_SIZE} AND {condition}"))
-    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+def links(nodes: DataFrame, rows: DataFrame, exact: int = EXACT) -> DataFrame:
+    """a, b: similar pairs that join all similar sets that share a key, directly or by way of others.
 
-
-def links(nodes: DataFrame, rows: DataFrame, crowd: int = 32, hubs: int = 4) -> DataFrame:
-    """a, b: similar pairs that join all similar sets, directly or by way of others.
-
-    nodes: node, least_id, size, keys. rows: doc_id, text.
-    crowd: number of sets of a key beyond which its pairs are made only where they can join two components.
+    nodes: node, least_id, fingerprint words. rows: doc_id, text.
     """
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = scratch(keyed.join(sizes, "key"), "prefix-keys")
-    few, many = shared.where(F.col("n") <= crowd), shared.where(F.col("n") > crowd)
-    pairs = _pairs(few, few, "x.node < y.node")
-    if not many.limit(1).count():
-        return similar(scratch(pairs, "candidates"), nodes, rows)
-    hub = many.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("place") <= hubs)
-    tested = scratch(pairs.unionByName(_pairs(hub, many, "true")).distinct(), "candidates")
+    keyed = nodes.select("node", *FP).mapInArrow(_keys(exact), ddl(KEYS)).select("node", "w0", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "w0")).alias("hub")).where("n > 1")
+    shared = scratch(keyed.join(hubs.select("key", "hub"), "key"), "golay-keys")
+    first = shared.where(f"node != hub.node AND bit_count(w0 ^ hub.w0) <= {NEAR}").select(*_pair("node", "hub.node")).distinct()
+    tested = scratch(first, "hub-pairs")
     found = scratch(similar(tested, nodes, rows), "similar-pairs")
     parts = connected_components(found, "a", "b")
-    placed = scratch(many.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "crowded-keys")
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "component")))
-    outside = placed.join(parts.where("place > 1").select("key", "component"), ["key", "component"])
-    rest = _pairs(outside, placed, "x.component != y.component").join(tested, ["a", "b"], "left_anti")
-    return found.unionByName(similar(scratch(rest, "candidates"), nodes, rows))
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, component_id: the smallest id reachable over pairs of similarity 0.8 or more, a row per row.
-
-    Null text counts as empty; texts without words are copies of each other. Null ids never become a component_id
-    unless a component has no other. Other columns are ignored.
+    placed = shared.select("key", "node", "w0").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counted = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = counted.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("n")).where("n > 1")
+    placed = scratch(placed.join(mixed.select("key", F.col("most.component").alias("main")), "key"), "mixed-keys")
+    outside = placed.where("component != main")
+    near = f"x.key = y.key AND x.component != y.component AND (y.component = y.main OR x.node < y.node) AND bit_count(x.w0 ^ y.w0) <= {NEAR}"
+    rest = outside.alias("x").join(placed.alias("y"), F.expr(near)).select(*_pair("x.node", "y.node")).distinct()
+    rest = scratch(rest.join(tested, ["a", "b"], "left_anti"), "other-pairs")
+    return found.unionByName(similar(rest, nodes, rows))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: int = EXACT) -> DataFrame:
+    """id_col, component_id: the smallest id reachable over links (similarity 0.8 or more), a row per row.
+
+    Null text counts as empty; texts without words are copies of each other, and so are texts of equal shingle sets.
+    Null ids never become a component_id unless a component has no other. Repeated rows each give a row. Other columns
+    are ignored; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    found = scratch(prefixes(rows), "prefixes")
-    first = found.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    nodes = scratch(first, "distinct-sets")
-    parts = connected_components(links(nodes, rows), "a", "b")
+    found = scratch(rows.mapInArrow(_prints, ddl(PRINTS)), "wide-prints")
+    nodes = scratch(found.groupBy("node").agg(F.min("doc_id").alias("least_id"), *(F.min(w).alias(w) for w in FP)), "distinct-sets")
+    parts = connected_components(links(nodes, rows, exact), "a", "b")
     rooted = nodes.select("node", "least_id").join(parts, "node", "left").withColumn("root", F.coalesce("component", "node"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     out = found.select("doc_id", "node").join(rooted.select("node", "root").join(least, "root").select("node", "component_id"), "node")

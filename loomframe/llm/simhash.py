@@ -80,18 +80,23 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return parts, errors, number
 
 
+def golay_indices(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, index) of the code words near each word of up to 23 bits: the nearest, and those four bits away if that
+    is three away."""
+    parts, errors, number = _tables()
+    r = parts[0][words & 255] ^ parts[1][words >> 8 & 255] ^ parts[2][words >> 16]
+    row, _ = valid = np.nonzero(np.arange(6)[None, :] < number[r][:, None])
+    return row, ((words[:, None] ^ errors[r]) >> 11)[valid]
+
+
 def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every key of the fingerprints (uint64)."""
-    parts, errors, number = _tables()
     words = [((fp >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
     rows, keys = [], []
     for k in range(3):
-        exact, fuzzy = words[k], words[(k + 1) % 3]
-        r = parts[0][fuzzy & 255] ^ parts[1][fuzzy >> 8 & 255] ^ parts[2][fuzzy >> 16]
-        index = (fuzzy[:, None] ^ errors[r]) >> 11
-        row, _ = valid = np.nonzero(np.arange(6)[None, :] < number[r][:, None])
+        row, index = golay_indices(words[(k + 1) % 3])
         rows.append(row)
-        keys.append((k << 40) | (exact[row] << 12) | index[valid])
+        keys.append((k << 40) | (words[k][row] << 12) | index)
     return np.concatenate(rows), np.concatenate(keys)
 
 
