@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: SparkContexts (by application id) that already have the package.
 _SHIPPED: set[str] = set()
+#: Scratch tables by application id.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,13 +34,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary folder of our own in
+    local mode (tests), and an error on a cluster, whose executors don't share local folders."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomframe-checkpoint-")
-        spark.sparkContext.setCheckpointDir(base)
+        sc.setCheckpointDir(base)
     return base
 
 
@@ -55,10 +59,23 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write df once as a compressed table in the shared folder and read it back with its columns prunable."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loomframe-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables that this application has written; returns their number.
+
+    The DataFrames that operators return still read them, so call this once their results are written.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,44 +5,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import checkpoint
+from loomframe.llm.common import scratch
 
-#: Rows of (host, line hash) up to which the table of boilerplate is broadcast: 16 bytes each.
-BROADCAST_ROWS = 400_000
+#: Bytes of boilerplate up to which it is broadcast; beyond, pages and boilerplate are joined on host and salt.
+BROADCAST_BYTES = 32 << 20
+#: Parts that a host's pages are dealt to in that join.
+SALTS = 32
 
 
-def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float = 0.1, least_pages: int = 3) -> DataFrame:
-    """host, line (two hashes of 64 and 32 bits): lines on more than `ratio` of the host's pages and least_pages at least.
+def _lines(text):
+    return F.split(text, "\n", -1)
 
-    A page counts once for a line, however often the line stands on it. Blank lines never count.
+
+def _key(line):
+    return F.struct(F.xxhash64(line).alias("a"), F.crc32(line).alias("b"))
+
+
+def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float = 0.1, least_pages: int = 2) -> DataFrame:
+    """host, line: lines on more than `ratio` of the host's pages, and on least_pages at least.
+
+    A page counts once for a line, however often the line stands on it. Blank lines never count. Lines are counted by
+    hash first, so that only 16 bytes a line are shuffled; those that pass are counted again by their whole text.
     """
     pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     totals = pages.groupBy("host").agg(F.count("*").alias("total"))
-    lines = pages.select("host", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).where(F.trim("line") != "")
-    counted = lines.groupBy("host", line_key(F.col("line")).alias("line")).agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    near = counted.alias("c").join(totals.alias("t"), F.expr("c.host <=> t.host"))
-    return near.where(F.col("c.pages") > F.lit(ratio) * F.col("t.total")).select("c.host", "c.line")
+    lines = pages.select("host", F.explode(F.array_distinct(_lines("text"))).alias("line")).where(F.trim("line") != "")
+    lines = lines.withColumn("key", _key(F.col("line")))
 
+    def frequent(counted: DataFrame) -> DataFrame:
+        near = counted.where(F.col("pages") >= least_pages).alias("c").join(totals.alias("t"), F.expr("c.host <=> t.host"))
+        return near.where(F.col("c.pages") > F.lit(ratio) * F.col("t.total")).select("c.*")
 
-def line_key(line):
-    return F.struct(F.xxhash64(line).alias("a"), F.crc32(line).alias("b"))
+    keys = scratch(frequent(lines.groupBy("host", "key").agg(F.count("*").alias("pages"))).select("host", "key"), "line-keys")
+    again = lines.alias("l").join(keys.alias("k"), F.expr("l.host <=> k.host AND l.key = k.key"), "left_semi")
+    return frequent(again.groupBy("host", "line").agg(F.count("*").alias("pages"))).select("host", "line")
 
 
-def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = 0.1, least_pages: int = 3) -> DataFrame:
-    """docs with text_col cleaned, and n_lines and n_dropped added (those names are ours; columns so named are replaced).
+def drop_boilerplate(
+    docs: DataFrame,
+    host_col: str = "source",
+    text_col: str = "text",
+    ratio: float = 0.1,
+    least_pages: int = 2,
+    added: tuple[str, str] = ("n_lines", "n_dropped"),
+) -> DataFrame:
+    """docs with text_col cleaned, and the numbers of lines and of dropped lines added under the names in `added`.
 
-    Null hosts form one host. A null text stays null with 0 lines; a text that loses every line becomes empty; rows
-    and their order of lines are kept, repeated rows too. All other columns pass unchanged. Hosts' boilerplate has at
-    most (lines a page) / ratio lines a host; the table is broadcast only below BROADCAST_ROWS rows, else joined.
+    A line on one page only is never boilerplate (least_pages is 2), so a host of one page loses nothing; on a host of
+    two pages every line that both hold goes. Null hosts form one host. A null text stays null with 0 lines; a text that
+    loses every line becomes empty; rows and their order of lines are kept, repeated rows too. Columns named as in
+    `added` are replaced, all others pass unchanged; an empty table stays empty. A host has at most (lines a page) /
+    ratio boilerplate lines; the table is broadcast only up to BROADCAST_BYTES, else joined with salted hosts.
     """
-    found = checkpoint(boilerplate(docs, host_col, text_col, ratio, least_pages))
-    rows = found.count()
-    by_host = found.groupBy("host").agg(F.collect_set("line").alias("__drop")).withColumnRenamed("host", "__host")
-    by_host = F.broadcast(by_host) if rows <= BROADCAST_ROWS else by_host
-    joined = docs.join(by_host, F.col(host_col).eqNullSafe(F.col("__host")), "left")
-    kept = F.filter("__lines", lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("__drop"), line_key(line)))
-    joined = joined.withColumn("__lines", F.split(text_col, "\n", -1)).withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(kept))
-    out = joined.withColumn(text_col, F.array_join("__kept", "\n"))
-    lines = F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines"))
-    left = F.when(F.col("__kept").isNull(), 0).otherwise(F.size("__kept"))
-    return out.withColumn("n_lines", lines.cast("bigint")).withColumn("n_dropped", (lines - left).cast("bigint")).drop("__host", "__drop", "__lines", "__kept")
+    found = scratch(boilerplate(docs, host_col, text_col, ratio, least_pages), "boilerplate")
+    size = found.agg(F.coalesce(F.sum(F.octet_length("line") + 64), F.lit(0))).first()[0]
+    by_host = found.groupBy("host").agg(F.collect_list("line").alias("__loom_drop")).withColumnRenamed("host", "__loom_host")
+    same = F.col(host_col).eqNullSafe(F.col("__loom_host"))
+    if size <= BROADCAST_BYTES:
+        joined = docs.join(F.broadcast(by_host), same, "left")
+    else:
+        salts = by_host.withColumn("__loom_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = docs.withColumn("__loom_own", F.pmod(F.xxhash64(text_col), F.lit(SALTS)))
+        joined = salted.join(salts, same & (F.col("__loom_own") == F.col("__loom_salt")), "left").drop("__loom_own", "__loom_salt")
+    kept = F.filter("__loom_lines", lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("__loom_drop"), line))
+    joined = joined.withColumn("__loom_lines", _lines(text_col))
+    joined = joined.withColumn("__loom_kept", F.when(F.col("__loom_drop").isNull(), F.col("__loom_lines")).otherwise(kept))
+    lines = F.when(F.col("__loom_lines").isNull(), 0).otherwise(F.size("__loom_lines"))
+    left = F.when(F.col("__loom_kept").isNull(), 0).otherwise(F.size("__loom_kept"))
+    out = joined.withColumn(text_col, F.array_join("__loom_kept", "\n"))
+    out = out.withColumn(added[0], lines.cast("bigint")).withColumn(added[1], (lines - left).cast("bigint"))
+    return out.drop("__loom_host", "__loom_drop", "__loom_lines", "__loom_kept")

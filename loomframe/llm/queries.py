@@ -44,7 +44,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomframe.llm.line_dedup import drop_boilerplate
 
-    out = drop_boilerplate(table(spark, sf_dir, "documents"), ratio=0.1, least_pages=3)
+    out = drop_boilerplate(table(spark, sf_dir, "documents"), ratio=0.1)
     return out.select("doc_id", "text", "n_lines", "n_dropped")
 
 
@@ -52,7 +52,7 @@ OP4_SQL = r"""
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
 t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 b AS (SELECT l.source, line FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source WHERE trim(line) <> ''
-      GROUP BY l.source, line, total HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT doc_id) > 0.1 * total),
+      GROUP BY l.source, line, total HAVING count(DISTINCT doc_id) >= 2 AND count(DISTINCT doc_id) > 0.1 * total),
 m AS (SELECT l.*, b.line IS NOT NULL AS gone FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.line = b.line)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(m.line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') END AS text,
        count(m.k) AS n_lines, count(m.k) FILTER (WHERE gone) AS n_dropped

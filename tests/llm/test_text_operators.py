@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -156,3 +157,31 @@ def test_line_dedup(spark, awkward):
     assert got[20].text == "menu\nx" and got[21].text is None and got[22].text == "" and got[23].text == "menu"
     out = line_dedup.drop_boilerplate(awkward, ratio=0.1)
     assert out.count() == len(AWKWARD) and line_dedup.drop_boilerplate(awkward.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [line_dedup.BROADCAST_BYTES, -1])
+def test_line_dedup_against_brute_force(spark, most, monkeypatch):
+    """Both ways of joining, hosts of one, two and many pages, null hosts and texts, repeated rows, clashing names."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", most)
+    rng = random.Random(8)
+    rows = []
+    for host, pages in (("one", 1), ("two", 2), ("many", 120), (None, 40)):
+        for k in range(pages):
+            lines = [rng.choice(["menu", "footer", " ", "", f"l{rng.randrange(30)}", f"own {rng.random()}"]) for _ in range(rng.randrange(8))]
+            rows.append((len(rows), host, None if k % 17 == 16 else "\n".join(["menu", *lines])))
+    rows += [rows[5], rows[5]]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "text AS line", "1 AS pages", "source AS host", "2 AS n_dropped")
+    total, on = Counter(), Counter()
+    for _, host, text in rows:
+        total[host] += 1
+        on.update((host, line) for line in set((text or "").split("\n")) if text is not None and line.strip(" "))
+    want = []
+    for i, host, text in rows:
+        lines = [] if text is None else text.split("\n")
+        kept = [x for x in lines if not x.strip(" ") or on[host, x] < 2 or on[host, x] <= 0.1 * total[host]]
+        want.append((i, None if text is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
+    got = line_dedup.drop_boilerplate(df, ratio=0.1)
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.text, r.n_lines, r.n_dropped)) for r in got.collect())
+    assert {"line", "pages", "host"} <= set(got.columns)
+    one = [w for w, r in zip(want, rows, strict=True) if r[1] == "one"][0]
+    assert one[3] == 0 and all(w[1] is None or not w[1].startswith("menu") for w, r in zip(want, rows, strict=True) if r[1] == "two")
