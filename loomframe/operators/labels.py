@@ -9,69 +9,177 @@ from loomframe.functions.geometry import Box, contains, crop_pixels
 from loomframe.functions.text import first_nonzero, first_truthy
 
 PAGE = "struct<screen_type:string,situation_id:string,state_flags:array<string>,confidence:double>"
-ROUTE = "struct<primitive_id:string,target_element_id:string,roi_name:string,roi_bbox_norm:array<double>,trigger_modality:string,trigger_action_type:string,trigger_mouse_button:string,trigger_key:string,confidence:double>"
-ELEMENT = "struct<element_id:string,bbox_x_min:double,bbox_y_min:double,bbox_x_max:double,bbox_y_max:double,semantic_id:string,semantic_text:string,function_id:string,hotkeys:array<string>,available_actions:array<string>,enabled_state:string,roi_name:string,is_route_target:boolean,confidence:double,metadata:string>"
+ROUTE = (
+    "struct<primitive_id:string,target_element_id:string,roi_name:string,roi_bbox_norm:array<double>,trigger_modality:string,"
+    "trigger_action_type:string,trigger_mouse_button:string,trigger_key:string,confidence:double>"
+)
+ELEMENT = (
+    "struct<element_id:string,bbox_x_min:double,bbox_y_min:double,bbox_x_max:double,bbox_y_max:double,semantic_id:string,"
+    "semantic_text:string,function_id:string,hotkeys:array<string>,available_actions:array<string>,enabled_state:string,"
+    "roi_name:string,is_route_target:boolean,confidence:double,metadata:string>"
+)
 LABEL = f"struct<page:{PAGE},route_label:{ROUTE},elements:array<{ELEMENT}>,evidence:string,confidence:double,transition_detected:boolean>"
-EVENT = "struct<timestamp_ms:double,action:string,x:double,y:double,end_x:double,end_y:double,button:string,duration_ms:double,key:string,text:string,reasoning:string>"
+EVENT = (
+    "struct<timestamp_ms:double,action:string,x:double,y:double,end_x:double,end_y:double,button:string,duration_ms:double,"
+    "key:string,text:string,reasoning:string>"
+)
+
+
+def fields(kind: str) -> list[str]:
+    """Field names of one of the flat struct types above."""
+    return [f.split(":")[0] for f in kind[len("struct<") : -1].split(",")]
+
+
+BOX = ("bbox_x_min", "bbox_y_min", "bbox_x_max", "bbox_y_max")
 PAGE_KEYS = ("screen_type", "situation_id", "state_flags")
-ROUTE_KEYS = ("primitive_id", "target_element_id", "roi_name", "roi_bbox_norm", "trigger_modality", "trigger_action_type", "trigger_mouse_button", "trigger_key")
+ROUTE_KEYS = tuple(fields(ROUTE))[:-1]
 ELEMENT_KEYS = ("semantic_id", "semantic_text", "function_id", "hotkeys", "available_actions", "enabled_state", "roi_name")
+#: An element as files have it: corners one by one or as a list.
+ELEMENT_FILE = ELEMENT[:-1] + ",bbox_xyxy:array<double>>"
+#: A label file: nested parts, and the flat fields of labels that have none.
+LABEL_FILE = (
+    f"struct<page:{PAGE},route_label:{ROUTE},elements:array<{ELEMENT_FILE}>,evidence:string,confidence:double,transition_detected:boolean,"
+    "bbox_x_min:double,bbox_y_min:double,bbox_x_max:double,bbox_y_max:double,semantic_text:string,semantic_id:string,function_id:string,"
+    "hotkeys:array<string>,available_actions:array<string>,situation_id:string,screen_type:string,candidates:string>"
+)
+#: A review's corrections: whole parts, or single fields.
+CORRECTIONS = (
+    f"struct<page:{PAGE},route_label:{ROUTE},elements:array<{ELEMENT_FILE}>,screen_type:string,situation_id:string,state_flags:array<string>,"
+    + ROUTE[len("struct<") : -len(",confidence:double>")]
+    + ",bbox_xyxy:array<double>,semantic_id:string,semantic_text:string,function_id:string,hotkeys:array<string>,"
+    "available_actions:array<string>,enabled_state:string>"
+)
+
+
+def _texts(c: Column) -> Column:
+    return F.coalesce(c, F.array().cast("array<string>"))
+
+
+def _struct(values: dict[str, Column]) -> Column:
+    return F.struct(*(c.alias(n) for n, c in values.items()))
+
+
+def _page(p: Column) -> Column:
+    """A page object with its defaults."""
+    return _struct({"screen_type": p["screen_type"], "situation_id": p["situation_id"], "state_flags": _texts(p["state_flags"]), "confidence": F.coalesce(p["confidence"], F.lit(0.0))})
+
+
+def _route(r: Column, primitive: Column, target: Column) -> Column:
+    """A route object whose primitive and target are filled where it has none."""
+    own = {n: r[n] for n in fields(ROUTE)}
+    filled = {"primitive_id": F.coalesce(r["primitive_id"], primitive), "target_element_id": F.coalesce(r["target_element_id"], target), "confidence": F.coalesce(r["confidence"], F.lit(0.0))}
+    return _struct(own | filled)
+
+
+def _element(e: Column) -> Column:
+    """An element of a file with its defaults; corners win over the list of four."""
+    corners = {n: F.coalesce(e[n], F.get(e["bbox_xyxy"], F.lit(k)), F.lit(float(k >= 2))) for k, n in enumerate(BOX)}
+    rest = {
+        "hotkeys": _texts(e["hotkeys"]),
+        "available_actions": _texts(e["available_actions"]),
+        "enabled_state": F.coalesce(e["enabled_state"], F.lit("enabled")),
+        "is_route_target": F.coalesce(e["is_route_target"], F.lit(False)),
+        "confidence": F.coalesce(e["confidence"], F.lit(0.0)),
+        "metadata": F.coalesce(e["metadata"], F.lit("{}")),
+    }
+    return _struct({n: e[n] for n in fields(ELEMENT)} | corners | rest)
+
+
+def primary_index(elements: Column) -> Column:
+    """0-based place of the first route target, else 0."""
+    targets = F.transform(elements, lambda e: F.coalesce(e["is_route_target"], F.lit(False)))
+    return F.greatest(F.lit(1), F.coalesce(F.array_position(targets, True), F.lit(1)).cast("int")) - 1
 
 
 def primary_element(elements: Column) -> Column:
     """The first route target, else the first element, else null."""
-    return F.coalesce(F.get(F.filter(elements, lambda e: F.coalesce(e["is_route_target"], F.lit(False))), F.lit(0)), F.get(elements, F.lit(0)))
+    return F.get(elements, primary_index(elements))
 
 
 def flat_fields(label: Column) -> dict[str, Column]:
     """The flat view of a nested label."""
     e = primary_element(label["elements"])
+    page, route = label["page"], label["route_label"]
+    of_element = {n: e[n] for n in ("semantic_id", "semantic_text", *BOX)}
     return {
-        "screen_type": label["page"]["screen_type"], "situation_id": label["page"]["situation_id"], "primitive_id": label["route_label"]["primitive_id"],
-        "function_id": F.coalesce(e["function_id"], label["route_label"]["primitive_id"]), "semantic_id": e["semantic_id"], "semantic_text": e["semantic_text"],
-        "bbox_x_min": e["bbox_x_min"], "bbox_y_min": e["bbox_y_min"], "bbox_x_max": e["bbox_x_max"], "bbox_y_max": e["bbox_y_max"],
-    }
+        "screen_type": page["screen_type"],
+        "situation_id": page["situation_id"],
+        "primitive_id": route["primitive_id"],
+        "function_id": F.coalesce(e["function_id"], route["primitive_id"]),
+    } | of_element
 
 
-def effective_label(label: Column, status: Column, corrections: Column) -> Column:
-    """The label with a review's corrections (JSON string) laid over it.
+def nested_label(rows: DataFrame, raw: str, name: str = "label") -> DataFrame:
+    """rows with a nested label (LABEL) from a label file's struct (LABEL_FILE) in raw; null stays null.
 
-    Only an edited row with corrections changes. A page or route object replaces the whole struct, otherwise keys that
-    are present replace fields, null included; a list of elements replaces them, otherwise the primary one is patched.
+    A file without page, route or elements has them from its flat fields: the page from screen type and situation, an
+    element elem_001 where it has a box, a meaning, hotkeys or actions, and the route from function and element.
+    """
+    r = F.col(raw)
+    corner = {n: F.coalesce(r[n], F.lit(float(k >= 2))) for k, n in enumerate(BOX)}
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    boxed = F.greatest(*(~c.isin(0.0, 1.0) for c in corner.values()))
+    has = boxed | some(r["semantic_id"]) | some(r["semantic_text"]) | (F.size(_texts(r["hotkeys"])) > 0) | (F.size(_texts(r["available_actions"])) > 0)
+    confidence = F.coalesce(r["confidence"], F.lit(0.0))
+    flat = {n: r[n] for n in ("semantic_id", "semantic_text", "function_id")}
+    one = {"element_id": F.lit("elem_001")} | corner | flat | {"hotkeys": _texts(r["hotkeys"]), "available_actions": _texts(r["available_actions"])}
+    one |= {"enabled_state": F.lit("enabled"), "roi_name": F.lit(None).cast("string"), "is_route_target": F.lit(True), "confidence": confidence, "metadata": F.lit("{}")}
+    listed = F.transform(r["elements"], _element)
+    elements = F.when(F.size(F.coalesce(r["elements"], F.array().cast(f"array<{ELEMENT_FILE}>"))) > 0, listed).when(has, F.array(_struct(one))).otherwise(F.array().cast(f"array<{ELEMENT}>"))
+    staged = rows.withColumn("__elements", elements).withColumn("__primary", primary_element(F.col("__elements")))
+    primary = F.col("__primary")
+    page = F.when(r["page"].isNotNull(), _page(r["page"])).otherwise(_struct({"screen_type": r["screen_type"], "situation_id": r["situation_id"], "state_flags": _texts(F.lit(None)), "confidence": confidence}))
+    function = F.when(primary.isNotNull(), primary["function_id"]).otherwise(r["function_id"])
+    bare = _struct({n: F.lit(None).cast("array<double>" if n == "roi_bbox_norm" else "string") for n in ROUTE_KEYS} | {"confidence": confidence})
+    given = _route(r["route_label"], function, primary["element_id"])
+    made = _route(bare, F.coalesce(r["function_id"], function), primary["element_id"])
+    parts = {
+        "page": page,
+        "route_label": F.when(r["route_label"].isNotNull(), given).otherwise(made),
+        "elements": F.col("__elements"),
+        "evidence": r["evidence"],
+        "confidence": confidence,
+        "transition_detected": F.coalesce(r["transition_detected"], F.lit(False)),
+    }
+    return staged.withColumn(name, F.when(r.isNotNull(), _struct(parts))).drop("__elements", "__primary")
+
+
+def effective_label(rows: DataFrame, label: str = "label", status: str = "review_status", corrections: str = "corrections", name: str | None = None) -> DataFrame:
+    """rows with the label that holds after review, in place of label or under another name.
+
+    Only an edited row with corrections (JSON string) changes. A page or route object replaces the whole struct,
+    otherwise keys that are present replace fields, null included; a list of elements replaces them, otherwise the
+    primary one is patched. A route without primitive or target then has those of the primary element. The corrections
+    are parsed once a row; each struct is built by one constructor.
     """
-    keys = F.coalesce(F.json_object_keys(corrections), F.array().cast("array<string>"))
-    has = lambda k: F.array_contains(keys, k)
-    raw = lambda k: F.get_json_object(corrections, f"$.{k}")
-    listed = lambda k: F.from_json(raw(k), "array<string>")
-
-    def overlay(base: Column, whole: str, kind: str, names: tuple[str, ...], lists: tuple[str, ...], floats: tuple[str, ...] = ()) -> Column:
-        out = base
-        for k in names:
-            new = listed(k) if k in lists else F.from_json(raw(k), "array<double>") if k in floats else raw(k)
-            out = out.withField(k, F.when(has(k), new).otherwise(base[k]))
-        replaced = F.from_json(raw(whole), kind)
-        if "confidence" in kind:
-            replaced = replaced.withField("confidence", F.coalesce(replaced["confidence"], F.lit(0.0)))
-        return F.when(F.coalesce(raw(whole).startswith("{"), F.lit(False)), replaced).otherwise(out)
-
-    page = overlay(label["page"], "page", PAGE, PAGE_KEYS, ("state_flags",))
-    route = overlay(label["route_label"], "route_label", ROUTE, ROUTE_KEYS, (), ("roi_bbox_norm",))
-    box = F.from_json(raw("bbox_xyxy"), "array<double>")
+    whole = F.col(corrections)
+    parsed = F.struct(F.from_json(whole, CORRECTIONS).alias("c"), F.json_object_keys(whole).alias("keys"))
+    staged = rows.withColumn("__edit", F.when((F.col(status) == "edited") & F.col(label).isNotNull() & (F.json_object_keys(whole).isNotNull()), parsed))
+    base, c, keys = F.col(label), F.col("__edit.c"), F.col("__edit.keys")
+    new = lambda k, old: F.when(F.array_contains(keys, k), c[k]).otherwise(old[k])
 
     def patch(e: Column) -> Column:
-        for k, name in enumerate(("bbox_x_min", "bbox_y_min", "bbox_x_max", "bbox_y_max")):
-            e = e.withField(name, F.when(has("bbox_xyxy"), box[k]).otherwise(e[name]))
-        for k in ELEMENT_KEYS:
-            e = e.withField(k, F.when(has(k), listed(k) if k in ("hotkeys", "available_actions") else raw(k)).otherwise(e[k]))
-        return e
-
-    targets = F.transform(label["elements"], lambda e: F.coalesce(e["is_route_target"], F.lit(False)))
-    primary = F.greatest(F.lit(1), F.coalesce(F.array_position(targets, True), F.lit(1)).cast("int")) - 1
-    patched = F.transform(label["elements"], lambda e, i: F.when(i == primary, patch(e)).otherwise(e))
-    elements = F.when(F.coalesce(raw("elements").startswith("["), F.lit(False)), F.from_json(raw("elements"), f"array<{ELEMENT}>")).otherwise(patched)
-    route = route.withField("primitive_id", F.coalesce(route["primitive_id"], F.get(elements, F.lit(0))["function_id"]))  # a cleared id is filled from the element again
-    edited = (status == "edited") & (F.size(keys) > 0)
-    return F.when(label.isNull() | ~F.coalesce(edited, F.lit(False)), label).otherwise(label.withField("page", page).withField("route_label", route).withField("elements", elements))
+        corners = {n: F.when(F.array_contains(keys, "bbox_xyxy"), F.get(c["bbox_xyxy"], F.lit(k))).otherwise(e[n]) for k, n in enumerate(BOX)}
+        return _struct({n: e[n] for n in fields(ELEMENT)} | corners | {k: new(k, e) for k in ELEMENT_KEYS})
+
+    primary = primary_index(base["elements"])
+    patched = F.transform(base["elements"], lambda e, i: F.when(i == primary, patch(e)).otherwise(e))
+    elements = F.when(c["elements"].isNotNull(), F.transform(c["elements"], _element)).otherwise(patched)
+    edited = F.size(keys) > 0
+    staged = staged.withColumn("__elements", F.when(edited, elements)).withColumn("__primary", primary_element(F.col("__elements")))
+    old, first = primary_element(base["elements"]), F.col("__primary")
+    function = F.when(first.isNotNull(), first["function_id"]).otherwise(old["function_id"])
+    own_page = _struct({n: base["page"][n] for n in fields(PAGE)} | {k: new(k, base["page"]) for k in PAGE_KEYS})
+    own_route = _struct({n: base["route_label"][n] for n in fields(ROUTE)} | {k: new(k, base["route_label"]) for k in ROUTE_KEYS})
+    staged = staged.withColumn("__route", F.when(edited, F.when(c["route_label"].isNotNull(), c["route_label"]).otherwise(own_route)))
+    parts = {
+        "page": F.when(c["page"].isNotNull(), _page(c["page"])).otherwise(own_page),
+        "route_label": _route(F.col("__route"), function, first["element_id"]),
+        "elements": F.col("__elements"),
+        **{n: base[n] for n in ("evidence", "confidence", "transition_detected")},
+    }
+    out = F.when(F.coalesce(edited, F.lit(False)), _struct(parts)).otherwise(base)
+    return staged.withColumn(name or label, out).drop("__edit", "__elements", "__primary", "__route")
 
 
 def routing_record(sample_id: Column, event: Column, label: Column, metadata: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomframe.operators.quality import DUPLICATE
 from loomframe.plans.label_queries import EFFECTIVE_SQL, effective
 from loomframe.plans.registry import query
-from loomframe.runtime import table
+from loomframe.runtime import checkpoint, table
 from loomframe.sources import writers
 
 NAMES = ["sem_0", "sem_1", "sem_2"]
@@ -15,7 +15,22 @@ NAMES = ["sem_0", "sem_1", "sem_2"]
 
 def _rows(spark, d):
     v = F.col("vec_id")
-    return effective(spark, d).select("sample_id", "session_id", v.alias("ord"), "label", "review_status", "corrections", F.when(v % 13 == 0, F.array(F.lit(DUPLICATE))).alias("flags"), F.when(v % 17 != 0, F.concat(F.lit("/frames/"), "sample_id", F.lit(".png"))).alias("image_path"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit(None).cast("string").alias("event"), F.when(v % 19 == 0, '{"turn_state":"waiting","secret":1,"session_id":"s"}').alias("metadata"))
+    frame = F.when(v % 17 != 0, F.concat(F.lit("/frames/"), "sample_id", F.lit(".png")))
+    rows = effective(spark, d).select(
+        "sample_id",
+        "session_id",
+        v.alias("ord"),
+        "label",
+        "review_status",
+        "corrections",
+        F.when(v % 13 == 0, F.array(F.lit(DUPLICATE))).alias("flags"),
+        frame.alias("image_path"),
+        F.lit(1920).alias("width"),
+        F.lit(1080).alias("height"),
+        F.lit(None).cast("string").alias("event"),
+        F.when(v % 19 == 0, '{"turn_state":"waiting","secret":1,"session_id":"s"}').alias("metadata"),
+    )
+    return checkpoint(rows)  # exports read labels several times; without a cut every filter holds the whole overlay
 
 
 ELEMENTS_SQL = f"""{EFFECTIVE_SQL}, el AS (SELECT *, unnest(range(n_elements)) AS pos FROM eff),

@@ -8,7 +8,7 @@ from loomframe.functions import text as T
 from loomframe.functions.geometry import point_to_unit
 from loomframe.operators import labels, quality
 from loomframe.plans.registry import boxes, query
-from loomframe.runtime import table
+from loomframe.runtime import checkpoint, table
 
 #: Inline dimension rows of these queries: (ord, name, box), (ord, situation, screens, primitives, regions), (ord, element, function, hotkeys, description).
 ROIS = [(0, "top_bar", 0.0, 0.0, 1.0, 0.1), (1, "left_panel", 0.0, 0.1, 0.3, 1.0), (2, "minimap", 0.0, 0.6, 0.2, 1.0), (3, "end_turn_zone", 0.1, 0.05, 0.9, 0.5)]
@@ -108,7 +108,7 @@ def samples(spark, d):
         return F.struct(*(c.alias(n) for n, c in part.items()))
 
     page = F.struct(F.lit("map").alias("screen_type"), F.when(v % 6 != 5, F.concat(F.lit("sit_"), (v % 4).cast("string"))).alias("situation_id"), F.array().cast("array<string>").alias("state_flags"), F.lit(0.8).alias("confidence"))
-    names = [f.split(":")[0] for f in labels.ROUTE[7:-1].split(",")]
+    names = labels.fields(labels.ROUTE)
     kinds = {"roi_bbox_norm": "array<double>", "confidence": "double"}
     route = F.struct(*((F.when(v % 7 != 6, F.concat(F.lit("prim_"), (v % 5).cast("string"))) if n == "primitive_id" else null(kinds.get(n, "string"))).alias(n) for n in names))
     elements = F.when(v % 4 == 0, F.array(element(0, F.lit(False)))).otherwise(F.array(element(0, F.lit(False)), element(1, F.lit(True))))
@@ -122,13 +122,13 @@ def samples(spark, d):
 EFFECTIVE_SQL = """b0 AS (SELECT vec_id, label AS cls, embedding[1]::DOUBLE * 1000 AS x1, embedding[2]::DOUBLE * 1000 AS y1, embedding[1]::DOUBLE * 1000 + abs(embedding[3]::DOUBLE) * 1000 AS x2, embedding[2]::DOUBLE * 1000 + abs(embedding[4]::DOUBLE) * 1000 AS y2, vec_id % 9 AS m FROM embeddings),
 eff AS (SELECT vec_id, cls, 'session_' || cls AS session_id, 'sample_' || lpad(vec_id::VARCHAR, 6, '0') AS sample_id, CASE WHEN m = 3 THEN 'city' ELSE 'map' END AS screen_type,
  CASE WHEN m IN (0, 3) THEN NULL WHEN vec_id % 6 <> 5 THEN 'sit_' || (vec_id % 4) END AS situation_id,
- CASE WHEN m = 0 THEN 'fixed' WHEN m = 6 THEN 'fn_new' WHEN m = 3 THEN coalesce(CASE WHEN vec_id % 7 <> 6 THEN 'prim_' || (vec_id % 5) END, 'fn_0') WHEN vec_id % 7 <> 6 THEN 'prim_' || (vec_id % 5) END AS primitive_id,
+ CASE WHEN m = 0 THEN 'fixed' WHEN m = 6 THEN 'fn_new' WHEN m = 3 THEN coalesce(CASE WHEN vec_id % 7 <> 6 THEN 'prim_' || (vec_id % 5) END, CASE WHEN vec_id % 4 = 0 THEN 'fn_0' ELSE 'fn_1' END) WHEN vec_id % 7 <> 6 THEN 'prim_' || (vec_id % 5) END AS primitive_id,
  CASE WHEN m = 6 THEN 1 WHEN vec_id % 4 = 0 THEN 1 ELSE 2 END AS n_elements, CASE WHEN m = 6 THEN 9.0 WHEN m = 3 THEN 30.0 WHEN vec_id % 4 = 0 THEN x2 ELSE x2 + 5 END AS primary_x2,
  CASE WHEN vec_id % 3 = 0 THEN 'edited' WHEN vec_id % 10 = 1 THEN 'rejected' WHEN vec_id % 10 = 2 THEN 'approved' ELSE 'pending' END AS review_status, (vec_id % 11) / 10.0 AS confidence, x1, y1, x2, y2, m FROM b0)"""
 
 
 def effective(spark, d):
-    return samples(spark, d).withColumn("label", labels.effective_label(F.col("label"), F.col("review_status"), F.col("corrections")))
+    return labels.effective_label(samples(spark, d))
 
 
 @query("effective_label", f"WITH {EFFECTIVE_SQL} SELECT vec_id, screen_type, situation_id, primitive_id, n_elements, round(primary_x2, 6) AS primary_x2 FROM eff")
@@ -197,7 +197,8 @@ def dataset_stats(spark, d):
 
 @query("situation_counts", f"WITH {EFFECTIVE_SQL} SELECT situation_id, count(*) AS n FROM eff WHERE situation_id IS NOT NULL GROUP BY 1")
 def situation_counts(spark, d):
-    return quality.counted(effective(spark, d), F.col("label.page.situation_id"), "situation_id")
+    situations = checkpoint(effective(spark, d).select(F.col("label.page.situation_id").alias("situation")))
+    return quality.counted(situations, F.col("situation"), "situation_id")
 
 
 @query("teacher_apply", f"WITH {EFFECTIVE_SQL} SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'taught' ELSE CASE WHEN vec_id % 7 <> 6 THEN 'prim_' || (vec_id % 5) END END AS primitive_id, CASE WHEN vec_id % 6 <> 5 THEN 'sit_' || (vec_id % 4) END AS situation_id, CASE WHEN vec_id % 2 = 0 AND vec_id % 3 = 0 THEN confidence WHEN vec_id % 2 = 0 THEN 0.9 ELSE confidence END AS confidence FROM eff")

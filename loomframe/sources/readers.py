@@ -2,49 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from loomframe.functions.text import blank_to_null, frame_index, frame_timestamp_ms
-from loomframe.operators.labels import EVENT, LABEL
+from loomframe.operators import labels
 
 LOG_FIELDS = ("timestamp_ms", "event_type", "x", "y", "key", "button")
 IMAGE_TYPES = ("png", "jpg", "jpeg", "webp")
 
 
+#: What an event or a review may say.
+ACTIONS = ("click", "hover", "press", "drag", "type", "scroll")
+REVIEWS = ("pending", "approved", "edited", "rejected")
+REVIEW = "struct<review_status:string,review_corrections:string>"
+
+
 def _documents(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """sample_id, session_id, body of folder/<session>/samples/sample_*/name; none found: empty."""
+    """session_id, sample_id, body of folder/<session>/samples/sample_*/name; none found: empty."""
     try:
         raw = spark.read.text(f"{folder}/*/samples/sample_*/{name}", wholetext=True)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], "session_id string, sample_id string, body string")
-    path = F.input_file_name()
-    return raw.select(F.regexp_extract(path, r"/([^/]+)/samples/[^/]+/[^/]+$", 1).alias("session_id"), F.regexp_extract(path, r"/(sample_[^/]+)/[^/]+$", 1).alias("sample_id"), F.col("value").alias("body"))
+    return raw.select(*_place(F.input_file_name()), F.col("value").alias("body"))
+
+
+def _place(path: Column) -> tuple[Column, Column]:
+    session = F.regexp_extract(path, r"/([^/]+)/samples/[^/]+/[^/]+$", 1)
+    return session.alias("session_id"), F.regexp_extract(path, r"/(sample_[^/]+)/[^/]+$", 1).alias("sample_id")
+
+
+def _folders(spark: SparkSession, folder: str) -> DataFrame:
+    """session_id, sample_id, image_path (pre.png, null without one) of sample folders that hold any file."""
+    try:
+        files = spark.read.format("binaryFile").load(f"{folder}/*/samples/sample_*/*").select("path")  # contents aren't read
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "session_id string, sample_id string, image_path string")
+    pre = F.max(F.when(F.col("path").endswith("/pre.png"), F.col("path")))
+    return files.groupBy(*_place(F.col("path"))).agg(pre.alias("image_path"))
+
+
+def _only(body: Column, kind: str) -> Column:
+    """Whether a JSON object has no other keys than the struct type; what isn't an object passes."""
+    keys = F.json_object_keys(body)
+    return F.coalesce(F.size(F.array_except(keys, F.array(*(F.lit(k) for k in labels.fields(kind))))) == 0, F.lit(True))
+
+
+def _good_label(body: Column) -> Column:
+    """Whether a label file has known keys alone, in all its parts, and names each element."""
+    part = lambda k: F.get_json_object(body, f"$.{k}")
+    known = F.array(*(F.lit(k) for k in LABEL_KEYS))
+    top = F.size(F.array_except(F.json_object_keys(body), known)) == 0
+    elements = F.from_json(part("elements"), "array<map<string,string>>")
+    own = F.array(*(F.lit(k) for k in labels.fields(labels.ELEMENT_FILE)))
+    named = F.forall(elements, lambda e: F.map_contains_key(e, "element_id") & (F.size(F.array_except(F.map_keys(e), own)) == 0))
+    return top & _only(part("page"), labels.PAGE) & _only(part("route_label"), labels.ROUTE) & F.coalesce(named, F.lit(True))
+
+
+LABEL_KEYS = (
+    *("page", "route_label", "elements", "evidence", "confidence", "transition_detected", "candidates", *labels.BOX),
+    *("semantic_text", "semantic_id", "function_id", "hotkeys", "available_actions", "situation_id", "screen_type"),
+)
 
 
 def sessions(spark: SparkSession, folder: str) -> DataFrame:
-    """session_id, sample_id, event, label, review_status (default pending), corrections, metadata, ord.
+    """session_id, sample_id, event, label, review_status (default pending), corrections, metadata, image_path, ord.
 
-    One row per sample folder that has any of event, label, review or metadata.json; a sample with a body that can't
-    be read as its kind is left out. ord is the place of the sample's name within its session.
+    One row per sample folder that holds any file; what it has none of is null, image_path is its pre.png. Flat labels
+    come back nested. A sample with a file that can't be read as its kind is left out as a whole: broken JSON, an
+    unknown key in event or label, an event without time or known action, an element without id, an unknown review
+    status. ord is the place of the sample's name within its session.
     """
     keys = ["session_id", "sample_id"]
-    parsed = {}
-    for name, kind in (("event", EVENT), ("label", LABEL), ("review", "struct<status:string,corrections:string>"), ("metadata", None)):
-        rows = _documents(spark, folder, f"{name}.json")
-        value = F.col("body") if kind is None else F.from_json("body", kind)
-        bad = F.try_parse_json("body").isNull() & (F.trim("body") != "null")
-        parsed[name] = rows.select(*keys, value.alias(name), bad.alias(f"__{name}"))
-    out = parsed["event"]
-    for name in ("label", "review", "metadata"):
-        out = out.join(parsed[name], keys, "full")
-    whole = ~F.greatest(*(F.coalesce(F.col(f"__{n}"), F.lit(False)) for n in parsed))
-    out = out.where(whole).select(*keys, "event", "label", F.coalesce("review.status", F.lit("pending")).alias("review_status"), F.col("review.corrections").alias("corrections"), "metadata")
-    from pyspark.sql import Window
-
+    body = F.col("body")
+    valid = F.try_parse_json(body).isNotNull()
+    event, review = F.from_json(body, labels.EVENT), F.from_json(body, REVIEW)
+    kinds = {
+        "event": (event, _only(body, labels.EVENT) & event["timestamp_ms"].isNotNull() & event["action"].isin(*ACTIONS)),
+        "label": (F.from_json(body, labels.LABEL_FILE), _good_label(body)),
+        "review": (review, review["review_status"].isin(*REVIEWS)),
+        "metadata": (body, F.lit(True)),
+    }
+    out = _folders(spark, folder)
+    for name, (value, good) in kinds.items():
+        found = _documents(spark, folder, f"{name}.json").select(*keys, value.alias(name), (valid & F.coalesce(good, F.lit(False))).alias(f"__{name}"))
+        out = out.join(found, keys, "left")
+    whole = F.least(*(F.coalesce(F.col(f"__{n}"), F.lit(True)) for n in kinds))
+    out = labels.nested_label(out.where(whole).withColumnRenamed("label", "__raw"), "__raw")
+    status = F.coalesce("review.review_status", F.lit("pending")).alias("review_status")
+    metadata = F.when(F.trim("metadata") != "null", F.col("metadata")).alias("metadata")
+    out = out.select(*keys, "event", "label", status, F.col("review.review_corrections").alias("corrections"), metadata, "image_path")
     return out.withColumn("ord", F.row_number().over(Window.partitionBy("session_id").orderBy("sample_id")) - 1)
 
 

@@ -82,7 +82,7 @@ def test_effective_label(spark):
     e = ("e1", 1.0, 1.0, 2.0, 2.0, "old", None, "fn", [], [], "enabled", None, True, 0.5, None)
     label = (("map", "sit", [], 0.8), (None,) * 8 + (None,), [e], None, 0.7, False)
     cases = [(1, label, "edited", '{"semantic_id":"new","screen_type":null}'), (2, label, "pending", '{"semantic_id":"new"}'), (3, None, "edited", "{}"), (4, label, "edited", '{"page":{"screen_type":"city"},"elements":[]}'), (5, label, "edited", None), (6, label, "edited", "{}")]
-    df = spark.createDataFrame(cases, kind).withColumn("l", labels.effective_label(F.col("label"), F.col("status"), F.col("corrections")))
+    df = labels.effective_label(spark.createDataFrame(cases, kind), status="status", name="l")
     got = {r.id: r.l for r in df.collect()}
     assert got[1].page.screen_type is None and got[1].elements[0].semantic_id == "new" and got[1].route_label.primitive_id == "fn"
     assert got[2].elements[0].semantic_id == "old" and got[3] is None and got[5] == got[2] == got[6]

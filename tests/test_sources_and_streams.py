@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomframe.operators import labels
 from loomframe.sources import readers, taxonomy, writers
 from loomframe.streaming import recorder
 
@@ -17,17 +18,72 @@ def test_input_logs(spark, tmp_path):
     assert (r.timestamp_ms, r.event_type, r.x, r.y, r.key) == (1.0, "click", None, 2.0, None)
 
 
+def _sample(folder, session, number, **files):
+    d = folder / session / "samples" / f"sample_{number:06d}"
+    d.mkdir(parents=True)
+    for name, content in files.items():
+        if name == "pre":
+            (d / "pre.png").write_bytes(b"x")
+        else:
+            (d / f"{name}.json").write_text(content if isinstance(content, str) else json.dumps(content))
+
+
 def test_sessions(spark, tmp_path):
-    for i, (event, label) in enumerate([('{"timestamp_ms":1,"action":"click","x":5}', None), ('{"timestamp_ms":2,"action":"click"}', '{"confidence":0.5,"elements":[]}'), ("{broken", None)]):
-        d = tmp_path / "s1" / "samples" / f"sample_{i:06d}"
-        d.mkdir(parents=True)
-        (d / "event.json").write_text(event)
-        if label:
-            (d / "label.json").write_text(label)
-            (d / "review.json").write_text('{"status":"edited","corrections":{"screen_type":"x"}}')
-    out = readers.sessions(spark, str(tmp_path)).orderBy("ord").collect()
-    assert [(r.sample_id, r.review_status, r.session_id) for r in out] == [("sample_000000", "pending", "s1"), ("sample_000001", "edited", "s1")]
-    assert out[0].event.x == 5 and json.loads(out[1].corrections) == {"screen_type": "x"} and out[1].label.confidence == 0.5
+    click = {"timestamp_ms": 1.0, "action": "click", "x": 5.0, "y": None, "key": None}
+    edited = {"review_status": "edited", "review_corrections": {"screen_type": "x"}}
+    _sample(tmp_path, "s1", 0, event=click)
+    _sample(tmp_path, "s1", 1, event=click, label={"confidence": 0.5, "elements": []}, review=edited, metadata={"a": 1}, pre=b"")
+    _sample(tmp_path, "s1", 2, event="{broken")
+    _sample(tmp_path, "s1", 3, event=click | {"unknown": 1})
+    _sample(tmp_path, "s1", 4, event={"action": "click"})
+    _sample(tmp_path, "s1", 5, event=click | {"action": "dance"})
+    _sample(tmp_path, "s1", 6, event=click, review={"status": "edited"})
+    _sample(tmp_path, "s1", 7, event=click, label={"page": {"colour": "red"}})
+    _sample(tmp_path, "s1", 8, event=click, label={"elements": [{"bbox_xyxy": [1, 2, 3, 4]}]})
+    _sample(tmp_path, "s2", 0, pre=b"")
+    _sample(tmp_path, "s2", 1, review={"review_status": "rejected", "review_corrections": None})
+    out = {(r.session_id, r.sample_id): r for r in readers.sessions(spark, str(tmp_path)).collect()}
+    assert sorted(out) == [("s1", "sample_000000"), ("s1", "sample_000001"), ("s2", "sample_000000"), ("s2", "sample_000001")]
+    one = out["s1", "sample_000001"]
+    assert one.review_status == "edited" and json.loads(one.corrections) == {"screen_type": "x"} and one.ord == 1
+    assert one.label.confidence == 0.5 and json.loads(one.metadata) == {"a": 1} and one.image_path.endswith("/s1/samples/sample_000001/pre.png")
+    zero = out["s1", "sample_000000"]
+    assert zero.event.x == 5 and zero.label is None and zero.review_status == "pending" and zero.image_path is None
+    assert out["s2", "sample_000000"].event is None and out["s2", "sample_000000"].image_path
+    assert out["s2", "sample_000001"].review_status == "rejected" and out["s2", "sample_000001"].corrections is None
+    after = labels.effective_label(readers.sessions(spark, str(tmp_path))).where("sample_id = 'sample_000001' AND session_id = 's1'").first()
+    assert after.label.page.screen_type == "x"
+    assert readers.sessions(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_flat_labels_come_back_nested(spark, tmp_path):
+    flat = {
+        "bbox_x_min": 10, "bbox_y_min": 20, "bbox_x_max": 30, "bbox_y_max": 40, "semantic_id": "btn", "semantic_text": "Go", "function_id": "go",
+        "hotkeys": ["G"], "available_actions": ["click"], "situation_id": "sit", "screen_type": "map", "confidence": 0.6, "candidates": [], "evidence": {"roi": {"n": 1}},
+    }
+    listed = {"element_id": "e1", "bbox_xyxy": [1, 2, 3, 4], "function_id": "f1"}
+    target = {"element_id": "e2", "bbox_x_min": 5, "bbox_x_max": 7, "is_route_target": True, "function_id": "f2", "confidence": 0.2, "metadata": {"k": [1]}}
+    cases = [
+        flat,
+        {"function_id": "only", "confidence": 0.1},
+        {"elements": [listed, target], "page": {"screen_type": "p"}, "route_label": {"roi_name": "r"}, "confidence": 0.3, "function_id": "old"},
+        {"elements": [listed], "function_id": "own"},
+        {"page": None, "route_label": {"primitive_id": "p", "target_element_id": "t"}, "hotkeys": ["X"]},
+    ]
+    for k, label in enumerate(cases):
+        _sample(tmp_path, "s", k, label=label)
+    a, b, c, d, e = [r.label for r in readers.sessions(spark, str(tmp_path)).orderBy("ord").collect()]
+    assert (a.page.screen_type, a.page.situation_id, a.page.state_flags, a.page.confidence) == ("map", "sit", [], 0.6)
+    one = a.elements[0]
+    assert len(a.elements) == 1 and (one.element_id, one.bbox_x_min, one.bbox_y_max, one.semantic_text, one.hotkeys) == ("elem_001", 10, 40, "Go", ["G"])
+    assert (one.is_route_target, one.confidence, one.enabled_state) == (True, 0.6, "enabled")
+    assert (a.route_label.primitive_id, a.route_label.target_element_id, a.route_label.confidence) == ("go", "elem_001", 0.6)
+    assert json.loads(a.evidence) == {"roi": {"n": 1}} and a.transition_detected is False
+    assert b.elements == [] and b.route_label.primitive_id == "only" and b.route_label.target_element_id is None and b.page.screen_type is None
+    assert [x.element_id for x in c.elements] == ["e1", "e2"] and (c.elements[0].bbox_x_max, c.elements[1].bbox_y_min, c.elements[1].bbox_y_max) == (3, 0, 1)
+    assert (c.route_label.primitive_id, c.route_label.target_element_id, c.route_label.roi_name) == ("f2", "e2", "r") and json.loads(c.elements[1].metadata) == {"k": [1]}
+    assert (d.route_label.primitive_id, d.route_label.target_element_id) == ("own", "e1")
+    assert (e.route_label.primitive_id, e.route_label.target_element_id, e.elements[0].hotkeys) == ("p", "t", ["X"])
 
 
 def test_grounding_reader(spark, tmp_path):
