@@ -19,9 +19,19 @@ _SHIPPED: set[str] = set()
 _WRITTEN: dict[str, list[str]] = {}
 
 
+#: Most bytes and rows of an Arrow batch: batches hold whole texts, and the rows that Spark takes for one by itself may
+#: be gigabytes.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it."""
+    """Send this package to the executors once per application, so that Python workers can import it, and lower this
+    session's limits for Arrow batches to BATCH_BYTES and BATCH_ROWS where they are higher."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
