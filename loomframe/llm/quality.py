@@ -26,6 +26,7 @@ from loomframe.llm.labelled import remainder, sample
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 EXAMPLES = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("rows", pa.binary()), ("counts", pa.binary())])
+TRAINED = pa.schema([("weights", pa.binary()), ("bias", pa.float64())])
 
 
 def subwords(words: list[str], buckets: int, low: int = 2, high: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +72,8 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def scorer(self, remember: int = 400_000):
-        """A function from texts to their scores."""
+    def scorer(self, remember: int = 250_000, together: int = 10_000):
+        """A function from texts to their scores. together: number of new words that are hashed at once."""
         known: dict[str, complex] = {}
         weights, buckets = self.weights.astype(np.float64), len(self.weights)
         again = complex(float(weights[repeat_row(buckets)]), 1)
@@ -86,8 +87,9 @@ class Model:
             if len(known) > remember:
                 known.clear()
             split = [text.split() for text in every]
-            if new := {w for words in split for w in words if w not in known}:
-                learn(list(new))
+            new = list({w for words in split for w in words if w not in known})
+            for k in range(0, len(new), together):
+                learn(new[k : k + together])
             totals = np.array([sum(map(known.__getitem__, words)) + again * repeats(words) for words in split], complex)
             z = self.bias + totals.real / np.maximum(totals.imag, 1)
             for w in new:  # a very long word isn't kept
@@ -150,13 +152,37 @@ def _featurise(buckets: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, sample_rows: int = 5000, buckets: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Model trained on at most sample_rows labelled rows whose id isn't held out."""
+def _train(buckets: int):
+    """All examples in one task; their number is bounded by the sample."""
+
+    def run(it):
+        found = []
+        for batch in it:
+            found += zip(*(batch.column(k).to_pylist() for k in ("doc_id", "rows", "counts", "y")), strict=True)
+        found.sort(key=lambda r: r[0])
+        model = train([(np.frombuffer(rows, np.int32), np.frombuffer(counts, np.int32), y) for _, rows, counts, y in found], buckets)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias])], schema=TRAINED)
+
+    return run
+
+
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    folds: int = 4,
+    held_out: int = 2,
+    sample_rows: int = 5000,
+    buckets: int = 1 << 16,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> Model:
+    """Model trained on at most sample_rows labelled rows whose id isn't held out, in one task on an executor."""
     ship(docs.sparkSession)
     rows = sample(docs, labels, label, folds, held_out, sample_rows, id_col, text_col)
-    found = rows.mapInArrow(_featurise(buckets), ddl(EXAMPLES)).collect()  # at most sample_rows rows of at most `buckets` counts
-    found.sort(key=lambda r: r["doc_id"])
-    return train([(np.frombuffer(r["rows"], np.int32), np.frombuffer(r["counts"], np.int32), r["y"]) for r in found], buckets)
+    examples = rows.mapInArrow(_featurise(buckets), ddl(EXAMPLES)).repartition(1)
+    found = examples.mapInArrow(_train(buckets), ddl(TRAINED)).collect()  # one row of `buckets` numbers
+    return Model(np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"])
 
 
 def apply(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
