@@ -134,7 +134,7 @@ class BlockMaxIndex:
         """What is made anew in each process: the inverted lists, and room for a text's weights."""
         n, size = len(self.ids), len(self.weight)
         self.blocks = -(-n // self.block)
-        at = np.repeat(np.arange(n), np.diff(self.starts))
+        at = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
         self.lists = Postings(self.terms, at, self.values, size)
         cell = self.terms.astype(np.int64) * max(1, self.blocks) + at // self.block
         order = np.argsort(cell, kind="stable")
@@ -150,6 +150,8 @@ class BlockMaxIndex:
             entries = slice(self.lists.starts[t], self.lists.starts[t + 1])
             self.full[c, self.lists.at[entries]] = self.lists.values[entries]
         self.dense = np.zeros(size)
+        #: Entries that a term adds to a search.
+        self.entries = np.where(self.column < 0, np.diff(self.lists.starts), 0) + np.diff(self.tops.starts)
 
     def __getstate__(self) -> dict:
         return {k: self.__dict__[k] for k in ("weight", "block", "ids", "labels", "starts", "terms", "values")}
@@ -230,11 +232,15 @@ class Scorer:
     def __init__(self, index: BlockMaxIndex, words: list[str], base: float, without: float, k: int, prior: float) -> None:
         self.index, self.words, self.base, self.without, self.k, self.prior = index, words, base, without, k, prior
 
-    def near(self, vectors: Vectors, step: int = 64):
-        """(texts' vectors, neighbours) of parts of at most step texts."""
-        for a in range(0, len(vectors), step):
-            part = vectors.part(a, min(a + step, len(vectors)))
+    def near(self, vectors: Vectors, most: int = 400_000):
+        """(texts' vectors, neighbours) of parts that read about `most` list entries, one text at least."""
+        read = np.concatenate(([0], np.cumsum(self.index.entries[vectors.terms])))[vectors.starts]
+        a = 0
+        while a < len(vectors):
+            b = max(a + 1, int(np.searchsorted(read, read[a] + most, "right")) - 1)
+            part = vectors.part(a, b)
             yield part, self.index.nearest(part, self.k)
+            a = b
 
     def score(self, at: np.ndarray, dots: np.ndarray) -> float:
         if not len(at):
