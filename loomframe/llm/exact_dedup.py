@@ -1,12 +1,13 @@
 """Grace hash deduplication of whole texts.
 
-1. Each scan task collapses equal texts within an Arrow batch and writes one row per distinct text with the ids of
-   its copies (map-side combine: a text that makes up a third of the corpus leaves a batch as one row).
+1. Each scan task collapses equal texts in a table of bounded size and writes one row per distinct text with the ids of
+   its copies (map-side combine: a text that makes up a third of the corpus leaves a task as few rows).
 2. Those rows are dealt out by SHA-256. A task keeps distinct contents in an open-addressing table and compares
    complete contents. Once the table holds its budget, contents that it doesn't have go to spill files chosen by the
    next digits of the digest; each file is then treated the same way. Every level keeps at least one content, so any
-   bucket ends, even one where digests agree.
-3. The groups go back to the rows' ids by a join on the batch row, so no task ever gathers the ids of a large group.
+   bucket ends, even one where digests agree. Which group a row is in is written out at once, so the table's memory
+   doesn't grow with the copies.
+3. Groups go back to the rows' ids by joins on the collapsed row, so no task ever gathers the ids of a large group.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from loomframe.llm.common import ddl, scratch, ship, texts
 SPACES = re.compile("[ \t-\r]+")
 _ODD = re.compile("[\t-\r]|  ")
 LOCAL = pa.schema([("ids", pa.list_(pa.int64())), ("first", pa.int64()), ("n", pa.int64()), ("sha", pa.binary()), ("content", pa.binary())])
-GROUPS = pa.schema([("rid", pa.int64()), ("keep_rid", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
-FAN_OUT = 16
+#: Members (rid and gid) and groups (gid and the rest) in one table.
+GROUPS = pa.schema([("rid", pa.int64()), ("gid", pa.int64()), ("keep_rid", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+#: Bytes of texts that a scan task holds for collapsing, and most ids of one of its rows.
+HELD, MOST_IDS = 24 << 20, 10_000
 
 
 def normalise(text: str) -> str:
@@ -37,26 +40,48 @@ def normalise(text: str) -> str:
     return SPACES.sub(" ", text) if _ODD.search(text) else text
 
 
+def _row(ids: list, text: str) -> tuple:
+    ids.sort(key=lambda i: (i is None, i))
+    data = text.encode("utf-8", "surrogatepass")
+    return ids, ids[0], len(ids), hashlib.sha256(data).digest(), data
+
+
 def _local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Collapses texts over the whole partition. Texts beyond the table's budget pass one by one."""
+    table: dict[str, list] = {}
+    held, out, size = 0, [], 0
     for batch in it:
-        groups: dict[str, list] = {}
         for i, text in zip(batch.column(0).to_pylist(), texts(batch, batch.schema.names[1]), strict=True):
-            groups.setdefault(normalise(text), []).append(i)
-        held, size = [], 0
-        for text, ids in groups.items():
-            ids.sort(key=lambda i: (i is None, i))
-            data = text.encode("utf-8", "surrogatepass")
-            held.append((ids, ids[0], len(ids), hashlib.sha256(data).digest(), data))
-            size += len(data)
-            if size > 16 << 20:
-                yield _arrow(held)
-                held, size = [], 0
-        if held:
-            yield _arrow(held)
-
-
-def _arrow(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), LOCAL, strict=True)], schema=LOCAL)
+            text = normalise(text)
+            ids = table.get(text)
+            if ids is not None:
+                ids.append(i)
+                if len(ids) >= MOST_IDS:
+                    out.append(_row(table.pop(text), text))
+                    held -= len(text) + 200
+                    size += len(text)
+            elif held + len(text) <= HELD:
+                table[text] = [i]
+                held += len(text) + 200
+            else:
+                out.append(_row([i], text))
+                size += len(text)
+            if size > 4 << 20:
+                yield _arrow(out, LOCAL)
+                out, size = [], 0
+    while table:
+        text, ids = table.popitem()
+        out.append(_row(ids, text))
+        size += len(text)
+        if size > 4 << 20:
+            yield _arrow(out, LOCAL)
+            out, size = [], 0
+    if out:
+        yield _arrow(out, LOCAL)
+
+
+def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 class ContentTable:
@@ -66,7 +91,7 @@ class ContentTable:
         self.slots = np.full(1024, -1, np.int64)
         self.hashes: list[int] = []
         self.contents: list[bytes] = []
-        self.members: list[list[int]] = []
+        self.gids: list[int] = []
         self.best: list[tuple] = []
         self.sizes: list[int] = []
         self.bytes = 0
@@ -81,12 +106,12 @@ class ContentTable:
             at = (at + 1) & mask
         return -1, at
 
-    def add(self, slot: int, h: int, content: bytes) -> int:
+    def add(self, slot: int, h: int, content: bytes, gid: int) -> int:
         k = len(self.contents)
         self.slots[slot] = k
         self.hashes.append(h)
         self.contents.append(content)
-        self.members.append([])
+        self.gids.append(gid)
         self.best.append((True, 0, 0))
         self.sizes.append(0)
         self.bytes += len(content) + 200
@@ -101,7 +126,6 @@ class ContentTable:
         return k
 
     def join(self, k: int, rid: int, first: int | None, n: int) -> None:
-        self.members[k].append(rid)
         key = (first is None, first or 0, rid)
         self.best[k] = key if self.sizes[k] == 0 else min(self.best[k], key)
         self.sizes[k] += n
@@ -116,25 +140,25 @@ def _digit(sha: bytes, depth: int) -> int:
 
 
 def grace(records: Iterator[tuple], budget: int, folder: str, depth: int = 0) -> Iterator[tuple]:
-    """records: (rid, first, n, sha, content). Yields GROUPS rows; spill files live in folder while they are needed."""
+    """records: (rid, first, n, sha, content). Yields GROUPS rows: each record's group, then the groups, whose gid is
+    the rid of a member. Spill files live in folder while they are needed."""
     held, files = ContentTable(), {}
     try:
         for rid, first, n, sha, content in records:
             h = int.from_bytes(sha[:8], "little") >> 1
             k, slot = held.find(h, content)
             if k < 0 and (held.bytes + len(content) <= budget or not held.contents):
-                k = held.add(slot, h, content)
+                k = held.add(slot, h, content, rid)
             if k >= 0:
                 held.join(k, rid, first, n)
+                yield rid, held.gids[k], None, None, None
             else:
                 d = _digit(sha, depth)
                 if d not in files:
                     files[d] = open(os.path.join(folder, f"{depth}-{d}-{len(os.listdir(folder))}"), "w+b")  # noqa: SIM115
                 files[d].write(struct.pack("<qqqqq", rid, first or 0, first is None, n, len(content)) + sha + content)
-        for k, rids in enumerate(held.members):
-            none, first, keep_rid = held.best[k]
-            for rid in rids:
-                yield rid, keep_rid, None if none else first, held.sizes[k]
+        for gid, (none, first, keep_rid), size in zip(held.gids, held.best, held.sizes, strict=True):
+            yield None, gid, keep_rid, None if none else first, size
         del held
         for f in files.values():
             f.flush()
@@ -165,10 +189,10 @@ def _grace_task(budget: int):
             for row in grace(records(), budget, folder):
                 part.append(row)
                 if len(part) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), GROUPS, strict=True)], schema=GROUPS)
+                    yield _arrow(part, GROUPS)
                     part = []
             if part:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), GROUPS, strict=True)], schema=GROUPS)
+                yield _arrow(part, GROUPS)
 
     return run
 
@@ -187,8 +211,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     local = rows.mapInArrow(_local, ddl(LOCAL)).withColumn("rid", F.monotonically_increasing_id())
     local = scratch(local, "exact-dedup")
     dealt = local.select("rid", "first", "n", "sha", "content").repartition("sha")
-    groups = dealt.mapInArrow(_grace_task(table_bytes), ddl(GROUPS))
-    joined = local.select("rid", "ids", "sha").join(groups, "rid")
-    return joined.select("rid", "keep_rid", "keep_id", "group_size", "sha", F.posexplode("ids").alias("at", "id")).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", ((F.col("rid") == F.col("keep_rid")) & (F.col("at") == 0)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
+    found = scratch(dealt.mapInArrow(_grace_task(table_bytes), ddl(GROUPS)), "exact-groups")
+    groups = found.where("rid IS NULL").select("gid", "keep_rid", "keep_id", "group_size")
+    members = found.where("rid IS NOT NULL").select("rid", "gid").join(groups, "gid").drop("gid")
+    joined = local.select("rid", "ids", "sha").join(members, "rid")
+    every = joined.select("rid", "keep_rid", "keep_id", "group_size", "sha", F.posexplode("ids").alias("at", "id"))
+    kept = ((F.col("rid") == F.col("keep_rid")) & (F.col("at") == 0)).alias("kept")
+    return every.select(F.col("id").alias(id_col), "keep_id", "group_size", kept, F.lower(F.hex("sha")).alias("text_sha256"))

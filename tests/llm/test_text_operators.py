@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -75,7 +76,9 @@ def test_grace_recursion_and_collisions(tmp_path):
     texts = [("t%d" % rng.randrange(300)).encode() * 50 for _ in range(2000)]
     same_digest = b"\0" * 32  # every digest equal: only contents tell
     records = [(i, i, 1, same_digest, t) for i, t in enumerate(texts)]
-    out = {r[0]: r for r in exact_dedup.grace(iter(records), 3000, str(tmp_path))}
+    rows = list(exact_dedup.grace(iter(records), 3000, str(tmp_path)))
+    groups = {r[1]: r[2:] for r in rows if r[0] is None}
+    out = {r[0]: (r[0], *groups[r[1]]) for r in rows if r[0] is not None}
     first, size = {}, {}
     for i, t in enumerate(texts):
         first.setdefault(t, i)
@@ -83,6 +86,22 @@ def test_grace_recursion_and_collisions(tmp_path):
     assert all(out[i][1:] == (first[t], first[t], size[t]) for i, t in enumerate(texts)) and not list(tmp_path.iterdir())
 
 
+def test_collapsing_is_bounded_and_whole(monkeypatch):
+    """Texts beyond the scan task's budget pass one by one; long id lists are cut; nothing is lost."""
+    monkeypatch.setattr(exact_dedup, "HELD", 2_600)
+    monkeypatch.setattr(exact_dedup, "MOST_IDS", 50)
+    rng = random.Random(2)
+    rows = [(i if i % 50 else None, rng.choice(["hot  text", "hot text", "x" * 700 + str(rng.randrange(9)), None])) for i in range(3000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[a : a + 500]], pa.int64()), pa.array([r[1] for r in rows[a : a + 500]])], names=["id", "text"]) for a in range(0, 3000, 500)]
+    out = [r for batch in exact_dedup._local(iter(batches)) for r in batch.to_pylist()]
+    got, want = Counter(), Counter(((exact_dedup.normalise(t or "")).encode(), i) for i, t in rows)
+    for r in out:
+        assert r["n"] == len(r["ids"]) <= 50 and r["first"] == min((i for i in r["ids"] if i is not None), default=None)
+        assert r["sha"] == hashlib.sha256(r["content"]).digest()
+        got.update((r["content"], i) for i in r["ids"])
+    assert got == want and len(out) < 2000
+
+
 def test_simhash_against_brute_force(spark):
     rng = random.Random(1)
     base = [" ".join(rng.choice(["alpha", "beta", "Gamma", "delta", "eps", "zeta"]) + str(rng.randrange(40)) for _ in range(200)) for _ in range(8)]
