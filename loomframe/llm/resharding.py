@@ -1,38 +1,65 @@
 """Minimum-cost-flow resharding.
 
 Shards have row capacities at most one apart; moving a row costs its bytes. The rows of each old shard are counted by
-size class (sizes kept to 8 significant bits, so a bounded number of classes). A flow network carries every row from
-its old shard to a new one, either by the free arc that stays or through blocks of its size classes at their bytes a
-row; successive shortest paths give the transfers that move the fewest bytes. Rows of a shard are ranked from small to
-large, transfers take ranges of ranks, and shard and slot of every row follow from its rank by arithmetic.
+size class (sizes kept to 8 significant bits, so a bounded number of classes whose sizes differ by less than 1 in 128).
+A flow network carries every row from its old shard to a new one, either by the free arc that stays or by an arc that
+takes its size classes from cheap to dear at their mean bytes a row; successive shortest paths give the transfers that
+move the fewest bytes, to within that 1 in 128. Rows of a shard are ranked from small to large, transfers take ranges
+of ranks, and shard and slot of every row follow from its rank by arithmetic. rewrite() then replaces the files of the
+shards that get or lose rows, and no others.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from dataclasses import dataclass
+from math import isqrt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import scratch
 
 
 class Network:
-    """Successive shortest augmenting paths (queue-based Bellman-Ford)."""
+    """Successive shortest augmenting paths (queue-based Bellman-Ford) over arcs of rising cost."""
 
     def __init__(self) -> None:
         self.arcs: dict[object, list[list]] = {}
+        self.steps: list[tuple[list, list, list]] = []
 
-    def arc(self, a, b, room: int, cost: float) -> list:
-        there, back = [b, room, cost, None, 0], [a, 0, -cost, None, 0]
+    def arc(self, a, b, room: int, cost: float = 0.0) -> list:
+        there, back = [b, room, cost, None], [a, 0, -cost, None]
         there[3], back[3] = back, there
         self.arcs.setdefault(a, []).append(there)
         self.arcs.setdefault(b, []).append(back)
         return there
 
+    def rising(self, a, b, blocks: list[tuple[float, int]]) -> list:
+        """One arc whose blocks (cost, room) are used from the first on, costs rising. Only the block in use and the
+        one before it can be on a shortest path, so the network stays small whatever their number."""
+        arc = self.arc(a, b, 0)
+        self.steps.append((arc, [(cost, room) for cost, room in blocks if room], [0, 0]))
+        self._step(*self.steps[-1])
+        return arc
+
+    @staticmethod
+    def _step(arc: list, blocks: list, at: list) -> None:
+        """Lays the block in use open. at: its place, and what of it is used."""
+        k, used = at
+        while k < len(blocks) and used >= blocks[k][1]:
+            k, used = k + 1, 0
+        at[:] = k, used
+        arc[1], arc[2] = (blocks[k][1] - used, blocks[k][0]) if k < len(blocks) else (0, 0.0)
+        back = arc[3]
+        if used:
+            back[1], back[2] = used, -blocks[k][0]
+        else:
+            back[1], back[2] = (blocks[k - 1][1], -blocks[k - 1][0]) if k else (0, 0.0)
+
     def push(self, source, sink) -> None:
         """Send as much as there is room for, by cheapest paths."""
+        convex = {id(arc): (arc, blocks, at) for arc, blocks, at in self.steps}
         while True:
             cost, by, queue, inside = {source: 0.0}, {}, deque([source]), {source}
             while queue:
@@ -52,8 +79,18 @@ class Network:
                 at = by[at][3][0]
             flow = min(arc[1] for arc in path)
             for arc in path:
-                arc[1] -= flow
-                arc[3][1] += flow
+                if step := convex.get(id(arc)):
+                    step[2][1] += flow
+                    self._step(*step)
+                elif step := convex.get(id(arc[3])):
+                    at = step[2]
+                    if not at[1]:
+                        at[:] = at[0] - 1, step[1][at[0] - 1][1]
+                    at[1] -= flow
+                    self._step(*step)
+                else:
+                    arc[1] -= flow
+                    arc[3][1] += flow
 
 
 @dataclass(frozen=True)
@@ -69,37 +106,29 @@ class Plan:
         return sorted({j for _, j in self.moves} | {i for i, _ in self.moves})
 
 
-def plan(blocks: dict[int, list[tuple[float, int]]], shards: int, arcs_per_shard: int = 48) -> Plan:
-    """blocks: for each old shard (bytes a row, rows) of its size classes, ascending."""
+def plan(blocks: dict[int, list[tuple[float, int]]], shards: int) -> Plan:
+    """blocks: for each old shard (bytes a row, rows) of its size classes, costs rising."""
     total = sum(n for own in blocks.values() for _, n in own)
     least, more = divmod(total, shards)
     net, keeps, pairs, ends = Network(), {}, {}, []
     for i, own in sorted(blocks.items()):
         rows = sum(n for _, n in own)
-        net.arc("source", ("old", i), rows, 0)
+        net.arc("source", ("old", i), rows)
         if i < shards:
-            keeps[i] = net.arc(("old", i), ("new", i), rows, 0)
-        step, merged = max(1, -(-rows // arcs_per_shard)), []
-        for cost, n in own:  # neighbouring classes as one block of about a 48th of the rows
-            if merged and merged[-1][1] + n <= step:
-                c, m = merged[-1]
-                merged[-1] = ((c * m + cost * n) / (m + n), m + n)
-            else:
-                merged.append((cost, n))
-        for cost, n in merged:
-            net.arc(("old", i), ("moving", i), n, cost)
+            keeps[i] = net.arc(("old", i), ("new", i), rows)
+        net.rising(("old", i), ("moving", i), sorted(own))
         for j in range(shards):
             if j != i:
-                pairs[i, j] = net.arc(("moving", i), ("new", j), rows, 0)
+                pairs[i, j] = net.arc(("moving", i), ("new", j), rows)
     for j in range(shards):
-        ends.append(net.arc(("new", j), "sink", least, 0))
+        ends.append(net.arc(("new", j), "sink", least))
     net.push("source", "sink")
     for arc in ends:  # every shard keeps its floor; what is left goes one each
         arc[3][1] = 0
     if more:
         for j in range(shards):
-            net.arc(("new", j), "last", 1, 0)
-        net.arc("last", "sink", more, 0)
+            net.arc(("new", j), "last", 1)
+        net.arc("last", "sink", more)
         net.push("source", "sink")
     moves = {k: arc[3][1] for k, arc in pairs.items() if arc[3][1]}
     stays = {i: arc[3][1] for i, arc in keeps.items()}
@@ -128,55 +157,69 @@ def _ranges(p: Plan) -> list[tuple]:
     return out
 
 
-def reshard(docs: DataFrame, old_shard, shards: int, size, carry: dict, group_rows: int = 100_000) -> DataFrame:
+def reshard(docs: DataFrame, old_shard: Column, shards: int, size: Column, carry: dict[str, Column], group_rows: int = 1_000) -> DataFrame:
     """The columns in carry, old_shard, size, shard, slot: one row per input row, rows of shards at most one apart.
 
     old_shard: integer column expression from 0 (null: 0); size: bytes a row (long). carry: name -> column expression
     of what else is returned. Slots of a shard are 0, 1, ... without gaps: first the rows that stay, from small to
     large, then arrivals. Repeated rows are rows like others; an empty table gives no rows. group_rows: about how many
-    rows of a size class are ranked together.
+    rows of a size class are ranked together (the square root of their number, where that is more).
     """
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(old_shard.cast("int"), F.lit(0)).alias("__old"), size.cast("bigint").alias("__size"), *(c.alias(f"__c_{k}") for k, c in carry.items()))
-    base = scratch(base.withColumn("__class", F.expr(size_class("__size"))), "reshard")
+    own = [c.alias(f"__c_{k}") for k, c in carry.items()]
+    base = docs.select(F.coalesce(old_shard.cast("int"), F.lit(0)).alias("__old"), size.cast("bigint").alias("__size"), *own)
+    base = base.withColumn("__class", F.expr(size_class("__size"))).withColumn("__rid", F.monotonically_increasing_id())
+    base = scratch(base, "reshard")
     counted = base.groupBy("__old", "__class").agg(F.count("*").alias("n"), F.avg("__size").alias("mean")).collect()  # size classes are at most 128 for each power of two
     blocks: dict[int, list] = {}
-    for r in sorted(counted, key=lambda r: (r["__old"], r["__class"])):
-        blocks.setdefault(r["__old"], []).append((r["mean"], r["n"]))
     first, at = [], {}
     for r in sorted(counted, key=lambda r: (r["__old"], r["__class"])):
-        first.append((r["__old"], r["__class"], at.get(r["__old"], 0)))
-        at[r["__old"]] = at.get(r["__old"], 0) + r["n"]
-    found = plan(blocks, shards)
-    groups = max(1, -(-max((r["n"] for r in counted), default=0) // group_rows))
-    starts = spark.createDataFrame(first, "__old int, __class bigint, __first bigint")
-    ranges = spark.createDataFrame(_ranges(found), "__old int, __from bigint, __to bigint, shard int, __slot bigint")
+        old, n = r["__old"], r["n"]
+        blocks.setdefault(old, []).append((r["mean"], n))
+        first.append((old, r["__class"], at.get(old, 0), -(-n // max(group_rows, isqrt(n)))))
+        at[old] = at.get(old, 0) + n
+    starts = F.broadcast(spark.createDataFrame(first, "__old int, __class bigint, __first bigint, __groups bigint"))  # a row a size class
+    ranges = spark.createDataFrame(_ranges(plan(blocks, shards)), "__old int, __from bigint, __to bigint, shard int, __slot bigint")
     keys = ["__old", "__class", "__group"]
-    salted = base.withColumn("__group", F.pmod(F.xxhash64(*(c for c in base.columns if c.startswith("__c_"))), F.lit(groups)))
+    # __rid differs between repeated rows, so that no group of them lands in one task
+    salted = base.join(starts, ["__old", "__class"]).withColumn("__group", F.expr("pmod(xxhash64(__rid), __groups)"))
     sizes = salted.groupBy(*keys).agg(F.count("*").alias("n"))
     before = sizes.select(*keys, (F.sum("n").over(Window.partitionBy("__old", "__class").orderBy("__group")) - F.col("n")).alias("__before"))
-    ranked = salted.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("__size", *(c for c in base.columns if c.startswith("__c_")))) - 1)
-    ranked = ranked.join(before, keys).join(F.broadcast(starts), ["__old", "__class"]).withColumn("__rank", F.col("__first") + F.col("__before") + F.col("__k"))
+    ranked = salted.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("__size", "__rid")) - 1)
+    ranked = ranked.join(before, keys).withColumn("__rank", F.col("__first") + F.col("__before") + F.col("__k"))
     placed = ranked.join(F.broadcast(ranges), "__old").where("__rank >= __from AND __rank < __to")  # at most shards ranges for an old shard
-    return placed.select(*(F.col(f"__c_{k}").alias(k) for k in carry), F.col("__old").alias("old_shard"), F.col("__size").alias("size"), "shard", (F.col("__slot") + F.col("__rank") - F.col("__from")).alias("slot"))
+    slot = (F.col("__slot") + F.col("__rank") - F.col("__from")).alias("slot")
+    return placed.select(*(F.col(f"__c_{k}").alias(k) for k in carry), F.col("__old").alias("old_shard"), F.col("__size").alias("size"), "shard", slot)
 
 
 def rewrite(placed: DataFrame, folder: str, file_rows: int = 1_000_000) -> list[int]:
-    """Write the files of the affected shards (folder/shard=N/) from reshard()'s rows; the others' files stay valid.
+    """Replace the files of the affected shards (folder/shard=N/) by reshard()'s rows; the others' files stay.
 
-    Returns the shards written.
+    folder holds the old table in partitions shard=N, or nothing yet. Shards that got or lost rows are overwritten as
+    wholes, old shards that are left without rows are deleted, so every row is in the table once. Returns the shards
+    written. placed must not read from folder itself (reshard() reads a copy in the shared folder).
     """
-    moved = placed.where("shard != old_shard")
-    pairs = moved.select("old_shard", "shard").distinct().collect()  # at most old x new pairs
-    shards = sorted({r["shard"] for r in pairs} | {r["old_shard"] for r in pairs})
-    placed.where(F.col("shard").isin(shards)).repartition("shard", F.floor(F.col("slot") / file_rows)).sortWithinPartitions("shard", "slot").write.mode("append").partitionBy("shard").parquet(folder)
+    spark = placed.sparkSession
+    placed = scratch(placed, "placed")
+    pairs = placed.where("shard != old_shard").select("old_shard", "shard").distinct().collect()  # at most old x new pairs
+    held = {r["shard"] for r in placed.select("shard").distinct().collect()}
+    changed = {r["shard"] for r in pairs} | {r["old_shard"] for r in pairs}
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda shard: files.exists(spark._jvm.org.apache.hadoop.fs.Path(at, f"shard={shard}"))
+    shards = sorted(s for s in held if s in changed or not there(s))
+    rows = placed.where(F.col("shard").isin(shards)).repartition("shard", F.floor(F.col("slot") / file_rows)).sortWithinPartitions("shard", "slot")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
+    for shard in changed - held:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(at, f"shard={shard}"), True)
     return shards
 
 
 def reshard_documents(docs: DataFrame, shards: int = 24, old_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard for documents whose old files are by source.
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard for documents whose old shards are by source.
 
-    size: UTF-8 bytes of the text (null: none) and 8. The law is rows: shards' counts are at most one apart.
+    The documents table has no shards of its own; the hash of the source modulo old_shards stands for them. size: UTF-8
+    bytes of the text (null: none) and 8. The law is rows: shards' counts are at most one apart.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = reshard(docs, F.pmod(F.xxhash64(source_col), F.lit(old_shards)), shards, F.octet_length(text) + 8, {"doc_id": F.col(id_col).cast("bigint"), "text_crc32": F.crc32(text)})

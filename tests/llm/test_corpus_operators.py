@@ -1,7 +1,9 @@
 """Vectors, sharding, packing, classifiers, the pipeline and the registered queries."""
 
+import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -68,12 +70,69 @@ def test_plan_moves_the_fewest_bytes():
     assert sum(shrunk.sizes.values()) == 12 and set(shrunk.sizes.values()) == {6} and sum(n for (a, _), n in shrunk.moves.items() if a == 2) == 3
 
 
-def test_rewrite_only_affected(spark, tmp_path):
-    df = spark.createDataFrame([(i, 0 if i < 30 else i % 4) for i in range(60)], "id long, old int")
-    placed = resharding.reshard(df, F.col("old"), 4, F.lit(10), {"id": F.col("id")})
-    written = resharding.rewrite(placed, str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert 0 in written and back.count() == placed.where(F.col("shard").isin(written)).count()
+def _fewest_bytes(sizes, shards):
+    """By trying every choice of the shards that hold one row more; the smallest rows of a shard move."""
+    total = sum(map(len, sizes.values()))
+    least, more = divmod(total, shards)
+    best = None
+    for bigger in combinations(range(shards), more):
+        moved = 0
+        for i, own in sizes.items():
+            room = least + (i in bigger) if i < shards else 0
+            moved += sum(sorted(own)[: max(0, len(own) - room)])
+        best = moved if best is None else min(best, moved)
+    return best
+
+
+def test_plan_against_every_choice():
+    rng = random.Random(3)
+    for _ in range(150):
+        shards = rng.randint(1, 5)
+        sizes = {i: [rng.choice([1, 2, 3, 50, 60, 70]) for _ in range(rng.randrange(12))] for i in range(rng.randint(1, 6))}
+        blocks = {i: sorted(Counter(map(float, own)).items()) for i, own in sizes.items()}
+        p = resharding.plan(blocks, shards)
+        moved = 0
+        for i, own in sizes.items():
+            out = sum(n for (a, _), n in p.moves.items() if a == i)
+            moved += sum(sorted(own)[:out])
+            assert out + p.stays.get(i, 0) == len(own)
+        assert moved == _fewest_bytes(sizes, shards)
+        assert sum(p.sizes.values()) == sum(map(len, sizes.values())) and max(p.sizes.values()) - min(p.sizes.values()) <= 1
+
+
+def test_reshard_rows_against_brute_force(spark):
+    """Every row once, law and slots hold, and no fewer bytes could move; nulls, repeated rows, clashing names."""
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(5), "x" * rng.randrange(60)) for i in range(300)] + [(7, 1, "same")] * 90 + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "id long, old int, text string").selectExpr("*", "old AS shard", "text AS size", "id AS __rid", "id AS slot")
+    got = resharding.reshard(df, F.col("old"), 4, F.octet_length(F.coalesce("text", F.lit(""))) + 8, {"id": F.col("id"), "text": F.col("text")}, group_rows=20).collect()
+    assert Counter((r.id, r.old_shard, r.text) for r in got) == Counter((i, old or 0, t) for i, old, t in rows)
+    counts = Counter(r.shard for r in got)
+    assert max(counts.values()) - min(counts.values()) <= 1 and len(counts) == 4
+    assert {s: sorted(r.slot for r in got if r.shard == s) for s in counts} == {s: list(range(n)) for s, n in counts.items()}
+    sizes = {i: [len(t or "") + 8 for _, old, t in rows if (old or 0) == i] for i in range(5)}
+    assert sum(r["size"] for r in got if r.shard != r.old_shard) == _fewest_bytes(sizes, 4)
+    assert resharding.reshard(df.limit(0), F.col("old"), 4, F.lit(1), {"id": F.col("id")}).count() == 0
+
+
+@pytest.mark.parametrize("shards", [4, 2, 7])
+def test_rewrite_replaces_only_affected_files(spark, tmp_path, shards):
+    folder = str(tmp_path / "table")
+    start = spark.createDataFrame([(i, 0 if i < 30 else i % 4) for i in range(60)], "id long, shard int")
+    start.repartition("shard").write.partitionBy("shard").parquet(folder)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "table").rglob("*.parquet")}
+    table = spark.read.parquet(folder)
+    placed = resharding.reshard(table, F.col("shard"), shards, F.lit(10), {"id": F.col("id")})
+    written = resharding.rewrite(placed, folder)
+    back = spark.read.parquet(folder).select("id", "shard").collect()
+    assert sorted(r.id for r in back) == list(range(60)) and {r.shard for r in back} == set(range(shards))
+    counts = Counter(r.shard for r in back)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    for f, stamp in before.items():
+        untouched = int(f.parent.name.split("=")[1]) not in written and int(f.parent.name.split("=")[1]) < shards
+        assert f.exists() == untouched and (not untouched or f.stat().st_mtime_ns == stamp)
+    again = resharding.reshard(spark.read.parquet(folder), F.col("shard"), shards, F.lit(10), {"id": F.col("id")})
+    assert resharding.rewrite(again, folder) == []
 
 
 def test_packing_is_whole_and_tight(spark, data):
