@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.functions.geometry import Box, contains
+from loomframe.operators.split import numbered
+from loomframe.runtime import checkpoint
 
 
 def heuristic(b: Box, x: Column, y: Column, confidence: Column, width: Column, height: Column, least_area: float = 0.0001, most_area: float = 0.5, most_aspect: float = 10.0) -> Column:
@@ -36,22 +38,16 @@ def normalize_weights(weights: Column) -> Column:
     return F.when(total == 0, weights).otherwise(F.transform_values(weights, lambda k, v: v / total))
 
 
-def ranked(rows: DataFrame, score: str, order: str, name: str = "rank", width: float = 0.001) -> DataFrame:
-    """rows with rank from 1 by falling score, ties in order.
-
-    Scores are cut into bands; rows are numbered within a band and bands by running sums, so no task holds all rows.
-    """
-    banded = rows.withColumn("__band", F.floor(-F.col(score) / width))
-    sizes = banded.groupBy("__band").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__band")) - F.col("__n")).drop("__n")
-    inner = banded.withColumn("__k", F.row_number().over(Window.partitionBy("__band").orderBy(F.desc(score), order)))
-    return inner.join(before, "__band").withColumn(name, (F.col("__before") + F.col("__k")).cast("long")).drop("__band", "__before", "__k")
+def ranked(rows: DataFrame, score: str, order: str, name: str = "rank") -> DataFrame:
+    """rows with rank from 1 by falling score, ties in order; in ranges of (score, order), so no task holds all rows
+    and equal scores are dealt out like others."""
+    return numbered(rows, [F.desc(score), F.col(order)], name).withColumn(name, F.col(name) + 1)
 
 
 def top_bottom_pairs(judged: DataFrame, key: str, score: str, order: str, share: float = 0.3, margin: float = 0.1) -> DataFrame:
     """chosen, rejected, scores: each of the best k with each of the worst k, k = max(1, int(n * share)), a margin apart.
 
-    All pairs are the result that is asked for; its size is that of the report, not of a join beneath it.
+    All pairs are the result that is asked for, and grow with the square of the rows: judge a bounded set or lower share.
     """
     places = ranked(judged, score, order)
     n = places.agg(F.count("*").alias("__n")).withColumn("__k", F.greatest(F.lit(1), (F.col("__n") * share).cast("int")))
@@ -61,8 +57,30 @@ def top_bottom_pairs(judged: DataFrame, key: str, score: str, order: str, share:
     return top.join(low, F.col("chosen_score") - F.col("rejected_score") >= margin)
 
 
+#: Chosen rows up to which ranked_pairs sends them to every task: a few numbers each.
+FEW = 10_000
+
+
 def ranked_pairs(judged: DataFrame, key: str, score: str, order: str, margin: float = 0.1) -> DataFrame:
-    """chosen, rejected, scores: all rows of a better rank with those at least margin below."""
+    """chosen, rejected, scores by the original's rule: it walks down from each row and stops at the first gap below
+    margin, so a row whose next neighbour is nearer than margin has no pairs, and any other has all rows below it.
+
+    Scores from 0 to 1 have at most 1 / margin such rows, so the pairs are about that many times the rows.
+    """
+    places = ranked(judged, score, order)
+    after = places.select((F.col("rank") - 1).alias("rank"), F.col(score).alias("__next"))
+    a = places.join(after, "rank").where(F.col(score) - F.col("__next") >= margin)
+    a = checkpoint(a.select(F.col(key).alias("chosen"), F.col(score).alias("chosen_score"), F.col("rank").alias("__i")))
+    b = places.select(F.col(key).alias("rejected"), F.col(score).alias("rejected_score"), F.col("rank").alias("__j"))
+    a = F.broadcast(a) if a.count() <= FEW else a
+    return b.join(a, F.col("__i") < F.col("__j")).select("chosen", "rejected", "chosen_score", "rejected_score")
+
+
+def margin_pairs(judged: DataFrame, key: str, score: str, order: str, margin: float = 0.1) -> DataFrame:
+    """chosen, rejected, scores: all rows of a better rank with those at least margin below.
+
+    All pairs are the result that is asked for, and grow with the square of the rows: judge a bounded set.
+    """
     places = ranked(judged, score, order)
     a = places.select(F.col(key).alias("chosen"), F.col(score).alias("chosen_score"), F.col("rank").alias("__i"))
     b = places.select(F.col(key).alias("rejected"), F.col(score).alias("rejected_score"), F.col("rank").alias("__j"))

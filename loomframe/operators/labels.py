@@ -205,9 +205,9 @@ def roi_crop(rows: DataFrame, situations: DataFrame, rois: DataFrame, width: str
     known = [r["roi_name"] for r in rois.where(F.col("roi_name").isin(fallbacks)).select("roi_name").collect()] if fallbacks else []
     default = next((f for f in fallbacks if f in known), None)
     primary = situations.select(F.col("situation_id").alias("__sid"), primary_roi(F.col("roi_priority"), F.col("likely_rois")).alias("__roi"))
-    named = rows.join(F.broadcast(primary), F.col("label.page.situation_id") == F.col("__sid"), "left").withColumn("__name", F.coalesce(F.col("label.route_label.roi_name"), F.col("__roi"), F.lit(default)))
+    named = rows.join(primary, F.col("label.page.situation_id") == F.col("__sid"), "left").withColumn("__name", F.coalesce(F.col("label.route_label.roi_name"), F.col("__roi"), F.lit(default)))
     boxes = rois.select(F.col("roi_name").alias("__name"), F.struct("x1", "y1", "x2", "y2").alias("__box"))
-    found = named.join(F.broadcast(boxes), "__name", "left")
+    found = named.join(boxes, "__name", "left")
     own = F.col("label.route_label.roi_bbox_norm")
     part = lambda k, n: F.when(F.size(own) == 4, F.get(own, F.lit(k))).otherwise(F.col("__box")[n])
     w, h = F.col(width), F.col(height)

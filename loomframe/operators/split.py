@@ -5,37 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.runtime import checkpoint
 
-def numbered(rows: DataFrame, order: list, name: str = "__rank", groups: int = 64) -> DataFrame:
+
+def numbered(rows: DataFrame, order: list, name: str = "__rank", groups: int | None = None) -> DataFrame:
     """rows with their 0-based place in a total order, without one task for all.
 
-    Rows are ranged by the order, numbered inside their range, and ranges are summed up.
+    Rows are ranged by the order into `groups` parts (None: as many as shuffles have), numbered inside their part, and
+    parts are summed up. The ranged rows are written once, so select the columns that are needed before.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = rows.repartitionByRange(groups, *cols).withColumn("__part", F.spark_partition_id())
-    from loomframe.runtime import checkpoint
-
-    ranged = checkpoint(ranged)  # the parts must not change between the two uses
+    ranged = rows.repartitionByRange(*cols) if groups is None else rows.repartitionByRange(groups, *cols)
+    ranged = checkpoint(ranged.withColumn("__part", F.spark_partition_id()))  # the parts must not change between the two uses
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")  # a row a part
     inner = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(*cols)) - 1)
-    return inner.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__k")).cast("long")).drop("__part", "__before", "__k")  # `groups` rows
+    return inner.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__k")).cast("long")).drop("__part", "__before", "__k")
 
 
 def by_session(rows: DataFrame, session: str, identifier: str, number: Column, share: float = 0.1) -> DataFrame:
     """rows with split: the last max(1, half-even round(share * S)) sessions are val; with one session its last rows
-    by number, none of a single row."""
+    by number, none of a single row. rows are written once, since the plan before may be long."""
+    rows = checkpoint(rows)
     sessions = rows.select(session).distinct()
-    named = sessions.withColumn("__s", F.row_number().over(Window.orderBy(session))).crossJoin(F.broadcast(sessions.agg(F.count("*").alias("__total"))))  # sessions are folders
-    total = F.col("__total")
-    out = rows.join(F.broadcast(named), session)
-    if sessions.limit(2).count() > 1:
-        held = F.greatest(F.lit(1), F.bround(total * share).cast("int"))
-        return out.withColumn("split", F.when(F.col("__s") > total - held, "val").otherwise("train")).drop("__s", "__total")
+    total = sessions.count()
+    if total > 1:
+        held = F.greatest(F.lit(1), F.bround(F.lit(total) * share).cast("int"))
+        named = numbered(sessions, [session], "__s")
+        return rows.join(named, session).withColumn("split", F.when(F.col("__s") >= total - held, "val").otherwise("train")).drop("__s")
     ranks = numbered(rows.withColumn("__number", number), ["__number", identifier])
-    n = ranks.agg(F.count("*").alias("__n"))
-    held = F.when(F.col("__n") <= 1, 0).otherwise(F.greatest(F.lit(1), F.bround(F.col("__n") * share).cast("int")))
-    return ranks.crossJoin(F.broadcast(n)).withColumn("split", F.when(F.col("__rank") >= F.col("__n") - held, "val").otherwise("train")).drop("__rank", "__n", "__number")  # one row
+    n = F.lit(rows.count())
+    held = F.when(n <= 1, 0).otherwise(F.greatest(F.lit(1), F.bround(n * share).cast("int")))
+    return ranks.withColumn("split", F.when(F.col("__rank") >= n - held, "val").otherwise("train")).drop("__rank", "__number")
 
 
 def head_tail(rows: DataFrame, order: list[str], share: float = 0.9) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,13 +60,25 @@ def double_clicks(clicks: DataFrame, key: str, ts: str, order: str, x: str | Non
 def throttle(rows: DataFrame, key: str, ts: str, order: str, gap: float) -> DataFrame:
     """key, emitted: times of the rows let through, each at least `gap` after the last one let through.
 
-    The rule looks back at what was emitted, not at the row before, so it is a fold over the key's ordered times. One
-    key's times are an array: keys are sources of hand input, whose rate bounds it.
+    The rule looks back at what was emitted, not at the row before, so no window expresses it: each task goes through
+    its keys' rows in order of time and keeps the last emitted time, whatever the number of a key's rows. Null times go.
     """
-    times = F.transform(F.array_sort(F.collect_list(F.struct(F.col(ts).cast("double").alias("t"), F.col(order).alias("o")))), lambda s: s["t"])
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
-    step = lambda a, t: F.when(a["last"].isNull() | (t - a["last"] >= gap), F.struct(t.alias("last"), F.concat(a["out"], F.array(t)).alias("out"))).otherwise(a)
-    return rows.groupBy(key).agg(F.aggregate(times, start, step, lambda a: a["out"]).alias("__out")).select(key, F.explode("__out").alias("emitted"))
+    sorted_ = rows.where(F.col(ts).isNotNull()).select(F.col(key), F.col(ts).cast("double").alias("emitted"), F.col(order).alias("__order"))
+    sorted_ = sorted_.repartition(key).sortWithinPartitions(key, "emitted", "__order").select(key, "emitted")
+
+    def run(batches):
+        current, last = object(), None
+        for batch in batches:
+            kept = []
+            for i, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if k != current:
+                    current, last = k, None
+                if last is None or t - last >= gap:
+                    kept.append(i)
+                    last = t
+            yield batch.take(pa.array(kept, pa.int32()))
+
+    return sorted_.mapInArrow(run, sorted_.schema)
 
 
 def classify_release(distance: Column, button: Column, duration_ms: Column, is_double: Column, drag_px: float = 10.0, hold_ms: float = 400.0) -> Column:

@@ -158,19 +158,24 @@ def rank_judgments(spark, d):
     return improve.ranked(_ensemble(spark, d), "score", "vec_id").select("vec_id", "rank")
 
 
-@query("pref_top_bottom", f"WITH {JUDGE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS k, count(*) OVER () AS n FROM en) SELECT a.vec_id AS chosen, b.vec_id AS rejected, a.score AS chosen_score, b.score AS rejected_score FROM r a JOIN r b ON a.k <= greatest(1, trunc(a.n * 0.05)) AND b.k > b.n - greatest(1, trunc(b.n * 0.05)) AND a.score - b.score >= 0.1")
+@query("pref_top_bottom", f"WITH {JUDGE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS k, count(*) OVER () AS n FROM en) SELECT a.vec_id AS chosen, b.vec_id AS rejected, a.score AS chosen_score, b.score AS rejected_score FROM r a JOIN r b ON a.k <= greatest(1, trunc(a.n * 0.3)) AND b.k > b.n - greatest(1, trunc(b.n * 0.3)) AND a.score - b.score >= 0.1")
 def pref_top_bottom(spark, d):
-    return improve.top_bottom_pairs(_ensemble(spark, d), "vec_id", "score", "vec_id", 0.05)
+    return improve.top_bottom_pairs(_ensemble(spark, d), "vec_id", "score", "vec_id")
 
 
-@query("pref_pairwise", f"WITH {JUDGE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS k FROM en) SELECT a.vec_id AS chosen, b.vec_id AS rejected, a.score AS chosen_score, b.score AS rejected_score FROM r a JOIN r b ON a.k < b.k AND a.score - b.score >= 0.7")
+@query("pref_pairwise", f"WITH {JUDGE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS k, score - lead(score) OVER (ORDER BY score DESC, vec_id) AS gap FROM en) SELECT a.vec_id AS chosen, b.vec_id AS rejected, a.score AS chosen_score, b.score AS rejected_score FROM r a JOIN r b ON a.k < b.k WHERE a.gap >= 0.1")
 def pref_pairwise(spark, d):
-    return improve.ranked_pairs(_ensemble(spark, d), "vec_id", "score", "vec_id", 0.7)
+    return improve.ranked_pairs(_ensemble(spark, d), "vec_id", "score", "vec_id")
 
 
-@query("preference_records", f"WITH {JUDGE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS k, count(*) OVER () AS n FROM en) SELECT a.vec_id AS chosen, b.vec_id AS rejected, CASE WHEN a.vec_id % 2 = 0 THEN 'detect the UI element' ELSE 'text' END AS chosen_prompt FROM r a JOIN r b ON a.k <= greatest(1, trunc(a.n * 0.02)) AND b.k > b.n - greatest(1, trunc(b.n * 0.02)) AND a.score - b.score >= 0.1 WHERE a.vec_id % 3 <> 0 AND b.vec_id % 3 <> 0")
+@query("pref_margin", f"WITH {JUDGE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS k FROM en) SELECT a.vec_id AS chosen, b.vec_id AS rejected, a.score AS chosen_score, b.score AS rejected_score FROM r a JOIN r b ON a.k < b.k AND a.score - b.score >= 0.1")
+def pref_margin(spark, d):
+    return improve.margin_pairs(_ensemble(spark, d), "vec_id", "score", "vec_id")
+
+
+@query("preference_records", f"WITH {JUDGE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS k, count(*) OVER () AS n FROM en) SELECT a.vec_id AS chosen, b.vec_id AS rejected, CASE WHEN a.vec_id % 2 = 0 THEN 'detect the UI element' ELSE 'text' END AS chosen_prompt FROM r a JOIN r b ON a.k <= greatest(1, trunc(a.n * 0.3)) AND b.k > b.n - greatest(1, trunc(b.n * 0.3)) AND a.score - b.score >= 0.1 WHERE a.vec_id % 3 <> 0 AND b.vec_id % 3 <> 0")
 def preference_records(spark, d):
-    pairs = improve.top_bottom_pairs(_ensemble(spark, d), "vec_id", "score", "vec_id", 0.02)
+    pairs = improve.top_bottom_pairs(_ensemble(spark, d), "vec_id", "score", "vec_id")
     known = boxes(spark, d).where("vec_id % 3 <> 0").select("vec_id", F.when(F.col("vec_id") % 2 == 0, "").otherwise("text").alias("prompt"), F.array("x1", "y1", "x2", "y2").alias("box"), T.sample_id(F.col("vec_id")).alias("path"))
     return improve.pair_records(pairs, known, "vec_id", "prompt", "box", "path").select("chosen", "rejected", "chosen_prompt")
 

@@ -12,10 +12,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """Reliable checkpoint in spark.checkpoint.dir. Where that is unset, a temporary folder of our own in local mode
+    (tests), and an error on a cluster, whose executors don't share local folders."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not base and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="loomframe-checkpoint-"))
     return df.checkpoint(eager=True)

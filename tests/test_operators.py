@@ -60,6 +60,55 @@ def test_greedy_leaders_against_sequence(spark, most):
     assert dedup.deduplicate(df, "h", "o", most + 1).count() == len(leaders) - 1
 
 
+def test_leaders_of_many_copies(spark):
+    """Copies never make pairs: 20,000 rows of three hashes are three hashes of work."""
+    df = spark.range(20_000).selectExpr("id AS o", "CASE WHEN id % 3 = 0 THEN 0L WHEN id % 3 = 1 THEN 7L ELSE -1L END AS h")
+    assert rows(dedup.greedy_leaders(df, "h", "o", 3).groupBy("leader").count()) == [(0, 13_334), (2, 6_666)]
+
+
+@pytest.mark.parametrize("most", [0, 3, 7, 11, 15, 20])
+def test_close_pairs_against_brute_force(spark, most):
+    rng = random.Random(most)
+    hashes = [rng.getrandbits(64) for _ in range(25)]
+    for h in list(hashes):
+        for n in (1, most, most + 1, 16):
+            for k in rng.sample(range(64), n):
+                h ^= 1 << k
+            hashes.append(h)
+    signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+    want = [(i, j, bin(a ^ b).count("1")) for j, b in enumerate(hashes) for i, a in enumerate(hashes[:j]) if bin(a ^ b).count("1") <= most]
+    df = spark.createDataFrame(list(enumerate(signed)), "o int, h long")
+    assert rows(dedup.close_pairs(df, "h", "o", most)) == sorted(want)
+
+
+def test_throttle_over_keys_and_nulls(spark):
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, *map(float, range(0, 900, 7))]), i) for i in range(400)]
+    want = []
+    for key in ("a", "b", None):
+        last = None
+        for _, t, _ in sorted((r for r in data if r[0] == key and r[1] is not None), key=lambda r: r[1:]):
+            if last is None or t - last >= 50:
+                want.append((key, t))
+                last = t
+    got = temporal.throttle(spark.createDataFrame(data, "k string, t double, o int"), "k", "t", "o", 50.0)
+    assert sorted(map(str, got.collect())) == sorted(f"Row(k={k!r}, emitted={t})" for k, t in want)
+
+
+def test_ranked_pairs_stop_at_the_first_small_gap(spark):
+    j = spark.createDataFrame([(i, s) for i, s in enumerate([0.9, 0.5, 0.45, 0.3, 0.3])], "id int, s double")
+    walked = rows(improve.ranked_pairs(j, "id", "s", "id", 0.1).select("chosen", "rejected"))
+    assert walked == [(0, 1), (0, 2), (0, 3), (0, 4), (2, 3), (2, 4)]  # 1 is 0.05 above 2, so it has none
+    assert rows(improve.margin_pairs(j, "id", "s", "id", 0.1).select("chosen", "rejected")) == sorted([*walked, (1, 3), (1, 4)])
+    assert improve.ranked_pairs(j.limit(0), "id", "s", "id").count() == 0
+
+
+def test_ranks_of_equal_scores(spark):
+    j = spark.range(5000).selectExpr("id", "CASE WHEN id < 10 THEN 1.0D ELSE 0.5D END AS s")
+    got = improve.ranked(j, "s", "id")
+    assert got.where("rank != id + 1").count() == 0
+
+
 def test_propagation_blocks(spark):
     m = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "o int, leader int")
     v = spark.createDataFrame([(1, "x"), (3, None)], "o int, value string")
@@ -116,7 +165,7 @@ def test_pairs_and_history(spark):
     j = spark.createDataFrame([(i, s) for i, s in enumerate([0.9, 0.9, 0.5, 0.2])], "id int, s double")
     assert [(r.id, r["rank"]) for r in improve.ranked(j, "s", "id").orderBy("rank").collect()] == [(0, 1), (1, 2), (2, 3), (3, 4)]
     assert rows(improve.top_bottom_pairs(j, "id", "s", "id").select("chosen", "rejected")) == [(0, 3)]
-    assert rows(improve.ranked_pairs(j, "id", "s", "id", 0.4).select("chosen", "rejected")) == [(0, 2), (0, 3), (1, 2), (1, 3)]
+    assert rows(improve.margin_pairs(j, "id", "s", "id", 0.4).select("chosen", "rejected")) == [(0, 2), (0, 3), (1, 2), (1, 3)]
     h = spark.createDataFrame([(1, 0.5), (2, 0.6), (3, 0.6), (4, 0.4)], "i int, s double")
     assert [r.trend for r in improve.trends(h, "s", "i").orderBy("i").collect()] == [" ", "^", "=", "v"]
     assert improve.best_iteration(h, "s", "i").first().best == 2 and improve.last_best(h, "s", "i").first().epoch == 3
