@@ -1,17 +1,20 @@
 """Near copies by SimHash and Golay keys: candidates from a wide fingerprint, judged by five-word shingles.
 
-Near copies of similarity 0.8 differ in far more than two bits of a fingerprint, so the fingerprint here is wide: 384
-bits over a text's distinct words, whose edits move fewer bits than those of shingles. It is cut into 16 segments of 23
-bits. Each segment is decoded with the Golay code to the indices of the code words near it (simhash.golay_indices), and
-an index with the first bits of the segment after it, taken exactly, is a key. With e errors in all, some segment has at
-most e / 16 of them (pigeonhole), and with the few that near copies have, most of the sixteen keys hold.
+Near copies of similarity 0.8 differ in far more than two bits of a fingerprint, so the fingerprint here is wide: 512
+bits over a text's distinct words, whose edits move fewer bits than those of shingles. 460 of them are cut into 20
+segments of 23 bits. Each segment is decoded with the Golay code to the indices of the code words near it
+(simhash.golay_indices), and an index with the first bits of the segment after it, taken exactly, is a key. With e
+errors in all, some segment has at most e / 20 of them (pigeonhole), and with the few that near copies have, several of
+the twenty keys hold.
 
 Documents that share a key are candidates if few bits of the fingerprint differ; a candidate is a link if the Jaccard
 similarity of the sets of five-word shingles is 0.8 or more, computed on the whole texts.
 
-Only distinct sets take part, so exact copies never multiply. Each member of a key is first compared with the key's
-smallest member. Then, in keys that hold several components, members outside the key's largest component are compared
-with members of other components; pairs within a component can't change the components.
+Only distinct sets take part, so exact copies never multiply. Only links that can join two components are sought, in
+three steps: each member of a key is compared with the smallest members of its keys, the nearest first; then members
+outside a key's largest component with two members of that; then, in the keys that still hold several components, all
+members outside the largest with all members of others. The first two steps only leave less to the third, which is
+exact: pairs within a component can't change the components.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import ddl, scratch, ship, texts
@@ -28,11 +31,13 @@ from loomframe.llm.simhash import golay_indices
 
 SEED = 42
 #: Number of segments, bits of a segment, 64-bit words of a fingerprint.
-SEGMENTS, WIDTH, WORDS = 16, 23, 6
+SEGMENTS, WIDTH, WORDS = 20, 23, 8
 #: Bits of the next segment in a key. One more for each doubling of the documents beyond 10^8 keeps keys small.
-EXACT = 10
-#: Most differing bits of candidates: of the first word, and of all.
-NEAR, NEAR_ALL = 22, 96
+EXACT = 13
+#: Most differing bits of candidates: of the first word, and of all 512. Similar sets differ in 15 % at most as a rule.
+NEAR, NEAR_ALL = 18, 112
+#: Partners of a member in the first two steps.
+FEW = 4
 FP = [f"w{k}" for k in range(WORDS)]
 PRINTS = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), *((w, pa.int64()) for w in FP)])
 KEYS = pa.schema([("node", pa.int64()), ("w0", pa.int64()), ("keys", pa.list_(pa.int32()))])
@@ -147,29 +152,48 @@ def similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return both.where("9 * size(array_intersect(a_set, b_set)) >= 4 * (size(a_set) + size(b_set))").select("a", "b")
 
 
+def _closest(rows: DataFrame, other: str) -> DataFrame:
+    """Distinct pairs (a, b) of each row's node with the FEW nearest of its others (structs node, w0)."""
+    near = rows.withColumn("distance", F.bit_count(F.col("w0").bitwiseXOR(F.col(f"{other}.w0")))).where((F.col("node") != F.col(f"{other}.node")) & (F.col("distance") <= NEAR))
+    place = F.dense_rank().over(Window.partitionBy("node").orderBy("distance", f"{other}.node"))
+    chosen = near.select("node", "distance", other).withColumn("place", place).where(F.col("place") <= FEW)
+    return chosen.select(*_pair("node", f"{other}.node")).distinct()
+
+
 def _pair(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """key, node, w0, component, main (the key's largest component) of the keys that hold several components."""
+    parts = connected_components(found, "a", "b")
+    placed = shared.select("key", "node", "w0").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counted = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = counted.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("n")).where("n > 1")
+    return scratch(placed.join(mixed.select("key", F.col("most.component").alias("main")), "key"), "mixed-keys")
+
+
 def links(nodes: DataFrame, rows: DataFrame, exact: int = EXACT) -> DataFrame:
     """a, b: similar pairs that join all similar sets that share a key, directly or by way of others.
 
     nodes: node, least_id, fingerprint words. rows: doc_id, text.
     """
     keyed = nodes.select("node", *FP).mapInArrow(_keys(exact), ddl(KEYS)).select("node", "w0", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "w0")).alias("hub")).where("n > 1")
-    shared = scratch(keyed.join(hubs.select("key", "hub"), "key"), "golay-keys")
-    first = shared.where(f"node != hub.node AND bit_count(w0 ^ hub.w0) <= {NEAR}").select(*_pair("node", "hub.node")).distinct()
-    tested = scratch(first, "hub-pairs")
+    # one exchange by key; a key has at most as many rows as there are nodes, one row in a hundred of all
+    key = Window.partitionBy("key")
+    held = keyed.withColumn("n", F.count("*").over(key)).withColumn("hub", F.min(F.struct("node", "w0")).over(key))
+    shared = scratch(held.where("n > 1").drop("n"), "golay-keys")
+    tested = scratch(_closest(shared, "hub"), "hub-pairs")
     found = scratch(similar(tested, nodes, rows), "similar-pairs")
-    parts = connected_components(found, "a", "b")
-    placed = shared.select("key", "node", "w0").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counted = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = counted.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("n")).where("n > 1")
-    placed = scratch(placed.join(mixed.select("key", F.col("most.component").alias("main")), "key"), "mixed-keys")
-    outside = placed.where("component != main")
+    placed = _mixed(shared, found)
+    ends = placed.where("component = main").groupBy("key").agg(F.min(F.struct("node", "w0")).alias("low"), F.max(F.struct("node", "w0")).alias("high"))
+    outside = placed.where("component != main").join(ends, "key").withColumn("hub", F.explode(F.array("low", "high")))
+    more = scratch(_closest(outside, "hub").join(tested, ["a", "b"], "left_anti"), "main-pairs")
+    tested = tested.unionByName(more)
+    found = found.unionByName(scratch(similar(more, nodes, rows), "similar-pairs"))
+    placed = _mixed(shared, found)
     near = f"x.key = y.key AND x.component != y.component AND (y.component = y.main OR x.node < y.node) AND bit_count(x.w0 ^ y.w0) <= {NEAR}"
-    rest = outside.alias("x").join(placed.alias("y"), F.expr(near)).select(*_pair("x.node", "y.node")).distinct()
+    rest = placed.where("component != main").alias("x").join(placed.alias("y"), F.expr(near)).select(*_pair("x.node", "y.node")).distinct()
     rest = scratch(rest.join(tested, ["a", "b"], "left_anti"), "other-pairs")
     return found.unionByName(similar(rest, nodes, rows))
 
