@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.functions.geometry import Box, iou
+from loomframe.operators.quality import is_duplicate
 
 
 def priority(confidence: Column, flag_list: Column, representative: Column, novelty: Column, hard_negatives: Column, conflict_pair: Column, popup_open: Column, candidate_confidences: Column) -> Column:
@@ -29,6 +30,16 @@ def queue(rows: DataFrame, score: Column, order: str, auto_approve: float | None
     return rows.withColumn("decision", F.when(approved, "approved").otherwise("review")).withColumn("priority", F.when(~approved, score))
 
 
+def eligible(rows: DataFrame, label: str = "label", status: str = "review_status", flags: str = "flags") -> DataFrame:
+    """Rows that a review queue takes: labeled, still pending, not a duplicate of another sample."""
+    return rows.where(F.col(label).isNotNull() & (F.col(status) == "pending") & ~is_duplicate(F.col(flags)))
+
+
+def load_queue(rows: DataFrame, score: Column, order: str, auto_approve: float | None = None, confidence: Column | None = None) -> DataFrame:
+    """queue() of the eligible rows alone; label, review_status and flags are columns of rows."""
+    return queue(eligible(rows), score, order, auto_approve, confidence)
+
+
 def ambiguity(boxes: DataFrame, group: str, order: str, score: str, least: float = 0.3) -> DataFrame:
     """group, order, uncertainty: 1 - score, 0.2 more (at most 1) if any other box of the group overlaps more than `least`.
 

@@ -80,6 +80,29 @@ def label_counts(labeled: DataFrame) -> DataFrame:
     return labeled.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def relabel(rows: DataFrame, key: str, order: str, request: str, teacher: Callable = offline, most: int | None = None, retries: int = 3) -> DataFrame:
+    """key, chosen, status (ok or failed) of the first `most` labeled rows in order (None: all); no answer is a failure.
+
+    rows hold label and the request column.
+    """
+    labeled = rows.where(F.col("label").isNotNull())
+    taken = labeled if most is None else labeled.orderBy(order).limit(most)
+    told = teach(taken, key, request, teacher, retries)
+    return told.select(key, "chosen", F.when(F.col("chosen").isNotNull(), "ok").otherwise("failed").alias("status"))
+
+
+def relabel_counts(done: DataFrame) -> DataFrame:
+    """processed, success, failed of relabel's rows."""
+    return done.agg(F.count("*").alias("processed"), F.count_if(F.col("status") == "ok").alias("success"), F.count_if(F.col("status") != "ok").alias("failed"))
+
+
+def stamp(metadata: Column, part: str, values: dict[str, Column]) -> Column:
+    """metadata (JSON string, null: none) with an object under `part`, in place of one of that name."""
+    kept = F.map_filter(F.from_json(F.coalesce(metadata, F.lit("{}")), "map<string,variant>"), lambda k, v: k != part)
+    own = F.create_map(F.lit(part), F.parse_json(F.to_json(F.struct(*(c.alias(n) for n, c in values.items())))))
+    return F.to_json(F.map_concat(kept, own))
+
+
 def prelabel(images: DataFrame, key: str, content: str, model: Callable[[bytes], list[dict]], width: Column, height: Column, overlap: float = 0.6) -> DataFrame:
     """key, at, label, box, score of a model's boxes: guessed to pixels, valid ones only, overlaps suppressed in order."""
     kind = dict(images.dtypes)[key]

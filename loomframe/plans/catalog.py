@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomframe.plans import dedup_queries, export_queries, label_queries, metric_queries, review_queries, teaching_queries, time_queries  # noqa: F401
+from loomframe.plans import candidate_queries, dedup_queries, export_queries, label_queries, metric_queries, review_queries, teaching_queries, time_queries  # noqa: F401
 from loomframe.plans.registry import QUERIES, SQL
 
 

@@ -61,3 +61,23 @@ def next_sample_ids(samples: DataFrame) -> DataFrame:
 def apply_weights(settings: dict, best: dict[str, float]) -> dict:
     """Settings with the best fusion weights in place."""
     return settings | {"labeler": (settings.get("labeler") or {}) | {"fusion_weights": dict(best)}}
+
+
+def detector_weights(spark: SparkSession, folder: str) -> str | None:
+    """The packaged model, else the exported one, else the last best.pt of the sorted training runs; null without any."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in ("best_package/model.pt", "best_export/model.pt"):
+        path = jvm.org.apache.hadoop.fs.Path(at, name)
+        if files.exists(path):
+            return path.toString()
+    runs = jvm.org.apache.hadoop.fs.Path(at, "yolo_runs")
+    if not files.exists(runs):
+        return None
+    found, every = [], files.listFiles(runs, True)  # a folder of training runs
+    while every.hasNext():
+        path = every.next().getPath().toString()
+        if path.endswith("/weights/best.pt"):
+            found.append(path)
+    return max(found, default=None)

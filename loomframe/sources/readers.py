@@ -27,10 +27,10 @@ def _documents(spark: SparkSession, folder: str, name: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], "session_id string, sample_id string, body string")
-    return raw.select(*_place(F.input_file_name()), F.col("value").alias("body"))
+    return raw.select(*place(F.input_file_name()), F.col("value").alias("body"))
 
 
-def _place(path: Column) -> tuple[Column, Column]:
+def place(path: Column) -> tuple[Column, Column]:
     session = F.regexp_extract(path, r"/([^/]+)/samples/[^/]+/[^/]+$", 1)
     return session.alias("session_id"), F.regexp_extract(path, r"/(sample_[^/]+)/[^/]+$", 1).alias("sample_id")
 
@@ -44,7 +44,7 @@ def _folders(spark: SparkSession, folder: str) -> DataFrame:
             raise
         return spark.createDataFrame([], "session_id string, sample_id string, image_path string")
     pre = F.max(F.when(F.col("path").endswith("/pre.png"), F.col("path")))
-    return files.groupBy(*_place(F.col("path"))).agg(pre.alias("image_path"))
+    return files.groupBy(*place(F.col("path"))).agg(pre.alias("image_path"))
 
 
 def _only(body: Column, kind: str) -> Column:

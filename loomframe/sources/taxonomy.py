@@ -66,6 +66,53 @@ def router_primitives(primitives: DataFrame) -> DataFrame:
     return primitives.where("coalesce(router_enabled, true)")
 
 
+def _check(name: str, value, low=None, high=None) -> None:
+    if value is not None and ((low is not None and value < low) or (high is not None and value > high)):
+        raise ValueError(f"{name} must be within {low} and {'any' if high is None else high}, not {value}")
+
+
+@dataclass(frozen=True)
+class RecorderSettings:
+    capture_fps: int = 10
+    buffer_seconds: int = 5
+    post_action_delay_ms: int = 500
+    monitor_index: int = 0
+    ui_scale: float | None = None
+    enable_hover: bool = False
+
+    def __post_init__(self):
+        _check("capture_fps", self.capture_fps, 1, 60)
+        _check("buffer_seconds", self.buffer_seconds, 1)
+        _check("post_action_delay_ms", self.post_action_delay_ms, 100)
+        _check("monitor_index", self.monitor_index, 0)
+        if self.ui_scale is not None and self.ui_scale <= 0:
+            raise ValueError("ui_scale must be above 0")
+
+    @property
+    def ring_frames(self) -> int:
+        return self.capture_fps * self.buffer_seconds
+
+
+@dataclass(frozen=True)
+class LabelerSettings:
+    routing_only: bool = True
+    provider: str = "gemini"
+    provider_fallback_to_local: bool = True
+    click_crop_radius_px: int = 80
+    diff_threshold: float = 0.02
+    contour_min_area_px: int = 100
+    ocr_languages: list = field(default_factory=lambda: ["en"])
+    use_ocr: bool = False
+    legacy_weak_signals: bool = False
+    #: Weights of the signals in a fused label.
+    fusion_weights: dict = field(default_factory=lambda: {"click_proximity": 0.25, "diff": 0.35, "vlm": 0.3, "ocr": 0.0, "profile_hint": 0.1})
+
+    def __post_init__(self):
+        _check("click_crop_radius_px", self.click_crop_radius_px, 10)
+        _check("diff_threshold", self.diff_threshold, 0.0, 1.0)
+        _check("contour_min_area_px", self.contour_min_area_px, 1)
+
+
 @dataclass(frozen=True)
 class FilterSettings:
     min_diff_ratio: float = 0.005
@@ -75,27 +122,70 @@ class FilterSettings:
     dedup_hash_threshold: int = 8
 
     def __post_init__(self):
-        if not 0 <= self.dedup_hash_threshold <= 64:
-            raise ValueError("dedup_hash_threshold must be 0 to 64")
+        _check("dedup_hash_threshold", self.dedup_hash_threshold, 0, 64)
+        _check("min_diff_ratio", self.min_diff_ratio, 0.0, 1.0)
+        _check("blur_laplacian_threshold", self.blur_laplacian_threshold, 0.0)
+        _check("dark_overlay_threshold", self.dark_overlay_threshold, 0.0)
+        _check("transition_max_diff_ratio", self.transition_max_diff_ratio, 0.0, 1.0)
 
 
 @dataclass(frozen=True)
 class ReviewSettings:
-    enable_auto_approve: bool = False
+    server_port: int = 7861
     auto_approve_confidence: float = 0.9
+    enable_auto_approve: bool = False
+    legacy_mode: bool = False
+
+    def __post_init__(self):
+        _check("server_port", self.server_port, 1024, 65535)
+        _check("auto_approve_confidence", self.auto_approve_confidence, 0.0, 1.0)
+
+
+@dataclass(frozen=True)
+class ExportSettings:
+    normalizing_range: int = 1000
+    routing_only: bool = True
+    router_roi_fallbacks: list = field(default_factory=lambda: ["bottom_right", "popup_center", "unit_panel", "main_map"])
 
     def __post_init__(self):
-        if not 0 <= self.auto_approve_confidence <= 1:
-            raise ValueError("auto_approve_confidence must be 0 to 1")
+        _check("normalizing_range", self.normalizing_range, 1)
+
+
+@dataclass(frozen=True)
+class RelabelSettings:
+    enabled: bool = False
+    provider: str = "gemini"
+    model_name: str = "gemini-2.0-flash-preview"
+    temperature: float = 0.0
+    max_retries: int = 3
+    timeout_sec: int = 20
+    ontology_strict: bool = True
+    max_samples: int | None = None
+
+    def __post_init__(self):
+        _check("temperature", self.temperature, 0.0, 1.0)
+        _check("max_retries", self.max_retries, 0)
+        _check("timeout_sec", self.timeout_sec, 1)
+        _check("max_samples", self.max_samples, 1)
 
 
 @dataclass(frozen=True)
 class Settings:
+    """All settings groups of a session; unknown keys are left out, a value out of bounds is an error."""
+
+    workdir: str = "runs/harvest_session_01"
+    game_profile: str | None = None
+    recorder: RecorderSettings = field(default_factory=RecorderSettings)
+    labeler: LabelerSettings = field(default_factory=LabelerSettings)
     filter: FilterSettings = field(default_factory=FilterSettings)
     review: ReviewSettings = field(default_factory=ReviewSettings)
+    export: ExportSettings = field(default_factory=ExportSettings)
+    relabel: RelabelSettings = field(default_factory=RelabelSettings)
 
     @staticmethod
     def from_yaml(text: str) -> Settings:
         doc = yaml.safe_load(text) or {}
-        pick = lambda kind, d: kind(**{f.name: d[f.name] for f in fields(kind) if f.name in d})
-        return Settings(pick(FilterSettings, doc.get("filter") or {}), pick(ReviewSettings, doc.get("review") or {}))
+        pick = lambda kind, d: kind(**{f.name: d[f.name] for f in fields(kind) if f.name in (d or {})})
+        groups = {f.name: f.default_factory for f in fields(Settings) if f.name not in ("workdir", "game_profile")}
+        plain = {k: doc[k] for k in ("workdir", "game_profile") if k in doc}
+        return Settings(**plain, **{name: pick(kind, doc.get(name)) for name, kind in groups.items()})

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from loomframe.functions.geometry import Box, corner_crop, xyxy_to_xywh
 from loomframe.functions.text import first_nonzero, first_truthy, numeric_suffix
-from loomframe.operators.labels import flat_fields, routing_record
+from loomframe.operators.labels import flat_fields, roi_crop, routing_record
 from loomframe.operators.quality import is_duplicate
 from loomframe.operators.split import by_session, head_tail, numbered
+from loomframe.runtime import checkpoint
+from loomframe.sources import image_files
 
 
 def with_frame(rows: DataFrame) -> DataFrame:
@@ -34,14 +36,69 @@ def router_split(rows: DataFrame) -> DataFrame:
     return by_session(router_rows(rows), "session_id", "sample_id", numeric_suffix(F.col("sample_id")))
 
 
-def write_router(rows: DataFrame, folder: str) -> None:
+#: Regions of a crop where neither the label nor its situation names one that is known.
+ROI_FALLBACKS = ["bottom_right", "popup_center", "unit_panel", "main_map"]
+PARTS = ("train", "val")
+
+
+def _write_parts(split: DataFrame, folder: str) -> None:
     """labels, train and val CSV folders."""
-    split = router_split(rows)
     split.drop("split").write.mode("overwrite").csv(f"{folder}/labels.csv", header=True)
-    for part in ("train", "val"):
+    for part in PARTS:
         split.where(F.col("split") == part).drop("split").write.mode("overwrite").csv(f"{folder}/{part}.csv", header=True)
 
 
+def router_crops(rows: DataFrame, situations: DataFrame, rois: DataFrame, fallbacks: list[str] | None = None) -> DataFrame:
+    """sample_id, image_path, crop of the eligible router rows: the region of interest in pixels."""
+    kept = rows.join(router_rows(rows).select("sample_id"), "sample_id", "left_semi")
+    return roi_crop(kept, situations, rois, "width", "height", fallbacks or ROI_FALLBACKS).select("sample_id", "image_path", "crop")
+
+
+def write_router_full(rows: DataFrame, folder: str) -> DataFrame:
+    """images and the CSV parts, whose image_path is the copy; rows whose image isn't there are left out. Returns them."""
+    spark, split = rows.sparkSession, checkpoint(router_split(rows))
+    named = split.select(F.concat("sample_id", F.lit(".png")).alias("name"), "image_path")
+    roots = _root(split)
+    return _finish(split, image_files.copies(spark, named, roots), folder) if roots else _finish(split, None, folder)
+
+
+def write_router_roi(rows: DataFrame, folder: str, situations: DataFrame, rois: DataFrame, fallbacks: list[str] | None = None) -> DataFrame:
+    """As write_router_full, with the crop of each image."""
+    spark, split = rows.sparkSession, checkpoint(router_split(rows))
+    boxes = router_crops(rows, situations, rois, fallbacks).select(F.concat("sample_id", F.lit(".png")).alias("name"), "image_path", "crop")
+    roots = _root(split)
+    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(roots) if roots else None
+    return _finish(split, None if images is None else image_files.crops(images, boxes), folder)
+
+
+def write_router(rows: DataFrame, folder: str, situations: DataFrame, rois: DataFrame, fallbacks: list[str] | None = None) -> None:
+    """Both variants, under full and roi."""
+    write_router_full(rows, f"{folder}/full")
+    write_router_roi(rows, f"{folder}/roi", situations, rois, fallbacks)
+
+
+def _root(rows: DataFrame) -> str | None:
+    """The deepest folder that holds all images, found from the smallest and largest path."""
+    low, high = rows.agg(F.min("image_path"), F.max("image_path")).first()
+    if low is None:
+        return None
+    shared = 0
+    while shared < min(len(low), len(high)) and low[shared] == high[shared]:
+        shared += 1
+    return low[: low.rfind("/", 0, max(shared, 1)) + 1] or "/"
+
+
+def _finish(split: DataFrame, files: DataFrame | None, folder: str) -> DataFrame:
+    written = checkpoint(image_files.write_files(files, f"{folder}/images").select("name", "path")) if files is not None else None
+    if written is None:
+        out = split.limit(0)
+    else:
+        by_name = written.select(F.regexp_replace("name", r"\.png$", "").alias("sample_id"), F.col("path").alias("image_path"))
+        out = split.drop("image_path").join(by_name, "sample_id").select(*split.columns)
+    _write_parts(out, folder)
+    return out
+
+
 def routing_rows(rows: DataFrame) -> DataFrame:
     """sample_id, record (JSON with nulls) of rows that are neither rejected nor duplicates; a frame isn't needed."""
     kept = rows.where(F.col("label").isNotNull() & (F.col("review_status") != "rejected") & ~is_duplicate(F.col("flags")))
@@ -127,6 +184,17 @@ def region_states(rows: DataFrame) -> DataFrame:
     return with_frame(rows).select("sample_id", "session_id", "ord", state.alias("turn_state"), corner_crop(F.col("width"), F.col("height")).struct().alias("crop"))
 
 
+def region_split(rows: DataFrame, share: float = 0.9) -> DataFrame:
+    """region_states with split: the first int(n * share) in order are train."""
+    return head_tail(region_states(rows), ["ord"], share)
+
+
+def write_region_states(rows: DataFrame, folder: str) -> None:
+    """labels, train and val CSV folders of region states; image_path is the crop's name under images."""
+    named = region_split(rows).select("sample_id", F.concat(F.lit("images/"), "sample_id", F.lit(".png")).alias("image_path"), "turn_state", "session_id", "split")
+    _write_parts(named, folder)
+
+
 def click_boxes(pairs: DataFrame, names: list[str], radius: float = 64.0) -> DataFrame:
     """COCO annotations of matched clicks: a box about the point, score 0.5; an unknown label counts as the first name.
 
@@ -154,6 +222,45 @@ def correction_boxes(queue: DataFrame, default: str) -> DataFrame:
     return out.select("frame_id", "image_path", F.coalesce("b.label", F.lit(default)).alias("label"), F.col("b.bbox").alias("bbox"))
 
 
+FAILURE_ELEMENTS = "array<struct<class_name:string,x1:double,y1:double,x2:double,y2:double,score:double>>"
+
+
+def failure_annotations(failures: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """image_no, annotation_no, category_id, x, y, w, h, area, score of failures' elements, numbered in order from 1.
+
+    failures: ord, elements (FAILURE_ELEMENTS). Every failure takes an image number, even one whose image is gone. An
+    unknown class counts as the first name (default: button).
+    """
+    names = names or ["button"]
+    placed = numbered(failures.select("ord", "elements"), ["ord"], "__image")
+    every = numbered(placed.select("__image", F.posexplode("elements").alias("__at", "e")), ["__image", "__at"], "__annotation")
+    at = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("e.class_name"))
+    category = F.when(F.coalesce(at, F.lit(0)) > 0, at).otherwise(F.lit(1).cast("long"))
+    parts = [c.alias(n) for n, c in xyxy_to_xywh(Box.of("e")).items()]
+    return every.select((F.col("__image") + 1).alias("image_no"), (F.col("__annotation") + 1).alias("annotation_no"), category.alias("category_id"), *parts, F.col("e.score").alias("score"))
+
+
+def failure_images(failures: DataFrame, files: DataFrame, stored: str) -> DataFrame:
+    """id, file_name of failures whose image is there: the stored copy (stored/frame_id.png), else the original path.
+
+    failures: ord, frame_id, image_path; files: path of every file that exists.
+    """
+    placed = numbered(failures.select("ord", "frame_id", "image_path"), ["ord"], "__image")
+    own = F.concat(F.lit(stored.rstrip("/") + "/"), "frame_id", F.lit(".png"))
+    there = files.select("path").distinct()
+    found = placed.withColumn("__own", own)
+    found = found.join(there.select(F.col("path").alias("__a")), F.col("__own") == F.col("__a"), "left")
+    found = found.join(there.select(F.col("path").alias("__b")), F.col("image_path") == F.col("__b"), "left")
+    return found.select((F.col("__image") + 1).alias("id"), F.coalesce("__a", "__b").alias("file_name")).where("file_name IS NOT NULL")
+
+
+def extract_manifest(raw: DataFrame, kept: DataFrame, sampled: DataFrame) -> DataFrame:
+    """One row of counts of an extraction: raw, dedup, dropped and sample."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    counts = n(raw, "raw_count").crossJoin(n(kept, "dedup_count")).crossJoin(n(sampled, "sample_count"))  # one row each
+    return counts.select("raw_count", "dedup_count", (F.col("raw_count") - F.col("dedup_count")).alias("dropped_count"), "sample_count")
+
+
 def failure_reviews(failures: DataFrame) -> DataFrame:
     """Review rows of failures: 1 - least score, 1 without elements."""
     return failures.withColumn("uncertainty", 1 - F.coalesce(F.array_min("scores"), F.lit(0.0)))
@@ -170,5 +277,12 @@ def stats_report(counts: DataFrame, key: str) -> DataFrame:
 
 
 def leaderboard(trials: DataFrame, score: str, name: str) -> DataFrame:
+    """trials with place by falling score."""
     w = Window.orderBy(F.desc(score), name)
     return trials.withColumn("place", F.row_number().over(w))  # a search has tens of trials
+
+
+def leaderboard_table(trials: DataFrame, score: str, name: str) -> DataFrame:
+    """place, line: the leaderboard as text, a line a trial."""
+    placed = leaderboard(trials, score, name)
+    return placed.select("place", F.format_string("%3d  %-24s  %8.4f", F.col("place"), F.col(name).cast("string"), F.col(score).cast("double")).alias("line"))

@@ -84,6 +84,33 @@ def clip_stream(events: DataFrame, frames: DataFrame, before: str = "300 millise
     return e.join(f, F.expr(f"e.source = f.source AND f.frame_ts BETWEEN e.event_ts - INTERVAL {before} AND e.event_ts + INTERVAL {after}")).select("e.*", "f.frame_ts", "f.frame_path", F.when(F.col("f.frame_ts") <= F.col("e.event_ts"), "pre").otherwise("post").alias("clip"))
 
 
+def sample_stream(events: DataFrame, frames: DataFrame, ring: str = "5 seconds", delay: str = "500 milliseconds", clip: str = "300 milliseconds", late: str = "10 seconds") -> DataFrame:
+    """A sample for each event of the same source, once the watermark has passed its clips: source, event_ts, event,
+    pre_frame (nearest in time, ties to the earlier), post_frame (the latest at event_ts + delay), pre_clip and
+    post_clip (frames in order of time), from the ring of frames before and after the event.
+
+    events: source, event_ts, event (JSON); frames: source, frame_ts, frame_path. Events without a frame in the ring
+    have no sample. It is a stream-stream interval join and an aggregation, both bounded by watermarks; events of a
+    source at the same time with the same content are one.
+    """
+    e = events.withWatermark("event_ts", late).alias("e")
+    f = frames.withWatermark("frame_ts", late).alias("f")
+    reach = f"greatest(INTERVAL {delay}, INTERVAL {clip})"
+    near = e.join(f, F.expr(f"e.source = f.source AND f.frame_ts BETWEEN e.event_ts - INTERVAL {ring} AND e.event_ts + {reach}"))
+    seen = F.timestamp_micros(F.unix_micros("f.frame_ts")).alias("frame_ts")  # plain time: the aggregation goes by event_ts alone
+    rows = near.select("e.source", "e.event_ts", "e.event", seen, "f.frame_path")
+    at, t, path = F.col("frame_ts"), F.col("event_ts"), F.col("frame_path")
+    gap = F.abs(F.unix_micros(at) - F.unix_micros(t))
+    frame = F.struct(at.alias("frame_ts"), path.alias("frame_path"))
+    paths = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, frame))), lambda x: x["frame_path"])
+    return rows.groupBy("source", "event_ts", "event").agg(
+        F.min_by("frame_path", F.struct(gap, at)).alias("pre_frame"),
+        F.max_by("frame_path", F.when(at <= t + F.expr(f"INTERVAL {delay}"), at)).alias("post_frame"),
+        paths((at >= t - F.expr(f"INTERVAL {clip}")) & (at <= t)).alias("pre_clip"),
+        paths((at >= t) & (at <= t + F.expr(f"INTERVAL {clip}"))).alias("post_clip"),
+    )
+
+
 def windowed_counts(events: DataFrame, ts: str, key: str, size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Extension: counts in tumbling or sliding windows under a watermark."""
     window = F.window(ts, size, slide) if slide else F.window(ts, size)
