@@ -46,9 +46,9 @@ class Codec:
         self.skipped = skip - set(self.byte_of)
         self.remember = remember
         self.joints = {p[k : k + 2] for p in self.encoder.tokens for k in range(len(p) - 1)}
-        self.known: dict[str, str] = {}  # ids of a segment (without its first mark), joined by commas
+        #: For a segment without its first mark: its ids joined by commas, and what decode() makes of them.
+        self.known: dict[str, tuple[str, str]] = {}
         self.parts: dict[str, list[int]] = {}
-        self.odd: dict[str, str] = {}  # segments that decode to something else
 
     def segment(self, text: str) -> list[int]:
         out: list[int] = []
@@ -108,33 +108,28 @@ class Codec:
                 start = k
         return out
 
-    def _learn(self, segment: str) -> str:
-        if len(self.known) >= self.remember:
-            self.known.clear()
+    def _learn(self, segment: str) -> tuple[str, str]:
         ids = self._split(MARK + segment)
-        found = ",".join(map(str, ids))
-        if (decoded := self._join(ids)) != " " + segment.replace(MARK, " "):
-            if len(self.odd) >= self.remember:
-                self.known.clear()
-                self.odd.clear()
-            self.odd[segment] = decoded
+        found = ",".join(map(str, ids)), self._join(ids)
         if len(segment) <= 100:
+            if len(self.known) >= self.remember:
+                self.known.clear()
             self.known[segment] = found
         return found
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text."""
+        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text.
+
+        Every segment begins with a word mark, which no run of bytes crosses, so the ids of a text decode to what its
+        segments' ids decode to one after the other, without the space before the first.
+        """
         segments = self.segments(text)
         found = list(map(self.known.get, segments))
         if None in found:
             learn, get = self._learn, self.known.get
             found = [x or get(s) or learn(s) for x, s in zip(found, segments, strict=True)]
-        ids = ",".join(found)
-        if self.odd:
-            odd = self.odd.get
-            text = "".join([odd(s) or " " + s for s in segments])[1:]
-        text = text.replace(MARK, " ")
-        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
+        ids, decoded = ("".join(x) if k else ",".join(x) for k, x in enumerate(zip(*found, strict=True))) if found else ("", "")
+        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded[1:].encode("utf-8", "replace")).hexdigest()
 
 
 def _bytes(raw: bytearray) -> str:

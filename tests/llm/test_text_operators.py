@@ -59,6 +59,36 @@ def test_prefix_table(library, text, budget):
     assert n.at((ends, counts), len(normal)) == count(normal)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(ALPHABET, st.sampled_from(["<|endoftext|>", "<|startoftext|>", " <|endoftext|> "])), max_size=6).map("".join), st.integers(0, 9))
+def test_prefix_table_with_special_strings(library, text, budget):
+    """Special strings are one token each; the table has no ends inside them."""
+    count = lambda t: len(library[1].encode(t, add_special_tokens=False).ids)
+    n = token_counts.counter(token_counts.default_vocabulary())
+    assert n.count(text) == count(text)
+    ends, counts = n.prefixes(text)
+    normal = "".join(p if p in n.specials else n.normalise(p) for p in n.special.split(text))
+    assert counts[-1] == count(text) and all(count(normal[:e]) == c for e, c in zip(ends, counts, strict=True))
+    cut, tokens, kept = n.truncate(text, budget)
+    assert tokens <= budget and kept == normal[:cut] and count(kept) == tokens
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(ALPHABET, min_size=1, max_size=12))
+def test_digests_with_a_small_memory(library, texts_):
+    """A memory that is emptied within a text changes no digest; decode is that of the ids."""
+    small = sentencepiece_codec.Codec(sentencepiece_codec.default_model(), remember=2) if not _SMALL else _SMALL[0]
+    _SMALL[:] = [small]
+    piece = library[0]
+    for text in texts_:
+        ids = piece.encode(text)
+        want = len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(piece.decode(ids).encode("utf-8", "replace")).hexdigest()
+        assert small.digest(text) == want and small.decode(small.encode(text)) == piece.decode(ids)
+
+
+_SMALL: list = []
+
+
 @pytest.mark.parametrize("run", [sentencepiece_codec.encode_digests, sentencepiece_codec.encode_documents, token_counts.token_counts, token_counts.prefix_counts, exact_dedup.exact_dedup, simhash.near_duplicates])
 def test_a_row_for_each_row(spark, awkward, run):
     assert run(awkward).count() == len(AWKWARD)
