@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import ddl, per_document, scratch, ship
@@ -121,10 +121,10 @@ def links(distinct: DataFrame, crowd: int = 48) -> DataFrame:
 
     crowd: number of fingerprints of a key beyond which they are linked through the words one bit away instead.
     """
-    keyed = scratch(distinct.select("fp").mapInArrow(_keys, ddl(KEYS)), "golay-keys")
-    rows = keyed.select("fp", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = rows.join(sizes, "key")
+    keyed = distinct.select("fp").mapInArrow(_keys, ddl(KEYS)).select("fp", F.explode("keys").alias("key"))
+    # one exchange by key; a key has at most one row of each distinct fingerprint
+    held = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    shared = scratch(held.where("n > 1"), "golay-keys")
     few = shared.where(F.col("n") <= crowd).select("key", "fp")
     pairs = few.alias("a").join(few.alias("b"), F.expr("a.key = b.key AND a.fp < b.fp AND bit_count(a.fp ^ b.fp) <= 2")).select(F.col("a.fp").alias("fp"), F.col("b.fp").alias("other"))
     many = shared.where(F.col("n") > crowd).select("fp").distinct()
