@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import scratch
+from loomframe.llm.common import scratch, unused
 
 #: Bytes of boilerplate up to which it is broadcast; beyond, pages and boilerplate are joined on host and salt.
 BROADCAST_BYTES = 32 << 20
@@ -59,19 +59,20 @@ def drop_boilerplate(
     """
     found = scratch(boilerplate(docs, host_col, text_col, ratio, least_pages), "boilerplate")
     size = found.agg(F.coalesce(F.sum(F.octet_length("line") + 64), F.lit(0))).first()[0]
-    by_host = found.groupBy("host").agg(F.collect_list("line").alias("__loom_drop")).withColumnRenamed("host", "__loom_host")
-    same = F.col(host_col).eqNullSafe(F.col("__loom_host"))
+    drop, host, salt, own, lines, kept = unused(docs.columns, "__drop", "__host", "__salt", "__own", "__lines", "__kept")
+    by_host = found.groupBy("host").agg(F.collect_list("line").alias(drop)).withColumnRenamed("host", host)
+    same = F.col(host_col).eqNullSafe(F.col(host))
     if size <= BROADCAST_BYTES:
         joined = docs.join(F.broadcast(by_host), same, "left")
     else:
-        salts = by_host.withColumn("__loom_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = docs.withColumn("__loom_own", F.pmod(F.xxhash64(text_col), F.lit(SALTS)))
-        joined = salted.join(salts, same & (F.col("__loom_own") == F.col("__loom_salt")), "left").drop("__loom_own", "__loom_salt")
-    kept = F.filter("__loom_lines", lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("__loom_drop"), line))
-    joined = joined.withColumn("__loom_lines", _lines(text_col))
-    joined = joined.withColumn("__loom_kept", F.when(F.col("__loom_drop").isNull(), F.col("__loom_lines")).otherwise(kept))
-    lines = F.when(F.col("__loom_lines").isNull(), 0).otherwise(F.size("__loom_lines"))
-    left = F.when(F.col("__loom_kept").isNull(), 0).otherwise(F.size("__loom_kept"))
-    out = joined.withColumn(text_col, F.array_join("__loom_kept", "\n"))
-    out = out.withColumn(added[0], lines.cast("bigint")).withColumn(added[1], (lines - left).cast("bigint"))
-    return out.drop("__loom_host", "__loom_drop", "__loom_lines", "__loom_kept")
+        salts = by_host.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = docs.withColumn(own, F.pmod(F.xxhash64(text_col), F.lit(SALTS)))
+        joined = salted.join(salts, same & (F.col(own) == F.col(salt)), "left").drop(own, salt)
+    stay = F.filter(lines, lambda line: (F.trim(line) == "") | ~F.array_contains(F.col(drop), line))
+    joined = joined.withColumn(lines, _lines(text_col))
+    joined = joined.withColumn(kept, F.when(F.col(drop).isNull(), F.col(lines)).otherwise(stay))
+    every = F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines))
+    left = F.when(F.col(kept).isNull(), 0).otherwise(F.size(kept))
+    out = joined.withColumn(text_col, F.array_join(kept, "\n"))
+    out = out.withColumn(added[0], every.cast("bigint")).withColumn(added[1], (every - left).cast("bigint"))
+    return out.drop(host, drop, lines, kept)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import ddl, per_document, scratch, ship
+from loomframe.llm.common import ddl, per_document, scratch, ship, unused
 from loomframe.llm.components import connected_components
 
 #: Generator polynomial of the Golay code, the segments as (first bit, number of bits), the hash's seed.
@@ -161,10 +161,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of rows that share an id and stay, one stays. A row with a null id can't be named and stays. The ids that go are
     broadcast only below BROADCAST_ROWS of them, else joined.
     """
-    found = scratch(groups(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "component_id"), "near-duplicates")
-    gone = found.where("__id != component_id").select("__id").distinct()
+    (own,) = unused(docs.columns, "__id")
+    found = scratch(groups(docs, id_col, text_col).select(F.col(id_col).alias(own), F.col("component_id").alias("root")), "near-duplicates")
+    gone = found.where(F.col(own) != F.col("root")).select(own).distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
-    if found.where("__id IS NOT NULL").groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+    kept = docs.join(gone, F.col(id_col) == F.col(own), "left_anti")
+    if found.where(F.col(own).isNotNull()).groupBy(own).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
     return kept

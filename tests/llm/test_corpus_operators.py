@@ -213,26 +213,6 @@ def test_classifiers_awkward(spark, run, label):
     assert run(docs, labels.limit(0)).count() == 64
 
 
-def test_pipeline_against_its_parts(spark, data):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    kept = docs
-    sizes = [docs.count()]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, kept, data)
-        assert out.columns == docs.columns
-        kept = spark.createDataFrame(out.collect(), docs.schema)
-        sizes.append(kept.count())
-    assert sizes[0] >= sizes[1] >= sizes[2] == sizes[3] >= sizes[4] > 0 and sizes[4] < sizes[0]
-    ids = {r.doc_id for r in kept.collect()}
-    labels = {r.doc_id: r for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
-    clean = [i for i, r in labels.items() if r.quality == 1 and r.toxic == 0]
-    assert sum(i in ids for i in clean) > 0.8 * len(clean)
-    packed = corpus_pipeline.run(spark, data)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
-
-
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_their_sql(spark, data, name):
     import duckdb

@@ -3,34 +3,10 @@
 import random
 
 import corpus_pipeline
+import plain
 from loomframe.llm import near_copies
 
 
-def _brute_force(rows):
-    """The ids that stay: least of each component over exact Jaccard of five-word shingles."""
-    sets = []
-    for _, text in rows:
-        w = (text or "").lower().split()
-        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
-                root[find(i)] = find(j)
-    least = {}
-    for i, (doc_id, _) in enumerate(rows):
-        if doc_id is not None:
-            least[find(i)] = min(least.get(find(i), doc_id), doc_id)
-    return sorted(least.values())
-
-
 def _rows():
     rng = random.Random(5)
     words = [f"w{k}" for k in range(400)]
@@ -58,7 +34,7 @@ def _rows():
 def test_stage_against_brute_force(spark):
     rows = _rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = _brute_force(rows)
+    want = plain.near_copies(rows)
     assert 60 < len(want) < len(rows) - 60
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == want
     assert near_copies.near_copies(docs.limit(0)).count() == 0
