@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm import line_dedup, near_copies, packing, quality, simhash, toxicity
-from loomframe.llm.common import scratch, table
+from loomframe.llm.common import scratch, table, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null sources are one source. A document that loses all its lines stays with an empty text.
     """
-    cleaned = line_dedup.drop_boilerplate(docs, host_col="source", ratio=0.1, added=("__lines", "__dropped"))
-    return cleaned.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    lines, dropped = unused(docs.columns, "__n_lines", "__n_dropped")
+    cleaned = line_dedup.drop_boilerplate(docs, host_col="source", ratio=0.1, added=(lines, dropped))
+    return cleaned.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
