@@ -10,11 +10,12 @@ the twenty keys hold.
 Documents that share a key are candidates if few bits of the fingerprint differ; a candidate is a link if the Jaccard
 similarity of the sets of five-word shingles is 0.8 or more, computed on the whole texts.
 
-Only distinct sets take part, so exact copies never multiply. Only links that can join two components are sought, in
-three steps: each member of a key is compared with the smallest members of its keys, the nearest first; then members
-outside a key's largest component with two members of that; then, in the keys that still hold several components, all
-members outside the largest with all members of others. The first two steps only leave less to the third, which is
-exact: pairs within a component can't change the components.
+Only distinct sets take part, so exact copies never multiply. Keys are sorted and each is gone through once; members
+without a near member in a key leave there, so accidental keys cost no more than that. Only links that can join two
+components are sought, in three steps: each member is compared with the few nearest that it shares a key with; then
+members outside a key's largest component with two members of that; then, in the keys that still hold several
+components, all members outside the largest with all members of others. The first two steps only leave less to the
+third, which is exact: pairs within a component can't change the components.
 """
 
 from __future__ import annotations
@@ -33,14 +34,18 @@ SEED = 42
 #: Number of segments, bits of a segment, 64-bit words of a fingerprint.
 SEGMENTS, WIDTH, WORDS = 20, 23, 8
 #: Bits of the next segment in a key. One more for each doubling of the documents beyond 10^8 keeps keys small.
-EXACT = 13
-#: Most differing bits of candidates: of the first word, and of all 512. Similar sets differ in 15 % at most as a rule.
-NEAR, NEAR_ALL = 18, 112
+EXACT = 15
+#: Most differing bits of candidates: of the first two words, and of all. Similar sets differ in 15 % at most as a rule.
+NEAR, NEAR_ALL = 28, 112
 #: Partners of a member in the first two steps.
 FEW = 4
+#: Members of a key that are compared with each other at once.
+TOGETHER = 256
 FP = [f"w{k}" for k in range(WORDS)]
 PRINTS = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), *((w, pa.int64()) for w in FP)])
-KEYS = pa.schema([("node", pa.int64()), ("w0", pa.int64()), ("keys", pa.list_(pa.int32()))])
+MEMBER = [("node", pa.int64()), ("w0", pa.int64()), ("w1", pa.int64())]
+KEYS = pa.schema([*MEMBER, ("keys", pa.list_(pa.int64()))])
+SHARED = pa.schema([("key", pa.int64()), *MEMBER, ("others", pa.list_(pa.int64())), ("distances", pa.list_(pa.int32()))])
 SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
@@ -119,8 +124,79 @@ def _keys(exact: int):
             row, key = keys_of(prints, exact)
             order = np.argsort(row, kind="stable")
             offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(prints))))).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("w0"), keys], schema=KEYS)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c, _ in MEMBER), keys], schema=KEYS)
+
+    return run
+
+
+def near_members(rows: np.ndarray, run: np.ndarray, every: bool) -> pa.RecordBatch | None:
+    """SHARED rows of members with a near member in their key (every: of all members), each with its FEW nearest.
+
+    rows: key, node, w0, w1 by column; run: (keys, members) places in rows, keys of as many members each.
+    """
+    words = rows[2:, run].view(np.uint64)
+    distance = np.bitwise_count(words[:, :, :, None] ^ words[:, :, None, :]).sum(axis=0, dtype=np.int32)
+    distance[:, np.arange(run.shape[1]), np.arange(run.shape[1])] = 1000
+    few = min(FEW, run.shape[1] - 1)
+    nearest = np.argsort(distance, axis=2, kind="stable")[:, :, :few]
+    away = np.take_along_axis(distance, nearest, axis=2)
+    near = away <= NEAR
+    kept = near.any(axis=2) | every
+    if not kept.any():
+        return None
+    at = run[kept]
+    others = rows[1][run[np.nonzero(kept)[0][:, None], nearest[kept]]]
+    chosen = near[kept]
+    offsets = pa.array(np.concatenate(([0], np.cumsum(chosen.sum(axis=1)))).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[chosen])) for x in (others, away[kept].astype(np.int32))]
+    return pa.RecordBatch.from_arrays([*(pa.array(rows[c][at]) for c in range(4)), *lists], schema=SHARED)
+
+
+def _runs(keys: np.ndarray, cut: bool, together: int):
+    """(places, every) of the members of each key, keys of one size together. A key of more than `together` members, and
+    the first if it was cut before, are gone through in parts whose members are all kept: a near one may be in another
+    part."""
+    starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+    sizes = np.diff(np.append(starts, len(keys)))
+    whole = sizes <= together
+    whole[0] &= not cut
+    for k in np.flatnonzero(~whole):
+        for a in range(starts[k], starts[k] + sizes[k], together):
+            yield np.arange(a, min(a + together, starts[k] + sizes[k]))[None, :], True
+    for size in np.unique(sizes[whole & (sizes > 1)]):
+        own = starts[whole & (sizes == size)]
+        step = max(1, 500_000 // (size * size))
+        for a in range(0, len(own), step):
+            yield own[a : a + step, None] + np.arange(size)[None, :], False
+
+
+def _near(together: int):
+    """near_members of rows sorted by key; no more than a batch and `together` rows are held."""
+
+    def found(rows: np.ndarray, cut: bool):
+        for run, every in _runs(rows[0], cut, together) if rows.shape[1] else ():
+            out = near_members(rows, run, every)
+            if out is not None:
+                yield out
+
+    def run(it):
+        held, cut = np.zeros((4, 0), np.int64), False
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("key", "node", "w0", "w1")])], axis=1)
+            others = np.flatnonzero(rows[0] != rows[0][-1])
+            last = int(others[-1]) + 1 if len(others) else 0  # where the last key begins, which may go on
+            if last:
+                yield from found(rows[:, :last], cut)
+                cut = False
+            held = rows[:, last:]
+            if held.shape[1] > together:
+                done = held.shape[1] - held.shape[1] % together
+                yield from found(held[:, :done], True)
+                held, cut = held[:, done:], True
+        yield from found(held, cut)
 
     return run
 
@@ -152,22 +228,25 @@ def similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return both.where("9 * size(array_intersect(a_set, b_set)) >= 4 * (size(a_set) + size(b_set))").select("a", "b")
 
 
-def _closest(rows: DataFrame, other: str) -> DataFrame:
-    """Distinct pairs (a, b) of each row's node with the FEW nearest of its others (structs node, w0)."""
-    near = rows.withColumn("distance", F.bit_count(F.col("w0").bitwiseXOR(F.col(f"{other}.w0")))).where((F.col("node") != F.col(f"{other}.node")) & (F.col("distance") <= NEAR))
-    place = F.dense_rank().over(Window.partitionBy("node").orderBy("distance", f"{other}.node"))
-    chosen = near.select("node", "distance", other).withColumn("place", place).where(F.col("place") <= FEW)
-    return chosen.select(*_pair("node", f"{other}.node")).distinct()
+def _closest(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of each node with the FEW nearest of its others. rows: node, other, distance."""
+    place = F.dense_rank().over(Window.partitionBy("node").orderBy("distance", "other"))
+    chosen = rows.withColumn("place", place).where(F.col("place") <= FEW)
+    return chosen.select(*_pair("node", "other")).distinct()
 
 
 def _pair(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def _distance(x: str, y: str) -> str:
+    return f"bit_count({x}w0 ^ {y}w0) + bit_count({x}w1 ^ {y}w1)"
+
+
 def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """key, node, w0, component, main (the key's largest component) of the keys that hold several components."""
+    """key, node, w0, w1, component, main (the key's largest component) of the keys that hold several components."""
     parts = connected_components(found, "a", "b")
-    placed = shared.select("key", "node", "w0").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = shared.select("key", *(c for c, _ in MEMBER)).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counted = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = counted.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("n")).where("n > 1")
     return scratch(placed.join(mixed.select("key", F.col("most.component").alias("main")), "key"), "mixed-keys")
@@ -178,24 +257,26 @@ def links(nodes: DataFrame, rows: DataFrame, exact: int = EXACT) -> DataFrame:
 
     nodes: node, least_id, fingerprint words. rows: doc_id, text.
     """
-    keyed = nodes.select("node", *FP).mapInArrow(_keys(exact), ddl(KEYS)).select("node", "w0", F.explode("keys").alias("key"))
-    # one exchange by key; a key has at most as many rows as there are nodes, one row in a hundred of all
-    key = Window.partitionBy("key")
-    held = keyed.withColumn("n", F.count("*").over(key)).withColumn("hub", F.min(F.struct("node", "w0")).over(key))
-    shared = scratch(held.where("n > 1").drop("n"), "golay-keys")
-    tested = scratch(_closest(shared, "hub"), "hub-pairs")
+    keyed = nodes.select("node", *FP).mapInArrow(_keys(exact), ddl(KEYS)).select(F.explode("keys").alias("key"), *(c for c, _ in MEMBER))
+    # one exchange; a key has at most one row of each node, which is one in a hundred of all rows
+    shared = scratch(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near(TOGETHER), ddl(SHARED)), "golay-keys")
+    first = shared.select("node", F.explode(F.arrays_zip("others", "distances")).alias("o")).select("node", F.col("o.others").alias("other"), F.col("o.distances").alias("distance"))
+    tested = scratch(_closest(first), "nearest-pairs")
     found = scratch(similar(tested, nodes, rows), "similar-pairs")
     placed = _mixed(shared, found)
-    ends = placed.where("component = main").groupBy("key").agg(F.min(F.struct("node", "w0")).alias("low"), F.max(F.struct("node", "w0")).alias("high"))
-    outside = placed.where("component != main").join(ends, "key").withColumn("hub", F.explode(F.array("low", "high")))
-    more = scratch(_closest(outside, "hub").join(tested, ["a", "b"], "left_anti"), "main-pairs")
-    tested = tested.unionByName(more)
-    found = found.unionByName(scratch(similar(more, nodes, rows), "similar-pairs"))
-    placed = _mixed(shared, found)
-    near = f"x.key = y.key AND x.component != y.component AND (y.component = y.main OR x.node < y.node) AND bit_count(x.w0 ^ y.w0) <= {NEAR}"
+    member = F.struct("node", "w0", "w1")
+    ends = placed.where("component = main").groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high"))
+    outside = placed.where("component != main").join(ends, "key").withColumn("end", F.explode(F.array("low", "high")))
+    outside = outside.select("node", F.col("end.node").alias("other"), F.expr(_distance("", "end.")).alias("distance")).where(f"distance <= {NEAR}")
+    more = scratch(_closest(outside).join(tested, ["a", "b"], "left_anti"), "main-pairs")
+    if more.limit(1).count():
+        tested = tested.unionByName(more)
+        found = found.unionByName(scratch(similar(more, nodes, rows), "similar-pairs"))
+        placed = _mixed(shared, found)
+    near = f"x.key = y.key AND x.component != y.component AND (y.component = y.main OR x.node < y.node) AND {_distance('x.', 'y.')} <= {NEAR}"
     rest = placed.where("component != main").alias("x").join(placed.alias("y"), F.expr(near)).select(*_pair("x.node", "y.node")).distinct()
     rest = scratch(rest.join(tested, ["a", "b"], "left_anti"), "other-pairs")
-    return found.unionByName(similar(rest, nodes, rows))
+    return found.unionByName(similar(rest, nodes, rows)) if rest.limit(1).count() else found
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: int = EXACT) -> DataFrame:

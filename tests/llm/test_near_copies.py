@@ -3,7 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import plain
+import pyarrow as pa
+import pytest
 from loomframe.llm import near_copies
 
 
@@ -46,3 +49,32 @@ def test_null_and_repeated_ids(spark):
     rows = [(3, " ".join(base)), (None, " ".join(bridge)), (7, " ".join(far)), (7, "else"), (9, "else"), (None, "else"), (1, None)]
     out = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(r.doc_id for r in out if r.doc_id is not None) == [1, 3] and sum(r.doc_id is None for r in out) == 2
+
+
+@pytest.mark.parametrize("together, size", [(4, 3), (4, 7), (256, 100)])
+def test_near_members_of_sorted_keys(together, size):
+    """Batches cut keys anywhere; members with a near one are kept with their nearest, and all of keys too long for one go."""
+    rng = np.random.default_rng(size)
+    base = rng.integers(-(2**62), 2**62, (6, 2))
+    rows = sorted((int(k), i, *(int(w) for w in base[rng.integers(6)] ^ (1 << rng.integers(0, 60, 2)))) for i, k in enumerate(rng.integers(0, 12, 90)))
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a : a + size]], pa.int64()) for c in range(4)], names=["key", "node", "w0", "w1"]) for a in range(0, 90, size)]
+    got = {(r["key"], r["node"]): r for b in near_copies._near(together)(iter(batches)) for r in b.to_pylist()}
+    distance = lambda x, y: sum(bin((p ^ q) & (2**64 - 1)).count("1") for p, q in zip(x[2:], y[2:], strict=True))
+    for r in rows:
+        mates = [m for m in rows if m[0] == r[0] and m is not r]
+        near = sorted((distance(r, m), m[1]) for m in mates if distance(r, m) <= near_copies.NEAR)
+        if len(mates) + 1 <= together:
+            assert ((r[0], r[1]) in got) == bool(near)
+            if near:
+                assert sorted(zip(got[r[0], r[1]]["distances"], got[r[0], r[1]]["others"], strict=True))[: len(near)] == near[: near_copies.FEW]
+        else:
+            assert (r[0], r[1]) in got and set(got[r[0], r[1]]["others"]) <= {n for _, n in near}
+
+
+@pytest.mark.parametrize("together", [2, 16])
+def test_stage_with_cut_keys(spark, together, monkeypatch):
+    """Keys gone through in small parts lose no link."""
+    monkeypatch.setattr(near_copies, "TOGETHER", together)
+    rows = _rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == plain.near_copies(rows)
