@@ -48,7 +48,7 @@ class Encoder:
     encoded by themselves, since the pattern always begins a new word there and never looks back.
     """
 
-    def __init__(self, path: str, remember: int = 400_000) -> None:
+    def __init__(self, path: str, remember: int = 120_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

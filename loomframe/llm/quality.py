@@ -72,7 +72,7 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def scorer(self, remember: int = 250_000, together: int = 10_000):
+    def scorer(self, remember: int = 150_000, together: int = 10_000):
         """A function from texts to their scores. together: number of new words that are hashed at once."""
         known: dict[str, complex] = {}
         weights, buckets = self.weights.astype(np.float64), len(self.weights)

@@ -28,7 +28,7 @@ TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("dec
 class Codec:
     """encode() and decode() as the library does them without begin and end ids, and without its sampling."""
 
-    def __init__(self, model_file: str, remember: int = 400_000) -> None:
+    def __init__(self, model_file: str, remember: int = 200_000) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)

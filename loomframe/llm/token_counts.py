@@ -41,7 +41,7 @@ def byte_letters() -> dict[int, str]:
 class Counter:
     """Token counts as the tokenizers library gives them, without added special tokens."""
 
-    def __init__(self, path: str, remember: int = 400_000) -> None:
+    def __init__(self, path: str, remember: int = 200_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

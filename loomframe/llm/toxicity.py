@@ -306,7 +306,7 @@ def fit(
     label: str = "toxic",
     folds: int = 5,
     held_out: int = 0,
-    sample_rows: int = 4_000,
+    sample_rows: int = 3_000,
     little: float = 0.05,
     enough: float = 26.0,
     k: int = 15,
