@@ -53,5 +53,6 @@ def every_nth(rows: DataFrame, order: list[str], nth: int, most: int | None = No
 
 
 def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
-    """n rows by the hash of their key and the seed, in order of the key: the same rows on every run."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n).orderBy(key)
+    """n rows by the MD5 of their key and the seed, in order of the key: the same rows on every run and engine."""
+    drawn = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    return rows.orderBy(drawn, key).limit(n).orderBy(key)

@@ -120,7 +120,7 @@ def every_nth(spark, d):
     return split.every_nth(table(spark, d, "events"), ["ts", "event_id"], 10, 500).select("event_id")
 
 
-@query("hash_sample")
+@query("hash_sample", "SELECT event_id FROM (SELECT event_id FROM events ORDER BY md5(concat_ws(':', event_id, 7)), event_id LIMIT 100)")
 def hash_sample(spark, d):
     """A sampling operator: its size is the request."""
     return split.hash_sample(table(spark, d, "events"), "event_id", 100).select("event_id")
