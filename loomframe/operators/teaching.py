@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.functions.geometry import Box, guess_pixels, valid
+from loomframe.functions.text import lookup
 from loomframe.operators.dedup import suppress_overlaps
 
 CHOICE = "primitive_id string, situation_id string, screen_type string, roi_name string, confidence double"
@@ -124,11 +125,26 @@ def clean_boxes(raw: DataFrame, key: str, width: Column, height: Column, overlap
     return good.join(suppress_overlaps(good, key, "at", overlap), [key, "at"])
 
 
-def analyze(detections: DataFrame, affordances: dict[str, str], low: float = 0.25) -> DataFrame:
-    """Detections of at least `low` with their affordance (default click); an injected map takes part as literals."""
-    from loomframe.functions.text import lookup
-
-    return detections.where(F.col("score") >= low).withColumn("affordance", lookup(F.lower("label"), affordances, "click"))
+#: What can be done with a class of element, and its type.
+AFFORDANCES = {
+    "button": ("click",),
+    "text_field": ("type", "click"),
+    "scroll_area": ("scroll",),
+    "slider": ("drag",),
+    "toggle": ("click", "toggle"),
+    "menu_item": ("click",),
+    "icon": ("click", "double_click"),
+}
+ELEMENT_TYPES = {"button": "button", "text_field": "type", "scroll_area": "scroll", "slider": "drag", "toggle": "toggle", "menu_item": "button", "icon": "button"}
+
+
+def analyze(detections: DataFrame, affordances: dict[str, tuple[str, ...]] | None = None, low: float = 0.25) -> DataFrame:
+    """Detections of at least `low` with affordances (array, default click) and element_type (default button), by the
+    label without case. A map of the caller's takes part as literals."""
+    label = F.lower("label")
+    texts = {k: ",".join(v) for k, v in (affordances or AFFORDANCES).items()}
+    kept = detections.where(F.col("score") >= low)
+    return kept.withColumn("affordances", F.split(lookup(label, texts, "click"), ",")).withColumn("element_type", lookup(label, ELEMENT_TYPES, "button"))
 
 
 def training_records(pairs: DataFrame) -> DataFrame:

@@ -150,3 +150,35 @@ def review_queue(spark, d):
     """The queue of what is labeled, pending and no duplicate, by confidence alone."""
     confidence = F.col("label.confidence")
     return review.load_queue(_rows(spark, d), confidence, "ord", 0.9, confidence).select("sample_id", "decision", F.round("priority", 6).alias("priority"))
+
+
+@query("prelabel_coco", f"""WITH {BOXES_SQL}, p AS (SELECT vec_id, dense_rank() OVER (ORDER BY vec_id // 20) AS image_no, x1, x2, y1, y2 FROM boxes)
+SELECT image_no, row_number() OVER (ORDER BY vec_id) AS annotation_no, round(x1, 6) AS x, round((x2 - x1) * (y2 - y1), 6) AS area, 0.5::DOUBLE AS score FROM p WHERE vec_id % 20 < 3""")
+def prelabel_coco(spark, d):
+    """The first three boxes of twenty stand for a model's candidates of an image."""
+    b = boxes(spark, d).withColumn("image", F.floor(F.col("vec_id") / 20)).withColumn("at", (F.col("vec_id") % 20).cast("int"))
+    images = b.select("image").distinct().withColumn("ord", F.col("image"))
+    out = writers.candidate_annotations(images, b.where("at < 3"), "image")
+    return out.select("image_no", "annotation_no", F.round("x", 6).alias("x"), F.round("area", 6).alias("area"), "score")
+
+
+@query("analyze_frames", """SELECT event_id, CASE event_type WHEN 'click' THEN 'drag' WHEN 'view' THEN 'type,click' ELSE 'click' END AS affordances, CASE event_type WHEN 'click' THEN 'drag' WHEN 'view' THEN 'type' ELSE 'button' END AS element_type FROM events WHERE value / 100 >= 0.25""")
+def analyze_frames(spark, d):
+    """Events as detections: clicks are sliders, views are text fields, other types aren't known."""
+    kind = F.when(F.col("event_type") == "click", "Slider").when(F.col("event_type") == "view", "TEXT_FIELD").otherwise(F.col("event_type"))
+    found = teaching.analyze(table(spark, d, "events").select("event_id", kind.alias("label"), (F.col("value") / 100).alias("score")))
+    return found.select("event_id", F.array_join("affordances", ",").alias("affordances"), "element_type")
+
+
+@query("clip_files", """WITH s AS (SELECT event_id // 8 AS s, list('f' || event_id ORDER BY event_id) AS frames FROM events GROUP BY 1),
+c AS (SELECT s, frames[1:3] AS pre, frames[4:] AS post FROM s),
+e AS (SELECT s, unnest(pre) AS path, 'pre_' || lpad((generate_subscripts(pre, 1) - 1)::VARCHAR, 3, '0') AS part FROM c UNION ALL
+ SELECT s, unnest(post), 'post_' || lpad((generate_subscripts(post, 1) - 1)::VARCHAR, 3, '0') FROM c UNION ALL
+ SELECT s, post[2], 'post_effect' FROM c WHERE len(post) > 0 UNION ALL SELECT s, post[len(post)], 'post_stable' FROM c WHERE len(post) > 0)
+SELECT 'sample_' || s || '/clip/' || part || '.png' AS name, path AS image_path FROM e""")
+def clip_files(spark, d):
+    """Eight events in a row are a sample: three frames before it, the rest after."""
+    e = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 8).alias("s")).agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    frames = F.transform("ids", lambda i: F.concat(F.lit("f"), i.cast("string")))
+    rows = e.select(F.concat(F.lit("sample_"), F.col("s").cast("string")).alias("sample_id"), F.slice(frames, 1, 3).alias("pre_clip"), F.slice(frames, 4, 100).alias("post_clip"), F.lit(1).alias("effect"))
+    return writers.clip_files(rows)

@@ -72,6 +72,8 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 path = f"{base}/{r['name']}"
+                if "/" in r["name"]:
+                    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 with store.open_output_stream(f"{path}.part") as f:
                     f.write(r["content"])
                 store.move(f"{path}.part", path)

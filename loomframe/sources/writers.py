@@ -222,6 +222,35 @@ def correction_boxes(queue: DataFrame, default: str) -> DataFrame:
     return out.select("frame_id", "image_path", F.coalesce("b.label", F.lit(default)).alias("label"), F.col("b.bbox").alias("bbox"))
 
 
+def candidate_annotations(images: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
+    """image_no, annotation_no, category_id (1), x, y, w, h, area, score (0.5) of prelabelled boxes, numbered from 1.
+
+    images: key, ord; boxes: key, at, x1, y1, x2, y2. Images without a box keep their number.
+    """
+    placed = numbered(images.select(key, "ord"), ["ord"], "__image")
+    every = numbered(placed.join(boxes.select(key, "at", "x1", "y1", "x2", "y2"), key), ["__image", "at"], "__annotation")
+    parts = [c.alias(n) for n, c in xyxy_to_xywh(Box.cols()).items()]
+    numbers = [(F.col("__image") + 1).alias("image_no"), (F.col("__annotation") + 1).alias("annotation_no")]
+    return every.select(*numbers, F.lit(1).cast("long").alias("category_id"), *parts, F.lit(0.5).alias("score"))
+
+
+def clip_files(samples: DataFrame) -> DataFrame:
+    """name, image_path of the clip files of recorded samples: pre_NNN and post_NNN in order of time, and post_effect
+    (the frame at place effect) and post_stable (the last) of samples with a post clip.
+
+    samples: sample_id, pre_clip, post_clip (arrays of paths), effect (place in post_clip, null: the first). Copy them
+    with image_files.copies and write_files.
+    """
+    item = lambda part, i, path: F.struct(F.format_string("%s_%03d", F.lit(part), i).alias("part"), path.alias("image_path"))
+    clip = lambda part: F.transform(F.coalesce(f"{part}_clip", F.array().cast("array<string>")), lambda p, i: item(part, i, p))
+    last = F.size("post_clip") - 1
+    named = lambda name, at: F.struct(F.lit(name).alias("part"), F.get("post_clip", at).alias("image_path"))
+    picks = F.when(last >= 0, F.array(named("post_effect", F.coalesce("effect", F.lit(0))), named("post_stable", last)))
+    every = F.concat(clip("pre"), clip("post"), F.coalesce(picks, F.array().cast("array<struct<part:string,image_path:string>>")))
+    rows = samples.select("sample_id", F.explode(every).alias("f"))
+    return rows.select(F.concat("sample_id", F.lit("/clip/"), F.col("f.part"), F.lit(".png")).alias("name"), F.col("f.image_path").alias("image_path"))
+
+
 FAILURE_ELEMENTS = "array<struct<class_name:string,x1:double,y1:double,x2:double,y2:double,score:double>>"
 
 

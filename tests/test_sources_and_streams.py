@@ -197,4 +197,4 @@ def test_teaching(spark):
     model = lambda c: [{"label": "a", "bbox": [0, 0, 0.5, 0.5]}, {"label": "a", "bbox": [0, 0, 0.5, 0.49]}, {"label": "b", "bbox": [0.6, 0.6, 0.6, 0.9]}]
     out = teaching.prelabel(img, "id", "c", model, F.lit(100), F.lit(100)).collect()
     assert [(r.label, r.x2) for r in out] == [("a", 50.0)]
-    assert teaching.analyze(spark.createDataFrame([("Slider", 0.9), ("x", 0.1), ("y", 0.5)], "label string, score double"), {"slider": "drag"}).select("affordance").collect() == [("drag",), ("click",)]
+    assert teaching.analyze(spark.createDataFrame([("Slider", 0.9), ("x", 0.1), ("y", 0.5)], "label string, score double"), {"slider": ("drag",)}).select("affordances", "element_type").collect() == [(["drag"], "drag"), (["click"], "button")]
