@@ -8,8 +8,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 WRITTEN = "name string, path string, bytes long"
 
@@ -52,10 +53,28 @@ def _plain(path):
     return F.regexp_replace(path, "^file:/*", "/")
 
 
-def copies(spark, rows: DataFrame, folder: str, pattern: str = "*.png") -> DataFrame:
-    """name, content of the files of rows (name, image_path) below folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    return rows.withColumn("__at", _plain(F.col("image_path"))).join(files.withColumn("__at", _plain(F.col("path"))).select("__at", "content"), "__at").select("name", "content")
+def _load(spark: SparkSession, kind: str, folder: str, **options) -> DataFrame | None:
+    """Files below folder; null where there is no such folder."""
+    try:
+        return spark.read.format(kind).options(recursiveFileLookup=True, **options).load(folder)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def decoded(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Image-source rows of what can be decoded below folder; null where there is no such folder."""
+    return _load(spark, "image", folder, dropInvalid=True)
+
+
+def copies(spark: SparkSession, rows: DataFrame, folder: str, pattern: str = "*.png") -> DataFrame | None:
+    """name, content of the files of rows (name, image_path) below folder; null where there is no such folder."""
+    files = _load(spark, "binaryFile", folder, pathGlobFilter=pattern)
+    if files is None:
+        return None
+    named = files.withColumn("__at", _plain(F.col("path"))).select("__at", "content")
+    return rows.withColumn("__at", _plain(F.col("image_path"))).join(named, "__at").select("name", "content")
 
 
 def write_files(rows: DataFrame, folder: str) -> DataFrame:

@@ -58,16 +58,16 @@ def write_router_full(rows: DataFrame, folder: str) -> DataFrame:
     """images and the CSV parts, whose image_path is the copy; rows whose image isn't there are left out. Returns them."""
     spark, split = rows.sparkSession, checkpoint(router_split(rows))
     named = split.select(F.concat("sample_id", F.lit(".png")).alias("name"), "image_path")
-    roots = _root(split)
-    return _finish(split, image_files.copies(spark, named, roots), folder) if roots else _finish(split, None, folder)
+    root = _root(split)
+    return _finish(split, image_files.copies(spark, named, root) if root else None, folder)
 
 
 def write_router_roi(rows: DataFrame, folder: str, situations: DataFrame, rois: DataFrame, fallbacks: list[str] | None = None) -> DataFrame:
     """As write_router_full, with the crop of each image."""
     spark, split = rows.sparkSession, checkpoint(router_split(rows))
     boxes = router_crops(rows, situations, rois, fallbacks).select(F.concat("sample_id", F.lit(".png")).alias("name"), "image_path", "crop")
-    roots = _root(split)
-    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(roots) if roots else None
+    root = _root(split)
+    images = image_files.decoded(spark, root) if root else None
     return _finish(split, None if images is None else image_files.crops(images, boxes), folder)
 
 

@@ -124,8 +124,10 @@ def test_coco_roundtrip(spark, tmp_path, data):
     images, annotations, categories = readers.coco(spark, str(tmp_path / "doc"))
     assert images.count() == parts[0].count() and annotations.count() == parts[1].count() and categories.count() == 3
     writers.write_yolo(rows.limit(20), NAMES, str(tmp_path / "y"))
-    writers.write_router(rows, str(tmp_path / "r"))
-    assert set(spark.read.csv(f"{tmp_path}/r/val.csv", header=True).columns) == {"sample_id", "image_path", "primitive_id", "situation_id", "screen_type", "session_id"}
+    split = writers.router_split(rows)
+    assert set(split.columns) == {"sample_id", "image_path", "primitive_id", "situation_id", "screen_type", "session_id", "split"}
+    assert split.where("split = 'val'").count() > 0
+    assert writers.write_router_full(rows, str(tmp_path / "r")).count() == 0  # images that aren't there leave no rows
 
 
 def test_gesture_stream_equals_steps(spark, tmp_path):
