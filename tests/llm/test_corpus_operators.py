@@ -60,6 +60,17 @@ def test_resharding(spark, data):
     _check_shards(resharding.reshard_documents(docs.limit(5)).collect(), 24)
 
 
+def test_grid_order_join_null_and_repeated_ids(spark):
+    """Rows with null or repeated ids are rows like others; a null id is a component_id only where there is no other."""
+    one, other = [1.0, 0.0, 0.5], [0.0, 1.0, -0.5]
+    rows = [(None, one, 1), (5, one, 1), (5, one, 1), (None, other, 1), (None, other, 1), (7, other, 2), (None, None, None), (7, None, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "label AS component", "vec_id AS rid", "1 AS links")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in grid_order_join.near_vectors(df).collect())
+    want = [(None, 2, 5, False), (5, 2, 5, True), (5, 2, 5, True), (None, 1, None, False), (None, 1, None, False), (7, 0, 7, True), (None, 0, None, False), (7, 0, 7, True)]
+    assert got == sorted((str(i), n, str(c), k) for i, n, c, k in want)
+    assert grid_order_join.near_vectors(df.limit(0)).count() == 0
+
+
 def test_plan_moves_the_fewest_bytes():
     blocks = {0: [(10.0, 50), (100.0, 50)], 1: [(5.0, 20), (50.0, 20)], 2: [(1.0, 1)]}
     p = resharding.plan(blocks, 3)

@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomframe.llm import components, exact_dedup, line_dedup, packing, sentencepiece_codec, simhash, token_counts
+from loomframe.llm import common, components, exact_dedup, line_dedup, packing, sentencepiece_codec, simhash, token_counts
 
 ALPHABET = st.lists(st.sampled_from(list("abcdeXYZ' \n\t▁éñßΣσİ中🙂0123.,%<|>/s\x00\x1c\x85　́") + ["<s>", "<|endoftext|>", "don't", "hello ", "the ", "  "]), max_size=40).map("".join)
 AWKWARD = [(1, "same  text", "a", 1), (2, "same\ttext", "b", 2), (3, None, None, None), (4, "", "a", 3), (None, "same text", "c", 4), (6, "x" * 5000 + " " + "word " * 3000, "a", 5), (6, "x" * 5000 + " " + "word " * 3000, "a", 5), (8, "\n\n", "a", 6), (9, "Ünïcode ▁ 中文 🙂", "a", 7)]
@@ -234,3 +234,33 @@ def test_line_dedup_against_brute_force(spark, most, monkeypatch):
     assert {"line", "pages", "host"} <= set(got.columns)
     one = [w for w, r in zip(want, rows, strict=True) if r[1] == "one"][0]
     assert one[3] == 0 and all(w[1] is None or not w[1].startswith("menu") for w, r in zip(want, rows, strict=True) if r[1] == "two")
+
+
+@pytest.mark.parametrize("most", [simhash.BROADCAST_ROWS, -1])
+def test_keep_one_of_each_by_both_joins(spark, most, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+    rows = [(4, "a b c d"), (2, "a b c d"), (2, "a b c d"), (None, "a b c d"), (9, "something else here"), (3, None), (8, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS __id", "text AS root")
+    out = simhash.keep_one_of_each(df)
+    assert out.columns == df.columns and sorted(str(r.doc_id) for r in out.collect()) == ["2", "3", "9", "None"]
+
+
+def test_shared_folder_and_scratch(spark, tmp_path):
+    """Scratch tables lie in the shared folder and can be dropped; a cluster without one is an error."""
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: None)})
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Cluster.conf)  # noqa: N815
+            getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster)
+    assert common.unused(["Text", "_text"], "text", "line") == ["__text", "line"]
+    common.drop_scratch(spark)
+    table = common.scratch(spark.range(3), "test")
+    assert table.count() == 3 and common.drop_scratch(spark) == 1
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        table.count()
