@@ -14,7 +14,8 @@ from loomframe.runtime import table
 from loomframe.sources import writers
 
 #: Twenty vectors in a row are one sample's text boxes; the click is at the first one's corner.
-OCR_SQL = f"""{BOXES_SQL}, t AS (SELECT vec_id, vec_id // 20 AS sample, least(x1, x2) AS a, y1 AS b, greatest(x1, x2) AS c, y2 AS d, (vec_id % 10) / 10.0 AS conf FROM boxes),
+OCR_SQL = f"""{BOXES_SQL}, t AS (SELECT vec_id, vec_id // 20 AS sample, least(x1, x2) AS a, y1 AS b, greatest(x1, x2) AS c, y2 AS d, (vec_id % 10) / 10.0 AS conf
+ FROM boxes),
 k AS (SELECT * FROM t WHERE conf >= 0.3),
 p AS (SELECT sample, min_by(a, vec_id) AS px, min_by(b, vec_id) AS py FROM t GROUP BY 1),
 n AS (SELECT k.*, sqrt(((a + c) / 2 - px) ** 2 + ((b + d) / 2 - py) ** 2) AS distance FROM k JOIN p USING (sample))"""
@@ -35,26 +36,29 @@ def ocr_boxes(spark, d):
     return found.select("vec_id", "signal", F.round("x1", 6).alias("x1"), F.round("x2", 6).alias("x2"), "semantic_text")
 
 
-@query("ocr_nearest", f"WITH {OCR_SQL} SELECT sample, min_by(vec_id, distance) AS vec_id, round(min(distance), 6) AS distance FROM n WHERE distance <= 200 GROUP BY 1")
+@query("ocr_nearest", f"""WITH {OCR_SQL} SELECT sample, min_by(vec_id, distance) AS vec_id, round(min(distance), 6) AS distance FROM n WHERE distance <= 200 GROUP BY 1""")
 def ocr_nearest(spark, d):
     found, clicks = _texts(spark, d)
     return candidates.nearest_to_click(found.join(clicks, "sample"), "sample", "vec_id", "px", "py").select("sample", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("largest_first", f"""WITH {BOXES_SQL} SELECT vec_id // 20 AS sample, array_to_string(list(vec_id ORDER BY greatest(0, x2 - x1) * greatest(0, y2 - y1) DESC, vec_id), ',') AS ids FROM boxes GROUP BY 1""")
+@query("largest_first", f"""WITH {BOXES_SQL} SELECT vec_id // 20 AS sample, array_to_string(list(vec_id ORDER BY greatest(0, x2 - x1) * greatest(0, y2 - y1) DESC, vec_id),
+ ',') AS ids FROM boxes GROUP BY 1""")
 def largest_first(spark, d):
     packed = boxes(spark, d).groupBy(F.floor(F.col("vec_id") / 20).alias("sample")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "x1", "y1", "x2", "y2"))).alias("b"))
     return packed.select("sample", F.array_join(F.transform(candidates.largest_first(F.col("b")), lambda b: b["vec_id"].cast("string")), ",").alias("ids"))
 
 
-@query("contour_boxes", """SELECT p_partkey, (p_size * 3)::DOUBLE AS x1, (p_size * 4)::DOUBLE AS x2, least(1::DOUBLE, p_size * (p_partkey % 50) / 1e6 * 100) AS confidence FROM part WHERE p_size * 4 >= 100""")
+@query("contour_boxes", """SELECT p_partkey, (p_size * 3)::DOUBLE AS x1, (p_size * 4)::DOUBLE AS x2, least(1::DOUBLE, p_size * (p_partkey % 50) / 1e6 * 100) AS confidence
+ FROM part WHERE p_size * 4 >= 100""")
 def contour_boxes(spark, d):
     size = F.col("p_size")
     found = table(spark, d, "part").select("p_partkey", (size * 3).alias("x"), size.alias("y"), size.alias("w"), (F.col("p_partkey") % 50).alias("h"), (size * 4).alias("area"))
     return candidates.contour_boxes(found, F.lit(1e6)).select("p_partkey", "x1", "x2", "confidence")
 
 
-@query("event_position", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.25 WHEN event_id % 7 <> 0 THEN value / 1920 END AS x, CASE WHEN event_id % 3 = 0 THEN 0.5 WHEN event_id % 7 <> 0 THEN user_id / 1080 END AS y FROM events""")
+@query("event_position", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.25 WHEN event_id % 7 <> 0 THEN value / 1920 END AS x, CASE WHEN event_id % 3 = 0 THEN 0.5
+ WHEN event_id % 7 <> 0 THEN user_id / 1080 END AS y FROM events""")
 def event_position(spark, d):
     n = F.col("event_id")
     metadata = F.when(n % 3 == 0, '{"coordinates":{"event_normalized_xy":{"x":0.25,"y":0.5}}}').when(n % 3 == 1, '{"coordinates":{"event_normalized_xy":{"x":0.9}}}')
@@ -62,9 +66,11 @@ def event_position(spark, d):
     return table(spark, d, "events").select("event_id", at["x"].alias("x"), at["y"].alias("y"))
 
 
-@query("default_roi", f"""WITH {ROI_SQL}, c AS (SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'idle' WHEN 1 THEN 'overview' WHEN 2 THEN 'nowhere' END AS sid, CASE WHEN vec_id % 5 = 0 THEN ' minimap ' WHEN vec_id % 5 = 1 THEN 'unknown' END AS asked, vec_id % 6 = 0 AS own FROM embeddings),
+@query("default_roi", f"""WITH {ROI_SQL}, c AS (SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'idle' WHEN 1 THEN 'overview' WHEN 2 THEN 'nowhere' END AS sid, CASE
+ WHEN vec_id % 5 = 0 THEN ' minimap ' WHEN vec_id % 5 = 1 THEN 'unknown' END AS asked, vec_id % 6 = 0 AS own FROM embeddings),
 n AS (SELECT *, coalesce(trim(asked), CASE sid WHEN 'idle' THEN 'end_turn_zone' WHEN 'overview' THEN 'minimap' END, '') AS name FROM c)
-SELECT vec_id, CASE WHEN own THEN coalesce(asked, '') ELSE name END AS roi_default, CASE WHEN own THEN 0.1::DOUBLE ELSE coalesce(x1, 0)::DOUBLE END AS x1, CASE WHEN own THEN 0.4::DOUBLE ELSE coalesce(y2, 1)::DOUBLE END AS y2 FROM n LEFT JOIN rois ON roi_name = name""")
+SELECT vec_id, CASE WHEN own THEN coalesce(asked, '') ELSE name END AS roi_default, CASE WHEN own THEN 0.1::DOUBLE ELSE coalesce(x1,
+ 0)::DOUBLE END AS x1, CASE WHEN own THEN 0.4::DOUBLE ELSE coalesce(y2, 1)::DOUBLE END AS y2 FROM n LEFT JOIN rois ON roi_name = name""")
 def default_roi(spark, d):
     rois, situations, _ = _dims(spark)
     v = F.col("vec_id")
@@ -79,13 +85,15 @@ def default_roi(spark, d):
     return out.select("vec_id", "roi_default", F.col("bbox_default")[0].alias("x1"), F.col("bbox_default")[3].alias("y2"))
 
 
-@query("roi_state_split", f"""WITH {EFFECTIVE_SQL}, k AS (SELECT sample_id, row_number() OVER (ORDER BY vec_id) AS k, count(*) OVER () AS n FROM eff WHERE review_status <> 'rejected' AND vec_id % 17 <> 0)
+@query("roi_state_split", f"""WITH {EFFECTIVE_SQL}, k AS (SELECT sample_id, row_number() OVER (ORDER BY vec_id) AS k, count(*) OVER () AS n FROM eff
+ WHERE review_status <> 'rejected' AND vec_id % 17 <> 0)
 SELECT sample_id, CASE WHEN k <= trunc(n * 0.9) THEN 'train' ELSE 'val' END AS split FROM k""")
 def roi_state_split(spark, d):
     return writers.region_split(_rows(spark, d)).select("sample_id", "split")
 
 
-@query("router_crops", f"""WITH {EFFECTIVE_SQL}, {ROI_SQL}, r AS (SELECT * FROM eff WHERE review_status <> 'rejected' AND vec_id % 17 <> 0 AND vec_id % 13 <> 0 AND primitive_id IS NOT NULL)
+@query("router_crops", f"""WITH {EFFECTIVE_SQL}, {ROI_SQL}, r AS (SELECT * FROM eff WHERE review_status <> 'rejected' AND vec_id % 17 <> 0 AND vec_id % 13 <> 0
+ AND primitive_id IS NOT NULL)
 SELECT sample_id, 0 AS x1, greatest(0, round_even(rois.x2 * 1920, 0)::INT) AS x2 FROM r, rois WHERE roi_name = 'top_bar'""")
 def router_crops(spark, d):
     rois, situations, _ = _dims(spark)
@@ -100,19 +108,24 @@ def _failures(spark, d):
     return every.withColumn("elements", F.when(F.col("ord") % 9 != 0, F.col("elements")).otherwise(F.array().cast(writers.FAILURE_ELEMENTS)))
 
 
-@query("failure_coco", """WITH f AS (SELECT event_id // 8 AS ord, event_id, event_type, value, dense_rank() OVER (ORDER BY event_id // 8) AS image_no FROM events), k AS (SELECT * FROM f WHERE ord % 9 <> 0)
-SELECT image_no, row_number() OVER (ORDER BY event_id) AS annotation_no, CASE event_type WHEN 'view' THEN 2 ELSE 1 END::BIGINT AS category_id, round(value, 6) AS x, round(value * 2 * value, 6) AS area, round(value / 100, 6) AS score FROM k""")
+@query("failure_coco", """WITH f AS (SELECT event_id // 8 AS ord, event_id, event_type, value, dense_rank() OVER (ORDER BY event_id // 8) AS image_no
+ FROM events), k AS (SELECT * FROM f WHERE ord % 9 <> 0)
+SELECT image_no, row_number() OVER (ORDER BY event_id) AS annotation_no, CASE event_type WHEN 'view' THEN 2 ELSE 1 END::BIGINT AS category_id,
+ round(value, 6) AS x, round(value * 2 * value, 6) AS area, round(value / 100, 6) AS score FROM k""")
 def failure_coco(spark, d):
     out = writers.failure_annotations(_failures(spark, d), ["click", "view"])
     return out.select("image_no", "annotation_no", "category_id", F.round("x", 6).alias("x"), F.round("area", 6).alias("area"), F.round("score", 6).alias("score"))
 
 
-@query("failure_count", "SELECT count(*) AS failures, count(*) FILTER (WHERE n = 0) AS empty FROM (SELECT event_id // 8 AS ord, count(*) FILTER (WHERE (event_id // 8) % 9 <> 0) AS n FROM events GROUP BY 1)")
+@query("failure_count", """SELECT count(*) AS failures, count(*) FILTER (WHERE n = 0) AS empty
+ FROM (SELECT event_id // 8 AS ord, count(*) FILTER (WHERE (event_id // 8) % 9 <> 0) AS n FROM events GROUP BY 1)""")
 def failure_count(spark, d):
     return _failures(spark, d).agg(F.count("*").alias("failures"), F.count_if(F.size("elements") == 0).alias("empty"))
 
 
-@query("extract_manifest", """WITH h AS (SELECT DISTINCT event_id // 3 AS g FROM events) SELECT (SELECT count(*) FROM events) AS raw_count, (SELECT count(*) FROM h) AS dedup_count, (SELECT count(*) FROM events) - (SELECT count(*) FROM h) AS dropped_count, least(25, (SELECT count(*) FROM h)) AS sample_count""")
+@query("extract_manifest", """WITH h AS (SELECT DISTINCT event_id // 3 AS g FROM events) SELECT (SELECT count(*) FROM events) AS raw_count, (SELECT count(*)
+ FROM h) AS dedup_count, (SELECT count(*) FROM events) - (SELECT count(*) FROM h) AS dropped_count, least(25, (SELECT count(*)
+ FROM h)) AS sample_count""")
 def extract_manifest(spark, d):
     """Three events in a row stand for near-equal frames; 25 of what is left are sampled."""
     raw = table(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 3).alias("g"))
@@ -135,17 +148,20 @@ def _relabeled(spark, d):
 RELABEL_SQL = "t AS (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0 ORDER BY vec_id LIMIT 150)"
 
 
-@query("relabel", f"WITH {RELABEL_SQL} SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN vec_id % 4 <> 0 THEN 'prim_' || (vec_id % 3) END AS primitive_id FROM t")
+@query("relabel", f"""WITH {RELABEL_SQL} SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE
+ WHEN vec_id % 4 <> 0 THEN 'prim_' || (vec_id % 3) END AS primitive_id FROM t""")
 def relabel(spark, d):
     return _relabeled(spark, d).select("vec_id", "status", F.col("chosen.primitive_id").alias("primitive_id"))
 
 
-@query("relabel_counts", f"WITH {RELABEL_SQL} SELECT count(*) AS processed, count(*) FILTER (WHERE vec_id % 4 <> 0) AS success, count(*) FILTER (WHERE vec_id % 4 = 0) AS failed FROM t")
+@query("relabel_counts", f"""WITH {RELABEL_SQL} SELECT count(*) AS processed, count(*) FILTER (WHERE vec_id % 4 <> 0) AS success, count(*) FILTER (WHERE vec_id % 4 = 0) AS failed
+ FROM t""")
 def relabel_counts(spark, d):
     return teaching.relabel_counts(_relabeled(spark, d))
 
 
-@query("review_queue", f"WITH {EFFECTIVE_SQL} SELECT sample_id, CASE WHEN confidence >= 0.9 THEN 'approved' ELSE 'review' END AS decision, CASE WHEN confidence < 0.9 THEN round(confidence, 6) END AS priority FROM eff WHERE review_status = 'pending' AND vec_id % 13 <> 0")
+@query("review_queue", f"""WITH {EFFECTIVE_SQL} SELECT sample_id, CASE WHEN confidence >= 0.9 THEN 'approved' ELSE 'review' END AS decision, CASE
+ WHEN confidence < 0.9 THEN round(confidence, 6) END AS priority FROM eff WHERE review_status = 'pending' AND vec_id % 13 <> 0""")
 def review_queue(spark, d):
     """The queue of what is labeled, pending and no duplicate, by confidence alone."""
     confidence = F.col("label.confidence")
@@ -153,7 +169,8 @@ def review_queue(spark, d):
 
 
 @query("prelabel_coco", f"""WITH {BOXES_SQL}, p AS (SELECT vec_id, dense_rank() OVER (ORDER BY vec_id // 20) AS image_no, x1, x2, y1, y2 FROM boxes)
-SELECT image_no, row_number() OVER (ORDER BY vec_id) AS annotation_no, round(x1, 6) AS x, round((x2 - x1) * (y2 - y1), 6) AS area, 0.5::DOUBLE AS score FROM p WHERE vec_id % 20 < 3""")
+SELECT image_no, row_number() OVER (ORDER BY vec_id) AS annotation_no, round(x1, 6) AS x, round((x2 - x1) * (y2 - y1), 6) AS area,
+ 0.5::DOUBLE AS score FROM p WHERE vec_id % 20 < 3""")
 def prelabel_coco(spark, d):
     """The first three boxes of twenty stand for a model's candidates of an image."""
     b = boxes(spark, d).withColumn("image", F.floor(F.col("vec_id") / 20)).withColumn("at", (F.col("vec_id") % 20).cast("int"))
@@ -162,7 +179,8 @@ def prelabel_coco(spark, d):
     return out.select("image_no", "annotation_no", F.round("x", 6).alias("x"), F.round("area", 6).alias("area"), "score")
 
 
-@query("analyze_frames", """SELECT event_id, CASE event_type WHEN 'click' THEN 'drag' WHEN 'view' THEN 'type,click' ELSE 'click' END AS affordances, CASE event_type WHEN 'click' THEN 'drag' WHEN 'view' THEN 'type' ELSE 'button' END AS element_type FROM events WHERE value / 100 >= 0.25""")
+@query("analyze_frames", """SELECT event_id, CASE event_type WHEN 'click' THEN 'drag' WHEN 'view' THEN 'type,click' ELSE 'click' END AS affordances, CASE event_type
+ WHEN 'click' THEN 'drag' WHEN 'view' THEN 'type' ELSE 'button' END AS element_type FROM events WHERE value / 100 >= 0.25""")
 def analyze_frames(spark, d):
     """Events as detections: clicks are sliders, views are text fields, other types aren't known."""
     kind = F.when(F.col("event_type") == "click", "Slider").when(F.col("event_type") == "view", "TEXT_FIELD").otherwise(F.col("event_type"))

@@ -10,8 +10,10 @@ from loomframe.runtime import table
 
 LEADERS_SQL = """WITH RECURSIVE {hashes}, o AS (SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, h FROM hashes),
 r(k, leads, ids, found) AS (SELECT 0::BIGINT, []::UBIGINT[], []::BIGINT[], NULL::BIGINT UNION ALL
-SELECT o.k, CASE WHEN m.i IS NULL THEN list_append(r.leads, o.h) ELSE r.leads END, CASE WHEN m.i IS NULL THEN list_append(r.ids, o.vec_id) ELSE r.ids END, CASE WHEN m.i IS NULL THEN o.vec_id ELSE r.ids[m.i] END
-FROM r JOIN o ON o.k = r.k + 1, LATERAL (SELECT min(i) AS i FROM (SELECT unnest(range(1, len(r.leads) + 1)) AS i) WHERE bit_count(xor(r.leads[i], o.h)) <= {most}) m),
+SELECT o.k, CASE WHEN m.i IS NULL THEN list_append(r.leads, o.h) ELSE r.leads END, CASE WHEN m.i IS NULL THEN list_append(r.ids, o.vec_id)
+ ELSE r.ids END, CASE WHEN m.i IS NULL THEN o.vec_id ELSE r.ids[m.i] END
+FROM r JOIN o ON o.k = r.k + 1, LATERAL (SELECT min(i) AS i FROM (SELECT unnest(range(1, len(r.leads) + 1)) AS i)
+ WHERE bit_count(xor(r.leads[i], o.h)) <= {most}) m),
 l AS (SELECT o.vec_id, r.found AS leader FROM r JOIN o USING (k) WHERE r.k > 0)
 """
 
@@ -21,7 +23,8 @@ def phash_bits(spark, d):
     return hashes(spark, d).select("vec_id", F.lower(F.hex("h")).alias("hash"))
 
 
-@query("hamming_pairs", f"WITH {HASHES_SQL} SELECT a.vec_id AS before, b.vec_id AS after, bit_count(xor(a.h, b.h))::INT AS distance FROM hashes a JOIN hashes b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 15")
+@query("hamming_pairs", f"""WITH {HASHES_SQL} SELECT a.vec_id AS before, b.vec_id AS after, bit_count(xor(a.h, b.h))::INT AS distance FROM hashes a
+ JOIN hashes b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 15""")
 def hamming_pairs(spark, d):
     return dedup.close_pairs(hashes(spark, d), "h", "vec_id", 15)
 
@@ -55,16 +58,20 @@ def exact_text_groups(spark, d):
 
 
 @query("iou_nms", f"""WITH RECURSIVE {BOXES_SQL}, o AS (SELECT *, vec_id // 20 AS image, row_number() OVER (PARTITION BY vec_id // 20 ORDER BY vec_id) AS k FROM boxes),
-r(image, k, kept, ok) AS (SELECT image, 0::BIGINT, []::STRUCT(vec_id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[], false FROM (SELECT DISTINCT image FROM o) UNION ALL
-SELECT o.image, o.k, CASE WHEN c.n = 0 THEN list_append(r.kept, {{'vec_id': o.vec_id, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}}) ELSE r.kept END, c.n = 0
-FROM r JOIN o ON o.image = r.image AND o.k = r.k + 1, LATERAL (SELECT count(*) AS n FROM (SELECT unnest(r.kept) AS p) WHERE {IOU_SQL.format(a="p", b="o")} >= 0.6) c)
+r(image, k, kept, ok) AS (SELECT image, 0::BIGINT, []::STRUCT(vec_id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[], false
+ FROM (SELECT DISTINCT image FROM o) UNION ALL
+SELECT o.image, o.k, CASE WHEN c.n = 0 THEN list_append(r.kept, {{'vec_id': o.vec_id, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}})
+ ELSE r.kept END, c.n = 0
+FROM r JOIN o ON o.image = r.image AND o.k = r.k + 1, LATERAL (SELECT count(*) AS n FROM (SELECT unnest(r.kept) AS p)
+ WHERE {IOU_SQL.format(a="p", b="o")} >= 0.6) c)
 SELECT image, vec_id FROM r JOIN o USING (image, k) WHERE ok""")
 def iou_nms(spark, d):
     """Twenty vectors in a row stand for one image."""
     return dedup.suppress_overlaps(boxes(spark, d).withColumn("image", F.floor(F.col("vec_id") / 20)), "image", "vec_id", 0.6)
 
 
-@query("drift_min_distance", f"""WITH {HASHES_SQL}, r AS (SELECT h FROM hashes WHERE vec_id < 10), m AS (SELECT a.vec_id, min(bit_count(xor(a.h, r.h)))::INT AS distance FROM hashes a, r GROUP BY a.vec_id)
+@query("drift_min_distance", f"""WITH {HASHES_SQL}, r AS (SELECT h FROM hashes WHERE vec_id < 10), m AS (SELECT a.vec_id, min(bit_count(xor(a.h, r.h)))::INT AS distance
+ FROM hashes a, r GROUP BY a.vec_id)
 SELECT vec_id, distance, distance / 64.0 AS drift_score, distance / 64.0 > 12 / 64.0 AS is_drifted FROM m""")
 def drift_min_distance(spark, d):
     """The first ten hashes are the known screens."""

@@ -34,12 +34,20 @@ POINTS_SQL = "pts AS (SELECT vec_id, greatest(0, least(1, embedding[1]::DOUBLE *
 HITS_SQL = f"{ROI_SQL}, {POINTS_SQL}, hits AS (SELECT pts.*, coalesce((SELECT list(roi_name ORDER BY roi_name) FROM rois WHERE px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2), []) AS roi_hits FROM pts)"
 HOTKEY_SQL = f"{HITS_SQL}, {ELEM_SQL}, hk AS (SELECT hits.*, (SELECT arg_min(function_id, ord) FROM elems WHERE hits.key IS NOT NULL AND len(list_filter(hotkeys, lambda h: contains(upper(h), upper(hits.key)))) > 0) AS hot FROM hits)"
 LABELS_SQL = f"""{HOTKEY_SQL}, {SIT_SQL},
-al AS (SELECT hk.*, coalesce((SELECT flatten(list(prims ORDER BY ord)) FROM sits WHERE list_has_any(regions, roi_hits)), []) AS allowed, action = 'press' AND upper(trim(coalesce(key, ''))) IN ('ENTER', 'RETURN', 'ESC', 'ESCAPE') AS pop FROM hk),
+al AS (SELECT hk.*, coalesce((SELECT flatten(list(prims ORDER BY ord)) FROM sits
+ WHERE list_has_any(regions, roi_hits)), []) AS allowed, action = 'press' AND upper(trim(coalesce(key, ''))) IN ('ENTER', 'RETURN', 'ESC',
+ 'ESCAPE') AS pop FROM hk),
 pr AS (SELECT *, CASE WHEN hot IS NOT NULL THEN hot WHEN len(allowed) > 0 THEN allowed[1] WHEN pop THEN 'popup_primitive' END AS primitive_id,
-  CASE WHEN hot IS NOT NULL THEN 'hotkey_match' WHEN len(allowed) = 1 THEN 'roi_match' WHEN len(allowed) > 1 THEN 'roi_ambiguous' WHEN pop THEN 'default_popup_key' END AS by1 FROM al),
-st AS (SELECT *, (SELECT arg_min(situation_id, ord) FROM sits WHERE list_contains(prims, primitive_id) AND list_has_any(regions, roi_hits)) AS s1, (SELECT arg_min(situation_id, ord) FROM sits WHERE list_contains(prims, primitive_id)) AS s2 FROM pr),
-sc AS (SELECT st.*, coalesce(s1, s2) AS situation_id, CASE WHEN s1 IS NOT NULL THEN 'roi_match' WHEN s2 IS NOT NULL THEN 'primitive_default' END AS by2, (SELECT screens[1] FROM sits WHERE sits.situation_id = coalesce(s1, s2)) AS screen_type FROM st),
-lab AS (SELECT vec_id, primitive_id, situation_id, screen_type, concat_ws(',', by1, by2) AS signals, round(least(0.75, (primitive_id IS NOT NULL)::INT * 0.35 + (situation_id IS NOT NULL)::INT * 0.25 + (screen_type IS NOT NULL)::INT * 0.10 + coalesce(by1 = 'hotkey_match', false)::INT * 0.20 + (coalesce(by1 = 'roi_match', false) OR coalesce(by2 = 'roi_match', false))::INT * 0.15), 6)::DOUBLE AS confidence FROM sc)"""
+  CASE WHEN hot IS NOT NULL THEN 'hotkey_match' WHEN len(allowed) = 1 THEN 'roi_match' WHEN len(allowed) > 1 THEN 'roi_ambiguous'
+ WHEN pop THEN 'default_popup_key' END AS by1 FROM al),
+st AS (SELECT *, (SELECT arg_min(situation_id, ord) FROM sits
+ WHERE list_contains(prims, primitive_id) AND list_has_any(regions, roi_hits)) AS s1, (SELECT arg_min(situation_id, ord) FROM sits
+ WHERE list_contains(prims, primitive_id)) AS s2 FROM pr),
+sc AS (SELECT st.*, coalesce(s1, s2) AS situation_id, CASE WHEN s1 IS NOT NULL THEN 'roi_match'
+ WHEN s2 IS NOT NULL THEN 'primitive_default' END AS by2, (SELECT screens[1] FROM sits WHERE sits.situation_id = coalesce(s1, s2)) AS screen_type
+ FROM st),
+lab AS (SELECT vec_id, primitive_id, situation_id, screen_type, concat_ws(',', by1, by2) AS signals, round(least(0.75,
+ (primitive_id IS NOT NULL)::INT * 0.35 + (situation_id IS NOT NULL)::INT * 0.25 + (screen_type IS NOT NULL)::INT * 0.10 + coalesce(by1 = 'hotkey_match', false)::INT * 0.20 + (coalesce(by1 = 'roi_match', false) OR coalesce(by2 = 'roi_match', false))::INT * 0.15), 6)::DOUBLE AS confidence FROM sc)"""
 
 
 def _points(spark, d):
@@ -76,9 +84,11 @@ def primitive_counts(spark, d):
     return quality.counted(_local(spark, d), F.col("primitive_id"), "primitive_id")
 
 
-@query("ontology_map", f"""WITH {ELEM_SQL}, t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'btn_map' ELSE 'x' END AS pid, CASE p_partkey % 5 WHEN 1 THEN ' BTN_CLOSE ' WHEN 2 THEN 'the build list here' WHEN 3 THEN 'turn' ELSE NULL END AS ptext FROM part),
+@query("ontology_map", f"""WITH {ELEM_SQL}, t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'btn_map' ELSE 'x' END AS pid, CASE p_partkey % 5 WHEN 1 THEN ' BTN_CLOSE '
+ WHEN 2 THEN 'the build list here' WHEN 3 THEN 'turn' ELSE NULL END AS ptext FROM part),
 n AS (SELECT *, lower(trim(coalesce(ptext, ''))) AS x FROM t)
-SELECT p_partkey, coalesce((SELECT arg_min(semantic_id, ord) FROM elems WHERE semantic_id = pid), (SELECT arg_min(semantic_id, ord) FROM elems WHERE x <> '' AND lower(semantic_id) = x),
+SELECT p_partkey, coalesce((SELECT arg_min(semantic_id, ord) FROM elems WHERE semantic_id = pid), (SELECT arg_min(semantic_id, ord) FROM elems
+ WHERE x <> '' AND lower(semantic_id) = x),
  (SELECT arg_min(semantic_id, ord) FROM elems WHERE x <> '' AND (contains(description, x) OR contains(x, description)))) AS mapped_id FROM n""")
 def ontology_map(spark, d):
     m = F.col("p_partkey") % 5
@@ -86,9 +96,11 @@ def ontology_map(spark, d):
     return labels.ontology_match(rows, _dims(spark)[2], "pid", "ptext").select("p_partkey", "mapped_id")
 
 
-@query("roi_crop", f"""WITH {ROI_SQL}, c AS (SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'idle' WHEN 1 THEN 'overview' ELSE NULL END AS sid, CASE WHEN vec_id % 4 = 2 THEN 'minimap' END AS own FROM embeddings),
+@query("roi_crop", f"""WITH {ROI_SQL}, c AS (SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'idle' WHEN 1 THEN 'overview' ELSE NULL END AS sid, CASE
+ WHEN vec_id % 4 = 2 THEN 'minimap' END AS own FROM embeddings),
 n AS (SELECT vec_id, coalesce(own, CASE sid WHEN 'idle' THEN 'end_turn_zone' WHEN 'overview' THEN 'minimap' END, 'top_bar') AS roi_name FROM c),
-b AS (SELECT vec_id, greatest(0, least(1919, round_even(x1 * 1920, 0)::INT)) AS x1, greatest(0, least(1079, round_even(y1 * 1080, 0)::INT)) AS y1, round_even(x2 * 1920, 0)::INT AS x2, round_even(y2 * 1080, 0)::INT AS y2 FROM n JOIN rois USING (roi_name))
+b AS (SELECT vec_id, greatest(0, least(1919, round_even(x1 * 1920, 0)::INT)) AS x1, greatest(0, least(1079, round_even(y1 * 1080, 0)::INT)) AS y1,
+ round_even(x2 * 1920, 0)::INT AS x2, round_even(y2 * 1080, 0)::INT AS y2 FROM n JOIN rois USING (roi_name))
 SELECT vec_id, x1, y1, greatest(x1 + 1, least(1920, x2)) AS x2, greatest(y1 + 1, least(1080, y2)) AS y2 FROM b""")
 def roi_crop(spark, d):
     rois, situations, _ = _dims(spark)
@@ -119,26 +131,33 @@ def samples(spark, d):
 
 
 #: Flat view of the effective labels of samples() in SQL.
-EFFECTIVE_SQL = """b0 AS (SELECT vec_id, label AS cls, embedding[1]::DOUBLE * 1000 AS x1, embedding[2]::DOUBLE * 1000 AS y1, embedding[1]::DOUBLE * 1000 + abs(embedding[3]::DOUBLE) * 1000 AS x2, embedding[2]::DOUBLE * 1000 + abs(embedding[4]::DOUBLE) * 1000 AS y2, vec_id % 9 AS m FROM embeddings),
-eff AS (SELECT vec_id, cls, 'session_' || cls AS session_id, 'sample_' || lpad(vec_id::VARCHAR, 6, '0') AS sample_id, CASE WHEN m = 3 THEN 'city' ELSE 'map' END AS screen_type,
+EFFECTIVE_SQL = """b0 AS (SELECT vec_id, label AS cls, embedding[1]::DOUBLE * 1000 AS x1, embedding[2]::DOUBLE * 1000 AS y1,
+ embedding[1]::DOUBLE * 1000 + abs(embedding[3]::DOUBLE) * 1000 AS x2, embedding[2]::DOUBLE * 1000 + abs(embedding[4]::DOUBLE) * 1000 AS y2,
+ vec_id % 9 AS m FROM embeddings),
+eff AS (SELECT vec_id, cls, 'session_' || cls AS session_id, 'sample_' || lpad(vec_id::VARCHAR, 6, '0') AS sample_id, CASE WHEN m = 3 THEN 'city'
+ ELSE 'map' END AS screen_type,
  CASE WHEN m IN (0, 3) THEN NULL WHEN vec_id % 6 <> 5 THEN 'sit_' || (vec_id % 4) END AS situation_id,
- CASE WHEN m = 0 THEN 'fixed' WHEN m = 6 THEN 'fn_new' WHEN m = 3 THEN coalesce(CASE WHEN vec_id % 7 <> 6 THEN 'prim_' || (vec_id % 5) END, CASE WHEN vec_id % 4 = 0 THEN 'fn_0' ELSE 'fn_1' END) WHEN vec_id % 7 <> 6 THEN 'prim_' || (vec_id % 5) END AS primitive_id,
- CASE WHEN m = 6 THEN 1 WHEN vec_id % 4 = 0 THEN 1 ELSE 2 END AS n_elements, CASE WHEN m = 6 THEN 9.0 WHEN m = 3 THEN 30.0 WHEN vec_id % 4 = 0 THEN x2 ELSE x2 + 5 END AS primary_x2,
- CASE WHEN vec_id % 3 = 0 THEN 'edited' WHEN vec_id % 10 = 1 THEN 'rejected' WHEN vec_id % 10 = 2 THEN 'approved' ELSE 'pending' END AS review_status, (vec_id % 11) / 10.0 AS confidence, x1, y1, x2, y2, m FROM b0)"""
+ CASE WHEN m = 0 THEN 'fixed' WHEN m = 6 THEN 'fn_new' WHEN m = 3 THEN coalesce(CASE WHEN vec_id % 7 <> 6 THEN 'prim_' || (vec_id % 5) END, CASE
+ WHEN vec_id % 4 = 0 THEN 'fn_0' ELSE 'fn_1' END) WHEN vec_id % 7 <> 6 THEN 'prim_' || (vec_id % 5) END AS primitive_id,
+ CASE WHEN m = 6 THEN 1 WHEN vec_id % 4 = 0 THEN 1 ELSE 2 END AS n_elements, CASE WHEN m = 6 THEN 9.0 WHEN m = 3 THEN 30.0 WHEN vec_id % 4 = 0 THEN x2
+ ELSE x2 + 5 END AS primary_x2,
+ CASE WHEN vec_id % 3 = 0 THEN 'edited' WHEN vec_id % 10 = 1 THEN 'rejected' WHEN vec_id % 10 = 2 THEN 'approved' ELSE 'pending' END AS review_status,
+ (vec_id % 11) / 10.0 AS confidence, x1, y1, x2, y2, m FROM b0)"""
 
 
 def effective(spark, d):
     return labels.effective_label(samples(spark, d))
 
 
-@query("effective_label", f"WITH {EFFECTIVE_SQL} SELECT vec_id, screen_type, situation_id, primitive_id, n_elements, round(primary_x2, 6) AS primary_x2 FROM eff")
+@query("effective_label", f"""WITH {EFFECTIVE_SQL} SELECT vec_id, screen_type, situation_id, primitive_id, n_elements, round(primary_x2, 6) AS primary_x2 FROM eff""")
 def effective_label(spark, d):
     flat = labels.flat_fields(F.col("label"))
     return effective(spark, d).select("vec_id", flat["screen_type"].alias("screen_type"), flat["situation_id"].alias("situation_id"), flat["primitive_id"].alias("primitive_id"), F.size("label.elements").alias("n_elements"), F.round(flat["bbox_x_max"], 6).alias("primary_x2"))
 
 
 QUALITY_SQL = """dup AS (SELECT *, doc_id > min(doc_id) OVER (PARTITION BY text) AS dup FROM documents),
-q AS (SELECT d.doc_id, l.doc_id IS NOT NULL AS labeled, l.quality, l.toxic, length(text) < 400 AS short, d.lang <> 'en' AS foreign_, dup FROM dup d LEFT JOIN labels l USING (doc_id))"""
+q AS (SELECT d.doc_id, l.doc_id IS NOT NULL AS labeled, l.quality, l.toxic, length(text) < 400 AS short, d.lang <> 'en' AS foreign_, dup FROM dup d
+ LEFT JOIN labels l USING (doc_id))"""
 
 
 def _documents(spark, d):
@@ -168,26 +187,34 @@ def flag_counts(spark, d):
     return quality.flag_counts(_flagged(spark, d))
 
 
-@query("merge_flags", f"WITH {FLAGS_SQL}, b AS (SELECT doc_id, dup, list_filter(flags, lambda x: x <> 'duplicate_non_representative') AS o FROM f) SELECT doc_id, array_to_string(list_concat(list_concat(o, CASE WHEN list_contains(o, 'quality_issue') THEN []::VARCHAR[] ELSE ['quality_issue'] END), CASE WHEN dup THEN ['duplicate_non_representative'] ELSE []::VARCHAR[] END), ',') AS flags FROM b")
+@query("merge_flags", f"""WITH {FLAGS_SQL}, b AS (SELECT doc_id, dup, list_filter(flags, lambda x: x <> 'duplicate_non_representative') AS o FROM f)
+ SELECT doc_id, array_to_string(list_concat(list_concat(o, CASE WHEN list_contains(o, 'quality_issue') THEN []::VARCHAR[] ELSE ['quality_issue'] END),
+ CASE WHEN dup THEN ['duplicate_non_representative'] ELSE []::VARCHAR[] END), ',') AS flags FROM b""")
 def merge_flags(spark, d):
     merged = quality.merge_flags(F.col("flags"), F.array(F.lit("quality_issue")), ~F.col("dup"))
     return _flagged(spark, d).select("doc_id", F.array_join(merged, ",").alias("flags"))
 
 
-@query("filter_cascade", f"WITH {QUALITY_SQL} SELECT CASE WHEN foreign_ THEN 'invalid_action' WHEN short THEN 'quality' WHEN coalesce(toxic = 1, false) THEN 'transition' WHEN dup THEN 'dedup' ELSE 'kept' END AS drop_stage, count(*) AS n FROM q GROUP BY 1")
+@query("filter_cascade", f"""WITH {QUALITY_SQL} SELECT CASE WHEN foreign_ THEN 'invalid_action' WHEN short THEN 'quality' WHEN coalesce(toxic = 1, false) THEN 'transition'
+ WHEN dup THEN 'dedup' ELSE 'kept' END AS drop_stage, count(*) AS n FROM q GROUP BY 1""")
 def filter_cascade(spark, d):
     stages = {"invalid_action": F.col("foreign_"), "quality": F.col("short"), "transition": F.col("toxic") == 1, "dedup": F.col("dup")}
     return quality.drop_counts(quality.cascade(_documents(spark, d), stages))
 
 
-@query("persist_rejections", f"WITH {QUALITY_SQL} SELECT doc_id, CASE WHEN (short OR foreign_) AND doc_id % 4 <> 0 THEN 'rejected' WHEN doc_id % 4 = 0 THEN 'approved' ELSE 'pending' END AS review_status FROM q")
+@query("persist_rejections", f"""WITH {QUALITY_SQL} SELECT doc_id, CASE WHEN (short OR foreign_) AND doc_id % 4 <> 0 THEN 'rejected' WHEN doc_id % 4 = 0 THEN 'approved'
+ ELSE 'pending' END AS review_status FROM q""")
 def persist_rejections(spark, d):
     rows = _documents(spark, d).withColumn("review_status", F.when(F.col("doc_id") % 4 == 0, "approved").otherwise("pending"))
     return quality.reject_dropped(rows, rows.where("NOT short AND NOT foreign_"), "doc_id").select("doc_id", "review_status")
 
 
-@query("dataset_stats", f"""WITH {EFFECTIVE_SQL} SELECT count(*) AS total, count(*) AS labeled, 0::BIGINT AS unlabeled, count(*) FILTER (WHERE review_status = 'approved') AS approved, count(*) FILTER (WHERE review_status = 'edited') AS edited, count(*) FILTER (WHERE review_status = 'rejected') AS rejected,
-count(*) FILTER (WHERE review_status = 'pending') AS pending, round(avg(confidence), 6) AS avg_confidence, count(*) FILTER (WHERE primitive_id IS NULL) AS missing_primitive_id, count(*) FILTER (WHERE situation_id IS NULL) AS missing_situation_id, count(*) FILTER (WHERE vec_id % 13 = 0) AS duplicates FROM eff""")
+@query("dataset_stats", f"""WITH {EFFECTIVE_SQL} SELECT count(*) AS total, count(*) AS labeled, 0::BIGINT AS unlabeled,
+ count(*) FILTER (WHERE review_status = 'approved') AS approved, count(*) FILTER (WHERE review_status = 'edited') AS edited,
+ count(*) FILTER (WHERE review_status = 'rejected') AS rejected,
+count(*) FILTER (WHERE review_status = 'pending') AS pending, round(avg(confidence), 6) AS avg_confidence,
+ count(*) FILTER (WHERE primitive_id IS NULL) AS missing_primitive_id, count(*) FILTER (WHERE situation_id IS NULL) AS missing_situation_id,
+ count(*) FILTER (WHERE vec_id % 13 = 0) AS duplicates FROM eff""")
 def dataset_stats(spark, d):
     rows = effective(spark, d).withColumn("flags", F.when(F.col("vec_id") % 13 == 0, F.array(F.lit(quality.DUPLICATE))))
     flat = labels.flat_fields(F.col("label"))
@@ -201,7 +228,9 @@ def situation_counts(spark, d):
     return quality.counted(situations, F.col("situation"), "situation_id")
 
 
-@query("teacher_apply", f"WITH {EFFECTIVE_SQL} SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'taught' ELSE CASE WHEN vec_id % 7 <> 6 THEN 'prim_' || (vec_id % 5) END END AS primitive_id, CASE WHEN vec_id % 6 <> 5 THEN 'sit_' || (vec_id % 4) END AS situation_id, CASE WHEN vec_id % 2 = 0 AND vec_id % 3 = 0 THEN confidence WHEN vec_id % 2 = 0 THEN 0.9 ELSE confidence END AS confidence FROM eff")
+@query("teacher_apply", f"""WITH {EFFECTIVE_SQL} SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'taught' ELSE CASE
+ WHEN vec_id % 7 <> 6 THEN 'prim_' || (vec_id % 5) END END AS primitive_id, CASE WHEN vec_id % 6 <> 5 THEN 'sit_' || (vec_id % 4) END AS situation_id,
+ CASE WHEN vec_id % 2 = 0 AND vec_id % 3 = 0 THEN confidence WHEN vec_id % 2 = 0 THEN 0.9 ELSE confidence END AS confidence FROM eff""")
 def teacher_apply(spark, d):
     s = samples(spark, d)
     even = s.where("vec_id % 2 = 0").select("vec_id", F.struct(F.lit("taught").alias("primitive_id"), F.lit("").alias("situation_id"), F.lit(None).cast("string").alias("screen_type"), F.lit("minimap").alias("roi_name"), F.when(F.col("vec_id") % 3 == 0, 0.0).otherwise(0.9).alias("confidence")).alias("chosen"), F.lit("[]").alias("route_candidates"))

@@ -26,13 +26,16 @@ def query(name: str, sql: str | None = None):
 
 #: Boxes from the first four components of each vector, in thousandths: the stand-in for screen elements.
 BOXES_SQL = """boxes AS (SELECT vec_id, label, embedding, embedding[1]::DOUBLE * 1000 AS x1, embedding[2]::DOUBLE * 1000 AS y1,
-  embedding[1]::DOUBLE * 1000 + abs(embedding[3]::DOUBLE) * 1000 AS x2, embedding[2]::DOUBLE * 1000 + abs(embedding[4]::DOUBLE) * 1000 AS y2 FROM embeddings)"""
+  embedding[1]::DOUBLE * 1000 + abs(embedding[3]::DOUBLE) * 1000 AS x2, embedding[2]::DOUBLE * 1000 + abs(embedding[4]::DOUBLE) * 1000 AS y2
+ FROM embeddings)"""
 #: IoU of boxes a and b in SQL.
-IOU_SQL = """(SELECT CASE WHEN u <= 0 THEN 0 ELSE i / u END FROM (SELECT i, greatest(0, {a}.x2 - {a}.x1) * greatest(0, {a}.y2 - {a}.y1) + greatest(0, {b}.x2 - {b}.x1) * greatest(0, {b}.y2 - {b}.y1) - i AS u
+IOU_SQL = """(SELECT CASE WHEN u <= 0 THEN 0 ELSE i / u END FROM (SELECT i, greatest(0, {a}.x2 - {a}.x1) * greatest(0, {a}.y2 - {a}.y1) + greatest(0,
+ {b}.x2 - {b}.x1) * greatest(0, {b}.y2 - {b}.y1) - i AS u
   FROM (SELECT greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1)) AS i)))"""
 #: 64-bit hashes of the vectors as coefficient blocks.
 HASHES_SQL = """med AS (SELECT vec_id, label, embedding, list_sort(embedding[2:64])[32] AS m FROM embeddings),
-hashes AS (SELECT vec_id, label, list_sum([CASE WHEN embedding[i] > m THEN (1::HUGEINT << (64 - i)) ELSE 0 END for i in range(1, 65)])::UBIGINT AS h FROM med)"""
+hashes AS (SELECT vec_id, label, list_sum([CASE WHEN embedding[i] > m THEN (1::HUGEINT << (64 - i)) ELSE 0 END for i in range(1, 65)])::UBIGINT AS h
+ FROM med)"""
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:

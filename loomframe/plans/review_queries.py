@@ -11,7 +11,9 @@ from loomframe.plans.registry import BOXES_SQL, EVENTS_SQL, IOU_SQL, boxes, even
 from loomframe.runtime import table
 
 AMBIGUITY_SQL = f"""{BOXES_SQL}, s AS (SELECT *, vec_id // 20 AS image, (vec_id % 97) / 97.0 AS score FROM boxes),
-a AS (SELECT vec_id, image, round(CASE WHEN EXISTS (SELECT 1 FROM s o WHERE o.image = s.image AND o.vec_id <> s.vec_id AND {IOU_SQL.format(a='o', b='s')} > 0.3) THEN least(1, 1 - score + 0.2) ELSE 1 - score END, 4) AS uncertainty FROM s)"""
+a AS (SELECT vec_id, image, round(CASE WHEN EXISTS (SELECT 1 FROM s o
+ WHERE o.image = s.image AND o.vec_id <> s.vec_id AND {IOU_SQL.format(a='o', b='s')} > 0.3) THEN least(1, 1 - score + 0.2) ELSE 1 - score END,
+ 4) AS uncertainty FROM s)"""
 
 
 def _unsure(spark, d):
@@ -34,11 +36,15 @@ def review_topn(spark, d):
     return review.top_uncertain(_unsure(spark, d).withColumn("reviewed", F.col("vec_id") % 5 == 0), 10, "uncertainty", "vec_id", "reviewed").select("vec_id", "uncertainty")
 
 
-PRIORITY_SQL = """base AS (SELECT event_id, value / 100 AS conf, event_id % 3 = 0 AS mp, event_id % 5 = 0 AS ms, event_id % 7 = 0 AS rep, event_id % 11 AS hard, event_id % 13 = 0 AS conflict, event_id % 17 = 0 AS popup, [0.5, 0.5 - (event_id % 30) / 100.0] AS cands FROM events),
-p AS (SELECT event_id, conf, greatest(0, conf - (CASE WHEN mp THEN 0.35 ELSE 0 END + CASE WHEN ms THEN 0.25 ELSE 0 END + CASE WHEN rep THEN 0.1 ELSE 0 END + least(0.2, 0.05 * hard) + CASE WHEN conflict THEN 0.15 ELSE 0 END + CASE WHEN popup THEN 0.25 ELSE 0 END + CASE WHEN cands[1] - cands[2] < 0.1 THEN 0.2 WHEN cands[1] - cands[2] < 0.2 THEN 0.1 ELSE 0 END)) AS priority FROM base)"""
+PRIORITY_SQL = """base AS (SELECT event_id, value / 100 AS conf, event_id % 3 = 0 AS mp, event_id % 5 = 0 AS ms, event_id % 7 = 0 AS rep, event_id % 11 AS hard,
+ event_id % 13 = 0 AS conflict, event_id % 17 = 0 AS popup, [0.5, 0.5 - (event_id % 30) / 100.0] AS cands FROM events),
+p AS (SELECT event_id, conf, greatest(0, conf - (CASE WHEN mp THEN 0.35 ELSE 0 END + CASE WHEN ms THEN 0.25 ELSE 0 END + CASE WHEN rep THEN 0.1
+ ELSE 0 END + least(0.2, 0.05 * hard) + CASE WHEN conflict THEN 0.15 ELSE 0 END + CASE WHEN popup THEN 0.25 ELSE 0 END + CASE
+ WHEN cands[1] - cands[2] < 0.1 THEN 0.2 WHEN cands[1] - cands[2] < 0.2 THEN 0.1 ELSE 0 END)) AS priority FROM base)"""
 
 
-@query("review_priority", f"WITH {PRIORITY_SQL} SELECT event_id, CASE WHEN conf >= 0.45 THEN 'approved' ELSE 'review' END AS decision, CASE WHEN conf < 0.45 THEN round(priority, 6) END AS priority FROM p")
+@query("review_priority", f"""WITH {PRIORITY_SQL} SELECT event_id, CASE WHEN conf >= 0.45 THEN 'approved' ELSE 'review' END AS decision, CASE WHEN conf < 0.45 THEN round(priority,
+ 6) END AS priority FROM p""")
 def review_priority(spark, d):
     n = F.col("event_id")
     flags = F.array_compact(F.array(F.when(n % 3 == 0, "missing_primitive_id"), F.when(n % 5 == 0, "missing_situation_id")))
@@ -48,7 +54,8 @@ def review_priority(spark, d):
     return out.select("event_id", "decision", F.round("priority", 6).alias("priority"))
 
 
-@query("queue_stats", "SELECT count(*) AS total, count(*) FILTER (WHERE value > 20) AS reviewed, count(*) FILTER (WHERE value <= 20) AS pending, count(*) FILTER (WHERE value > 20 AND event_id % 2 = 0) AS with_corrections FROM events")
+@query("queue_stats", """SELECT count(*) AS total, count(*) FILTER (WHERE value > 20) AS reviewed, count(*) FILTER (WHERE value <= 20) AS pending,
+ count(*) FILTER (WHERE value > 20 AND event_id % 2 = 0) AS with_corrections FROM events""")
 def queue_stats(spark, d):
     return review.queue_stats(table(spark, d, "events"), F.col("value") > 20, F.col("event_id") % 2 == 0)
 
@@ -59,14 +66,16 @@ def latest_decision(spark, d):
     return review.latest_decision(e, "user_id", "version")
 
 
-@query("mark_reviewed", "WITH k AS (SELECT event_id, user_id, value > 30 AS reviewed, row_number() OVER (PARTITION BY user_id, value > 30 ORDER BY event_id) AS k FROM events) SELECT event_id, reviewed OR (NOT reviewed AND k = 1 AND user_id % 2 = 0) AS reviewed FROM k")
+@query("mark_reviewed", """WITH k AS (SELECT event_id, user_id, value > 30 AS reviewed, row_number() OVER (PARTITION BY user_id, value > 30 ORDER BY event_id) AS k FROM events)
+ SELECT event_id, reviewed OR (NOT reviewed AND k = 1 AND user_id % 2 = 0) AS reviewed FROM k""")
 def mark_reviewed(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", (F.col("value") > 30).alias("reviewed"), F.lit(None).cast("string").alias("corrections"))
     decided = e.where("user_id % 2 = 0").select("user_id").distinct().withColumn("corrections", F.lit("{}"))
     return review.mark_reviewed(e, decided, "user_id", "event_id").select("event_id", "reviewed")
 
 
-@query("candidate_choices", "SELECT event_id, array_to_string(list_distinct_keep, ',') AS choices FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ['b', 'a', 'x', 'y'] ELSE ['cur', 'b', 'a', 'x', 'y'] END AS list_distinct_keep FROM events)")
+@query("candidate_choices", """SELECT event_id, array_to_string(list_distinct_keep, ',') AS choices
+ FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ['b', 'a', 'x', 'y'] ELSE ['cur', 'b', 'a', 'x', 'y'] END AS list_distinct_keep FROM events)""")
 def candidate_choices(spark, d):
     c = lambda r, conf, v: F.struct(F.lit(r).alias("rank"), F.lit(conf).alias("confidence"), F.lit(v).alias("value"))
     cands = F.array(c(2, 0.9, "a"), c(1, 0.2, "b"), c(2, 0.5, "b"), c(3, 0.9, "z"))
@@ -93,7 +102,7 @@ def json_clean(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object(T.clean_json(fenced), "$.k").cast("int").alias("k"))
 
 
-@query("event_labels", "SELECT event_id, CASE event_type WHEN 'click' THEN 'button' END AS label, upper(event_type[1]) || event_type[2:] AS pretty FROM events")
+@query("event_labels", """SELECT event_id, CASE event_type WHEN 'click' THEN 'button' END AS label, upper(event_type[1]) || event_type[2:] AS pretty FROM events""")
 def event_labels(spark, d):
     return table(spark, d, "events").select("event_id", T.event_label(F.col("event_type")).alias("label"), T.prettify(F.col("event_type")).alias("pretty"))
 
@@ -104,18 +113,20 @@ def split_sessions(spark, d):
     return split.by_session(table(spark, d, "documents"), "source", "doc_id", F.col("doc_id")).select("doc_id", "split")
 
 
-@query("split_rows", """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k, count(*) OVER () AS n FROM events) SELECT event_id, CASE WHEN k > n - greatest(1, round_even(n * 0.1, 0)) THEN 'val' ELSE 'train' END AS split FROM r""")
+@query("split_rows", """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k, count(*) OVER () AS n FROM events)
+ SELECT event_id, CASE WHEN k > n - greatest(1, round_even(n * 0.1, 0)) THEN 'val' ELSE 'train' END AS split FROM r""")
 def split_rows(spark, d):
     e = table(spark, d, "events").withColumn("session", F.lit("samples")).withColumn("sid", T.sample_id(F.col("event_id")))
     return split.by_session(e, "session", "sid", T.numeric_suffix(F.col("sid"))).select("event_id", "split")
 
 
-@query("split_head_tail", """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS k, count(*) OVER () AS n FROM events) SELECT event_id, CASE WHEN k <= trunc(n * 0.9) THEN 'train' ELSE 'val' END AS split FROM r""")
+@query("split_head_tail", """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS k, count(*) OVER () AS n FROM events)
+ SELECT event_id, CASE WHEN k <= trunc(n * 0.9) THEN 'train' ELSE 'val' END AS split FROM r""")
 def split_head_tail(spark, d):
     return split.head_tail(table(spark, d, "events"), ["ts", "event_id"]).select("event_id", "split")
 
 
-@query("every_nth", "WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS k FROM events) SELECT event_id FROM r WHERE k % 10 = 0 AND k < 5000")
+@query("every_nth", """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS k FROM events) SELECT event_id FROM r WHERE k % 10 = 0 AND k < 5000""")
 def every_nth(spark, d):
     return split.every_nth(table(spark, d, "events"), ["ts", "event_id"], 10, 500).select("event_id")
 
@@ -127,10 +138,16 @@ def hash_sample(spark, d):
 
 
 JUDGE_SQL = f"""{BOXES_SQL}, j0 AS (SELECT vec_id, x1, y1, x2, y2, x1 + (vec_id % 60) AS cx, y1 + 5 AS cy, (vec_id % 10) / 10.0 AS conf FROM boxes),
-j1 AS (SELECT *, x2 - x1 AS bw, y2 - y1 AS bh, greatest(0, (x2 - x1) * (y2 - y1)) / (1920 * 1080) AS ratio, coalesce(cx BETWEEN x1 AND x2 AND cy BETWEEN y1 AND y2, false) AS inside FROM j0),
+j1 AS (SELECT *, x2 - x1 AS bw, y2 - y1 AS bh, greatest(0, (x2 - x1) * (y2 - y1)) / (1920 * 1080) AS ratio, coalesce(cx BETWEEN x1 AND x2
+ AND cy BETWEEN y1 AND y2, false) AS inside FROM j0),
 j2 AS (SELECT *, CASE WHEN bw > 0 AND bh > 0 THEN greatest(bw / bh, bh / bw) END AS aspect FROM j1),
-j AS (SELECT vec_id, inside, conf, CASE WHEN bw <= 0 OR bh <= 0 THEN 0 ELSE greatest(0, least(1, 1 - CASE WHEN ratio < 0.0001 THEN 0.3 ELSE 0 END - CASE WHEN ratio > 0.5 THEN 0.3 ELSE 0 END - CASE WHEN aspect IS NULL OR aspect > 10 THEN 0.2 ELSE 0 END - CASE WHEN NOT inside THEN 0.3 ELSE 0 END - CASE WHEN conf < 0.3 THEN 0.2 ELSE 0 END)) END AS score,
- array_to_string(list_filter([CASE WHEN ratio < 0.0001 THEN 'bbox_too_small' END, CASE WHEN ratio > 0.5 THEN 'bbox_too_large' END, CASE WHEN aspect IS NULL OR aspect > 10 THEN 'extreme_aspect_ratio' END, CASE WHEN NOT inside THEN 'click_outside_bbox' END, CASE WHEN conf < 0.3 THEN 'low_confidence' END, CASE WHEN bw <= 0 OR bh <= 0 THEN 'degenerate_bbox' END], lambda x: x IS NOT NULL), ',') AS penalties FROM j2),
+j AS (SELECT vec_id, inside, conf, CASE WHEN bw <= 0 OR bh <= 0 THEN 0 ELSE greatest(0, least(1, 1 - CASE WHEN ratio < 0.0001 THEN 0.3
+ ELSE 0 END - CASE WHEN ratio > 0.5 THEN 0.3 ELSE 0 END - CASE WHEN aspect IS NULL OR aspect > 10 THEN 0.2 ELSE 0 END - CASE WHEN NOT inside THEN 0.3
+ ELSE 0 END - CASE WHEN conf < 0.3 THEN 0.2 ELSE 0 END)) END AS score,
+ array_to_string(list_filter([CASE WHEN ratio < 0.0001 THEN 'bbox_too_small' END, CASE WHEN ratio > 0.5 THEN 'bbox_too_large' END, CASE
+ WHEN aspect IS NULL OR aspect > 10 THEN 'extreme_aspect_ratio' END, CASE WHEN NOT inside THEN 'click_outside_bbox' END, CASE
+ WHEN conf < 0.3 THEN 'low_confidence' END, CASE WHEN bw <= 0 OR bh <= 0 THEN 'degenerate_bbox' END], lambda x: x IS NOT NULL), ',') AS penalties
+ FROM j2),
 en AS (SELECT vec_id, round(0.6 * ((vec_id * 37 % 101) / 101.0) + 0.4 * score, 6) AS score FROM j)"""
 
 
@@ -158,22 +175,31 @@ def rank_judgments(spark, d):
     return improve.ranked(_ensemble(spark, d), "score", "vec_id").select("vec_id", "rank")
 
 
-@query("pref_top_bottom", f"WITH {JUDGE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS k, count(*) OVER () AS n FROM en) SELECT a.vec_id AS chosen, b.vec_id AS rejected, a.score AS chosen_score, b.score AS rejected_score FROM r a JOIN r b ON a.k <= greatest(1, trunc(a.n * 0.3)) AND b.k > b.n - greatest(1, trunc(b.n * 0.3)) AND a.score - b.score >= 0.1")
+@query("pref_top_bottom", f"""WITH {JUDGE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS k, count(*) OVER () AS n FROM en)
+ SELECT a.vec_id AS chosen, b.vec_id AS rejected, a.score AS chosen_score, b.score AS rejected_score FROM r a
+ JOIN r b ON a.k <= greatest(1, trunc(a.n * 0.3)) AND b.k > b.n - greatest(1, trunc(b.n * 0.3)) AND a.score - b.score >= 0.1""")
 def pref_top_bottom(spark, d):
     return improve.top_bottom_pairs(_ensemble(spark, d), "vec_id", "score", "vec_id")
 
 
-@query("pref_pairwise", f"WITH {JUDGE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS k, score - lead(score) OVER (ORDER BY score DESC, vec_id) AS gap FROM en) SELECT a.vec_id AS chosen, b.vec_id AS rejected, a.score AS chosen_score, b.score AS rejected_score FROM r a JOIN r b ON a.k < b.k WHERE a.gap >= 0.1")
+@query("pref_pairwise", f"""WITH {JUDGE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS k, score - lead(score) OVER (ORDER BY score DESC, vec_id) AS gap
+ FROM en) SELECT a.vec_id AS chosen, b.vec_id AS rejected, a.score AS chosen_score, b.score AS rejected_score FROM r a JOIN r b ON a.k < b.k
+ WHERE a.gap >= 0.1""")
 def pref_pairwise(spark, d):
     return improve.ranked_pairs(_ensemble(spark, d), "vec_id", "score", "vec_id")
 
 
-@query("pref_margin", f"WITH {JUDGE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS k FROM en) SELECT a.vec_id AS chosen, b.vec_id AS rejected, a.score AS chosen_score, b.score AS rejected_score FROM r a JOIN r b ON a.k < b.k AND a.score - b.score >= 0.1")
+@query("pref_margin", f"""WITH {JUDGE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS k FROM en)
+ SELECT a.vec_id AS chosen, b.vec_id AS rejected, a.score AS chosen_score, b.score AS rejected_score FROM r a
+ JOIN r b ON a.k < b.k AND a.score - b.score >= 0.1""")
 def pref_margin(spark, d):
     return improve.margin_pairs(_ensemble(spark, d), "vec_id", "score", "vec_id")
 
 
-@query("preference_records", f"WITH {JUDGE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS k, count(*) OVER () AS n FROM en) SELECT a.vec_id AS chosen, b.vec_id AS rejected, CASE WHEN a.vec_id % 2 = 0 THEN 'detect the UI element' ELSE 'text' END AS chosen_prompt FROM r a JOIN r b ON a.k <= greatest(1, trunc(a.n * 0.3)) AND b.k > b.n - greatest(1, trunc(b.n * 0.3)) AND a.score - b.score >= 0.1 WHERE a.vec_id % 3 <> 0 AND b.vec_id % 3 <> 0")
+@query("preference_records", f"""WITH {JUDGE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS k, count(*) OVER () AS n FROM en)
+ SELECT a.vec_id AS chosen, b.vec_id AS rejected, CASE WHEN a.vec_id % 2 = 0 THEN 'detect the UI element' ELSE 'text' END AS chosen_prompt FROM r a
+ JOIN r b ON a.k <= greatest(1, trunc(a.n * 0.3)) AND b.k > b.n - greatest(1, trunc(b.n * 0.3)) AND a.score - b.score >= 0.1
+ WHERE a.vec_id % 3 <> 0 AND b.vec_id % 3 <> 0""")
 def preference_records(spark, d):
     pairs = improve.top_bottom_pairs(_ensemble(spark, d), "vec_id", "score", "vec_id")
     known = boxes(spark, d).where("vec_id % 3 <> 0").select("vec_id", F.when(F.col("vec_id") % 2 == 0, "").otherwise("text").alias("prompt"), F.array("x1", "y1", "x2", "y2").alias("box"), T.sample_id(F.col("vec_id")).alias("path"))
@@ -189,22 +215,25 @@ def _history(spark, d):
     return split.numbered(days, ["day"], "it", groups=1).select((F.col("it") + 1).alias("it"), "score")
 
 
-@query("iteration_trend", f"WITH {HISTORY_SQL} SELECT it, CASE WHEN it <= 1 THEN ' ' WHEN abs(score - lag(score) OVER (ORDER BY it)) < 0.001 THEN '=' WHEN score > lag(score) OVER (ORDER BY it) THEN '^' ELSE 'v' END AS trend FROM h")
+@query("iteration_trend", f"""WITH {HISTORY_SQL} SELECT it, CASE WHEN it <= 1 THEN ' ' WHEN abs(score - lag(score) OVER (ORDER BY it)) < 0.001 THEN '='
+ WHEN score > lag(score) OVER (ORDER BY it) THEN '^' ELSE 'v' END AS trend FROM h""")
 def iteration_trend(spark, d):
     return improve.trends(_history(spark, d), "score", "it").select("it", "trend")
 
 
-@query("best_iteration", f"WITH {HISTORY_SQL} SELECT (SELECT it FROM h ORDER BY score DESC, it LIMIT 1) AS best, max(score) AS best_score, max(it) AS last FROM h")
+@query("best_iteration", f"""WITH {HISTORY_SQL} SELECT (SELECT it FROM h ORDER BY score DESC, it LIMIT 1) AS best, max(score) AS best_score, max(it) AS last FROM h""")
 def best_iteration(spark, d):
     return improve.best_iteration(_history(spark, d), "score", "it")
 
 
-@query("stalled", f"WITH {HISTORY_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY it DESC) AS k FROM h) SELECT count(*) >= 4 AS stalled, count(*) >= 4 AND max(score) FILTER (WHERE k <= 3) - max(score) FILTER (WHERE k > 3) <= 0.01 AS no_gain FROM r")
+@query("stalled", f"""WITH {HISTORY_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY it DESC) AS k FROM h)
+ SELECT count(*) >= 4 AS stalled, count(*) >= 4 AND max(score) FILTER (WHERE k <= 3) - max(score) FILTER (WHERE k > 3) <= 0.01 AS no_gain FROM r""")
 def stalled(spark, d):
     return improve.stalled(_history(spark, d), "score", "it", 3, 0.01)
 
 
-@query("improved_flags", f"WITH {HISTORY_SQL} SELECT it, coalesce(score > max(score) OVER (ORDER BY it ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM h")
+@query("improved_flags", f"""WITH {HISTORY_SQL} SELECT it, coalesce(score > max(score) OVER (ORDER BY it ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved
+ FROM h""")
 def improved_flags(spark, d):
     return improve.improved(_history(spark, d), "score", "it").select("it", "improved")
 
@@ -214,7 +243,8 @@ def last_best_epoch(spark, d):
     return improve.last_best(_history(spark, d).withColumn("score", F.round("score")), "score", "it")
 
 
-@query("weight_search", f"WITH {JUDGE_SQL}, c AS (SELECT * FROM (VALUES (1, 0.2), (2, 0.5), (3, 0.9)) t(candidate, w)) SELECT candidate, round(avg(w * score + (1 - w) * conf), 6) AS value FROM j, c GROUP BY 1")
+@query("weight_search", f"""WITH {JUDGE_SQL}, c AS (SELECT * FROM (VALUES (1, 0.2), (2, 0.5), (3, 0.9)) t(candidate, w))
+ SELECT candidate, round(avg(w * score + (1 - w) * conf), 6) AS value FROM j, c GROUP BY 1""")
 def weight_search(spark, d):
     cands = spark.createDataFrame([(1, 0.2), (2, 0.5), (3, 0.9)], "candidate int, w double")
     out = improve.search_weights(_judged(spark, d), cands, F.col("w") * F.col("j.score") + (1 - F.col("w")) * F.col("conf"))
@@ -227,27 +257,33 @@ def normalized_weights(spark, d):
     return table(spark, d, "events").select("event_id", F.round(improve.normalize_weights(w)["a"], 6).alias("a"))
 
 
-@query("confidence_window", f"WITH {EVENTS_SQL} SELECT event_id, count(value) OVER w AS window_n, round(avg(value) OVER w, 9) AS window_mean FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
+@query("confidence_window", f"""WITH {EVENTS_SQL} SELECT event_id, count(value) OVER w AS window_n, round(avg(value) OVER w, 9) AS window_mean
+ FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""")
 def confidence_window(spark, d):
     e = events(spark, d).withColumn("o", F.struct("ms", "event_id"))
     return monitor.confidence_window(e, "value", "o", "user_id").select("event_id", "window_n", F.round("window_mean", 9).alias("window_mean"))
 
 
-@query("drift_latch", f"WITH {EVENTS_SQL} SELECT event_id, max(value > 60) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS latched FROM ev")
+@query("drift_latch", f"""WITH {EVENTS_SQL} SELECT event_id, max(value > 60) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING
+ AND CURRENT ROW) AS latched FROM ev""")
 def drift_latch(spark, d):
     e = events(spark, d).withColumn("o", F.struct("ms", "event_id")).withColumn("flag", F.col("value") > 60)
     return monitor.latch(e, "flag", "o", "user_id").select("event_id", "latched")
 
 
-@query("frame_signals", "WITH f AS (SELECT event_id // 8 AS frame, list(value / 100) AS s FROM events GROUP BY 1), g AS (SELECT frame, coalesce(list_avg(s), 0) AS m, len(list_filter(s, lambda x: x < 0.25)) AS u, len(s) AS n FROM f) SELECT frame, round(m, 9) AS mean_confidence, u::INT AS uncertain_count, m < 0.25 OR u > n / 2 AS should_collect FROM g")
+@query("frame_signals", """WITH f AS (SELECT event_id // 8 AS frame, list(value / 100) AS s FROM events
+ GROUP BY 1), g AS (SELECT frame, coalesce(list_avg(s), 0) AS m, len(list_filter(s, lambda x: x < 0.25)) AS u, len(s) AS n FROM f)
+ SELECT frame, round(m, 9) AS mean_confidence, u::INT AS uncertain_count, m < 0.25 OR u > n / 2 AS should_collect FROM g""")
 def frame_signals(spark, d):
     f = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 8).alias("frame")).agg(F.collect_list(F.col("value") / 100).alias("s"))
     g = monitor.frame_signals(F.col("s"))
     return f.select("frame", F.round(g["mean_confidence"], 9).alias("mean_confidence"), g["uncertain_count"].alias("uncertain_count"), monitor.should_collect(F.lit(False), g["mean_confidence"], g["uncertain_count"], F.size("s")).alias("should_collect"))
 
 
-@query("retrain_decision", """WITH c AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS f, count(*) FILTER (WHERE event_type = 'signup') AS c, max(value) > 80 AS d FROM events GROUP BY 1)
-SELECT user_id, f >= 22 OR c >= 20 OR d AS should_retrain, coalesce(nullif(concat_ws('; ', CASE WHEN f >= 22 THEN 'failures=' || f || '>=22' END, CASE WHEN c >= 20 THEN 'corrections=' || c || '>=20' END, CASE WHEN d THEN 'drift_detected' END), ''), 'no retrain conditions met') AS reason,
+@query("retrain_decision", """WITH c AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS f, count(*) FILTER (WHERE event_type = 'signup') AS c, max(value) > 80 AS d
+ FROM events GROUP BY 1)
+SELECT user_id, f >= 22 OR c >= 20 OR d AS should_retrain, coalesce(nullif(concat_ws('; ', CASE WHEN f >= 22 THEN 'failures=' || f || '>=22' END, CASE
+ WHEN c >= 20 THEN 'corrections=' || c || '>=20' END, CASE WHEN d THEN 'drift_detected' END), ''), 'no retrain conditions met') AS reason,
 CASE WHEN NOT (f >= 22 OR c >= 20 OR d) THEN 'none' WHEN d THEN 'full' ELSE 'incremental' END AS recommended_strategy FROM c""")
 def retrain_decision(spark, d):
     c = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("f"), F.count_if(F.col("event_type") == "signup").alias("c"), (F.max("value") > 80).alias("d"))

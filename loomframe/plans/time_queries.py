@@ -19,7 +19,8 @@ FRAMES_SQL = "frames AS (SELECT unnest(range((SELECT floor(min(ms) / 60000)::BIG
 
 
 @query("nearest_frame_join", f"""WITH {EVENTS_SQL}, {FRAMES_SQL},
-c AS (SELECT event_id, frame_no, abs(ms - frame_ms) AS gap, row_number() OVER (PARTITION BY event_id ORDER BY abs(ms - frame_ms), frame_no) AS k FROM ev JOIN fr ON abs(ms - frame_ms) <= 20000 WHERE event_type = 'click')
+c AS (SELECT event_id, frame_no, abs(ms - frame_ms) AS gap, row_number() OVER (PARTITION BY event_id ORDER BY abs(ms - frame_ms), frame_no) AS k
+ FROM ev JOIN fr ON abs(ms - frame_ms) <= 20000 WHERE event_type = 'click')
 SELECT event_id, frame_no, round(gap, 3) AS time_delta FROM c WHERE k = 1""")
 def nearest_frame_join(spark, d):
     clicks = events(spark, d).where("event_type = 'click'").select("event_id", "ms")
@@ -27,8 +28,10 @@ def nearest_frame_join(spark, d):
     return out.select("event_id", "frame_no", F.round("time_delta", 3).alias("time_delta"))
 
 
-@query("nearest_frame_unbounded", f"""WITH {EVENTS_SQL}, v AS (SELECT user_id, event_id, ms FROM ev WHERE event_type = 'view'), c AS (SELECT user_id, event_id, ms FROM ev WHERE event_type = 'click'),
-p AS (SELECT c.event_id, v.ms AS frame_ts, row_number() OVER (PARTITION BY c.event_id ORDER BY abs(v.ms - c.ms), v.ms) AS k FROM c JOIN v USING (user_id))
+@query("nearest_frame_unbounded", f"""WITH {EVENTS_SQL}, v AS (SELECT user_id, event_id, ms FROM ev WHERE event_type = 'view'), c AS (SELECT user_id, event_id, ms FROM ev
+ WHERE event_type = 'click'),
+p AS (SELECT c.event_id, v.ms AS frame_ts, row_number() OVER (PARTITION BY c.event_id ORDER BY abs(v.ms - c.ms), v.ms) AS k FROM c
+ JOIN v USING (user_id))
 SELECT event_id, round(frame_ts, 3) AS frame_ts FROM p WHERE k = 1""")
 def nearest_frame_unbounded(spark, d):
     e = events(spark, d).select("user_id", "event_id", "ms", "event_type")
@@ -37,7 +40,8 @@ def nearest_frame_unbounded(spark, d):
 
 
 @query("interval_clip_join", f"""WITH {EVENTS_SQL}
-SELECT c.event_id AS click_id, v.event_id AS view_id, CASE WHEN v.ms <= c.ms THEN 'pre' ELSE 'post' END AS clip FROM ev c JOIN ev v ON c.user_id = v.user_id AND v.ms BETWEEN c.ms - 3600000 AND c.ms + 3600000
+SELECT c.event_id AS click_id, v.event_id AS view_id, CASE WHEN v.ms <= c.ms THEN 'pre' ELSE 'post' END AS clip FROM ev c
+ JOIN ev v ON c.user_id = v.user_id AND v.ms BETWEEN c.ms - 3600000 AND c.ms + 3600000
 WHERE c.event_type = 'click' AND v.event_type = 'view'""")
 def interval_clip_join(spark, d):
     e = events(spark, d)
@@ -54,19 +58,25 @@ def double_click(spark, d):
     return temporal.double_clicks(clicks, "user_id", "ms", "event_id", within_ms=3_600_000.0).select("event_id", "is_double")
 
 
-@query("hover_throttle", f"""WITH RECURSIVE {EVENTS_SQL}, v AS (SELECT user_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS k FROM ev WHERE event_type = 'view'),
+@query("hover_throttle", f"""WITH RECURSIVE {EVENTS_SQL}, v AS (SELECT user_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS k FROM ev
+ WHERE event_type = 'view'),
 r AS (SELECT user_id, k, ms AS last, true AS emit FROM v WHERE k = 1 UNION ALL
-SELECT v.user_id, v.k, CASE WHEN v.ms - r.last >= 21600000 THEN v.ms ELSE r.last END, v.ms - r.last >= 21600000 FROM r JOIN v ON v.user_id = r.user_id AND v.k = r.k + 1)
+SELECT v.user_id, v.k, CASE WHEN v.ms - r.last >= 21600000 THEN v.ms ELSE r.last END, v.ms - r.last >= 21600000 FROM r
+ JOIN v ON v.user_id = r.user_id AND v.k = r.k + 1)
 SELECT user_id, round(last, 3) AS emitted FROM r WHERE emit""")
 def hover_throttle(spark, d):
     views = events(spark, d).where("event_type = 'view'")
     return temporal.throttle(views, "user_id", "ms", "event_id", 21_600_000.0).select("user_id", F.round("emitted", 3).alias("emitted"))
 
 
-@query("gesture_classify", f"""WITH {EVENTS_SQL}, n AS (SELECT *, lead(ms) OVER w AS t2, lead(event_type) OVER w AS k2, lead(value) OVER w AS v2 FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
-g AS (SELECT event_id, user_id, t2, abs(v2 - value) AS dist, t2 - ms AS dur, CASE WHEN event_id % 7 = 0 THEN 'right' ELSE 'left' END AS b FROM n WHERE event_type = 'click' AND k2 <> 'click' AND k2 IS NOT NULL),
-q AS (SELECT event_id, t2 - lag(t2) OVER (PARTITION BY user_id ORDER BY t2, event_id) <= 43200000 AS dbl FROM g WHERE dist <= 50 AND b <> 'right' AND dur < 7200000)
-SELECT g.event_id, CASE WHEN dist > 50 THEN 'drag' WHEN b = 'right' THEN 'right_click' WHEN dur >= 7200000 THEN 'hold' WHEN coalesce(dbl, false) THEN 'double_click' ELSE 'click' END AS action FROM g LEFT JOIN q USING (event_id)""")
+@query("gesture_classify", f"""WITH {EVENTS_SQL}, n AS (SELECT *, lead(ms) OVER w AS t2, lead(event_type) OVER w AS k2, lead(value) OVER w AS v2
+ FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
+g AS (SELECT event_id, user_id, t2, abs(v2 - value) AS dist, t2 - ms AS dur, CASE WHEN event_id % 7 = 0 THEN 'right' ELSE 'left' END AS b FROM n
+ WHERE event_type = 'click' AND k2 <> 'click' AND k2 IS NOT NULL),
+q AS (SELECT event_id, t2 - lag(t2) OVER (PARTITION BY user_id ORDER BY t2, event_id) <= 43200000 AS dbl FROM g
+ WHERE dist <= 50 AND b <> 'right' AND dur < 7200000)
+SELECT g.event_id, CASE WHEN dist > 50 THEN 'drag' WHEN b = 'right' THEN 'right_click' WHEN dur >= 7200000 THEN 'hold' WHEN coalesce(dbl,
+ false) THEN 'double_click' ELSE 'click' END AS action FROM g LEFT JOIN q USING (event_id)""")
 def gesture_classify(spark, d):
     """A click row is a press, the user's next row of another kind its release; the value axis stands for position."""
     w = Window.partitionBy("user_id").orderBy("ms", "event_id")
@@ -84,13 +94,16 @@ def clip_summary(spark, d):
     return temporal.clip_summary(e, "user_id", "k", "value", 60.0).select("user_id", F.col("effect").cast("long").alias("effect"), F.col("stable").cast("long").alias("stable"))
 
 
-@query("ring_latest", f"""WITH {EVENTS_SQL}, r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ms DESC) AS k FROM ev) SELECT user_id, event_id FROM r WHERE k <= 5""")
+@query("ring_latest", f"""WITH {EVENTS_SQL}, r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ms DESC) AS k FROM ev) SELECT user_id, event_id
+ FROM r WHERE k <= 5""")
 def ring_latest(spark, d):
     return temporal.latest_per_key(events(spark, d), "user_id", "ms", 5).select("user_id", "event_id")
 
 
-@query("record_samples", f"""WITH {EVENTS_SQL}, c AS (SELECT user_id, event_id, ms FROM ev WHERE event_type = 'click'), v AS (SELECT user_id, event_id AS f, ms AS fms FROM ev WHERE event_type = 'view')
-SELECT c.event_id, coalesce(arg_max(f, fms) FILTER (WHERE fms <= ms), -1) AS pre_frame, arg_max(f, fms) FILTER (WHERE fms <= ms + 7200000) AS post_frame, count(*) FILTER (WHERE fms BETWEEN ms - 3600000 AND ms) AS pre_clip
+@query("record_samples", f"""WITH {EVENTS_SQL}, c AS (SELECT user_id, event_id, ms FROM ev WHERE event_type = 'click'), v AS (SELECT user_id, event_id AS f, ms AS fms FROM ev
+ WHERE event_type = 'view')
+SELECT c.event_id, coalesce(arg_max(f, fms) FILTER (WHERE fms <= ms), -1) AS pre_frame, arg_max(f,
+ fms) FILTER (WHERE fms <= ms + 7200000) AS post_frame, count(*) FILTER (WHERE fms BETWEEN ms - 3600000 AND ms) AS pre_clip
 FROM c JOIN v ON c.user_id = v.user_id AND fms BETWEEN ms - 86400000 AND ms + 7200000 GROUP BY c.event_id""")
 def record_samples(spark, d):
     """The recorder in batch form: newest frame before the click, newest frame after a delay, frames of the clip before."""
@@ -108,8 +121,10 @@ def tumbling_ext(spark, d):
     return e.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
-@query("session_ext", f"""WITH {EVENTS_SQL}, g AS (SELECT user_id, ms, CASE WHEN ms - lag(ms) OVER w > 3600000 OR lag(ms) OVER w IS NULL THEN 1 ELSE 0 END AS s, row_number() OVER w AS k FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
-i AS (SELECT user_id, ms, sum(s) OVER (PARTITION BY user_id ORDER BY k) AS session FROM g) SELECT user_id, session::BIGINT AS session, count(*) AS n FROM i GROUP BY ALL""")
+@query("session_ext", f"""WITH {EVENTS_SQL}, g AS (SELECT user_id, ms, CASE WHEN ms - lag(ms) OVER w > 3600000 OR lag(ms) OVER w IS NULL THEN 1 ELSE 0 END AS s,
+ row_number() OVER w AS k FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
+i AS (SELECT user_id, ms, sum(s) OVER (PARTITION BY user_id ORDER BY k) AS session FROM g) SELECT user_id, session::BIGINT AS session, count(*) AS n
+ FROM i GROUP BY ALL""")
 def session_ext(spark, d):
     """Extension: sessions of a user with gaps of at most an hour."""
     w = Window.partitionBy("user_id").orderBy("ms", "event_id")
