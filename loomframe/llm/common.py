@@ -139,7 +139,14 @@ def per_document(fn: Callable[[str], tuple], schema: pa.Schema, keep: tuple[str,
 
 def ddl(schema: pa.Schema) -> str:
     """The same schema for Spark."""
-    plain = {pa.int64(): "bigint", pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean", pa.binary(): "binary"}
+    plain = {
+        pa.int64(): "bigint",
+        pa.int32(): "int",
+        pa.float64(): "double",
+        pa.string(): "string",
+        pa.bool_(): "boolean",
+        pa.binary(): "binary",
+    }
     names = plain | {pa.list_(t): f"array<{name}>" for t, name in plain.items()}
     return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
 

@@ -30,7 +30,9 @@ SPACES = re.compile("[ \t-\r]+")
 _ODD = re.compile("[\t-\r]|  ")
 LOCAL = pa.schema([("ids", pa.list_(pa.int64())), ("first", pa.int64()), ("n", pa.int64()), ("sha", pa.binary()), ("content", pa.binary())])
 #: Members (rid and gid) and groups (gid and the rest) in one table.
-GROUPS = pa.schema([("rid", pa.int64()), ("gid", pa.int64()), ("keep_rid", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+GROUPS = pa.schema(
+    [("rid", pa.int64()), ("gid", pa.int64()), ("keep_rid", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())]
+)
 #: Bytes of texts that a scan task holds for collapsing, and most ids of one of its rows.
 HELD, MOST_IDS = 24 << 20, 10_000
 

@@ -21,8 +21,19 @@ from loomframe.llm.common import ddl, scratch, ship
 from loomframe.llm.components import connected_components
 
 SUMS = pa.schema([("dim", pa.int32()), ("k", pa.int64()), ("value", pa.float64())])
-PLACED = pa.schema([("rid", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("n", pa.int64()), ("cells", pa.list_(pa.int64())), ("vector", pa.binary())])
-BLOCKS = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("low", pa.list_(pa.int64())), ("high", pa.list_(pa.int64())), ("data", pa.binary())])
+PLACED = pa.schema(
+    [
+        ("rid", pa.int64()),
+        ("label", pa.int64()),
+        ("dim", pa.int32()),
+        ("n", pa.int64()),
+        ("cells", pa.list_(pa.int64())),
+        ("vector", pa.binary()),
+    ]
+)
+BLOCKS = pa.schema(
+    [("label", pa.int64()), ("dim", pa.int32()), ("low", pa.list_(pa.int64())), ("high", pa.list_(pa.int64())), ("data", pa.binary())]
+)
 FOUND = pa.schema([("rid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 LEAF = 256
 
@@ -50,7 +61,9 @@ def _sums(it):
             u = np.hstack([_unit(matrix), np.ones((len(matrix), 1))])
             totals[dim] = totals.get(dim, 0) + u.T @ u
     for dim, m in totals.items():
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(m.size, dim, np.int32)), pa.array(np.arange(m.size)), pa.array(m.ravel())], schema=SUMS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(m.size, dim, np.int32)), pa.array(np.arange(m.size)), pa.array(m.ravel())], schema=SUMS,
+        )
 
 
 def principal(vectors: DataFrame, leading: int) -> dict[int, np.ndarray]:
@@ -77,7 +90,17 @@ def _place(axes, eps):
                 for i, row in enumerate(rows):
                     cells[row], data[row] = c[i].tolist(), matrix[i].astype("<f4").tobytes()
                 dims[rows] = dim
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("label"), pa.array(dims), batch.column("n"), pa.array(cells, pa.list_(pa.int64())), pa.array(data, pa.binary())], schema=PLACED)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("rid"),
+                    batch.column("label"),
+                    pa.array(dims),
+                    batch.column("n"),
+                    pa.array(cells, pa.list_(pa.int64())),
+                    pa.array(data, pa.binary()),
+                ],
+                schema=PLACED,
+            )
 
     return run
 
@@ -204,7 +227,15 @@ def _join(axes, least, eps):
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, leading: int = 6, block_rows: int = 2048) -> DataFrame:
+def near_vectors(
+    vectors: DataFrame,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    label_col: str = "label",
+    least: float = 0.93,
+    leading: int = 6,
+    block_rows: int = 2048,
+) -> DataFrame:
     """id_col, n_links, component_id, kept: one row per vector.
 
     Vectors link when their labels are equal and not null and their cosine in double precision is `least` or more. A
@@ -215,7 +246,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     spark = vectors.sparkSession
     ship(spark)
     eps = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("embedding"), F.col(label_col).cast("bigint").alias("label"))
+    rows = vectors.select(
+        F.col(id_col).cast("bigint").alias("id"),
+        F.col(vector_col).cast("array<float>").alias("embedding"),
+        F.col(label_col).cast("bigint").alias("label"),
+    )
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = F.coalesce(F.col("label").isNotNull() & ~odd & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good, rest = rows.where(fine), rows.where(~fine)
@@ -228,18 +263,24 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     blocks = scratch(blocks.withColumn("block", F.monotonically_increasing_id()), "vector-blocks")
     meta = blocks.select("block", "label", "dim", "low", "high")
     near = _meeting(meta)
-    one, two = blocks.select(F.col("block").alias("one"), F.col("data").alias("left")), blocks.select(F.col("block").alias("two"), F.col("data").alias("right"))
+    one, two = blocks.select(F.col("block").alias("one"), F.col("data").alias("left")), blocks.select(
+        F.col("block").alias("two"), F.col("data").alias("right"),
+    )
     joined = near.join(one, "one").join(two, "two").select("dim", "one", "two", "left", "right")
     found = scratch(joined.mapInArrow(_join(axes, least, eps), ddl(FOUND)), "vector-links")
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select("rid", "root"), "rid", "root").withColumnRenamed("node", "rid")
     named = distinct.select("rid", "label", "embedding", "n", "least_id").join(parts, "rid", "left").join(links, "rid", "left")
-    named = named.withColumn("component", F.coalesce("component", "rid")).withColumn("n_links", F.col("n") - 1 + F.coalesce("links", F.lit(0)))
+    named = named.withColumn("component", F.coalesce("component", "rid")).withColumn(
+        "n_links", F.col("n") - 1 + F.coalesce("links", F.lit(0)),
+    )
     smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = named.join(smallest, "component").select("label", "embedding", "n_links", "component_id")
     out = good.join(named, ["label", "embedding"]).select("id", "n_links", "component_id")
     out = out.unionByName(rest.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select(
+        F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"),
+    )
 
 
 def _meeting(meta: DataFrame) -> DataFrame:
@@ -254,7 +295,9 @@ def _meeting(meta: DataFrame) -> DataFrame:
         first = df.withColumn("c1", F.explode(covered(0, margin)))
         return first.withColumn("c2", F.explode(F.when(F.size("low") > 1, covered(1, margin)).otherwise(F.array(F.lit(0).cast("bigint")))))
 
-    a = spread(meta, 0).select("label", "dim", "c1", "c2", F.col("block").alias("one"), F.col("low").alias("low1"), F.col("high").alias("high1"))
+    a = spread(meta, 0).select(
+        "label", "dim", "c1", "c2", F.col("block").alias("one"), F.col("low").alias("low1"), F.col("high").alias("high1"),
+    )
     b = spread(meta, 1).select("label", "dim", "c1", "c2", F.col("block").alias("two"), "low", "high")
     apart = F.expr("NOT exists(arrays_zip(low1, high1, low, high), z -> z.low1 > z.high + 1 OR z.low > z.high1 + 1)")
     return a.join(b, ["label", "dim", "c1", "c2"]).where((F.col("one") <= F.col("two")) & apart).select("dim", "one", "two").distinct()

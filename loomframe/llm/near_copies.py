@@ -217,7 +217,10 @@ def similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     one, two = (nodes.select(F.col("node").alias(k), *(F.col(w).alias(f"{k}{w}") for w in FP)) for k in "ab")
     differ = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in FP), F.lit(0))
     near = scratch(pairs.join(one, "a").join(two, "b").where(differ <= NEAR_ALL).select("a", "b"), "candidates")
-    wanted = scratch(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least_id"), "node"), "candidate-nodes")
+    wanted = scratch(
+        near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least_id"), "node"),
+        "candidate-nodes",
+    )
     named = rows.join(wanted.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     fetched = named.unionByName(rows.where("doc_id IS NULL")).select("text").mapInArrow(_sets, ddl(SETS))
     sets = scratch(fetched.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
@@ -246,7 +249,9 @@ def _distance(x: str, y: str) -> str:
 def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
     """key, node, w0, w1, component, main (the key's largest component) of the keys that hold several components."""
     parts = connected_components(found, "a", "b")
-    placed = shared.select("key", *(c for c, _ in MEMBER)).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = shared.select("key", *(c for c, _ in MEMBER)).join(parts, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"),
+    )
     counted = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = counted.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("n")).where("n > 1")
     return scratch(placed.join(mixed.select("key", F.col("most.component").alias("main")), "key"), "mixed-keys")
@@ -260,14 +265,18 @@ def links(nodes: DataFrame, rows: DataFrame, exact: int = EXACT) -> DataFrame:
     keyed = nodes.select("node", *FP).mapInArrow(_keys(exact), ddl(KEYS)).select(F.explode("keys").alias("key"), *(c for c, _ in MEMBER))
     # one exchange; a key has at most one row of each node, which is one in a hundred of all rows
     shared = scratch(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near(TOGETHER), ddl(SHARED)), "golay-keys")
-    first = shared.select("node", F.explode(F.arrays_zip("others", "distances")).alias("o")).select("node", F.col("o.others").alias("other"), F.col("o.distances").alias("distance"))
+    first = shared.select("node", F.explode(F.arrays_zip("others", "distances")).alias("o")).select(
+        "node", F.col("o.others").alias("other"), F.col("o.distances").alias("distance"),
+    )
     tested = scratch(_closest(first), "nearest-pairs")
     found = scratch(similar(tested, nodes, rows), "similar-pairs")
     placed = _mixed(shared, found)
     member = F.struct("node", "w0", "w1")
     ends = placed.where("component = main").groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high"))
     outside = placed.where("component != main").join(ends, "key").withColumn("end", F.explode(F.array("low", "high")))
-    outside = outside.select("node", F.col("end.node").alias("other"), F.expr(_distance("", "end.")).alias("distance")).where(f"distance <= {NEAR}")
+    outside = outside.select(
+        "node", F.col("end.node").alias("other"), F.expr(_distance("", "end.")).alias("distance"),
+    ).where(f"distance <= {NEAR}")
     more = scratch(_closest(outside).join(tested, ["a", "b"], "left_anti"), "main-pairs")
     if more.limit(1).count():
         tested = tested.unionByName(more)

@@ -35,7 +35,9 @@ _NOT_PLAIN = re.compile(f" (?:[{SPACE}]|$)")
 _WORDS = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n(?![{SPACE}])")
 #: Characters below this are letters, or not, in every version of Unicode alike.
 _LATIN = chr(0x250)
-PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+PIECES = pa.schema(
+    [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+)
 PIECES_IDS = PIECES.append(pa.field("ids", pa.list_(pa.int64())))
 PLACES = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -207,7 +209,9 @@ class Bins:
             under = sorted((p for p in self.bins if sum(p) < self.capacity), key=lambda p: (sum(p), p))
             if sum(self.bins[p] * (self.capacity - sum(p)) for p in under) < self.capacity:
                 return done
-            found = next(((low, high, pair) for low in under for high in reversed(under) if (pair := self._look(low, high, fruitless))), None)
+            found = next(
+                ((low, high, pair) for low in under for high in reversed(under) if (pair := self._look(low, high, fruitless))), None,
+            )
             if found is None:
                 return done
             low, high, pair = found
@@ -272,7 +276,16 @@ def places(bins: Counter) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]
     return {s: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for s, r in rows.items()}
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, path: str | None = None, with_ids: bool = False, group_rows: int = 1_000) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    capacity: int = 1024,
+    end_id: int = 2,
+    path: str | None = None,
+    with_ids: bool = False,
+    group_rows: int = 1_000,
+) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset (and ids if with_ids).
 
     A document is its ids and end_id; one longer than capacity is cut into pieces of capacity after a shorter first

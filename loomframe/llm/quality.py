@@ -100,7 +100,15 @@ class Model:
         return scores
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, int]], buckets: int, dim: int = 8, epochs: int = 8, least_steps: int = 20_000, rate: float = 4.0, seed: int = 11) -> Model:
+def train(
+    examples: list[tuple[np.ndarray, np.ndarray, int]],
+    buckets: int,
+    dim: int = 8,
+    epochs: int = 8,
+    least_steps: int = 20_000,
+    rate: float = 4.0,
+    seed: int = 11,
+) -> Model:
     """examples: (distinct rows, counts, label). Plain SGD, one document at a time, with a linearly falling rate.
 
     Few examples are gone through more often, so that there are least_steps steps in all.
@@ -147,7 +155,9 @@ def _featurise(buckets: int):
                 found = np.flatnonzero(n)
                 rows.append(found.astype(np.int32).tobytes())
                 counts.append(n[found].astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(rows, pa.binary()), pa.array(counts, pa.binary())], schema=EXAMPLES)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("y"), pa.array(rows, pa.binary()), pa.array(counts, pa.binary())], schema=EXAMPLES,
+            )
 
     return run
 
@@ -161,7 +171,9 @@ def _train(buckets: int):
             found += zip(*(batch.column(k).to_pylist() for k in ("doc_id", "rows", "counts", "y")), strict=True)
         found.sort(key=lambda r: r[0])
         model = train([(np.frombuffer(rows, np.int32), np.frombuffer(counts, np.int32), y) for _, rows, counts, y in found], buckets)
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias])], schema=TRAINED)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias])], schema=TRAINED,
+        )
 
     return run
 
@@ -200,7 +212,17 @@ def apply(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, ddl(SCORES))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    folds: int = 4,
+    held_out: int = 2,
+    threshold: float = 0.7,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    **options,
+) -> DataFrame:
     """The rows of docs, all columns unchanged, whose score is threshold or more; filtered in one pass, no join.
 
     Null text counts as empty. Repeated rows and null ids are rows like others; an empty table stays empty.
@@ -217,7 +239,17 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", folds:
     return docs.mapInArrow(run, docs.schema)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def quality_scores(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    folds: int = 4,
+    held_out: int = 2,
+    threshold: float = 0.7,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    **options,
+) -> DataFrame:
     """id_col, held_out, score, predicted: one row per input row, on its whole text.
 
     Null text counts as empty and has the score of the base rate; a null id is held out in no fold but its own rule
@@ -226,4 +258,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
     """
     model = fit(docs, labels, label, folds, held_out, id_col=id_col, text_col=text_col, **options)
     out = apply(model, docs, id_col, text_col)
-    return out.select(F.col("doc_id").alias(id_col), (remainder("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select(
+        F.col("doc_id").alias(id_col),
+        (remainder("doc_id", folds) == held_out).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )

@@ -184,12 +184,16 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, size: Column, carry
     # __rid differs between repeated rows, so that no group of them lands in one task
     salted = base.join(starts, ["__old", "__class"]).withColumn("__group", F.expr("pmod(xxhash64(__rid), __groups)"))
     sizes = salted.groupBy(*keys).agg(F.count("*").alias("n"))
-    before = sizes.select(*keys, (F.sum("n").over(Window.partitionBy("__old", "__class").orderBy("__group")) - F.col("n")).alias("__before"))
+    before = sizes.select(
+        *keys, (F.sum("n").over(Window.partitionBy("__old", "__class").orderBy("__group")) - F.col("n")).alias("__before"),
+    )
     ranked = salted.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("__size", "__rid")) - 1)
     ranked = ranked.join(before, keys).withColumn("__rank", F.col("__first") + F.col("__before") + F.col("__k"))
     placed = ranked.join(F.broadcast(ranges), "__old").where("__rank >= __from AND __rank < __to")  # at most shards ranges for an old shard
     slot = (F.col("__slot") + F.col("__rank") - F.col("__from")).alias("slot")
-    return placed.select(*(F.col(f"__c_{k}").alias(k) for k in carry), F.col("__old").alias("old_shard"), F.col("__size").alias("size"), "shard", slot)
+    return placed.select(
+        *(F.col(f"__c_{k}").alias(k) for k in carry), F.col("__old").alias("old_shard"), F.col("__size").alias("size"), "shard", slot,
+    )
 
 
 def rewrite(placed: DataFrame, folder: str, file_rows: int = 1_000_000) -> list[int]:
@@ -208,19 +212,38 @@ def rewrite(placed: DataFrame, folder: str, file_rows: int = 1_000_000) -> list[
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
     there = lambda shard: files.exists(spark._jvm.org.apache.hadoop.fs.Path(at, f"shard={shard}"))
     shards = sorted(s for s in held if s in changed or not there(s))
-    rows = placed.where(F.col("shard").isin(shards)).repartition("shard", F.floor(F.col("slot") / file_rows)).sortWithinPartitions("shard", "slot")
+    rows = placed.where(F.col("shard").isin(shards)).repartition(
+        "shard", F.floor(F.col("slot") / file_rows),
+    ).sortWithinPartitions("shard", "slot")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
     for shard in changed - held:
         files.delete(spark._jvm.org.apache.hadoop.fs.Path(at, f"shard={shard}"), True)
     return shards
 
 
-def reshard_documents(docs: DataFrame, shards: int = 24, old_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def reshard_documents(
+    docs: DataFrame, shards: int = 24, old_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard for documents whose old shards are by source.
 
     The documents table has no shards of its own; the hash of the source modulo old_shards stands for them. size: UTF-8
     bytes of the text (null: none) and 8. The law is rows: shards' counts are at most one apart.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = reshard(docs, F.pmod(F.xxhash64(source_col), F.lit(old_shards)), shards, F.octet_length(text) + 8, {"doc_id": F.col(id_col).cast("bigint"), "text_crc32": F.crc32(text)})
-    return out.select(F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    out = reshard(
+        docs,
+        F.pmod(F.xxhash64(source_col), F.lit(old_shards)),
+        shards,
+        F.octet_length(text) + 8,
+        {"doc_id": F.col(id_col).cast("bigint"), "text_crc32": F.crc32(text)},
+    )
+    return out.select(
+        F.col("doc_id").alias(id_col),
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "old_shard",
+    )

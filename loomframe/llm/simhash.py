@@ -126,7 +126,9 @@ def links(distinct: DataFrame, crowd: int = 48) -> DataFrame:
     held = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key")))
     shared = scratch(held.where("n > 1"), "golay-keys")
     few = shared.where(F.col("n") <= crowd).select("key", "fp")
-    pairs = few.alias("a").join(few.alias("b"), F.expr("a.key = b.key AND a.fp < b.fp AND bit_count(a.fp ^ b.fp) <= 2")).select(F.col("a.fp").alias("fp"), F.col("b.fp").alias("other"))
+    pairs = few.alias("a").join(
+        few.alias("b"), F.expr("a.key = b.key AND a.fp < b.fp AND bit_count(a.fp ^ b.fp) <= 2"),
+    ).select(F.col("a.fp").alias("fp"), F.col("b.fp").alias("other"))
     many = shared.where(F.col("n") > crowd).select("fp").distinct()
     near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << k) - (1 << 64) if k == 63 else 1 << k)) for k in range(64)))
     middle = many.select("fp", F.explode(near).alias("word"))
@@ -155,7 +157,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 BROADCAST_ROWS = 1_000_000
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+def keep_one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates,
+) -> DataFrame:
     """docs, all columns unchanged, without the rows whose component by groups has a smaller id.
 
     Of rows that share an id and stay, one stays. A row with a null id can't be named and stays. The ids that go are

@@ -182,7 +182,9 @@ class BlockMaxIndex:
                 out[i] = self._best(np.arange(len(self.ids)), sums, k)
         return out
 
-    def _by_blocks(self, bound: np.ndarray, terms: np.ndarray, w: np.ndarray, k: int, patience: int) -> tuple[np.ndarray, np.ndarray] | None:
+    def _by_blocks(
+        self, bound: np.ndarray, terms: np.ndarray, w: np.ndarray, k: int, patience: int,
+    ) -> tuple[np.ndarray, np.ndarray] | None:
         if np.count_nonzero(bound > 1) > patience:  # no cosine is above 1, so these would all be read
             return None
         order = np.argsort(-bound, kind="stable")
@@ -400,7 +402,9 @@ def toxicity_scores(
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 found = zip(*scorer.explained(Vectors.of_batch(part)), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(v, f.type) for v, f in zip(found, list(SCORES)[1:], strict=True))], schema=SCORES)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), *(pa.array(v, f.type) for v, f in zip(found, list(SCORES)[1:], strict=True))], schema=SCORES,
+                )
 
     out = table.mapInArrow(run, ddl(SCORES))
     held = (remainder("doc_id", folds) == held_out).alias("held_out")

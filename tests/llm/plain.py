@@ -64,7 +64,9 @@ def toxicity_scores(texts, labels, little=0.05, enough=26, k=15, prior=0.5):
         sims = sorted(((round(sum(w * unit[e].get(t, 0) for t, w in own.items()), 12), e) for e in examples), reverse=True)
         sims = [(s, e) for s, e in sims if s > 0]
         near = sims[:k]
-        score = (sum(s for s, e in near if labels[e]) + prior * base) / (sum(s for s, _ in near) + prior) if near else (sum(bare) + 2 * base) / (len(bare) + 2)
+        score = (
+            sum(s for s, e in near if labels[e]) + prior * base
+        ) / (sum(s for s, _ in near) + prior) if near else (sum(bare) + 2 * base) / (len(bare) + 2)
         out[i] = score, [s for s, _ in near], len(sims) > k and sims[k - 1][0] - sims[k][0] < 1e-9
     return out
 

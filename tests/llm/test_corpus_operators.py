@@ -21,8 +21,20 @@ def test_grid_order_join_against_brute_force(spark):
             rows.append((len(rows), (center + rng.normal(size=16) * rng.choice([0.1, 0.3, 0.6])).astype(np.float32).tolist(), c % 3))
     rows += [(len(rows) + k, rows[0][1], rows[0][2]) for k in range(5)]  # copies
     n = len(rows)
-    odd = [(n, None, 1), (n + 1, [0.0] * 16, 1), (n + 2, [float("nan")] * 16, 1), (n + 3, rows[0][1], None), (n + 4, [1.0, None] + [0.0] * 14, 1), (n + 5, [], 0), (n + 6, [1.0, 2.0], 0), (n + 7, [2.0, 4.0], 0), (n + 8, [float("inf")] * 16, 1)]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS n", "2 AS rid", "3 AS component")
+    odd = [
+        (n, None, 1),
+        (n + 1, [0.0] * 16, 1),
+        (n + 2, [float("nan")] * 16, 1),
+        (n + 3, rows[0][1], None),
+        (n + 4, [1.0, None] + [0.0] * 14, 1),
+        (n + 5, [], 0),
+        (n + 6, [1.0, 2.0], 0),
+        (n + 7, [2.0, 4.0], 0),
+        (n + 8, [float("inf")] * 16, 1),
+    ]
+    df = spark.createDataFrame(
+        rows + odd, "vec_id long, embedding array<float>, label int",
+    ).selectExpr("*", "1 AS n", "2 AS rid", "3 AS component")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in grid_order_join.near_vectors(df, block_rows=50).collect()}
     v = np.array([r[1] for r in rows])
     u = v / np.linalg.norm(v, axis=1)[:, None]
@@ -50,7 +62,9 @@ def _check_shards(rows, shards):
 
 
 def test_resharding(spark, data):
-    docs = spark.read.parquet(f"{data}/documents.parquet").selectExpr("*", "1 AS shard", "2 AS slot").unionByName(spark.createDataFrame([(None, None), (1, "x"), (1, "x")], "doc_id long, text string"), allowMissingColumns=True)
+    docs = spark.read.parquet(f"{data}/documents.parquet").selectExpr("*", "1 AS shard", "2 AS slot").unionByName(
+        spark.createDataFrame([(None, None), (1, "x"), (1, "x")], "doc_id long, text string"), allowMissingColumns=True,
+    )
     out = resharding.reshard_documents(docs).collect()
     assert len(out) == docs.count()
     _check_shards(out, 24)
@@ -64,9 +78,20 @@ def test_grid_order_join_null_and_repeated_ids(spark):
     """Rows with null or repeated ids are rows like others; a null id is a component_id only where there is no other."""
     one, other = [1.0, 0.0, 0.5], [0.0, 1.0, -0.5]
     rows = [(None, one, 1), (5, one, 1), (5, one, 1), (None, other, 1), (None, other, 1), (7, other, 2), (None, None, None), (7, None, 2)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "label AS component", "vec_id AS rid", "1 AS links")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr(
+        "*", "label AS component", "vec_id AS rid", "1 AS links",
+    )
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in grid_order_join.near_vectors(df).collect())
-    want = [(None, 2, 5, False), (5, 2, 5, True), (5, 2, 5, True), (None, 1, None, False), (None, 1, None, False), (7, 0, 7, True), (None, 0, None, False), (7, 0, 7, True)]
+    want = [
+        (None, 2, 5, False),
+        (5, 2, 5, True),
+        (5, 2, 5, True),
+        (None, 1, None, False),
+        (None, 1, None, False),
+        (7, 0, 7, True),
+        (None, 0, None, False),
+        (7, 0, 7, True),
+    ]
     assert got == sorted((str(i), n, str(c), k) for i, n, c, k in want)
     assert grid_order_join.near_vectors(df.limit(0)).count() == 0
 
@@ -115,8 +140,12 @@ def test_reshard_rows_against_brute_force(spark):
     """Every row once, law and slots hold, and no fewer bytes could move; nulls, repeated rows, clashing names."""
     rng = random.Random(4)
     rows = [(i, rng.randrange(5), "x" * rng.randrange(60)) for i in range(300)] + [(7, 1, "same")] * 90 + [(None, None, None)] * 3
-    df = spark.createDataFrame(rows, "id long, old int, text string").selectExpr("*", "old AS shard", "text AS size", "id AS __rid", "id AS slot")
-    got = resharding.reshard(df, F.col("old"), 4, F.octet_length(F.coalesce("text", F.lit(""))) + 8, {"id": F.col("id"), "text": F.col("text")}, group_rows=20).collect()
+    df = spark.createDataFrame(rows, "id long, old int, text string").selectExpr(
+        "*", "old AS shard", "text AS size", "id AS __rid", "id AS slot",
+    )
+    got = resharding.reshard(
+        df, F.col("old"), 4, F.octet_length(F.coalesce("text", F.lit(""))) + 8, {"id": F.col("id"), "text": F.col("text")}, group_rows=20,
+    ).collect()
     assert Counter((r.id, r.old_shard, r.text) for r in got) == Counter((i, old or 0, t) for i, old, t in rows)
     counts = Counter(r.shard for r in got)
     assert max(counts.values()) - min(counts.values()) <= 1 and len(counts) == 4
@@ -150,7 +179,9 @@ def test_packing_is_whole_and_tight(spark, data):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_vocabulary())
-    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (-1, ""), (-2, "word " * 6000)], "doc_id long, text string")).selectExpr("*", "1 AS length", "2 AS offset")
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(None, None), (-1, ""), (-2, "word " * 6000)], "doc_id long, text string")
+    ).selectExpr("*", "1 AS length", "2 AS offset")
     out = packing.pack(docs).collect()
     ids = {r.doc_id: np.array(t.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4") for r in docs.collect()}
     seen, places = Counter(), {}
@@ -215,8 +246,15 @@ def test_classifiers_on_held_out_rows(spark):
 
 @pytest.mark.parametrize("run, label", [(quality.quality_scores, "quality"), (toxicity.toxicity_scores, "toxic")])
 def test_classifiers_awkward(spark, run, label):
-    docs = spark.createDataFrame([(i, "bad idiot words " * 3 if i % 2 else "fine plain words here", "x", 1) for i in range(60)] + [(None, None, None, None), (100, "", "x", 1), (101, "é" * 4000, "x", 1), (100, "", "x", 1)], "doc_id long, text string, score string, held_out int")
-    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(60)] + [(None, 1, 1), (3, None, 1), (5, 1, 2)], f"doc_id long, {label} int, y int")
+    docs = spark.createDataFrame(
+        [
+            (i, "bad idiot words " * 3 if i % 2 else "fine plain words here", "x", 1) for i in range(60)
+        ] + [(None, None, None, None), (100, "", "x", 1), (101, "é" * 4000, "x", 1), (100, "", "x", 1)],
+        "doc_id long, text string, score string, held_out int",
+    )
+    labels = spark.createDataFrame(
+        [(i, i % 2, 1) for i in range(60)] + [(None, 1, 1), (3, None, 1), (5, 1, 2)], f"doc_id long, {label} int, y int",
+    )
     out = run(docs, labels)
     assert out.count() == 64 and out.where("score < 0 OR score > 1 OR score IS NULL OR predicted IS NULL OR held_out IS NULL").count() == 0
     assert {r.score for r in out.where("doc_id = 100").collect()}.__len__() == 1

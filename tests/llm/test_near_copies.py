@@ -57,7 +57,11 @@ def test_near_members_of_sorted_keys(together, size):
     rng = np.random.default_rng(size)
     base = rng.integers(-(2**62), 2**62, (6, 2))
     rows = sorted((int(k), i, *(int(w) for w in base[rng.integers(6)] ^ (1 << rng.integers(0, 60, 2)))) for i, k in enumerate(rng.integers(0, 12, 90)))
-    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a : a + size]], pa.int64()) for c in range(4)], names=["key", "node", "w0", "w1"]) for a in range(0, 90, size)]
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array([r[c] for r in rows[a : a + size]], pa.int64()) for c in range(4)], names=["key", "node", "w0", "w1"],
+        ) for a in range(0, 90, size)
+    ]
     got = {(r["key"], r["node"]): r for b in near_copies._near(together)(iter(batches)) for r in b.to_pylist()}
     distance = lambda x, y: sum(bin((p ^ q) & (2**64 - 1)).count("1") for p, q in zip(x[2:], y[2:], strict=True))
     for r in rows:
@@ -66,7 +70,9 @@ def test_near_members_of_sorted_keys(together, size):
         if len(mates) + 1 <= together:
             assert ((r[0], r[1]) in got) == bool(near)
             if near:
-                assert sorted(zip(got[r[0], r[1]]["distances"], got[r[0], r[1]]["others"], strict=True))[: len(near)] == near[: near_copies.FEW]
+                assert sorted(
+                    zip(got[r[0], r[1]]["distances"], got[r[0], r[1]]["others"], strict=True)
+                )[: len(near)] == near[: near_copies.FEW]
         else:
             assert (r[0], r[1]) in got and set(got[r[0], r[1]]["others"]) <= {n for _, n in near}
 

@@ -49,7 +49,13 @@ EXTRA = "score AS score", "doc_id AS __id", "doc_id AS component_id", "source AS
 def awkward(spark, data):
     """Nulls in every column, empty and long texts, repeated rows, clashing names, beside documents."""
     docs = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 60")
-    odd = [(None, None, None, None, None), (1000, None, "en", "x", 0), (1001, "", None, "x", 0), (1002, " \n\t", "en", None, 3), (1003, "word " * 30000, "en", "x", 150000)]
+    odd = [
+        (None, None, None, None, None),
+        (1000, None, "en", "x", 0),
+        (1001, "", None, "x", 0),
+        (1002, " \n\t", "en", None, 3),
+        (1003, "word " * 30000, "en", "x", 150000),
+    ]
     odd += [(1004, "only\nlines\n\nhere", "en", "x", 16)] * 3 + [(None, "text of no id that is long enough", "en", "x", 33)] * 2 + [(None, None, None, None, None)]
     rows = docs.unionByName(spark.createDataFrame(odd, docs.schema))
     return rows.withColumn("score", F.lit(1)).selectExpr("*", *EXTRA[1:])
@@ -85,7 +91,9 @@ def test_stages_on_awkward_rows(spark, data, awkward, name):
 
 def test_filters_on_odd_tables(spark, awkward, data):
     """keep_good, keep_clean and keep_one_of_each: no labels, null labels, repeated labels; equal texts go together."""
-    labels = spark.createDataFrame([(1, None, None), (2, 1, 0), (2, 0, 1), (None, 1, 1), (99999, 1, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame(
+        [(1, None, None), (2, 1, 0), (2, 0, 1), (None, 1, 1), (99999, 1, 0)], "doc_id long, quality int, toxic int",
+    )
     for some in (labels, labels.limit(0), spark.read.parquet(f"{data}/labels.parquet")):
         for keep in (quality.keep_good, toxicity.keep_clean):
             out = keep(awkward, some)

@@ -14,14 +14,29 @@ from hypothesis import strategies as st
 
 from loomframe.llm import common, components, exact_dedup, line_dedup, packing, sentencepiece_codec, simhash, token_counts
 
-ALPHABET = st.lists(st.sampled_from(list("abcdeXYZ' \n\t▁éñßΣσİ中🙂0123.,%<|>/s\x00\x1c\x85　́") + ["<s>", "<|endoftext|>", "don't", "hello ", "the ", "  "]), max_size=40).map("".join)
-AWKWARD = [(1, "same  text", "a", 1), (2, "same\ttext", "b", 2), (3, None, None, None), (4, "", "a", 3), (None, "same text", "c", 4), (6, "x" * 5000 + " " + "word " * 3000, "a", 5), (6, "x" * 5000 + " " + "word " * 3000, "a", 5), (8, "\n\n", "a", 6), (9, "Ünïcode ▁ 中文 🙂", "a", 7)]
+ALPHABET = st.lists(
+    st.sampled_from(list("abcdeXYZ' \n\t▁éñßΣσİ中🙂0123.,%<|>/s\x00\x1c\x85　́") + ["<s>", "<|endoftext|>", "don't", "hello ", "the ", "  "]),
+    max_size=40,
+).map("".join)
+AWKWARD = [
+    (1, "same  text", "a", 1),
+    (2, "same\ttext", "b", 2),
+    (3, None, None, None),
+    (4, "", "a", 3),
+    (None, "same text", "c", 4),
+    (6, "x" * 5000 + " " + "word " * 3000, "a", 5),
+    (6, "x" * 5000 + " " + "word " * 3000, "a", 5),
+    (8, "\n\n", "a", 6),
+    (9, "Ünïcode ▁ 中文 🙂", "a", 7),
+]
 
 
 @pytest.fixture(scope="module")
 def awkward(spark):
     """Nulls, empties, long texts, repeated rows, and columns whose names clash with the operators' own."""
-    return spark.createDataFrame(AWKWARD, "doc_id long, text string, source string, kept int").selectExpr("*", "kept AS group_size", "kept AS score", "source AS lang", "0L AS n_chars", "kept AS rid", "kept AS fp", "kept AS shard")
+    return spark.createDataFrame(AWKWARD, "doc_id long, text string, source string, kept int").selectExpr(
+        "*", "kept AS group_size", "kept AS score", "source AS lang", "0L AS n_chars", "kept AS rid", "kept AS fp", "kept AS shard",
+    )
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +44,9 @@ def library():
     import sentencepiece
     from tokenizers import Tokenizer
 
-    return sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model()), Tokenizer.from_file(token_counts.default_vocabulary()), Tokenizer.from_file(packing.default_vocabulary())
+    return sentencepiece.SentencePieceProcessor(
+        model_file=sentencepiece_codec.default_model()
+    ), Tokenizer.from_file(token_counts.default_vocabulary()), Tokenizer.from_file(packing.default_vocabulary())
 
 
 @settings(max_examples=300, deadline=None)
@@ -39,10 +56,14 @@ def test_codecs_equal_the_libraries(library, text):
     c = sentencepiece_codec.codec(sentencepiece_codec.default_model())
     ids = piece.encode(text)
     assert c.encode(text) == ids and c.decode(ids) == piece.decode(ids)
-    assert c.digest(text) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(piece.decode(ids).encode()).hexdigest())
+    assert c.digest(text) == (
+        len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(piece.decode(ids).encode()).hexdigest(),
+    )
     n = token_counts.counter(token_counts.default_vocabulary())
     assert n.count(text) == len(word.encode(text, add_special_tokens=False).ids)
-    assert np.frombuffer(packing.encoder(packing.default_vocabulary()).encode(text), "<u4").tolist() == byte.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(
+        packing.encoder(packing.default_vocabulary()).encode(text), "<u4",
+    ).tolist() == byte.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=100, deadline=None)
@@ -82,7 +103,9 @@ def test_digests_with_a_small_memory(library, texts_):
     piece = library[0]
     for text in texts_:
         ids = piece.encode(text)
-        want = len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(piece.decode(ids).encode("utf-8", "replace")).hexdigest()
+        want = len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(
+            piece.decode(ids).encode("utf-8", "replace")
+        ).hexdigest()
         assert small.digest(text) == want and small.decode(small.encode(text)) == piece.decode(ids)
 
 
@@ -122,7 +145,11 @@ def test_collapsing_is_bounded_and_whole(monkeypatch):
     monkeypatch.setattr(exact_dedup, "MOST_IDS", 50)
     rng = random.Random(2)
     rows = [(i if i % 50 else None, rng.choice(["hot  text", "hot text", "x" * 700 + str(rng.randrange(9)), None])) for i in range(3000)]
-    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[a : a + 500]], pa.int64()), pa.array([r[1] for r in rows[a : a + 500]])], names=["id", "text"]) for a in range(0, 3000, 500)]
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows[a : a + 500]], pa.int64()), pa.array([r[1] for r in rows[a : a + 500]])], names=["id", "text"],
+        ) for a in range(0, 3000, 500)
+    ]
     out = [r for batch in exact_dedup._local(iter(batches)) for r in batch.to_pylist()]
     got, want = Counter(), Counter(((exact_dedup.normalise(t or "")).encode(), i) for i, t in rows)
     for r in out:
@@ -134,7 +161,11 @@ def test_collapsing_is_bounded_and_whole(monkeypatch):
 
 def test_simhash_against_brute_force(spark):
     rng = random.Random(1)
-    base = [" ".join(rng.choice(["alpha", "beta", "Gamma", "delta", "eps", "zeta"]) + str(rng.randrange(40)) for _ in range(200)) for _ in range(8)]
+    base = [
+        " ".join(
+            rng.choice(["alpha", "beta", "Gamma", "delta", "eps", "zeta"]) + str(rng.randrange(40)) for _ in range(200)
+        ) for _ in range(8)
+    ]
     texts = ["", None, "one", "A b"]
     for b in base:
         for _ in range(12):
@@ -199,7 +230,9 @@ def test_components_of_a_chain(spark):
 
 
 def test_line_dedup(spark, awkward):
-    rows = [(i, f"menu\nbody {i}\n\nmenu", "h") for i in range(10)] + [(20, "menu\nx", "k"), (21, None, "h"), (22, "", "h"), (23, "menu", None)]
+    rows = [(i, f"menu\nbody {i}\n\nmenu", "h") for i in range(10)] + [
+        (20, "menu\nx", "k"), (21, None, "h"), (22, "", "h"), (23, "menu", None),
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS n_lines")
     got = {r.doc_id: r for r in line_dedup.drop_boilerplate(df, ratio=0.5).collect()}
     assert got[3].text == "body 3\n" and (got[3].n_lines, got[3].n_dropped) == (4, 2)
@@ -216,10 +249,14 @@ def test_line_dedup_against_brute_force(spark, most, monkeypatch):
     rows = []
     for host, pages in (("one", 1), ("two", 2), ("many", 120), (None, 40)):
         for k in range(pages):
-            lines = [rng.choice(["menu", "footer", " ", "", f"l{rng.randrange(30)}", f"own {rng.random()}"]) for _ in range(rng.randrange(8))]
+            lines = [
+                rng.choice(["menu", "footer", " ", "", f"l{rng.randrange(30)}", f"own {rng.random()}"]) for _ in range(rng.randrange(8))
+            ]
             rows.append((len(rows), host, None if k % 17 == 16 else "\n".join(["menu", *lines])))
     rows += [rows[5], rows[5]]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "text AS line", "1 AS pages", "source AS host", "2 AS n_dropped")
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr(
+        "*", "text AS line", "1 AS pages", "source AS host", "2 AS n_dropped",
+    )
     total, on = Counter(), Counter()
     for _, host, text in rows:
         total[host] += 1

@@ -74,7 +74,9 @@ def _texts(docs, rows):
 
 
 def test_sample_has_one_row_an_id(spark):
-    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, None), (2, "c"), (None, "d"), (3, None)] + [(1, "a")] * 50, "doc_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "a"), (1, "b"), (1, None), (2, "c"), (None, "d"), (3, None)] + [(1, "a")] * 50, "doc_id long, text string",
+    )
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (None, 1), (4, None), (9, 1)], "doc_id long, toxic int")
     got = toxicity.sample(docs, labels, "toxic", 10_000, 1, 3)
     assert got.count() <= 3 and got.count() == got.select("doc_id").distinct().count()
