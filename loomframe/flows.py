@@ -38,7 +38,14 @@ def load(spark: SparkSession, folder: str) -> DataFrame:
     return checkpoint(numbered(rows, KEYS, "ord"))
 
 
-def label_auto(spark: SparkSession, folder: str, dims: dict[str, DataFrame], out: str, teacher: Callable = teaching.offline, settings: Settings | None = None) -> DataFrame:
+def label_auto(
+    spark: SparkSession,
+    folder: str,
+    dims: dict[str, DataFrame],
+    out: str,
+    teacher: Callable = teaching.offline,
+    settings: Settings | None = None,
+) -> DataFrame:
     """status, n: label samples that have an event and no label, one teacher call a cluster of near-equal screens.
 
     The local labeler (hotkeys, regions) answers where the teacher doesn't (status fallback); without either the cluster
@@ -58,16 +65,26 @@ def label_auto(spark: SparkSession, folder: str, dims: dict[str, DataFrame], out
     at = candidates.event_position(F.col("metadata"), F.col("x"), F.col("y"), F.col("width"), F.col("height"))
     placed = leaders.withColumn("__at", at).withColumn("__x", F.col("__at.x")).withColumn("__y", F.col("__at.y"))
     local = labels.hotkey_match(labels.roi_hits(placed, dims["roi"], "__x", "__y"), dims["element"], "key")
-    local = labels.local_labels(local, dims["situation"]).select("ord", *(F.col(c).alias(f"local_{c}") for c in ("primitive_id", "situation_id", "screen_type", "confidence")))
+    local = labels.local_labels(local, dims["situation"]).select(
+        "ord", *(F.col(c).alias(f"local_{c}") for c in ("primitive_id", "situation_id", "screen_type", "confidence")),
+    )
     both = told.select("ord", "chosen").join(local, "ord")
     taught = F.col("chosen").isNotNull()
     pick = lambda c: F.when(taught, F.col("chosen")[c]).otherwise(F.col(f"local_{c}")).alias(c)
     source = F.when(taught, "teacher").when(F.col("local_primitive_id").isNotNull(), "fallback").alias("source")
-    result = checkpoint(both.select(F.col("ord").alias("leader"), *(pick(c) for c in ("primitive_id", "situation_id", "screen_type", "confidence")), source))
+    result = checkpoint(
+        both.select(F.col("ord").alias("leader"), *(pick(c) for c in ("primitive_id", "situation_id", "screen_type", "confidence")), source)
+    )
     every = rows.select(*KEYS, "ord", "metadata").join(led, "ord").join(result, "leader")
-    status = F.when(F.col("source").isNull(), F.when(F.col("is_representative"), "failed").otherwise("blocked")).when(F.col("is_representative"), F.col("source")).otherwise("copied")
+    status = F.when(
+        F.col("source").isNull(), F.when(F.col("is_representative"), "failed").otherwise("blocked"),
+    ).when(F.col("is_representative"), F.col("source")).otherwise("copied")
     every = checkpoint(every.withColumn("status", status))
-    stamped = teaching.stamp(F.col("metadata"), "label_auto_provider", {"status": F.col("status"), "cluster_id": F.col("cluster_id"), "source_ord": F.col("leader")})
+    stamped = teaching.stamp(
+        F.col("metadata"),
+        "label_auto_provider",
+        {"status": F.col("status"), "cluster_id": F.col("cluster_id"), "source_ord": F.col("leader")},
+    )
     named = [F.col(c) for c in ("primitive_id", "situation_id", "screen_type", "confidence")]
     packages.save_sample_part(every.where("source IS NOT NULL").select(*KEYS, *named, F.current_timestamp().alias("version")), out, "label")
     packages.save_sample_part(every.select(*KEYS, stamped.alias("metadata"), F.current_timestamp().alias("version")), out, "metadata")
@@ -82,19 +99,31 @@ def filter_samples(spark: SparkSession, folder: str, out: str, settings: Setting
     limits = (settings or Settings()).filter
     rows = load(spark, folder).where("label IS NOT NULL AND event IS NOT NULL")
     before, after = _images(spark, folder, "pre.png"), _images(spark, folder, "post.png")
-    stats = image_statistics(before.select("image")).select(*readers.place(F.col("path")), "blur", "brightness", hash_bits(F.col("block")).alias("hash"))
+    stats = image_statistics(before.select("image")).select(
+        *readers.place(F.col("path")), "blur", "brightness", hash_bits(F.col("block")).alias("hash"),
+    )
     pairs = before.withColumnRenamed("image", "before").join(after.withColumnRenamed("image", "after"), KEYS)
     ratios = change_ratios(pairs.withColumn("sample_id", F.concat_ws("/", *KEYS)))
-    ratios = ratios.select(F.substring_index("sample_id", "/", 1).alias("session_id"), F.substring_index("sample_id", "/", -1).alias("sample_id"), "ratio")
+    ratios = ratios.select(
+        F.substring_index("sample_id", "/", 1).alias("session_id"), F.substring_index("sample_id", "/", -1).alias("sample_id"), "ratio",
+    )
     rows = rows.drop("flags").join(stats, KEYS, "left").join(ratios, KEYS, "left")
     rows = rows.withColumn("__pre", F.col("blur").isNotNull()).withColumn("__post", F.col("ratio").isNotNull())
     invalid = quality.invalid_action(F.col("__pre"), F.col("__post"), F.coalesce("ratio", F.lit(0.0)), limits.min_diff_ratio)
-    issue = quality.quality_issue(F.col("__pre"), F.col("blur"), F.col("brightness"), limits.blur_laplacian_threshold, limits.dark_overlay_threshold)
-    rows = checkpoint(quality.cascade(rows, {"invalid_action": invalid, "quality": issue, "transition": F.col("label.transition_detected")}).withColumn("__issue", issue))
+    issue = quality.quality_issue(
+        F.col("__pre"), F.col("blur"), F.col("brightness"), limits.blur_laplacian_threshold, limits.dark_overlay_threshold,
+    )
+    rows = checkpoint(
+        quality.cascade(
+            rows, {"invalid_action": invalid, "quality": issue, "transition": F.col("label.transition_detected")},
+        ).withColumn("__issue", issue)
+    )
     stay = rows.where("drop_stage IS NULL")
     kept = checkpoint(dedup.deduplicate(stay, "hash", "ord", limits.dedup_hash_threshold).select("ord"))
     rows = rows.join(kept.withColumn("__kept", F.lit(True)), "ord", "left")
-    rows = rows.withColumn("drop_stage", F.when(F.col("drop_stage").isNull() & F.col("__kept").isNull(), "dedup").otherwise(F.col("drop_stage")))
+    rows = rows.withColumn(
+        "drop_stage", F.when(F.col("drop_stage").isNull() & F.col("__kept").isNull(), "dedup").otherwise(F.col("drop_stage")),
+    )
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
     tests = {
         "quality_issue": F.col("__issue"),
@@ -116,7 +145,15 @@ def stats(spark: SparkSession, folder: str) -> DataFrame:
     """One row of counts over all samples."""
     rows = load(spark, folder)
     flat = labels.flat_fields(F.col("label"))
-    return quality.dataset_stats(rows, F.col("label.confidence"), flat["primitive_id"], flat["situation_id"], F.col("review_status"), F.col("flags"), F.col("label").isNotNull())
+    return quality.dataset_stats(
+        rows,
+        F.col("label.confidence"),
+        flat["primitive_id"],
+        flat["situation_id"],
+        F.col("review_status"),
+        F.col("flags"),
+        F.col("label").isNotNull(),
+    )
 
 
 def review_queue(spark: SparkSession, folder: str, settings: Settings | None = None) -> DataFrame:
@@ -133,7 +170,14 @@ def review_queue(spark: SparkSession, folder: str, settings: Settings | None = N
 FORMATS = ("router_full", "router_roi", "unified", "coco", "yolo", "grounding", "roi_state")
 
 
-def export(spark: SparkSession, folder: str, out: str, dims: dict[str, DataFrame], formats: tuple[str, ...] = FORMATS[:2], settings: Settings | None = None) -> list[str]:
+def export(
+    spark: SparkSession,
+    folder: str,
+    out: str,
+    dims: dict[str, DataFrame],
+    formats: tuple[str, ...] = FORMATS[:2],
+    settings: Settings | None = None,
+) -> list[str]:
     """Write the formats asked for (router by default, FORMATS for all) below out; returns their folders."""
     unknown = set(formats) - set(FORMATS)
     if unknown:
@@ -155,13 +199,22 @@ def export(spark: SparkSession, folder: str, out: str, dims: dict[str, DataFrame
     return [f"{out}/{name}" for name in formats]
 
 
-def relabel(spark: SparkSession, folder: str, dims: dict[str, DataFrame], out: str, teacher: Callable = teaching.offline, settings: Settings | None = None) -> DataFrame:
+def relabel(
+    spark: SparkSession,
+    folder: str,
+    dims: dict[str, DataFrame],
+    out: str,
+    teacher: Callable = teaching.offline,
+    settings: Settings | None = None,
+) -> DataFrame:
     """processed, success, failed: ask the teacher again for labeled samples; answers go to out/label."""
     limits = (settings or Settings()).relabel
     words = lambda name, col: [r[0] for r in dims[name].orderBy("ord").select(col).collect()]  # a taxonomy's ids
     rows = load(spark, folder)
     request = teaching.payload(F.col("ord"), F.col("event"), words("primitive", "primitive_id"), words("situation", "situation_id"))
-    done = checkpoint(teaching.relabel(rows.withColumn("request", request), "ord", "ord", "request", teacher, limits.max_samples, limits.max_retries))
+    done = checkpoint(
+        teaching.relabel(rows.withColumn("request", request), "ord", "ord", "request", teacher, limits.max_samples, limits.max_retries)
+    )
     told = rows.select(*KEYS, "ord", "label", "metadata").join(done, "ord")
     new = labels.apply_teacher(rows, done.where("status = 'ok'").select("ord", "chosen", F.lit("[]").alias("route_candidates")), "ord")
     kept = new.join(done.where("status = 'ok'").select("ord"), "ord", "left_semi")

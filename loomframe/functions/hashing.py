@@ -90,7 +90,13 @@ def image_statistics(images: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "blur", "brightness", "block"])
 
     i = F.col("image")
-    return images.select(i["origin"].alias("path"), i["height"].alias("height"), i["width"].alias("width"), i["nChannels"].alias("channels"), i["data"].alias("data")).mapInPandas(run, "path string, blur double, brightness double, block array<double>")
+    return images.select(
+        i["origin"].alias("path"),
+        i["height"].alias("height"),
+        i["width"].alias("width"),
+        i["nChannels"].alias("channels"),
+        i["data"].alias("data"),
+    ).mapInPandas(run, "path string, blur double, brightness double, block array<double>")
 
 
 def change_ratios(pairs: DataFrame, aligned: bool = False) -> DataFrame:
@@ -111,7 +117,9 @@ def change_ratios(pairs: DataFrame, aligned: bool = False) -> DataFrame:
 
     def unpack(frames):
         for f in frames:
-            yield from run([pd.DataFrame({"sample_id": f["sample_id"], "before": [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in f["before"].apply(lambda s: s if not hasattr(s, "asDict") else s.asDict())], "after": [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in f["after"].apply(lambda s: s if not hasattr(s, "asDict") else s.asDict())]})])
+            yield from run(
+                [pd.DataFrame({"sample_id": f["sample_id"], "before": [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in f["before"].apply(lambda s: s if not hasattr(s, "asDict") else s.asDict())], "after": [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in f["after"].apply(lambda s: s if not hasattr(s, "asDict") else s.asDict())]})]
+            )
 
     return flat.mapInPandas(unpack, "sample_id string, ratio double")
 
@@ -119,7 +127,14 @@ def change_ratios(pairs: DataFrame, aligned: bool = False) -> DataFrame:
 def content_hash(files: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
     """One hash of a set of files: SHA-256 over the files' own SHA-256 in order of name (a variant that distributes)."""
     each = files.select(F.col(name).alias("n"), F.sha2(F.col(content), 256).alias("h"))
-    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda x: F.concat(x["n"], F.lit("="), x["h"])), "\n"), 256).alias("dataset_hash"))
+    return each.agg(
+        F.sha2(
+            F.array_join(
+                F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda x: F.concat(x["n"], F.lit("="), x["h"])), "\n",
+            ),
+            256,
+        ).alias("dataset_hash")
+    )
 
 
 def to_base64(content: Column) -> Column:

@@ -6,7 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Event type -> rough label; class -> actions and element type.
-EVENT_LABELS = {"click": "button", "double_click": "button", "right_click": "context_menu", "drag": "draggable", "scroll": "scroll_area", "type": "text_field", "press": "shortcut"}
+EVENT_LABELS = {
+    "click": "button",
+    "double_click": "button",
+    "right_click": "context_menu",
+    "drag": "draggable",
+    "scroll": "scroll_area",
+    "type": "text_field",
+    "press": "shortcut",
+}
 
 
 def lookup(key: Column, table: dict, default: str | None = None) -> Column:

@@ -52,7 +52,9 @@ def contour_boxes(found: DataFrame, total_pixels: Column, least_area: float = 10
     rest = [F.col(c) for c in found.columns if c not in (*CANDIDATE, "x", "y", "w", "h", "area")]
     confidence = F.least(F.lit(1.0), size / total_pixels * 100)
     own = [c.cast("double").alias(n) for n, c in values.items()]
-    return kept.select(*rest, *own, F.lit("diff").alias("signal"), confidence.alias("confidence"), F.lit(None).cast("string").alias("semantic_text"))
+    return kept.select(
+        *rest, *own, F.lit("diff").alias("signal"), confidence.alias("confidence"), F.lit(None).cast("string").alias("semantic_text"),
+    )
 
 
 def event_position(metadata: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
@@ -76,7 +78,9 @@ def default_roi(rows: DataFrame, situations: DataFrame, rois: DataFrame, label:
     """
     route = F.col(label)["route_label"]
     own = F.coalesce(F.size(route["roi_bbox_norm"]) == 4, F.lit(False))
-    primary = situations.select(F.col("situation_id").alias("__sid"), primary_roi(F.col("roi_priority"), F.col("likely_rois")).alias("__primary"))
+    primary = situations.select(
+        F.col("situation_id").alias("__sid"), primary_roi(F.col("roi_priority"), F.col("likely_rois")).alias("__primary"),
+    )
     boxes = rois.select(F.col("roi_name").alias("__name"), F.array("x1", "y1", "x2", "y2").alias("__box"))
     asked = F.nullif(F.trim(F.coalesce(roi, F.lit(""))), F.lit(""))
     named = rows.join(primary, F.col(situation) == F.col("__sid"), "left").withColumn("__asked", F.coalesce(asked, "__primary", F.lit("")))

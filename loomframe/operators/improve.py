@@ -10,18 +10,41 @@ from loomframe.operators.split import numbered
 from loomframe.runtime import checkpoint
 
 
-def heuristic(b: Box, x: Column, y: Column, confidence: Column, width: Column, height: Column, least_area: float = 0.0001, most_area: float = 0.5, most_aspect: float = 10.0) -> Column:
+def heuristic(
+    b: Box,
+    x: Column,
+    y: Column,
+    confidence: Column,
+    width: Column,
+    height: Column,
+    least_area: float = 0.0001,
+    most_area: float = 0.5,
+    most_aspect: float = 10.0,
+) -> Column:
     """struct of score, click_inside, area_ratio, aspect_ratio (null: infinite), confidence, penalties."""
     bw, bh = b.x2 - b.x1, b.y2 - b.y1
     ratio = F.greatest(F.lit(0.0), bw * bh) / F.greatest(F.lit(1.0), (width * height).cast("double"))
     flat = (bw <= 0) | (bh <= 0)
     aspect = F.when(~flat, F.greatest(bw / bh, bh / bw))
     inside = F.coalesce(contains(b, x, y), F.lit(False))
-    tests = [("bbox_too_small", ratio < least_area, 0.3), ("bbox_too_large", ratio > most_area, 0.3), ("extreme_aspect_ratio", flat | (aspect > most_aspect), 0.2), ("click_outside_bbox", ~inside, 0.3), ("low_confidence", confidence < 0.3, 0.2)]
+    tests = [
+        ("bbox_too_small", ratio < least_area, 0.3),
+        ("bbox_too_large", ratio > most_area, 0.3),
+        ("extreme_aspect_ratio", flat | (aspect > most_aspect), 0.2),
+        ("click_outside_bbox", ~inside, 0.3),
+        ("low_confidence", confidence < 0.3, 0.2),
+    ]
     total = sum((F.when(t, F.lit(n)).otherwise(F.lit(0.0)) for _, t, n in tests), F.lit(0.0))
     score = F.when(flat, F.lit(0.0)).otherwise(clamp(1.0 - total))
     names = F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t, _ in tests), F.when(flat, F.lit("degenerate_bbox"))))
-    return F.struct(score.alias("score"), inside.alias("click_inside"), ratio.alias("area_ratio"), aspect.alias("aspect_ratio"), confidence.alias("confidence"), names.alias("penalties"))
+    return F.struct(
+        score.alias("score"),
+        inside.alias("click_inside"),
+        ratio.alias("area_ratio"),
+        aspect.alias("aspect_ratio"),
+        confidence.alias("confidence"),
+        names.alias("penalties"),
+    )
 
 
 def clamp(c: Column) -> Column:
@@ -106,7 +129,9 @@ def trends(history: DataFrame, score: str, order: str) -> DataFrame:
 
 def best_iteration(history: DataFrame, score: str, order: str) -> DataFrame:
     """best (first on ties), best_score, last iteration."""
-    return history.agg(F.max_by(order, F.struct(F.col(score), -F.col(order))).alias("best"), F.max(score).alias("best_score"), F.max(order).alias("last"))
+    return history.agg(
+        F.max_by(order, F.struct(F.col(score), -F.col(order))).alias("best"), F.max(score).alias("best_score"), F.max(order).alias("last"),
+    )
 
 
 def stalled(history: DataFrame, score: str, order: str, patience: int, threshold: float = 0.0) -> DataFrame:
@@ -115,12 +140,17 @@ def stalled(history: DataFrame, score: str, order: str, patience: int, threshold
     last = F.row_number().over(Window.orderBy(F.desc(order)))
     marked = history.withColumn("__back", last)
     best = F.max(score).over(Window.partitionBy())
-    marked = marked.withColumn("__best", best).withColumn("__isbest", F.col(order) == F.max_by(order, F.struct(F.col(score), -F.col(order))).over(Window.partitionBy()))
+    marked = marked.withColumn("__best", best).withColumn(
+        "__isbest", F.col(order) == F.max_by(order, F.struct(F.col(score), -F.col(order))).over(Window.partitionBy()),
+    )
     recent = F.col("__back") <= patience
     rule = (F.col("__best") - F.col(score) > -threshold) & (F.col(score) - F.col("__best") < threshold)
     enough = F.count("*") >= patience + 1
     gain = F.max(F.when(recent, F.col(score))) - F.max(F.when(~recent, F.col(score)))
-    return marked.agg((enough & F.coalesce(F.bool_and(F.when(recent & ~F.col("__isbest"), rule)), F.lit(True))).alias("stalled"), (enough & (gain <= threshold)).alias("no_gain"))
+    return marked.agg(
+        (enough & F.coalesce(F.bool_and(F.when(recent & ~F.col("__isbest"), rule)), F.lit(True))).alias("stalled"),
+        (enough & (gain <= threshold)).alias("no_gain"),
+    )
 
 
 def improved(history: DataFrame, score: str, order: str) -> DataFrame:

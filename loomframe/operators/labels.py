@@ -61,13 +61,24 @@ def _struct(values: dict[str, Column]) -> Column:
 
 def _page(p: Column) -> Column:
     """A page object with its defaults."""
-    return _struct({"screen_type": p["screen_type"], "situation_id": p["situation_id"], "state_flags": _texts(p["state_flags"]), "confidence": F.coalesce(p["confidence"], F.lit(0.0))})
+    return _struct(
+        {
+            "screen_type": p["screen_type"],
+            "situation_id": p["situation_id"],
+            "state_flags": _texts(p["state_flags"]),
+            "confidence": F.coalesce(p["confidence"], F.lit(0.0)),
+        }
+    )
 
 
 def _route(r: Column, primitive: Column, target: Column) -> Column:
     """A route object whose primitive and target are filled where it has none."""
     own = {n: r[n] for n in fields(ROUTE)}
-    filled = {"primitive_id": F.coalesce(r["primitive_id"], primitive), "target_element_id": F.coalesce(r["target_element_id"], target), "confidence": F.coalesce(r["confidence"], F.lit(0.0))}
+    filled = {
+        "primitive_id": F.coalesce(r["primitive_id"], primitive),
+        "target_element_id": F.coalesce(r["target_element_id"], target),
+        "confidence": F.coalesce(r["confidence"], F.lit(0.0)),
+    }
     return _struct(own | filled)
 
 
@@ -119,18 +130,41 @@ def nested_label(rows: DataFrame, raw: str, name: str = "label") -> DataFrame:
     corner = {n: F.coalesce(r[n], F.lit(float(k >= 2))) for k, n in enumerate(BOX)}
     some = lambda c: F.coalesce(c, F.lit("")) != ""
     boxed = F.greatest(*(~c.isin(0.0, 1.0) for c in corner.values()))
-    has = boxed | some(r["semantic_id"]) | some(r["semantic_text"]) | (F.size(_texts(r["hotkeys"])) > 0) | (F.size(_texts(r["available_actions"])) > 0)
+    has = boxed | some(r["semantic_id"]) | some(r["semantic_text"]) | (F.size(_texts(r["hotkeys"])) > 0) | (
+        F.size(_texts(r["available_actions"])) > 0
+    )
     confidence = F.coalesce(r["confidence"], F.lit(0.0))
     flat = {n: r[n] for n in ("semantic_id", "semantic_text", "function_id")}
-    one = {"element_id": F.lit("elem_001")} | corner | flat | {"hotkeys": _texts(r["hotkeys"]), "available_actions": _texts(r["available_actions"])}
-    one |= {"enabled_state": F.lit("enabled"), "roi_name": F.lit(None).cast("string"), "is_route_target": F.lit(True), "confidence": confidence, "metadata": F.lit("{}")}
+    one = {"element_id": F.lit("elem_001")} | corner | flat | {
+        "hotkeys": _texts(r["hotkeys"]), "available_actions": _texts(r["available_actions"]),
+    }
+    one |= {
+        "enabled_state": F.lit("enabled"),
+        "roi_name": F.lit(None).cast("string"),
+        "is_route_target": F.lit(True),
+        "confidence": confidence,
+        "metadata": F.lit("{}"),
+    }
     listed = F.transform(r["elements"], _element)
-    elements = F.when(F.size(F.coalesce(r["elements"], F.array().cast(f"array<{ELEMENT_FILE}>"))) > 0, listed).when(has, F.array(_struct(one))).otherwise(F.array().cast(f"array<{ELEMENT}>"))
+    elements = F.when(
+        F.size(F.coalesce(r["elements"], F.array().cast(f"array<{ELEMENT_FILE}>"))) > 0, listed,
+    ).when(has, F.array(_struct(one))).otherwise(F.array().cast(f"array<{ELEMENT}>"))
     staged = rows.withColumn("__elements", elements).withColumn("__primary", primary_element(F.col("__elements")))
     primary = F.col("__primary")
-    page = F.when(r["page"].isNotNull(), _page(r["page"])).otherwise(_struct({"screen_type": r["screen_type"], "situation_id": r["situation_id"], "state_flags": _texts(F.lit(None)), "confidence": confidence}))
+    page = F.when(r["page"].isNotNull(), _page(r["page"])).otherwise(
+        _struct(
+            {
+                "screen_type": r["screen_type"],
+                "situation_id": r["situation_id"],
+                "state_flags": _texts(F.lit(None)),
+                "confidence": confidence,
+            }
+        )
+    )
     function = F.when(primary.isNotNull(), primary["function_id"]).otherwise(r["function_id"])
-    bare = _struct({n: F.lit(None).cast("array<double>" if n == "roi_bbox_norm" else "string") for n in ROUTE_KEYS} | {"confidence": confidence})
+    bare = _struct(
+        {n: F.lit(None).cast("array<double>" if n == "roi_bbox_norm" else "string") for n in ROUTE_KEYS} | {"confidence": confidence}
+    )
     given = _route(r["route_label"], function, primary["element_id"])
     made = _route(bare, F.coalesce(r["function_id"], function), primary["element_id"])
     parts = {
@@ -144,7 +178,9 @@ def nested_label(rows: DataFrame, raw: str, name: str = "label") -> DataFrame:
     return staged.withColumn(name, F.when(r.isNotNull(), _struct(parts))).drop("__elements", "__primary")
 
 
-def effective_label(rows: DataFrame, label: str = "label", status: str = "review_status", corrections: str = "corrections", name: str | None = None) -> DataFrame:
+def effective_label(
+    rows: DataFrame, label: str = "label", status: str = "review_status", corrections: str = "corrections", name: str | None = None,
+) -> DataFrame:
     """rows with the label that holds after review, in place of label or under another name.
 
     Only an edited row with corrections (JSON string) changes. A page or route object replaces the whole struct,
@@ -154,7 +190,9 @@ def effective_label(rows: DataFrame, label: str = "label", status: str = "review
     """
     whole = F.col(corrections)
     parsed = F.struct(F.from_json(whole, CORRECTIONS).alias("c"), F.json_object_keys(whole).alias("keys"))
-    staged = rows.withColumn("__edit", F.when((F.col(status) == "edited") & F.col(label).isNotNull() & (F.json_object_keys(whole).isNotNull()), parsed))
+    staged = rows.withColumn(
+        "__edit", F.when((F.col(status) == "edited") & F.col(label).isNotNull() & (F.json_object_keys(whole).isNotNull()), parsed),
+    )
     base, c, keys = F.col(label), F.col("__edit.c"), F.col("__edit.keys")
     new = lambda k, old: F.when(F.array_contains(keys, k), c[k]).otherwise(old[k])
 
@@ -186,7 +224,15 @@ def routing_record(sample_id: Column, event: Column, label: Column, metadata: Co
     """Struct of the routing export; of the metadata only session, run, pipeline, capture, coordinates and filter."""
     keep = ("session_id", "run_config", "pipeline_version", "capture", "coordinates", "filter")
     md = F.map_filter(F.map_from_arrays(F.array(*(F.lit(k) for k in keep)), F.array(*(F.get_json_object(metadata, f"$.{k}") for k in keep))), lambda k, v: v.isNotNull())
-    return F.struct(sample_id.alias("sample_id"), event.alias("event"), label["page"].alias("page"), label["route_label"].alias("route_label"), label["elements"].alias("elements"), label["confidence"].alias("confidence"), md.alias("metadata"))
+    return F.struct(
+        sample_id.alias("sample_id"),
+        event.alias("event"),
+        label["page"].alias("page"),
+        label["route_label"].alias("route_label"),
+        label["elements"].alias("elements"),
+        label["confidence"].alias("confidence"),
+        md.alias("metadata"),
+    )
 
 
 def page_sample(sample_id: Column, label: Column) -> Column:
@@ -204,8 +250,12 @@ def roi_crop(rows: DataFrame, situations: DataFrame, rois: DataFrame, width: str
     """
     known = [r["roi_name"] for r in rois.where(F.col("roi_name").isin(fallbacks)).select("roi_name").collect()] if fallbacks else []
     default = next((f for f in fallbacks if f in known), None)
-    primary = situations.select(F.col("situation_id").alias("__sid"), primary_roi(F.col("roi_priority"), F.col("likely_rois")).alias("__roi"))
-    named = rows.join(primary, F.col("label.page.situation_id") == F.col("__sid"), "left").withColumn("__name", F.coalesce(F.col("label.route_label.roi_name"), F.col("__roi"), F.lit(default)))
+    primary = situations.select(
+        F.col("situation_id").alias("__sid"), primary_roi(F.col("roi_priority"), F.col("likely_rois")).alias("__roi"),
+    )
+    named = rows.join(primary, F.col("label.page.situation_id") == F.col("__sid"), "left").withColumn(
+        "__name", F.coalesce(F.col("label.route_label.roi_name"), F.col("__roi"), F.lit(default)),
+    )
     boxes = rois.select(F.col("roi_name").alias("__name"), F.struct("x1", "y1", "x2", "y2").alias("__box"))
     found = named.join(boxes, "__name", "left")
     own = F.col("label.route_label.roi_bbox_norm")
@@ -213,7 +263,9 @@ def roi_crop(rows: DataFrame, situations: DataFrame, rois: DataFrame, width: str
     w, h = F.col(width), F.col(height)
     crop = crop_pixels(Box(part(0, "x1"), part(1, "y1"), part(2, "x2"), part(3, "y2")), w, h)
     whole = F.struct(F.lit(0).alias("x1"), F.lit(0).alias("y1"), w.alias("x2"), h.alias("y2"))
-    return found.withColumn("crop", F.when((F.size(own) == 4) | F.col("__box").isNotNull(), crop.struct()).otherwise(whole)).drop("__sid", "__roi", "__name", "__box")
+    return found.withColumn(
+        "crop", F.when((F.size(own) == 4) | F.col("__box").isNotNull(), crop.struct()).otherwise(whole),
+    ).drop("__sid", "__roi", "__name", "__box")
 
 
 def roi_hits(points: DataFrame, rois: DataFrame, x: str, y: str) -> DataFrame:
@@ -223,7 +275,9 @@ def roi_hits(points: DataFrame, rois: DataFrame, x: str, y: str) -> DataFrame:
     """
     packed = rois.agg(F.collect_list(F.struct("roi_name", "x1", "y1", "x2", "y2")).alias("__rois"))
     inside = F.filter("__rois", lambda r: contains(Box.of(r), F.col(x), F.col(y)))
-    return points.crossJoin(F.broadcast(packed)).withColumn("roi_hits", F.coalesce(F.array_sort(F.transform(inside, lambda r: r["roi_name"])), F.array().cast("array<string>"))).drop("__rois")
+    return points.crossJoin(F.broadcast(packed)).withColumn(
+        "roi_hits", F.coalesce(F.array_sort(F.transform(inside, lambda r: r["roi_name"])), F.array().cast("array<string>")),
+    ).drop("__rois")
 
 
 def hotkey_match(rows: DataFrame, elements: DataFrame, key: str) -> DataFrame:
@@ -232,7 +286,9 @@ def hotkey_match(rows: DataFrame, elements: DataFrame, key: str) -> DataFrame:
     upper = F.upper(F.col(key))
     hit = F.filter("__elements", lambda e: F.exists(e["hotkeys"], lambda h: F.contains(F.upper(h), upper)))
     out = rows.crossJoin(F.broadcast(packed))  # one row
-    return out.withColumn("hotkey_primitive", F.when(F.coalesce(F.col(key), F.lit("")) != "", F.get(hit, F.lit(0))["function_id"])).drop("__elements")
+    return out.withColumn(
+        "hotkey_primitive", F.when(F.coalesce(F.col(key), F.lit("")) != "", F.get(hit, F.lit(0))["function_id"]),
+    ).drop("__elements")
 
 
 def ontology_match(rows: DataFrame, ontology: DataFrame, proposed_id: str, proposed_text: str, strict: bool = True) -> DataFrame:
@@ -248,7 +304,9 @@ def ontology_match(rows: DataFrame, ontology: DataFrame, proposed_id: str, propo
     near = pick(lambda t: (text != "") & (F.contains(F.lower(t["description"]), text) | F.contains(text, F.lower(t["description"]))))
     mapped = F.coalesce(exact, equal, near)
     out = rows.crossJoin(F.broadcast(packed)).withColumn("__m", mapped)  # one row
-    return out.withColumn("mapped_id", F.col("__m") if strict else F.coalesce("__m", F.col(proposed_id))).withColumn("unmapped", F.col("__m").isNull()).drop("__terms", "__m")
+    return out.withColumn(
+        "mapped_id", F.col("__m") if strict else F.coalesce("__m", F.col(proposed_id)),
+    ).withColumn("unmapped", F.col("__m").isNull()).drop("__terms", "__m")
 
 
 def local_labels(rows: DataFrame, situations: DataFrame, popup: bool = True) -> DataFrame:
@@ -259,22 +317,34 @@ def local_labels(rows: DataFrame, situations: DataFrame, popup: bool = True) ->
     the first), then the popup keys. Confidence: .35 primitive, .25 situation, .10 screen, .20 hotkey, .15 region, at
     most .75.
     """
-    packed = situations.agg(F.array_sort(F.collect_list(F.struct("ord", "situation_id", "screen_types", "allowed_primitives", "roi_priority"))).alias("__s"))
+    packed = situations.agg(
+        F.array_sort(F.collect_list(F.struct("ord", "situation_id", "screen_types", "allowed_primitives", "roi_priority"))).alias("__s")
+    )
     out = rows.crossJoin(F.broadcast(packed))  # one row
     hits = F.col("roi_hits")
     touched = lambda s: F.coalesce(F.arrays_overlap(s["roi_priority"], hits), F.lit(False))
     allowed = F.flatten(F.transform(F.filter("__s", touched), lambda s: s["allowed_primitives"]))
     out = out.withColumn("__allowed", allowed)
-    popup_key = F.col("action").isin("press", "type") & F.upper(F.trim(F.coalesce(F.col("key"), F.lit("")))).isin("ENTER", "RETURN", "ESC", "ESCAPE") & F.lit(popup)
+    popup_key = F.col("action").isin("press", "type") & F.upper(
+        F.trim(F.coalesce(F.col("key"), F.lit("")))
+    ).isin("ENTER", "RETURN", "ESC", "ESCAPE") & F.lit(popup)
     out = out.withColumn("primitive_id", F.coalesce("hotkey_primitive", F.get("__allowed", F.lit(0)), F.when(popup_key, "popup_primitive")))
-    by = F.when(F.col("hotkey_primitive").isNotNull(), "hotkey_match").when(F.size("__allowed") == 1, "roi_match").when(F.size("__allowed") > 1, "roi_ambiguous").when(popup_key, "default_popup_key")
+    by = F.when(
+        F.col("hotkey_primitive").isNotNull(), "hotkey_match",
+    ).when(F.size("__allowed") == 1, "roi_match").when(F.size("__allowed") > 1, "roi_ambiguous").when(popup_key, "default_popup_key")
     may = F.filter("__s", lambda s: F.array_contains(s["allowed_primitives"], F.col("primitive_id")))
-    out = out.withColumn("__may", may).withColumn("__at", F.get(F.filter("__may", touched), F.lit(0))).withColumn("__any", F.get("__may", F.lit(0)))
+    out = out.withColumn("__may", may).withColumn(
+        "__at", F.get(F.filter("__may", touched), F.lit(0)),
+    ).withColumn("__any", F.get("__may", F.lit(0)))
     chosen = F.coalesce("__at", "__any")
     where = F.when(F.col("__at").isNotNull(), "roi_match").when(F.col("__any").isNotNull(), "primitive_default")
-    out = out.withColumn("situation_id", chosen["situation_id"]).withColumn("screen_type", F.get(chosen["screen_types"], F.lit(0))).withColumn("signals", F.array_compact(F.array(by, where)))
+    out = out.withColumn("situation_id", chosen["situation_id"]).withColumn(
+        "screen_type", F.get(chosen["screen_types"], F.lit(0)),
+    ).withColumn("signals", F.array_compact(F.array(by, where)))
     points = lambda test, n: F.when(test, F.lit(n)).otherwise(F.lit(0.0))
-    total = points(F.col("primitive_id").isNotNull(), 0.35) + points(F.col("situation_id").isNotNull(), 0.25) + points(F.col("screen_type").isNotNull(), 0.10) + points(F.array_contains("signals", "hotkey_match"), 0.20) + points(F.array_contains("signals", "roi_match"), 0.15)
+    total = points(F.col("primitive_id").isNotNull(), 0.35) + points(F.col("situation_id").isNotNull(), 0.25) + points(F.col("screen_type").isNotNull(), 0.10) + points(
+        F.array_contains("signals", "hotkey_match"), 0.20,
+    ) + points(F.array_contains("signals", "roi_match"), 0.15)
     return out.withColumn("confidence", F.least(F.lit(0.75), total)).drop("__s", "__allowed", "__may", "__at", "__any")
 
 
@@ -293,14 +363,23 @@ def apply_teacher(rows: DataFrame, results: DataFrame, key: str) -> DataFrame:
     out = rows.join(results.select(key, "chosen", "route_candidates"), key, "left")
     label, chosen = F.col("label"), F.col("chosen")
     confidence = first_nonzero(chosen["confidence"], label["confidence"])
-    page = label["page"].withField("situation_id", first_truthy(chosen["situation_id"], label["page"]["situation_id"])).withField("screen_type", first_truthy(chosen["screen_type"], label["page"]["screen_type"])).withField("confidence", confidence)
-    route = label["route_label"].withField("primitive_id", first_truthy(chosen["primitive_id"], label["route_label"]["primitive_id"])).withField("roi_name", chosen["roi_name"]).withField("confidence", confidence)
-    new = label.withField("page", page).withField("route_label", route).withField("confidence", confidence).withField("evidence", F.to_json(F.struct(F.col("route_candidates"))))
+    page = label["page"].withField(
+        "situation_id", first_truthy(chosen["situation_id"], label["page"]["situation_id"]),
+    ).withField("screen_type", first_truthy(chosen["screen_type"], label["page"]["screen_type"])).withField("confidence", confidence)
+    route = label["route_label"].withField(
+        "primitive_id", first_truthy(chosen["primitive_id"], label["route_label"]["primitive_id"]),
+    ).withField("roi_name", chosen["roi_name"]).withField("confidence", confidence)
+    new = label.withField("page", page).withField("route_label", route).withField("confidence", confidence).withField(
+        "evidence", F.to_json(F.struct(F.col("route_candidates"))),
+    )
     return out.withColumn("label", F.when(chosen.isNotNull(), new).otherwise(label)).drop("chosen", "route_candidates")
 
 
 def element_norm(e: Column, width: Column, height: Column) -> Column:
     """The element with bbox_xyxy and bbox_norm (null without an image size)."""
     box = F.array(e["bbox_x_min"], e["bbox_y_min"], e["bbox_x_max"], e["bbox_y_max"])
-    sized = F.when((width > 0) & (height > 0), F.array(e["bbox_x_min"] / width, e["bbox_y_min"] / height, e["bbox_x_max"] / width, e["bbox_y_max"] / height))
+    sized = F.when(
+        (width > 0) & (height > 0),
+        F.array(e["bbox_x_min"] / width, e["bbox_y_min"] / height, e["bbox_x_max"] / width, e["bbox_y_max"] / height),
+    )
     return e.withField("bbox_xyxy", box).withField("bbox_norm", sized)

@@ -45,8 +45,12 @@ def nearest_rank(rows: DataFrame, value: str, keys: list[str], share: float = 0.
 def click_success(truth: DataFrame, predictions: DataFrame, image: str, name: str, key: str, threshold: float = 0.5) -> DataFrame:
     """Share of truth boxes that a prediction of the same image and class meets with IoU of `threshold` or more."""
     t, p = truth.alias("t"), predictions.alias("p")
-    meets = iou(Box(*(F.col(f"t.{c}") for c in ("x1", "y1", "x2", "y2"))), Box(*(F.col(f"p.{c}") for c in ("x1", "y1", "x2", "y2")))) >= threshold
-    hit = t.join(p, (F.col(f"t.{image}") == F.col(f"p.{image}")) & (F.col(f"t.{name}") == F.col(f"p.{name}")) & meets, "left_semi").select(key).withColumn("hit", F.lit(1.0))
+    meets = iou(
+        Box(*(F.col(f"t.{c}") for c in ("x1", "y1", "x2", "y2"))), Box(*(F.col(f"p.{c}") for c in ("x1", "y1", "x2", "y2"))),
+    ) >= threshold
+    hit = t.join(
+        p, (F.col(f"t.{image}") == F.col(f"p.{image}")) & (F.col(f"t.{name}") == F.col(f"p.{name}")) & meets, "left_semi",
+    ).select(key).withColumn("hit", F.lit(1.0))
     return truth.join(hit, key, "left").agg(mean_or_zero(F.coalesce("hit", F.lit(0.0))).alias("click_success"))
 
 
@@ -54,7 +58,9 @@ def zipped(predictions: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     """Both sides by row key; an error where either side lacks a row."""
     both = predictions.withColumn("__p", F.lit(True)).join(targets.withColumn("__t", F.lit(True)), key, "full")
     whole = F.col("__p").isNotNull() & F.col("__t").isNotNull()
-    return both.where(F.when(whole, True).otherwise(F.raise_error(F.lit("predictions and targets differ in length")).cast("boolean"))).drop("__p", "__t")
+    return both.where(
+        F.when(whole, True).otherwise(F.raise_error(F.lit("predictions and targets differ in length")).cast("boolean"))
+    ).drop("__p", "__t")
 
 
 def latency_penalty(ms: Column, target: float = 30.0) -> Column:

@@ -44,7 +44,9 @@ def predict(images: DataFrame, key: str, content: str, model: FrameModel) -> Dat
                     rows.append((k, at, e.get("label"), *map(float, e["bbox"]), float(e.get("score", 0.5))))
             yield pd.DataFrame(rows, columns=names)
 
-    return images.select(key, content).mapInPandas(run, f"{key} {kind}, at int, label string, x1 double, y1 double, x2 double, y2 double, score double")
+    return images.select(key, content).mapInPandas(
+        run, f"{key} {kind}, at int, label string, x1 double, y1 double, x2 double, y2 double, score double",
+    )
 
 
 def no_screen(image: bytes) -> str | None:

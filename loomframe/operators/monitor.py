@@ -33,7 +33,16 @@ def confidence_window(rows: DataFrame, value: str, order: str, key: str, n: int
     return rows.withColumn("window_n", F.count(value).over(w)).withColumn("window_mean", F.avg(value).over(w))
 
 
-def retrain_decision(counts: DataFrame, failures: str, corrections: str, drift: str, hours_since: str | None = None, failure_threshold: int = 50, correction_threshold: int = 20, cooldown_hours: float = 24.0) -> DataFrame:
+def retrain_decision(
+    counts: DataFrame,
+    failures: str,
+    corrections: str,
+    drift: str,
+    hours_since: str | None = None,
+    failure_threshold: int = 50,
+    correction_threshold: int = 20,
+    cooldown_hours: float = 24.0,
+) -> DataFrame:
     """counts with should_retrain, reason, recommended_strategy; within the cooldown nothing is recommended."""
     f, c, d = F.col(failures), F.col(corrections), F.col(drift)
     reasons = F.array_compact(F.array(

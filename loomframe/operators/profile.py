@@ -14,7 +14,9 @@ def vocabulary(rows: DataFrame, label: str, skip_blank: bool = False) -> DataFra
 
 
 def encode(rows: DataFrame, vocab: DataFrame, label: str, missing: int = -100) -> DataFrame:
-    return rows.join(F.broadcast(vocab.select(label, F.col("index").alias(f"{label}_index"))), label, "left").withColumn(f"{label}_index", F.coalesce(f"{label}_index", F.lit(missing)))
+    return rows.join(
+        F.broadcast(vocab.select(label, F.col("index").alias(f"{label}_index"))), label, "left",
+    ).withColumn(f"{label}_index", F.coalesce(f"{label}_index", F.lit(missing)))
 
 
 def class_balance(rows: DataFrame, label: str, classes: Column | None = None) -> DataFrame:
@@ -27,7 +29,9 @@ def class_balance(rows: DataFrame, label: str, classes: Column | None = None) ->
 
 
 def complexity(images: Column, classes: Column, annotations_per_image: Column | None = None) -> Column:
-    return F.when((images < 50) & (classes <= 1), "trivial").when((images < 200) & (classes <= 3), "simple").when((images < 1000) | (classes <= 5), "moderate").otherwise("complex")
+    return F.when((images < 50) & (classes <= 1), "trivial").when((images < 200) & (classes <= 3), "simple").when(
+        (images < 1000) | (classes <= 5), "moderate",
+    ).otherwise("complex")
 
 
 def profile(images: DataFrame, annotations: DataFrame, image: str, category: str, classes: int | None = None) -> DataFrame:
@@ -37,12 +41,22 @@ def profile(images: DataFrame, annotations: DataFrame, image: str, category: str
     """
     sized = annotations.join(images.select(image, (F.col("width") * F.col("height")).alias("__area")), image, "left")
     share = F.col("w") * F.col("h") / F.greatest(F.lit(1.0), F.coalesce(F.col("__area"), F.lit(640.0 * 480.0)).cast("double"))
-    a = sized.agg(F.count("*").alias("num_annotations"), F.coalesce(F.avg(share), F.lit(0.0)).alias("ratio"), F.countDistinct(category).alias("k"))
+    a = sized.agg(
+        F.count("*").alias("num_annotations"), F.coalesce(F.avg(share), F.lit(0.0)).alias("ratio"), F.countDistinct(category).alias("k"),
+    )
     n = images.agg(F.count("*").alias("num_images"))
     k = F.col("k") if classes is None else F.lit(classes)
     out = n.crossJoin(a).crossJoin(class_balance(annotations, category, F.lit(classes) if classes is not None else None))  # rows of one each
     mean = F.col("num_annotations") / F.greatest(F.lit(1), F.col("num_images"))
-    return out.select("num_images", "num_annotations", k.alias("num_classes"), F.round(mean, 2).alias("avg_annotations_per_image"), F.round("ratio", 4).alias("avg_box_area_ratio"), F.round("balance", 4).alias("class_balance_score"), complexity(F.col("num_images"), k).alias("estimated_complexity"))
+    return out.select(
+        "num_images",
+        "num_annotations",
+        k.alias("num_classes"),
+        F.round(mean, 2).alias("avg_annotations_per_image"),
+        F.round("ratio", 4).alias("avg_box_area_ratio"),
+        F.round("balance", 4).alias("class_balance_score"),
+        complexity(F.col("num_images"), k).alias("estimated_complexity"),
+    )
 
 
 #: Model, task, epochs, batch, learning rate, search, trials of the four outcomes.
@@ -52,12 +66,16 @@ STRATEGIES = {
     "medium": ("yolo_ultralytics", "yolov8s.pt", "tool_button_detection", 50, 16, 1e-3, True, 10),
     "large": ("yolo_ultralytics", "yolov8m.pt", "tool_button_detection", 80, 8, 1e-3, True, 20),
 }
-STRATEGY_FIELDS = ("backend", "model_name", "task_name", "suggested_epochs", "suggested_batch_size", "suggested_lr", "use_hpo", "suggested_n_trials")
+STRATEGY_FIELDS = (
+    "backend", "model_name", "task_name", "suggested_epochs", "suggested_batch_size", "suggested_lr", "use_hpo", "suggested_n_trials",
+)
 
 
 def strategy(profiles: DataFrame) -> DataFrame:
     """The profile's columns and the strategy's."""
     small = F.col("estimated_complexity").isin("trivial", "simple")
     struct = lambda k: F.struct(*(F.lit(v).alias(n) for n, v in zip(STRATEGY_FIELDS, STRATEGIES[k], strict=True)))
-    pick = F.when((F.col("avg_annotations_per_image") <= 1.0) & (F.col("num_classes") <= 2) & small, struct("grounding")).when((F.col("num_images") < 200) & (F.col("num_classes") <= 1), struct("small")).when((F.col("num_images") < 1000) & (F.col("num_classes") <= 5), struct("medium")).otherwise(struct("large"))
+    pick = F.when(
+        (F.col("avg_annotations_per_image") <= 1.0) & (F.col("num_classes") <= 2) & small, struct("grounding"),
+    ).when((F.col("num_images") < 200) & (F.col("num_classes") <= 1), struct("small")).when((F.col("num_images") < 1000) & (F.col("num_classes") <= 5), struct("medium")).otherwise(struct("large"))
     return profiles.withColumn("__s", pick).select(*profiles.columns, *(F.col(f"__s.{n}") for n in STRATEGY_FIELDS))

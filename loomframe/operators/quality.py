@@ -6,7 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What each flag takes off the score.
-PENALTIES = {"quality_issue": 0.25, "duplicate_non_representative": 0.20, "missing_primitive_id": 0.35, "missing_situation_id": 0.25, "legacy_invalid_action": 0.10, "legacy_transition": 0.05}
+PENALTIES = {
+    "quality_issue": 0.25,
+    "duplicate_non_representative": 0.20,
+    "missing_primitive_id": 0.35,
+    "missing_situation_id": 0.25,
+    "legacy_invalid_action": 0.10,
+    "legacy_transition": 0.05,
+}
 DUPLICATE = "duplicate_non_representative"
 
 
@@ -63,20 +70,26 @@ def flag_counts(rows: DataFrame, flag_col: str = "flags") -> DataFrame:
 def reject_dropped(rows: DataFrame, kept: DataFrame, key: str, status: str = "review_status") -> DataFrame:
     """Rows not kept become rejected where they are pending; others stay as they are."""
     marked = rows.join(kept.select(key, F.lit(True).alias("__kept")), key, "left")
-    return marked.withColumn(status, F.when(F.col("__kept").isNull() & (F.col(status) == "pending"), "rejected").otherwise(F.col(status))).drop("__kept")
+    return marked.withColumn(
+        status, F.when(F.col("__kept").isNull() & (F.col(status) == "pending"), "rejected").otherwise(F.col(status)),
+    ).drop("__kept")
 
 
 def exportable(label: Column, status: Column) -> Column:
     return label.isNotNull() & (status != "rejected")
 
 
-def dataset_stats(rows: DataFrame, confidence: Column, primitive: Column, situation: Column, status: Column, flag_list: Column, labeled: Column) -> DataFrame:
+def dataset_stats(
+    rows: DataFrame, confidence: Column, primitive: Column, situation: Column, status: Column, flag_list: Column, labeled: Column,
+) -> DataFrame:
     """One row of counts and the mean confidence; a status of none of the three kinds is pending."""
     has = lambda c: F.coalesce(c, F.lit("")) != ""
     n = lambda test: F.count_if(test)
     return rows.agg(
         F.count("*").alias("total"), n(labeled).alias("labeled"), n(~labeled).alias("unlabeled"), n(status == "approved").alias("approved"), n(status == "edited").alias("edited"), n(status == "rejected").alias("rejected"),
-        n(~F.coalesce(status.isin("approved", "edited", "rejected"), F.lit(False))).alias("pending"), F.coalesce(F.avg(F.when(labeled, confidence)), F.lit(0.0)).alias("avg_confidence"),
+        n(
+            ~F.coalesce(status.isin("approved", "edited", "rejected"), F.lit(False))
+        ).alias("pending"), F.coalesce(F.avg(F.when(labeled, confidence)), F.lit(0.0)).alias("avg_confidence"),
         n(labeled & ~has(primitive)).alias("missing_primitive_id"), n(labeled & ~has(situation)).alias("missing_situation_id"), n(is_duplicate(flag_list)).alias("duplicates"),
     )
 

@@ -9,7 +9,16 @@ from loomframe.functions.geometry import Box, iou
 from loomframe.operators.quality import is_duplicate
 
 
-def priority(confidence: Column, flag_list: Column, representative: Column, novelty: Column, hard_negatives: Column, conflict_pair: Column, popup_open: Column, candidate_confidences: Column) -> Column:
+def priority(
+    confidence: Column,
+    flag_list: Column,
+    representative: Column,
+    novelty: Column,
+    hard_negatives: Column,
+    conflict_pair: Column,
+    popup_open: Column,
+    candidate_confidences: Column,
+) -> Column:
     """Confidence less the bonuses, not below 0; lower comes first.
 
     hard_negatives: their number; candidate_confidences: array<double> of the route candidates.
@@ -19,8 +28,12 @@ def priority(confidence: Column, flag_list: Column, representative: Column, nove
     total = sum((points(F.array_contains(flag_list, f), n) for f, n in flagged.items()), F.lit(0.0))
     ranked = F.sort_array(candidate_confidences, asc=False)
     gap = F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1))
-    total = total + points(representative, 0.10) + points(novelty, 0.10) + F.least(F.lit(0.20), 0.05 * F.coalesce(hard_negatives, F.lit(0))) + points(conflict_pair, 0.15) + points(popup_open, 0.25)
-    total = total + F.when(F.size(candidate_confidences) >= 2, F.when(gap < 0.10, 0.20).when(gap < 0.20, 0.10).otherwise(0.0)).otherwise(F.lit(0.0))
+    total = total + points(representative, 0.10) + points(novelty, 0.10) + F.least(
+        F.lit(0.20), 0.05 * F.coalesce(hard_negatives, F.lit(0)),
+    ) + points(conflict_pair, 0.15) + points(popup_open, 0.25)
+    total = total + F.when(
+        F.size(candidate_confidences) >= 2, F.when(gap < 0.10, 0.20).when(gap < 0.20, 0.10).otherwise(0.0),
+    ).otherwise(F.lit(0.0))
     return F.greatest(F.lit(0.0), confidence - total)
 
 
@@ -35,7 +48,9 @@ def eligible(rows: DataFrame, label: str = "label", status: str = "review_status
     return rows.where(F.col(label).isNotNull() & (F.col(status) == "pending") & ~is_duplicate(F.col(flags)))
 
 
-def load_queue(rows: DataFrame, score: Column, order: str, auto_approve: float | None = None, confidence: Column | None = None) -> DataFrame:
+def load_queue(
+    rows: DataFrame, score: Column, order: str, auto_approve: float | None = None, confidence: Column | None = None,
+) -> DataFrame:
     """queue() of the eligible rows alone; label, review_status and flags are columns of rows."""
     return queue(eligible(rows), score, order, auto_approve, confidence)
 
@@ -60,20 +75,31 @@ def top_uncertain(rows: DataFrame, n: int, uncertainty: str, order: str, reviewe
 
 
 def queue_stats(rows: DataFrame, reviewed: Column, corrections: Column) -> DataFrame:
-    return rows.agg(F.count("*").alias("total"), F.count_if(reviewed).alias("reviewed"), F.count_if(~reviewed).alias("pending"), F.count_if(reviewed & corrections).alias("with_corrections"))
+    return rows.agg(
+        F.count("*").alias("total"),
+        F.count_if(reviewed).alias("reviewed"),
+        F.count_if(~reviewed).alias("pending"),
+        F.count_if(reviewed & corrections).alias("with_corrections"),
+    )
 
 
 def latest_decision(decisions: DataFrame, key: str, version: str) -> DataFrame:
     """The newest decision of each sample; an edit replaces corrections whole."""
-    return decisions.groupBy(key).agg(F.max_by(F.struct(*(c for c in decisions.columns if c != key)), version).alias("d")).select(key, "d.*")
+    return decisions.groupBy(key).agg(
+        F.max_by(F.struct(*(c for c in decisions.columns if c != key)), version).alias("d")
+    ).select(key, "d.*")
 
 
 def mark_reviewed(rows: DataFrame, decided: DataFrame, frame: str, order: str) -> DataFrame:
     """reviewed becomes true on the first unreviewed row of each decided frame. decided: frame, corrections."""
     w = Window.partitionBy(frame, "reviewed").orderBy(order)
-    joined = rows.withColumn("__k", F.row_number().over(w)).join(decided.select(frame, F.col("corrections").alias("__new"), F.lit(True).alias("__hit")), frame, "left")
+    joined = rows.withColumn("__k", F.row_number().over(w)).join(
+        decided.select(frame, F.col("corrections").alias("__new"), F.lit(True).alias("__hit")), frame, "left",
+    )
     hit = F.coalesce(F.col("__hit"), F.lit(False)) & ~F.col("reviewed") & (F.col("__k") == 1)
-    return joined.withColumn("corrections", F.when(hit, F.col("__new")).otherwise(F.col("corrections"))).withColumn("reviewed", F.col("reviewed") | hit).drop("__k", "__new", "__hit")
+    return joined.withColumn(
+        "corrections", F.when(hit, F.col("__new")).otherwise(F.col("corrections")),
+    ).withColumn("reviewed", F.col("reviewed") | hit).drop("__k", "__new", "__hit")
 
 
 def replace_annotations(old: DataFrame, new: DataFrame, image: str, key: str, order: str) -> DataFrame:
@@ -91,7 +117,9 @@ def failure_uncertainty(scores: Column) -> Column:
 
 def candidate_choices(candidates: Column, current: Column, taxonomy: Column, n: int = 3) -> Column:
     """Values of the first n candidates by (rank, -confidence), the current value before them if absent, then the taxonomy."""
-    ordered = F.array_sort(F.transform(candidates, lambda c: F.struct(c["rank"].alias("r"), (-c["confidence"]).alias("c"), c["value"].alias("v"))))
+    ordered = F.array_sort(
+        F.transform(candidates, lambda c: F.struct(c["rank"].alias("r"), (-c["confidence"]).alias("c"), c["value"].alias("v")))
+    )
     top = F.array_distinct(F.array_compact(F.transform(F.slice(ordered, 1, n), lambda c: F.nullif(c["v"], F.lit("")))))
     first = F.when(F.coalesce(current, F.lit("")).isin("") | F.array_contains(top, current), top).otherwise(F.concat(F.array(current), top))
     return F.array_union(first, taxonomy)

@@ -20,7 +20,9 @@ def numbered(rows: DataFrame, order: list, name: str = "__rank", groups: int | N
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")  # a row a part
     inner = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(*cols)) - 1)
-    return inner.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__k")).cast("long")).drop("__part", "__before", "__k")
+    return inner.join(F.broadcast(before), "__part").withColumn(
+        name, (F.col("__before") + F.col("__k")).cast("long"),
+    ).drop("__part", "__before", "__k")
 
 
 def by_session(rows: DataFrame, session: str, identifier: str, number: Column, share: float = 0.1) -> DataFrame:

@@ -44,7 +44,14 @@ def with_retries(call: Callable, retries: int = 3, first_wait: float = 0.8) -> C
 def payload(sample_id: Column, event: Column, primitives: list[str], situations: list[str]) -> Column:
     """JSON request for one sample: the event and the ids to choose from."""
     words = lambda v: F.array(*(F.lit(x) for x in v)) if v else F.array().cast("array<string>")
-    return F.to_json(F.struct(sample_id.alias("sample_id"), event.alias("event"), words(primitives).alias("primitives"), words(situations).alias("situations")))
+    return F.to_json(
+        F.struct(
+            sample_id.alias("sample_id"),
+            event.alias("event"),
+            words(primitives).alias("primitives"),
+            words(situations).alias("situations"),
+        )
+    )
 
 
 def teach(rows: DataFrame, key: str, request: str, teacher: Callable = offline, retries: int = 3) -> DataFrame:
@@ -72,7 +79,9 @@ def label_clusters(members: DataFrame, representatives: DataFrame, order: str) -
     """
     led = representatives.select(F.col(order).alias("leader"), "primitive_id")
     out = members.join(led, "leader", "left")
-    status = F.when(F.col("primitive_id").isNull(), "blocked_by_representative_failure").when(F.col(order) == F.col("leader"), "own").otherwise("copied")
+    status = F.when(
+        F.col("primitive_id").isNull(), "blocked_by_representative_failure",
+    ).when(F.col(order) == F.col("leader"), "own").otherwise("copied")
     return out.select(order, "leader", "primitive_id", status.alias("status"))
 
 
@@ -81,7 +90,9 @@ def label_counts(labeled: DataFrame) -> DataFrame:
     return labeled.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def relabel(rows: DataFrame, key: str, order: str, request: str, teacher: Callable = offline, most: int | None = None, retries: int = 3) -> DataFrame:
+def relabel(
+    rows: DataFrame, key: str, order: str, request: str, teacher: Callable = offline, most: int | None = None, retries: int = 3,
+) -> DataFrame:
     """key, chosen, status (ok or failed) of the first `most` labeled rows in order (None: all); no answer is a failure.
 
     rows hold label and the request column.
@@ -94,7 +105,11 @@ def relabel(rows: DataFrame, key: str, order: str, request: str, teacher: Callab
 
 def relabel_counts(done: DataFrame) -> DataFrame:
     """processed, success, failed of relabel's rows."""
-    return done.agg(F.count("*").alias("processed"), F.count_if(F.col("status") == "ok").alias("success"), F.count_if(F.col("status") != "ok").alias("failed"))
+    return done.agg(
+        F.count("*").alias("processed"),
+        F.count_if(F.col("status") == "ok").alias("success"),
+        F.count_if(F.col("status") != "ok").alias("failed"),
+    )
 
 
 def stamp(metadata: Column, part: str, values: dict[str, Column]) -> Column:
@@ -104,7 +119,9 @@ def stamp(metadata: Column, part: str, values: dict[str, Column]) -> Column:
     return F.to_json(F.map_concat(kept, own))
 
 
-def prelabel(images: DataFrame, key: str, content: str, model: Callable[[bytes], list[dict]], width: Column, height: Column, overlap: float = 0.6) -> DataFrame:
+def prelabel(
+    images: DataFrame, key: str, content: str, model: Callable[[bytes], list[dict]], width: Column, height: Column, overlap: float = 0.6,
+) -> DataFrame:
     """key, at, label, box, score of a model's boxes: guessed to pixels, valid ones only, overlaps suppressed in order."""
     kind = dict(images.dtypes)[key]
 
@@ -113,7 +130,9 @@ def prelabel(images: DataFrame, key: str, content: str, model: Callable[[bytes],
             rows = [(k, i, b.get("label"), *map(float, b["bbox"]), float(b.get("score", 0.5))) for k, c in zip(f[key], f[content], strict=True) for i, b in enumerate(model(c))]
             yield pd.DataFrame(rows, columns=[key, "at", "label", "x1", "y1", "x2", "y2", "score"])
 
-    raw = images.select(key, content).mapInPandas(run, f"{key} {kind}, at int, label string, x1 double, y1 double, x2 double, y2 double, score double")
+    raw = images.select(key, content).mapInPandas(
+        run, f"{key} {kind}, at int, label string, x1 double, y1 double, x2 double, y2 double, score double",
+    )
     return clean_boxes(raw, key, width, height, overlap)
 
 
@@ -135,7 +154,15 @@ AFFORDANCES = {
     "menu_item": ("click",),
     "icon": ("click", "double_click"),
 }
-ELEMENT_TYPES = {"button": "button", "text_field": "type", "scroll_area": "scroll", "slider": "drag", "toggle": "toggle", "menu_item": "button", "icon": "button"}
+ELEMENT_TYPES = {
+    "button": "button",
+    "text_field": "type",
+    "scroll_area": "scroll",
+    "slider": "drag",
+    "toggle": "toggle",
+    "menu_item": "button",
+    "icon": "button",
+}
 
 
 def analyze(detections: DataFrame, affordances: dict[str, tuple[str, ...]] | None = None, low: float = 0.25) -> DataFrame:
@@ -144,12 +171,16 @@ def analyze(detections: DataFrame, affordances: dict[str, tuple[str, ...]] | Non
     label = F.lower("label")
     texts = {k: ",".join(v) for k, v in (affordances or AFFORDANCES).items()}
     kept = detections.where(F.col("score") >= low)
-    return kept.withColumn("affordances", F.split(lookup(label, texts, "click"), ",")).withColumn("element_type", lookup(label, ELEMENT_TYPES, "button"))
+    return kept.withColumn(
+        "affordances", F.split(lookup(label, texts, "click"), ","),
+    ).withColumn("element_type", lookup(label, ELEMENT_TYPES, "button"))
 
 
 def training_records(pairs: DataFrame) -> DataFrame:
     """prompt, chosen, rejected rows of preference training."""
-    return pairs.select(F.col("chosen_prompt").alias("prompt"), F.to_json("chosen_bbox").alias("chosen"), F.to_json("rejected_bbox").alias("rejected"))
+    return pairs.select(
+        F.col("chosen_prompt").alias("prompt"), F.to_json("chosen_bbox").alias("chosen"), F.to_json("rejected_bbox").alias("rejected"),
+    )
 
 
 def tuning_rows(samples: DataFrame, box: str, path: str) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_asof(events: DataFrame, frames: DataFrame, event_ts: str, frame_ts: str, frame_ord: str, tolerance: float, keys: tuple[str, ...] = ()) -> DataFrame:
+def nearest_asof(
+    events: DataFrame, frames: DataFrame, event_ts: str, frame_ts: str, frame_ord: str, tolerance: float, keys: tuple[str, ...] = (),
+) -> DataFrame:
     """Each event with the frame nearest in time, kept if at most `tolerance` away; of ties the first frame in order.
 
     events needs a unique row number column named __row only if rows repeat; here one is made from all columns. The
@@ -21,7 +23,11 @@ def nearest_asof(events: DataFrame, frames: DataFrame, event_ts: str, frame_ts:
     right = frames.select(*keys, F.struct(*own).alias("__frame"), F.explode(F.array(base - 1, base, base + 1)).alias("__bucket"))
     gap = F.abs(F.col(event_ts) - F.col("__frame")[frame_ts])
     near = left.join(right, [*keys, "__bucket"]).withColumn("__gap", gap).where(F.col("__gap") <= tolerance)
-    best = near.groupBy("__row").agg(*(F.first(c).alias(c) for c in events.columns), F.min_by("__frame", F.struct("__gap", F.col("__frame")[frame_ord])).alias("__frame"), F.min("__gap").alias("time_delta"))
+    best = near.groupBy("__row").agg(
+        *(F.first(c).alias(c) for c in events.columns),
+        F.min_by("__frame", F.struct("__gap", F.col("__frame")[frame_ord])).alias("__frame"),
+        F.min("__gap").alias("time_delta"),
+    )
     return best.select(*events.columns, *(F.col("__frame")[c].alias(c) for c in own), "time_delta")
 
 
@@ -31,23 +37,45 @@ def nearest_unbounded(probes: DataFrame, frames: DataFrame, probe_ts: str, frame
     both = probes.select(*cols, F.col(probe_ts).alias("__t"), F.struct(*probes.columns).alias("__probe"), F.lit(None).cast("double").alias("__f")).unionByName(
         frames.select(*cols, F.col(frame_ts).alias("__t"), F.col(frame_ts).cast("double").alias("__f")), allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy("__t")
-    seen = both.withColumn("__before", F.last("__f", True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("__after", F.first("__f", True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    seen = both.withColumn(
+        "__before", F.last("__f", True).over(w.rangeBetween(Window.unboundedPreceding, 0)),
+    ).withColumn("__after", F.first("__f", True).over(w.rangeBetween(0, Window.unboundedFollowing)))
     before, after, t = F.col("__before"), F.col("__after"), F.col("__t")
     pick = F.when(after.isNull() | (t - before <= after - t), before).otherwise(after)
     return seen.where(F.col("__probe").isNotNull()).select("__probe.*", pick.alias("frame_ts"))
 
 
-def interval_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, before: float, after: float, keys: list[str], width: float | None = None) -> DataFrame:
+def interval_join(
+    left: DataFrame,
+    right: DataFrame,
+    left_ts: str,
+    right_ts: str,
+    before: float,
+    after: float,
+    keys: list[str],
+    width: float | None = None,
+) -> DataFrame:
     """Rows of both within [left_ts - before, left_ts + after], ends included, on equal keys; in time buckets."""
     width = float(width or before + after or 1.0)
     base = F.floor(F.col(left_ts) / width).cast("long")
     low, high = F.floor((F.col(left_ts) - before) / width).cast("long"), F.floor((F.col(left_ts) + after) / width).cast("long")
     a = left.withColumn("__bucket", F.explode(F.sequence(F.least(low, base), high)))
     b = right.withColumn("__bucket", F.floor(F.col(right_ts) / width).cast("long"))
-    return a.join(b, [*keys, "__bucket"]).where((F.col(right_ts) >= F.col(left_ts) - before) & (F.col(right_ts) <= F.col(left_ts) + after)).drop("__bucket")
-
-
-def double_clicks(clicks: DataFrame, key: str, ts: str, order: str, x: str | None = None, y: str | None = None, within_ms: float = 300.0, within_px: float = 12.0) -> DataFrame:
+    return a.join(b, [*keys, "__bucket"]).where(
+        (F.col(right_ts) >= F.col(left_ts) - before) & (F.col(right_ts) <= F.col(left_ts) + after)
+    ).drop("__bucket")
+
+
+def double_clicks(
+    clicks: DataFrame,
+    key: str,
+    ts: str,
+    order: str,
+    x: str | None = None,
+    y: str | None = None,
+    within_ms: float = 300.0,
+    within_px: float = 12.0,
+) -> DataFrame:
     """is_double: the click-like row before it of the same key is near in time and, given x and y, in place."""
     w = Window.partitionBy(key).orderBy(ts, order)
     near = F.col(ts) - F.lag(ts).over(w) <= within_ms
@@ -81,16 +109,22 @@ def throttle(rows: DataFrame, key: str, ts: str, order: str, gap: float) -> Data
     return sorted_.mapInArrow(run, sorted_.schema)
 
 
-def classify_release(distance: Column, button: Column, duration_ms: Column, is_double: Column, drag_px: float = 10.0, hold_ms: float = 400.0) -> Column:
+def classify_release(
+    distance: Column, button: Column, duration_ms: Column, is_double: Column, drag_px: float = 10.0, hold_ms: float = 400.0,
+) -> Column:
     """Gesture of a press and its release, tests in this order."""
     return F.when(distance > drag_px, "drag").when(button == "right", "right_click").when(duration_ms >= hold_ms, "hold").when(is_double, "double_click").otherwise("click")
 
 
-def gestures(raw: DataFrame, key: str, ts: str, order: str, kind: str = "kind", x: str = "x", y: str = "y", button: str = "button") -> DataFrame:
+def gestures(
+    raw: DataFrame, key: str, ts: str, order: str, kind: str = "kind", x: str = "x", y: str = "y", button: str = "button",
+) -> DataFrame:
     """Press and release rows to gestures: key, ts (of the press), action, x, y, end_x, end_y, duration_ms, button."""
     w = Window.partitionBy(key).orderBy(ts, order)
     after = lambda c: F.lead(c).over(w)
-    pairs = raw.withColumn("__kind", after(kind)).withColumn("end_ts", after(ts)).withColumn("end_x", after(x)).withColumn("end_y", after(y)).where((F.col(kind) == "press") & (F.col("__kind") == "release"))
+    pairs = raw.withColumn("__kind", after(kind)).withColumn("end_ts", after(ts)).withColumn("end_x", after(x)).withColumn("end_y", after(y)).where(
+        (F.col(kind) == "press") & (F.col("__kind") == "release")
+    )
     dx, dy = F.col("end_x") - F.col(x), F.col("end_y") - F.col(y)
     pairs = pairs.withColumn("distance", F.sqrt(dx * dx + dy * dy)).withColumn("duration_ms", F.col("end_ts") - F.col(ts))
     clicklike = (F.col("distance") <= 10) & (F.col(button) != "right") & (F.col("duration_ms") < 400)
@@ -102,7 +136,9 @@ def gestures(raw: DataFrame, key: str, ts: str, order: str, kind: str = "kind",
 
 def clip_summary(clips: DataFrame, sample: str, order: str, ratio: str, least: float = 0.01) -> DataFrame:
     """effect: order of the first frame whose change ratio is over `least`, else 0; stable: the last frame's order."""
-    return clips.groupBy(sample).agg(F.coalesce(F.min(F.when(F.col(ratio) > least, F.col(order))), F.lit(0)).alias("effect"), F.max(order).alias("stable"))
+    return clips.groupBy(sample).agg(
+        F.coalesce(F.min(F.when(F.col(ratio) > least, F.col(order))), F.lit(0)).alias("effect"), F.max(order).alias("stable"),
+    )
 
 
 def latest_per_key(rows: DataFrame, key: str, ts: str, n: int = 1) -> DataFrame:

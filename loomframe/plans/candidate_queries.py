@@ -25,8 +25,12 @@ def _texts(spark, d):
     b = boxes(spark, d).withColumn("sample", F.floor(F.col("vec_id") / 20))
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     corners = F.array(point("x1", "y1"), point("x2", "y1"), point("x2", "y2"), point("x1", "y2"))
-    found = b.select("vec_id", "sample", corners.alias("points"), F.lit(" word ").alias("text"), ((F.col("vec_id") % 10) / 10.0).alias("conf"))
-    clicks = b.groupBy("sample").agg(F.min_by(F.struct("x1", "y1"), "vec_id").alias("p")).select("sample", F.col("p.x1").alias("px"), F.col("p.y1").alias("py"))
+    found = b.select(
+        "vec_id", "sample", corners.alias("points"), F.lit(" word ").alias("text"), ((F.col("vec_id") % 10) / 10.0).alias("conf"),
+    )
+    clicks = b.groupBy("sample").agg(F.min_by(F.struct("x1", "y1"), "vec_id").alias("p")).select(
+        "sample", F.col("p.x1").alias("px"), F.col("p.y1").alias("py"),
+    )
     return candidates.text_boxes(found, "points", "text", "conf"), clicks
 
 
@@ -39,21 +43,34 @@ def ocr_boxes(spark, d):
 @query("ocr_nearest", f"""WITH {OCR_SQL} SELECT sample, min_by(vec_id, distance) AS vec_id, round(min(distance), 6) AS distance FROM n WHERE distance <= 200 GROUP BY 1""")
 def ocr_nearest(spark, d):
     found, clicks = _texts(spark, d)
-    return candidates.nearest_to_click(found.join(clicks, "sample"), "sample", "vec_id", "px", "py").select("sample", "vec_id", F.round("distance", 6).alias("distance"))
+    return candidates.nearest_to_click(
+        found.join(clicks, "sample"), "sample", "vec_id", "px", "py",
+    ).select("sample", "vec_id", F.round("distance", 6).alias("distance"))
 
 
 @query("largest_first", f"""WITH {BOXES_SQL} SELECT vec_id // 20 AS sample, array_to_string(list(vec_id ORDER BY greatest(0, x2 - x1) * greatest(0, y2 - y1) DESC, vec_id),
  ',') AS ids FROM boxes GROUP BY 1""")
 def largest_first(spark, d):
-    packed = boxes(spark, d).groupBy(F.floor(F.col("vec_id") / 20).alias("sample")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "x1", "y1", "x2", "y2"))).alias("b"))
-    return packed.select("sample", F.array_join(F.transform(candidates.largest_first(F.col("b")), lambda b: b["vec_id"].cast("string")), ",").alias("ids"))
+    packed = boxes(spark, d).groupBy(F.floor(F.col("vec_id") / 20).alias("sample")).agg(
+        F.array_sort(F.collect_list(F.struct("vec_id", "x1", "y1", "x2", "y2"))).alias("b")
+    )
+    return packed.select(
+        "sample", F.array_join(F.transform(candidates.largest_first(F.col("b")), lambda b: b["vec_id"].cast("string")), ",").alias("ids"),
+    )
 
 
 @query("contour_boxes", """SELECT p_partkey, (p_size * 3)::DOUBLE AS x1, (p_size * 4)::DOUBLE AS x2, least(1::DOUBLE, p_size * (p_partkey % 50) / 1e6 * 100) AS confidence
  FROM part WHERE p_size * 4 >= 100""")
 def contour_boxes(spark, d):
     size = F.col("p_size")
-    found = table(spark, d, "part").select("p_partkey", (size * 3).alias("x"), size.alias("y"), size.alias("w"), (F.col("p_partkey") % 50).alias("h"), (size * 4).alias("area"))
+    found = table(spark, d, "part").select(
+        "p_partkey",
+        (size * 3).alias("x"),
+        size.alias("y"),
+        size.alias("w"),
+        (F.col("p_partkey") % 50).alias("h"),
+        (size * 4).alias("area"),
+    )
     return candidates.contour_boxes(found, F.lit(1e6)).select("p_partkey", "x1", "x2", "confidence")
 
 
@@ -61,7 +78,9 @@ def contour_boxes(spark, d):
  WHEN event_id % 7 <> 0 THEN user_id / 1080 END AS y FROM events""")
 def event_position(spark, d):
     n = F.col("event_id")
-    metadata = F.when(n % 3 == 0, '{"coordinates":{"event_normalized_xy":{"x":0.25,"y":0.5}}}').when(n % 3 == 1, '{"coordinates":{"event_normalized_xy":{"x":0.9}}}')
+    metadata = F.when(
+        n % 3 == 0, '{"coordinates":{"event_normalized_xy":{"x":0.25,"y":0.5}}}',
+    ).when(n % 3 == 1, '{"coordinates":{"event_normalized_xy":{"x":0.9}}}')
     at = candidates.event_position(metadata, F.when(n % 7 != 0, F.col("value")), F.col("user_id"), F.lit(1920), F.lit(1080))
     return table(spark, d, "events").select("event_id", at["x"].alias("x"), at["y"].alias("y"))
 
@@ -97,15 +116,28 @@ def roi_state_split(spark, d):
 SELECT sample_id, 0 AS x1, greatest(0, round_even(rois.x2 * 1920, 0)::INT) AS x2 FROM r, rois WHERE roi_name = 'top_bar'""")
 def router_crops(spark, d):
     rois, situations, _ = _dims(spark)
-    return writers.router_crops(_rows(spark, d), situations, rois, ["no_such", "top_bar"]).select("sample_id", F.col("crop.x1").alias("x1"), F.col("crop.x2").alias("x2"))
+    return writers.router_crops(_rows(spark, d), situations, rois, ["no_such", "top_bar"]).select(
+        "sample_id", F.col("crop.x1").alias("x1"), F.col("crop.x2").alias("x2"),
+    )
 
 
 def _failures(spark, d):
     """Eight events in a row are one failed frame's elements; every ninth frame has none."""
     e = table(spark, d, "events").withColumn("ord", F.floor(F.col("event_id") / 8))
-    element = F.struct(F.col("event_type").alias("class_name"), F.col("value").alias("x1"), F.col("value").alias("y1"), (F.col("value") * 2).alias("x2"), (F.col("value") * 3).alias("y2"), (F.col("value") / 100).alias("score"))
-    every = e.groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", element.alias("e")))), lambda s: s["e"]).alias("elements"))
-    return every.withColumn("elements", F.when(F.col("ord") % 9 != 0, F.col("elements")).otherwise(F.array().cast(writers.FAILURE_ELEMENTS)))
+    element = F.struct(
+        F.col("event_type").alias("class_name"),
+        F.col("value").alias("x1"),
+        F.col("value").alias("y1"),
+        (F.col("value") * 2).alias("x2"),
+        (F.col("value") * 3).alias("y2"),
+        (F.col("value") / 100).alias("score"),
+    )
+    every = e.groupBy("ord").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("event_id", element.alias("e")))), lambda s: s["e"]).alias("elements")
+    )
+    return every.withColumn(
+        "elements", F.when(F.col("ord") % 9 != 0, F.col("elements")).otherwise(F.array().cast(writers.FAILURE_ELEMENTS)),
+    )
 
 
 @query("failure_coco", """WITH f AS (SELECT event_id // 8 AS ord, event_id, event_type, value, dense_rank() OVER (ORDER BY event_id // 8) AS image_no
@@ -114,7 +146,14 @@ SELECT image_no, row_number() OVER (ORDER BY event_id) AS annotation_no, CASE ev
  round(value, 6) AS x, round(value * 2 * value, 6) AS area, round(value / 100, 6) AS score FROM k""")
 def failure_coco(spark, d):
     out = writers.failure_annotations(_failures(spark, d), ["click", "view"])
-    return out.select("image_no", "annotation_no", "category_id", F.round("x", 6).alias("x"), F.round("area", 6).alias("area"), F.round("score", 6).alias("score"))
+    return out.select(
+        "image_no",
+        "annotation_no",
+        "category_id",
+        F.round("x", 6).alias("x"),
+        F.round("area", 6).alias("area"),
+        F.round("score", 6).alias("score"),
+    )
 
 
 @query("failure_count", """SELECT count(*) AS failures, count(*) FILTER (WHERE n = 0) AS empty
@@ -165,7 +204,9 @@ def relabel_counts(spark, d):
 def review_queue(spark, d):
     """The queue of what is labeled, pending and no duplicate, by confidence alone."""
     confidence = F.col("label.confidence")
-    return review.load_queue(_rows(spark, d), confidence, "ord", 0.9, confidence).select("sample_id", "decision", F.round("priority", 6).alias("priority"))
+    return review.load_queue(_rows(spark, d), confidence, "ord", 0.9, confidence).select(
+        "sample_id", "decision", F.round("priority", 6).alias("priority"),
+    )
 
 
 @query("prelabel_coco", f"""WITH {BOXES_SQL}, p AS (SELECT vec_id, dense_rank() OVER (ORDER BY vec_id // 20) AS image_no, x1, x2, y1, y2 FROM boxes)
@@ -196,7 +237,14 @@ e AS (SELECT s, unnest(pre) AS path, 'pre_' || lpad((generate_subscripts(pre, 1)
 SELECT 'sample_' || s || '/clip/' || part || '.png' AS name, path AS image_path FROM e""")
 def clip_files(spark, d):
     """Eight events in a row are a sample: three frames before it, the rest after."""
-    e = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 8).alias("s")).agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    e = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 8).alias("s")).agg(
+        F.array_sort(F.collect_list("event_id")).alias("ids")
+    )
     frames = F.transform("ids", lambda i: F.concat(F.lit("f"), i.cast("string")))
-    rows = e.select(F.concat(F.lit("sample_"), F.col("s").cast("string")).alias("sample_id"), F.slice(frames, 1, 3).alias("pre_clip"), F.slice(frames, 4, 100).alias("post_clip"), F.lit(1).alias("effect"))
+    rows = e.select(
+        F.concat(F.lit("sample_"), F.col("s").cast("string")).alias("sample_id"),
+        F.slice(frames, 1, 3).alias("pre_clip"),
+        F.slice(frames, 4, 100).alias("post_clip"),
+        F.lit(1).alias("effect"),
+    )
     return writers.clip_files(rows)

@@ -54,7 +54,9 @@ def label_propagation(spark, d):
 
 @query("exact_text_groups", "SELECT min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY text")
 def exact_text_groups(spark, d):
-    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("h"), F.octet_length("text").alias("b")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).select("first_id", "n")
+    return table(spark, d, "documents").groupBy(
+        F.sha2("text", 256).alias("h"), F.octet_length("text").alias("b"),
+    ).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).select("first_id", "n")
 
 
 @query("iou_nms", f"""WITH RECURSIVE {BOXES_SQL}, o AS (SELECT *, vec_id // 20 AS image, row_number() OVER (PARTITION BY vec_id // 20 ORDER BY vec_id) AS k FROM boxes),

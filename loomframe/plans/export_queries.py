@@ -61,7 +61,12 @@ def router_export(spark, d):
 def unified_export(spark, d):
     out = writers.routing_rows(_rows(spark, d))
     get = lambda p: F.get_json_object("record", p)
-    return out.select("sample_id", get("$.page.situation_id").alias("situation_id"), get("$.metadata.session_id").alias("session"), get("$.metadata.secret").isNotNull().alias("leaked"))
+    return out.select(
+        "sample_id",
+        get("$.page.situation_id").alias("situation_id"),
+        get("$.metadata.session_id").alias("session"),
+        get("$.metadata.secret").isNotNull().alias("leaked"),
+    )
 
 
 @query("coco_export", f"""WITH {ELEMENTS_SQL}, im AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS image_no FROM eff
@@ -70,7 +75,14 @@ SELECT image_no, row_number() OVER (ORDER BY vec_id, pos) AS annotation_no, CASE
  ELSE 1 END::BIGINT AS category_id, round(a, 6) AS x, round(greatest(0, c - a), 6) AS w, round(coalesce(nullif(econf, 0), lconf), 6) AS score FROM ok
  JOIN im USING (vec_id)""")
 def coco_export(spark, d):
-    return writers.coco_annotations(_rows(spark, d), NAMES).select("image_no", "annotation_no", "category_id", F.round("x", 6).alias("x"), F.round("w", 6).alias("w"), F.round("score", 6).alias("score"))
+    return writers.coco_annotations(_rows(spark, d), NAMES).select(
+        "image_no",
+        "annotation_no",
+        "category_id",
+        F.round("x", 6).alias("x"),
+        F.round("w", 6).alias("w"),
+        F.round("score", 6).alias("score"),
+    )
 
 
 @query("yolo_lines", f"""WITH {ELEMENTS_SQL}, l AS (SELECT sample_id, string_agg(printf('%d %.6f %.6f %.6f %.6f', CASE semantic_id WHEN 'sem_1' THEN 1 WHEN 'sem_2' THEN 2
@@ -86,13 +98,23 @@ def yolo_lines(spark, d):
  0), lconf), 6) AS confidence FROM ok WHERE c > a AND d > b""")
 def grounding_rows(spark, d):
     out = writers.grounding_rows(_rows(spark, d))
-    return out.select("sample_id", F.col("at").alias("pos"), "prompt", F.col("bbox")[0].alias("bx1"), F.col("bbox")[3].alias("by2"), "situation_id", F.round("confidence", 6).alias("confidence"))
+    return out.select(
+        "sample_id",
+        F.col("at").alias("pos"),
+        "prompt",
+        F.col("bbox")[0].alias("bx1"),
+        F.col("bbox")[3].alias("by2"),
+        "situation_id",
+        F.round("confidence", 6).alias("confidence"),
+    )
 
 
 @query("roi_state", f"""WITH {EFFECTIVE_SQL} SELECT sample_id, CASE WHEN vec_id % 19 = 0 THEN 'waiting' ELSE coalesce(situation_id, primitive_id, 'sem_' || cls,
  'unknown') END AS turn_state, 1920 - 537 AS crop_x1, 1080 - 237 AS crop_y1 FROM eff WHERE review_status <> 'rejected' AND vec_id % 17 <> 0""")
 def roi_state(spark, d):
-    return writers.region_states(_rows(spark, d)).select("sample_id", "turn_state", F.col("crop.x1").alias("crop_x1"), F.col("crop.y1").alias("crop_y1"))
+    return writers.region_states(_rows(spark, d)).select(
+        "sample_id", "turn_state", F.col("crop.x1").alias("crop_x1"), F.col("crop.y1").alias("crop_y1"),
+    )
 
 
 @query("click_boxes", """WITH p AS (SELECT event_id, 'f' || (event_id % 50) AS frame_path, value * 10 AS x, value AS y, event_type FROM events
@@ -101,11 +123,21 @@ f AS (SELECT frame_path, row_number() OVER (ORDER BY min(event_id)) AS image_no
 SELECT event_id, image_no, CASE WHEN event_type = 'view' THEN 2 ELSE 1 END::BIGINT AS category_id, round(greatest(0, x - 64), 6) AS x,
  round(x + 64 - greatest(0, x - 64), 6) AS w FROM p JOIN f USING (frame_path)""")
 def click_boxes(spark, d):
-    p = table(spark, d, "events").where("event_type IN ('click', 'view')").select("event_id", F.concat(F.lit("f"), (F.col("event_id") % 50).cast("string")).alias("frame_path"), (F.col("value") * 10).alias("x"), F.col("value").alias("y"), F.col("event_type").alias("auto_label"))
-    return writers.click_boxes(p, ["button", "view"]).select("event_id", "image_no", "category_id", F.round("x", 6).alias("x"), F.round("w", 6).alias("w"))
+    p = table(spark, d, "events").where("event_type IN ('click', 'view')").select(
+        "event_id",
+        F.concat(F.lit("f"), (F.col("event_id") % 50).cast("string")).alias("frame_path"),
+        (F.col("value") * 10).alias("x"),
+        F.col("value").alias("y"),
+        F.col("event_type").alias("auto_label"),
+    )
+    return writers.click_boxes(p, ["button", "view"]).select(
+        "event_id", "image_no", "category_id", F.round("x", 6).alias("x"), F.round("w", 6).alias("w"),
+    )
 
 
 @query("failure_reviews", """WITH f AS (SELECT event_id // 8 AS frame, min(value / 100) AS m FROM events GROUP BY 1) SELECT frame, round(1 - m, 6) AS uncertainty FROM f""")
 def failure_reviews(spark, d):
-    f = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 8).alias("frame")).agg(F.collect_list(F.col("value") / 100).alias("scores"))
+    f = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 8).alias("frame")).agg(
+        F.collect_list(F.col("value") / 100).alias("scores")
+    )
     return writers.failure_reviews(f).select("frame", F.round("uncertainty", 6).alias("uncertainty"))

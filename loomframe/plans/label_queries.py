@@ -11,14 +11,32 @@ from loomframe.plans.registry import boxes, query
 from loomframe.runtime import checkpoint, table
 
 #: Inline dimension rows of these queries: (ord, name, box), (ord, situation, screens, primitives, regions), (ord, element, function, hotkeys, description).
-ROIS = [(0, "top_bar", 0.0, 0.0, 1.0, 0.1), (1, "left_panel", 0.0, 0.1, 0.3, 1.0), (2, "minimap", 0.0, 0.6, 0.2, 1.0), (3, "end_turn_zone", 0.1, 0.05, 0.9, 0.5)]
-SITUATIONS = [(0, "idle", ["map"], ["END_TURN"], ["end_turn_zone"], []), (1, "city", ["city_screen"], ["choose_build", "close_city"], ["left_panel"], []), (2, "overview", ["map", "report"], ["open_map"], [], ["minimap"]), (3, "alert", ["popup"], ["popup_primitive"], [], ["top_bar"])]
-ELEMENTS = [(0, "btn_end_turn", "END_TURN", ["ENTER", "SHIFT+ENTER"], "end turn button"), (1, "btn_map", "open_map", ["M"], "world map"), (2, "btn_build", "choose_build", ["B", "CTRL+B"], "build list"), (3, "btn_close", "close_city", ["ESC"], "close window")]
+ROIS = [
+    (0, "top_bar", 0.0, 0.0, 1.0, 0.1),
+    (1, "left_panel", 0.0, 0.1, 0.3, 1.0),
+    (2, "minimap", 0.0, 0.6, 0.2, 1.0),
+    (3, "end_turn_zone", 0.1, 0.05, 0.9, 0.5),
+]
+SITUATIONS = [
+    (0, "idle", ["map"], ["END_TURN"], ["end_turn_zone"], []),
+    (1, "city", ["city_screen"], ["choose_build", "close_city"], ["left_panel"], []),
+    (2, "overview", ["map", "report"], ["open_map"], [], ["minimap"]),
+    (3, "alert", ["popup"], ["popup_primitive"], [], ["top_bar"]),
+]
+ELEMENTS = [
+    (0, "btn_end_turn", "END_TURN", ["ENTER", "SHIFT+ENTER"], "end turn button"),
+    (1, "btn_map", "open_map", ["M"], "world map"),
+    (2, "btn_build", "choose_build", ["B", "CTRL+B"], "build list"),
+    (3, "btn_close", "close_city", ["ESC"], "close window"),
+]
 
 
 def _dims(spark):
     rois = spark.createDataFrame(ROIS, "ord int, roi_name string, x1 double, y1 double, x2 double, y2 double")
-    situations = spark.createDataFrame(SITUATIONS, "ord int, situation_id string, screen_types array<string>, allowed_primitives array<string>, roi_priority array<string>, likely_rois array<string>")
+    situations = spark.createDataFrame(
+        SITUATIONS,
+        "ord int, situation_id string, screen_types array<string>, allowed_primitives array<string>, roi_priority array<string>, likely_rois array<string>",
+    )
     elements = spark.createDataFrame(ELEMENTS, "ord int, semantic_id string, function_id string, hotkeys array<string>, description string")
     return rois, situations, elements
 
@@ -54,7 +72,13 @@ def _points(spark, d):
     """Points and keys derived from the vectors."""
     e = lambda k: point_to_unit(F.col("embedding")[k].cast("double") * 1000, F.lit(300))
     m = F.col("vec_id") % 8
-    return table(spark, d, "embeddings").select("vec_id", e(0).alias("px"), e(1).alias("py"), F.when(m == 0, "m").when(m == 1, "Enter").when(m == 2, "esc").when(m == 3, "Q").alias("key"), F.when(m < 4, "press").otherwise("click").alias("action"))
+    return table(spark, d, "embeddings").select(
+        "vec_id",
+        e(0).alias("px"),
+        e(1).alias("py"),
+        F.when(m == 0, "m").when(m == 1, "Enter").when(m == 2, "esc").when(m == 3, "Q").alias("key"),
+        F.when(m < 4, "press").otherwise("click").alias("action"),
+    )
 
 
 @query("roi_hits", f"WITH {HITS_SQL} SELECT vec_id, array_to_string(roi_hits, ',') AS roi_hits FROM hits")
@@ -76,7 +100,14 @@ def _local(spark, d):
 
 @query("roi_labeler", f"WITH {LABELS_SQL} SELECT * FROM lab")
 def roi_labeler(spark, d):
-    return _local(spark, d).select("vec_id", "primitive_id", "situation_id", "screen_type", F.array_join("signals", ",").alias("signals"), F.round("confidence", 6).alias("confidence"))
+    return _local(spark, d).select(
+        "vec_id",
+        "primitive_id",
+        "situation_id",
+        "screen_type",
+        F.array_join("signals", ",").alias("signals"),
+        F.round("confidence", 6).alias("confidence"),
+    )
 
 
 @query("primitive_counts", f"WITH {LABELS_SQL} SELECT primitive_id, count(*) AS n FROM lab WHERE primitive_id IS NOT NULL GROUP BY 1")
@@ -92,7 +123,11 @@ SELECT p_partkey, coalesce((SELECT arg_min(semantic_id, ord) FROM elems WHERE se
  (SELECT arg_min(semantic_id, ord) FROM elems WHERE x <> '' AND (contains(description, x) OR contains(x, description)))) AS mapped_id FROM n""")
 def ontology_map(spark, d):
     m = F.col("p_partkey") % 5
-    rows = table(spark, d, "part").select("p_partkey", F.when(m == 0, "btn_map").otherwise("x").alias("pid"), F.when(m == 1, " BTN_CLOSE ").when(m == 2, "the build list here").when(m == 3, "turn").alias("ptext"))
+    rows = table(spark, d, "part").select(
+        "p_partkey",
+        F.when(m == 0, "btn_map").otherwise("x").alias("pid"),
+        F.when(m == 1, " BTN_CLOSE ").when(m == 2, "the build list here").when(m == 3, "turn").alias("ptext"),
+    )
     return labels.ontology_match(rows, _dims(spark)[2], "pid", "ptext").select("p_partkey", "mapped_id")
 
 
@@ -105,7 +140,17 @@ SELECT vec_id, x1, y1, greatest(x1 + 1, least(1920, x2)) AS x2, greatest(y1 + 1,
 def roi_crop(spark, d):
     rois, situations, _ = _dims(spark)
     m = F.col("vec_id") % 4
-    rows = samples(spark, d).select("vec_id", F.col("label").withField("page", F.col("label.page").withField("situation_id", F.when(m == 0, "idle").when(m == 1, "overview"))).withField("route_label", F.col("label.route_label").withField("roi_name", F.when(m == 2, "minimap")).withField("roi_bbox_norm", F.lit(None).cast("array<double>"))).alias("label"), F.lit(1920).alias("w"), F.lit(1080).alias("h"))
+    rows = samples(spark, d).select(
+        "vec_id",
+        F.col("label").withField("page", F.col("label.page").withField("situation_id", F.when(m == 0, "idle").when(m == 1, "overview"))).withField(
+            "route_label",
+            F.col("label.route_label").withField("roi_name", F.when(m == 2, "minimap")).withField(
+                "roi_bbox_norm", F.lit(None).cast("array<double>"),
+            ),
+        ).alias("label"),
+        F.lit(1920).alias("w"),
+        F.lit(1080).alias("h"),
+    )
     return labels.roi_crop(rows, situations, rois, "w", "h", ["no_such", "top_bar"]).select("vec_id", "crop.*")
 
 
@@ -116,18 +161,68 @@ def samples(spark, d):
     null = lambda kind: F.lit(None).cast(kind)
 
     def element(k: int, target):
-        part = {"element_id": F.format_string("elem_%03d", F.lit(k)), "bbox_x_min": F.col("x1") + 5.0 * k, "bbox_y_min": F.col("y1"), "bbox_x_max": F.col("x2") + 5.0 * k, "bbox_y_max": F.col("y2"), "semantic_id": F.concat(F.lit("sem_"), F.col("label").cast("string")), "semantic_text": F.when(v % 2 == 0, F.lit("")).otherwise("text"), "function_id": F.lit(f"fn_{k}"), "hotkeys": F.array().cast("array<string>"), "available_actions": F.array(F.lit("click")), "enabled_state": F.when((v % 10 == 9) & F.lit(k == 1), "disabled").otherwise("enabled"), "roi_name": null("string"), "is_route_target": target, "confidence": F.when(v % 3 == 0, 0.0).otherwise(0.5 + 0.1 * k), "metadata": null("string")}
+        part = {
+            "element_id": F.format_string("elem_%03d", F.lit(k)),
+            "bbox_x_min": F.col("x1") + 5.0 * k,
+            "bbox_y_min": F.col("y1"),
+            "bbox_x_max": F.col("x2") + 5.0 * k,
+            "bbox_y_max": F.col("y2"),
+            "semantic_id": F.concat(F.lit("sem_"), F.col("label").cast("string")),
+            "semantic_text": F.when(v % 2 == 0, F.lit("")).otherwise("text"),
+            "function_id": F.lit(f"fn_{k}"),
+            "hotkeys": F.array().cast("array<string>"),
+            "available_actions": F.array(F.lit("click")),
+            "enabled_state": F.when((v % 10 == 9) & F.lit(k == 1), "disabled").otherwise("enabled"),
+            "roi_name": null("string"),
+            "is_route_target": target,
+            "confidence": F.when(v % 3 == 0, 0.0).otherwise(0.5 + 0.1 * k),
+            "metadata": null("string"),
+        }
         return F.struct(*(c.alias(n) for n, c in part.items()))
 
-    page = F.struct(F.lit("map").alias("screen_type"), F.when(v % 6 != 5, F.concat(F.lit("sit_"), (v % 4).cast("string"))).alias("situation_id"), F.array().cast("array<string>").alias("state_flags"), F.lit(0.8).alias("confidence"))
+    page = F.struct(
+        F.lit("map").alias("screen_type"),
+        F.when(v % 6 != 5, F.concat(F.lit("sit_"), (v % 4).cast("string"))).alias("situation_id"),
+        F.array().cast("array<string>").alias("state_flags"),
+        F.lit(0.8).alias("confidence"),
+    )
     names = labels.fields(labels.ROUTE)
     kinds = {"roi_bbox_norm": "array<double>", "confidence": "double"}
-    route = F.struct(*((F.when(v % 7 != 6, F.concat(F.lit("prim_"), (v % 5).cast("string"))) if n == "primitive_id" else null(kinds.get(n, "string"))).alias(n) for n in names))
+    route = F.struct(
+        *(
+            (
+                F.when(
+                    v % 7 != 6, F.concat(F.lit("prim_"), (v % 5).cast("string")),
+                ) if n == "primitive_id" else null(kinds.get(n, "string"))
+            ).alias(n) for n in names
+        )
+    )
     elements = F.when(v % 4 == 0, F.array(element(0, F.lit(False)))).otherwise(F.array(element(0, F.lit(False)), element(1, F.lit(True))))
-    label = F.struct(page.alias("page"), route.alias("route_label"), elements.alias("elements"), null("string").alias("evidence"), ((v % 11) / 10.0).alias("confidence"), F.lit(False).alias("transition_detected"))
-    corrections = F.when(m == 0, '{"primitive_id":"fixed","situation_id":null}').when(m == 3, '{"page":{"screen_type":"city"},"bbox_xyxy":[1,2,30,40]}').when(m == 6, '{"elements":[{"element_id":"new","bbox_x_min":1.0,"bbox_y_min":1.0,"bbox_x_max":9.0,"bbox_y_max":9.0,"enabled_state":"enabled","function_id":"fn_new"}],"route_label":{}}')
+    label = F.struct(
+        page.alias("page"),
+        route.alias("route_label"),
+        elements.alias("elements"),
+        null("string").alias("evidence"),
+        ((v % 11) / 10.0).alias("confidence"),
+        F.lit(False).alias("transition_detected"),
+    )
+    corrections = F.when(m == 0, '{"primitive_id":"fixed","situation_id":null}').when(m == 3, '{"page":{"screen_type":"city"},"bbox_xyxy":[1,2,30,40]}').when(
+        m == 6,
+        '{"elements":[{"element_id":"new","bbox_x_min":1.0,"bbox_y_min":1.0,"bbox_x_max":9.0,"bbox_y_max":9.0,"enabled_state":"enabled","function_id":"fn_new"}],"route_label":{}}',
+    )
     status = F.when(v % 3 == 0, "edited").when(v % 10 == 1, "rejected").when(v % 10 == 2, "approved").otherwise("pending")
-    return b.select("vec_id", T.sample_id(v).alias("sample_id"), F.concat(F.lit("session_"), F.col("label").cast("string")).alias("session_id"), label.alias("label"), status.alias("review_status"), corrections.alias("corrections"), "x1", "y1", "x2", "y2")
+    return b.select(
+        "vec_id",
+        T.sample_id(v).alias("sample_id"),
+        F.concat(F.lit("session_"), F.col("label").cast("string")).alias("session_id"),
+        label.alias("label"),
+        status.alias("review_status"),
+        corrections.alias("corrections"),
+        "x1",
+        "y1",
+        "x2",
+        "y2",
+    )
 
 
 #: Flat view of the effective labels of samples() in SQL.
@@ -152,7 +247,14 @@ def effective(spark, d):
 @query("effective_label", f"""WITH {EFFECTIVE_SQL} SELECT vec_id, screen_type, situation_id, primitive_id, n_elements, round(primary_x2, 6) AS primary_x2 FROM eff""")
 def effective_label(spark, d):
     flat = labels.flat_fields(F.col("label"))
-    return effective(spark, d).select("vec_id", flat["screen_type"].alias("screen_type"), flat["situation_id"].alias("situation_id"), flat["primitive_id"].alias("primitive_id"), F.size("label.elements").alias("n_elements"), F.round(flat["bbox_x_max"], 6).alias("primary_x2"))
+    return effective(spark, d).select(
+        "vec_id",
+        flat["screen_type"].alias("screen_type"),
+        flat["situation_id"].alias("situation_id"),
+        flat["primitive_id"].alias("primitive_id"),
+        F.size("label.elements").alias("n_elements"),
+        F.round(flat["bbox_x_max"], 6).alias("primary_x2"),
+    )
 
 
 QUALITY_SQL = """dup AS (SELECT *, doc_id > min(doc_id) OVER (PARTITION BY text) AS dup FROM documents),
@@ -165,11 +267,25 @@ def _documents(spark, d):
     docs = table(spark, d, "documents")
     first = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("first_id"))
     lab = table(spark, d, "labels").select("doc_id", "quality", "toxic", F.lit(True).alias("labeled"))
-    return docs.withColumn("h", F.sha2("text", 256)).join(first, "h").join(lab, "doc_id", "left").select("doc_id", F.coalesce("labeled", F.lit(False)).alias("labeled"), "quality", "toxic", (F.length("text") < 400).alias("short"), (F.col("lang") != "en").alias("foreign_"), (F.col("doc_id") > F.col("first_id")).alias("dup"))
+    return docs.withColumn("h", F.sha2("text", 256)).join(first, "h").join(lab, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce("labeled", F.lit(False)).alias("labeled"),
+        "quality",
+        "toxic",
+        (F.length("text") < 400).alias("short"),
+        (F.col("lang") != "en").alias("foreign_"),
+        (F.col("doc_id") > F.col("first_id")).alias("dup"),
+    )
 
 
 def _flagged(spark, d):
-    tests = {"quality_issue": F.col("short"), "missing_primitive_id": F.col("labeled") & (F.col("quality") == 0), "missing_situation_id": F.col("labeled") & (F.col("toxic") == 1), "legacy_invalid_action": F.col("foreign_"), "duplicate_non_representative": F.col("dup")}
+    tests = {
+        "quality_issue": F.col("short"),
+        "missing_primitive_id": F.col("labeled") & (F.col("quality") == 0),
+        "missing_situation_id": F.col("labeled") & (F.col("toxic") == 1),
+        "legacy_invalid_action": F.col("foreign_"),
+        "duplicate_non_representative": F.col("dup"),
+    }
     return _documents(spark, d).withColumn("flags", quality.flags(tests))
 
 
@@ -179,7 +295,9 @@ SCORE_SQL = "round(greatest(0, least(1, 1 - CASE WHEN list_contains(flags, 'qual
 
 @query("quality_score", f"WITH {FLAGS_SQL} SELECT doc_id, array_to_string(flags, ',') AS flags, {SCORE_SQL} AS score FROM f")
 def quality_score(spark, d):
-    return _flagged(spark, d).select("doc_id", F.array_join("flags", ",").alias("flags"), F.round(quality.score(F.col("flags")), 6).alias("score"))
+    return _flagged(spark, d).select(
+        "doc_id", F.array_join("flags", ",").alias("flags"), F.round(quality.score(F.col("flags")), 6).alias("score"),
+    )
 
 
 @query("flag_counts", f"WITH {FLAGS_SQL} SELECT unnest(flags) AS flag, count(*) AS n FROM f GROUP BY 1")
@@ -218,7 +336,15 @@ count(*) FILTER (WHERE review_status = 'pending') AS pending, round(avg(confiden
 def dataset_stats(spark, d):
     rows = effective(spark, d).withColumn("flags", F.when(F.col("vec_id") % 13 == 0, F.array(F.lit(quality.DUPLICATE))))
     flat = labels.flat_fields(F.col("label"))
-    out = quality.dataset_stats(rows, F.col("label.confidence"), flat["primitive_id"], flat["situation_id"], F.col("review_status"), F.col("flags"), F.col("label").isNotNull())
+    out = quality.dataset_stats(
+        rows,
+        F.col("label.confidence"),
+        flat["primitive_id"],
+        flat["situation_id"],
+        F.col("review_status"),
+        F.col("flags"),
+        F.col("label").isNotNull(),
+    )
     return out.withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
@@ -233,6 +359,16 @@ def situation_counts(spark, d):
  CASE WHEN vec_id % 2 = 0 AND vec_id % 3 = 0 THEN confidence WHEN vec_id % 2 = 0 THEN 0.9 ELSE confidence END AS confidence FROM eff""")
 def teacher_apply(spark, d):
     s = samples(spark, d)
-    even = s.where("vec_id % 2 = 0").select("vec_id", F.struct(F.lit("taught").alias("primitive_id"), F.lit("").alias("situation_id"), F.lit(None).cast("string").alias("screen_type"), F.lit("minimap").alias("roi_name"), F.when(F.col("vec_id") % 3 == 0, 0.0).otherwise(0.9).alias("confidence")).alias("chosen"), F.lit("[]").alias("route_candidates"))
+    even = s.where("vec_id % 2 = 0").select(
+        "vec_id",
+        F.struct(
+            F.lit("taught").alias("primitive_id"),
+            F.lit("").alias("situation_id"),
+            F.lit(None).cast("string").alias("screen_type"),
+            F.lit("minimap").alias("roi_name"),
+            F.when(F.col("vec_id") % 3 == 0, 0.0).otherwise(0.9).alias("confidence"),
+        ).alias("chosen"),
+        F.lit("[]").alias("route_candidates"),
+    )
     out = labels.apply_teacher(s, even, "vec_id")
     return out.select("vec_id", F.col("label.route_label.primitive_id"), F.col("label.page.situation_id"), F.col("label.confidence"))

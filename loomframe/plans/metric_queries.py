@@ -39,7 +39,11 @@ def center_distance(spark, d):
  count(*) AS n FROM two""")
 def mean_iou(spark, d):
     a, b = G.Box.of("a"), G.Box.of("b")
-    return _two(spark, d).agg(F.round(metrics.mean_or_zero(G.iou(a, b)), 6).alias("mean_iou"), F.round(metrics.mean_or_zero(G.center_distance(a, b)), 6).alias("mean_distance_px"), F.count("*").alias("n"))
+    return _two(spark, d).agg(
+        F.round(metrics.mean_or_zero(G.iou(a, b)), 6).alias("mean_iou"),
+        F.round(metrics.mean_or_zero(G.center_distance(a, b)), 6).alias("mean_distance_px"),
+        F.count("*").alias("n"),
+    )
 
 
 @query("bbox_normalize", f"""WITH {BOXES_SQL} SELECT vec_id, round(x1 / 1920 * 1000, 6) AS x1, round(y1 / 1080 * 1000, 6) AS y1, round(x2 / 1920 * 1000, 6) AS x2,
@@ -49,7 +53,12 @@ def bbox_normalize(spark, d):
     b = boxes(spark, d)
     n = G.normalize(G.Box.cols(), "0-1000", F.lit(W), F.lit(H))
     u = G.normalize(G.Box.cols(), "0-1", F.lit(W), F.lit(H))
-    return b.select("vec_id", *(F.round(c, 6).alias(k) for k, c in zip(n._fields, n, strict=True)), F.round(u.x1, 6).alias("ux1"), G.valid(G.Box.cols(), F.lit(W), F.lit(H)).alias("valid"))
+    return b.select(
+        "vec_id",
+        *(F.round(c, 6).alias(k) for k, c in zip(n._fields, n, strict=True)),
+        F.round(u.x1, 6).alias("ux1"),
+        G.valid(G.Box.cols(), F.lit(W), F.lit(H)).alias("valid"),
+    )
 
 
 @query("bbox_guess_scale", f"""WITH {BOXES_SQL}, s AS (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 0.001 WHEN 1 THEN 1 ELSE 10 END AS f, x1, y1, x2, y2
@@ -74,7 +83,10 @@ def coco_xywh(spark, d):
 @query("spatial_bucket", f"""WITH {BOXES_SQL} SELECT vec_id, 'class' || label || '_r' || least(2, trunc((y1 + y2) / 2 / 1080 * 3)::INT) || 'c' || least(2,
  trunc((x1 + x2) / 2 / 1920 * 3)::INT) AS semantic_id FROM boxes""")
 def spatial_bucket(spark, d):
-    return boxes(spark, d).select("vec_id", G.semantic_id(F.concat(F.lit("class"), F.col("label").cast("string")), G.Box.cols(), F.lit(W), F.lit(H)).alias("semantic_id"))
+    return boxes(spark, d).select(
+        "vec_id",
+        G.semantic_id(F.concat(F.lit("class"), F.col("label").cast("string")), G.Box.cols(), F.lit(W), F.lit(H)).alias("semantic_id"),
+    )
 
 
 @query("unit_clamp", f"""WITH {BOXES_SQL}, c AS (SELECT vec_id, greatest(0, least(1, x1 / 500)) AS a, greatest(0, least(1, y1 / 500)) AS b, greatest(0, least(1,
@@ -90,7 +102,9 @@ PREDICTED_SQL = "p AS (SELECT vec_id, label AS target, (vec_id % 10)::INT AS pre
 
 
 def _predicted(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.col("label").alias("target"), (F.col("vec_id") % 10).cast("int").alias("predicted"))
+    return table(spark, d, "embeddings").select(
+        "vec_id", F.col("label").alias("target"), (F.col("vec_id") % 10).cast("int").alias("predicted"),
+    )
 
 
 @query("accuracy", f"WITH {PREDICTED_SQL} SELECT round(avg((target = predicted)::INT), 6) AS accuracy FROM p")
@@ -120,7 +134,9 @@ SELECT round(avg(EXISTS (SELECT 1 FROM p WHERE p.image = t.image AND p.c = t.c A
  6) AS click_success FROM t""")
 def click_success(spark, d):
     """Ten vectors in a row are an image; predictions are the boxes with two sides moved."""
-    b = boxes(spark, d).select("vec_id", F.floor(F.col("vec_id") / 10).alias("image"), (F.col("label") % 3).alias("c"), "x1", "y1", "x2", "y2")
+    b = boxes(spark, d).select(
+        "vec_id", F.floor(F.col("vec_id") / 10).alias("image"), (F.col("label") % 3).alias("c"), "x1", "y1", "x2", "y2",
+    )
     moved = b.withColumn("x1", F.col("x1") + 15).withColumn("y2", F.col("y2") + 10)
     return metrics.click_success(b, moved, "image", "c", "vec_id").select(F.round("click_success", 6).alias("click_success"))
 
@@ -135,7 +151,9 @@ def p95_nearest_rank(spark, d):
 @query("detector_objective", """SELECT event_type, round(0.6 * coalesce(avg(value) / 100, 0) + 0.4 * avg((value > 20)::INT) - greatest(0, (avg(value) * 2 - 30) / 1000), 6) AS score
  FROM events GROUP BY 1""")
 def detector_objective(spark, d):
-    a = table(spark, d, "events").groupBy("event_type").agg((F.avg("value") / 100).alias("m"), F.avg((F.col("value") > 20).cast("int")).alias("s"), (F.avg("value") * 2).alias("ms"))
+    a = table(spark, d, "events").groupBy("event_type").agg(
+        (F.avg("value") / 100).alias("m"), F.avg((F.col("value") > 20).cast("int")).alias("s"), (F.avg("value") * 2).alias("ms"),
+    )
     return a.select("event_type", F.round(metrics.detector_score(F.col("m"), F.col("s"), F.col("ms")), 6).alias("score"))
 
 
@@ -162,7 +180,12 @@ def _profile(spark, d):
     """Five vectors in a row are an image; images with an odd number have no size on file."""
     b = boxes(spark, d).withColumn("image", F.floor(F.col("vec_id") / 5))
     images = b.select("image").distinct().where("image % 2 = 0").withColumn("width", F.lit(W)).withColumn("height", F.lit(H))
-    return profile.profile(images, b.select("image", "label", (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h")), "image", "label")
+    return profile.profile(
+        images,
+        b.select("image", "label", (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h")),
+        "image",
+        "label",
+    )
 
 
 @query("dataset_profile", f"WITH {PROFILE_SQL} SELECT * FROM prof")

@@ -40,7 +40,15 @@ hashes AS (SELECT vec_id, label, list_sum([CASE WHEN embedding[i] > m THEN (1::H
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
     e = lambda k: F.col("embedding")[k].cast("double")
-    return table(spark, d, "embeddings").select("vec_id", "label", "embedding", (e(0) * 1000).alias("x1"), (e(1) * 1000).alias("y1"), (e(0) * 1000 + F.abs(e(2)) * 1000).alias("x2"), (e(1) * 1000 + F.abs(e(3)) * 1000).alias("y2"))
+    return table(spark, d, "embeddings").select(
+        "vec_id",
+        "label",
+        "embedding",
+        (e(0) * 1000).alias("x1"),
+        (e(1) * 1000).alias("y1"),
+        (e(0) * 1000 + F.abs(e(2)) * 1000).alias("x2"),
+        (e(1) * 1000 + F.abs(e(3)) * 1000).alias("y2"),
+    )
 
 
 def hashes(spark: SparkSession, d: str) -> DataFrame:

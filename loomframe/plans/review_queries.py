@@ -33,7 +33,9 @@ def needs_review(spark, d):
 
 @query("review_topn", f"WITH {AMBIGUITY_SQL} SELECT vec_id, uncertainty FROM a WHERE vec_id % 5 <> 0 ORDER BY uncertainty DESC, vec_id LIMIT 10")
 def review_topn(spark, d):
-    return review.top_uncertain(_unsure(spark, d).withColumn("reviewed", F.col("vec_id") % 5 == 0), 10, "uncertainty", "vec_id", "reviewed").select("vec_id", "uncertainty")
+    return review.top_uncertain(
+        _unsure(spark, d).withColumn("reviewed", F.col("vec_id") % 5 == 0), 10, "uncertainty", "vec_id", "reviewed",
+    ).select("vec_id", "uncertainty")
 
 
 PRIORITY_SQL = """base AS (SELECT event_id, value / 100 AS conf, event_id % 3 = 0 AS mp, event_id % 5 = 0 AS ms, event_id % 7 = 0 AS rep, event_id % 11 AS hard,
@@ -49,7 +51,9 @@ def review_priority(spark, d):
     n = F.col("event_id")
     flags = F.array_compact(F.array(F.when(n % 3 == 0, "missing_primitive_id"), F.when(n % 5 == 0, "missing_situation_id")))
     conf = F.col("value") / 100
-    score = review.priority(conf, flags, n % 7 == 0, F.lit(False), n % 11, n % 13 == 0, n % 17 == 0, F.array(F.lit(0.5), F.lit(0.5) - (n % 30) / 100.0))
+    score = review.priority(
+        conf, flags, n % 7 == 0, F.lit(False), n % 11, n % 13 == 0, n % 17 == 0, F.array(F.lit(0.5), F.lit(0.5) - (n % 30) / 100.0),
+    )
     out = review.queue(table(spark, d, "events"), score, "event_id", 0.45, conf)
     return out.select("event_id", "decision", F.round("priority", 6).alias("priority"))
 
@@ -69,7 +73,9 @@ def latest_decision(spark, d):
 @query("mark_reviewed", """WITH k AS (SELECT event_id, user_id, value > 30 AS reviewed, row_number() OVER (PARTITION BY user_id, value > 30 ORDER BY event_id) AS k FROM events)
  SELECT event_id, reviewed OR (NOT reviewed AND k = 1 AND user_id % 2 = 0) AS reviewed FROM k""")
 def mark_reviewed(spark, d):
-    e = table(spark, d, "events").select("event_id", "user_id", (F.col("value") > 30).alias("reviewed"), F.lit(None).cast("string").alias("corrections"))
+    e = table(spark, d, "events").select(
+        "event_id", "user_id", (F.col("value") > 30).alias("reviewed"), F.lit(None).cast("string").alias("corrections"),
+    )
     decided = e.where("user_id % 2 = 0").select("user_id").distinct().withColumn("corrections", F.lit("{}"))
     return review.mark_reviewed(e, decided, "user_id", "event_id").select("event_id", "reviewed")
 
@@ -80,20 +86,29 @@ def candidate_choices(spark, d):
     c = lambda r, conf, v: F.struct(F.lit(r).alias("rank"), F.lit(conf).alias("confidence"), F.lit(v).alias("value"))
     cands = F.array(c(2, 0.9, "a"), c(1, 0.2, "b"), c(2, 0.5, "b"), c(3, 0.9, "z"))
     current = F.when(F.col("event_id") % 2 == 0, "a").otherwise("cur")
-    return table(spark, d, "events").select("event_id", F.array_join(review.candidate_choices(cands, current, F.array(F.lit("x"), F.lit("a"), F.lit("y"))), ",").alias("choices"))
+    return table(spark, d, "events").select(
+        "event_id",
+        F.array_join(review.candidate_choices(cands, current, F.array(F.lit("x"), F.lit("a"), F.lit("y"))), ",").alias("choices"),
+    )
 
 
 @query("preferred_first", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'c,a,b' ELSE 'b,a,c' END AS ordering FROM events")
 def preferred_first(spark, d):
     pref = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("c"), F.lit("zz"))).otherwise(F.array(F.lit("b")))
-    return table(spark, d, "events").select("event_id", F.array_join(review.preferred_first(pref, F.array(F.lit("a"), F.lit("b"), F.lit("c"))), ",").alias("ordering"))
+    return table(spark, d, "events").select(
+        "event_id", F.array_join(review.preferred_first(pref, F.array(F.lit("a"), F.lit("b"), F.lit("c"))), ",").alias("ordering"),
+    )
 
 
 @query("parse_numbers", "SELECT page_id, list_transform(regexp_extract_all(html, '(-?\\d+(?:\\.\\d+)?)', 1)[1:4], lambda x: x::DOUBLE)[1] AS n1, len(regexp_extract_all(html, '(-?\\d+(?:\\.\\d+)?)', 1)) >= 4 AS enough FROM pages")
 def parse_numbers(spark, d):
     p = table(spark, d, "pages")
     found = F.regexp_extract_all("html", F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1))
-    return p.select("page_id", F.coalesce(F.get(T.numbers_or_null(F.col("html")), F.lit(0)), F.get(found, F.lit(0)).cast("double")).alias("n1"), T.numbers_or_null(F.col("html")).isNotNull().alias("enough"))
+    return p.select(
+        "page_id",
+        F.coalesce(F.get(T.numbers_or_null(F.col("html")), F.lit(0)), F.get(found, F.lit(0)).cast("double")).alias("n1"),
+        T.numbers_or_null(F.col("html")).isNotNull().alias("enough"),
+    )
 
 
 @query("json_clean", "SELECT event_id, (props->>'$.k')::INT AS k FROM events")
@@ -104,7 +119,9 @@ def json_clean(spark, d):
 
 @query("event_labels", """SELECT event_id, CASE event_type WHEN 'click' THEN 'button' END AS label, upper(event_type[1]) || event_type[2:] AS pretty FROM events""")
 def event_labels(spark, d):
-    return table(spark, d, "events").select("event_id", T.event_label(F.col("event_type")).alias("label"), T.prettify(F.col("event_type")).alias("pretty"))
+    return table(spark, d, "events").select(
+        "event_id", T.event_label(F.col("event_type")).alias("label"), T.prettify(F.col("event_type")).alias("pretty"),
+    )
 
 
 @query("split_sessions", """WITH s AS (SELECT source, row_number() OVER (ORDER BY source) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents))
@@ -153,16 +170,22 @@ en AS (SELECT vec_id, round(0.6 * ((vec_id * 37 % 101) / 101.0) + 0.4 * score, 6
 
 def _judged(spark, d):
     b = boxes(spark, d).withColumn("conf", (F.col("vec_id") % 10) / 10.0)
-    return b.withColumn("j", improve.heuristic(Box.cols(), F.col("x1") + F.col("vec_id") % 60, F.col("y1") + 5, F.col("conf"), F.lit(1920), F.lit(1080)))
+    return b.withColumn(
+        "j", improve.heuristic(Box.cols(), F.col("x1") + F.col("vec_id") % 60, F.col("y1") + 5, F.col("conf"), F.lit(1920), F.lit(1080)),
+    )
 
 
 def _ensemble(spark, d):
-    return _judged(spark, d).select("vec_id", F.round(improve.ensemble((F.col("vec_id") * 37 % 101) / 101.0, F.col("j.score")), 6).alias("score"))
+    return _judged(spark, d).select(
+        "vec_id", F.round(improve.ensemble((F.col("vec_id") * 37 % 101) / 101.0, F.col("j.score")), 6).alias("score"),
+    )
 
 
 @query("heuristic_judge", f"WITH {JUDGE_SQL} SELECT vec_id, inside AS click_inside, round(score, 6)::DOUBLE AS score, penalties FROM j")
 def heuristic_judge(spark, d):
-    return _judged(spark, d).select("vec_id", F.col("j.click_inside"), F.round("j.score", 6).alias("score"), F.array_join("j.penalties", ",").alias("penalties"))
+    return _judged(spark, d).select(
+        "vec_id", F.col("j.click_inside"), F.round("j.score", 6).alias("score"), F.array_join("j.penalties", ",").alias("penalties"),
+    )
 
 
 @query("ensemble_score", f"WITH {JUDGE_SQL} SELECT * FROM en")
@@ -202,7 +225,12 @@ def pref_margin(spark, d):
  WHERE a.vec_id % 3 <> 0 AND b.vec_id % 3 <> 0""")
 def preference_records(spark, d):
     pairs = improve.top_bottom_pairs(_ensemble(spark, d), "vec_id", "score", "vec_id")
-    known = boxes(spark, d).where("vec_id % 3 <> 0").select("vec_id", F.when(F.col("vec_id") % 2 == 0, "").otherwise("text").alias("prompt"), F.array("x1", "y1", "x2", "y2").alias("box"), T.sample_id(F.col("vec_id")).alias("path"))
+    known = boxes(spark, d).where("vec_id % 3 <> 0").select(
+        "vec_id",
+        F.when(F.col("vec_id") % 2 == 0, "").otherwise("text").alias("prompt"),
+        F.array("x1", "y1", "x2", "y2").alias("box"),
+        T.sample_id(F.col("vec_id")).alias("path"),
+    )
     return improve.pair_records(pairs, known, "vec_id", "prompt", "box", "path").select("chosen", "rejected", "chosen_prompt")
 
 
@@ -211,7 +239,9 @@ HISTORY_SQL = "d AS (SELECT date_trunc('day', ts) AS day, round(avg(value), 4) A
 
 def _history(spark, d):
     """One iteration a day: the mean of that day's values."""
-    days = table(spark, d, "events").groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day")).agg(F.round(F.avg("value"), 4).alias("score"))
+    days = table(spark, d, "events").groupBy(
+        F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day")
+    ).agg(F.round(F.avg("value"), 4).alias("score"))
     return split.numbered(days, ["day"], "it", groups=1).select((F.col("it") + 1).alias("it"), "score")
 
 
@@ -261,7 +291,9 @@ def normalized_weights(spark, d):
  FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""")
 def confidence_window(spark, d):
     e = events(spark, d).withColumn("o", F.struct("ms", "event_id"))
-    return monitor.confidence_window(e, "value", "o", "user_id").select("event_id", "window_n", F.round("window_mean", 9).alias("window_mean"))
+    return monitor.confidence_window(e, "value", "o", "user_id").select(
+        "event_id", "window_n", F.round("window_mean", 9).alias("window_mean"),
+    )
 
 
 @query("drift_latch", f"""WITH {EVENTS_SQL} SELECT event_id, max(value > 60) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING
@@ -275,9 +307,16 @@ def drift_latch(spark, d):
  GROUP BY 1), g AS (SELECT frame, coalesce(list_avg(s), 0) AS m, len(list_filter(s, lambda x: x < 0.25)) AS u, len(s) AS n FROM f)
  SELECT frame, round(m, 9) AS mean_confidence, u::INT AS uncertain_count, m < 0.25 OR u > n / 2 AS should_collect FROM g""")
 def frame_signals(spark, d):
-    f = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 8).alias("frame")).agg(F.collect_list(F.col("value") / 100).alias("s"))
+    f = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 8).alias("frame")).agg(
+        F.collect_list(F.col("value") / 100).alias("s")
+    )
     g = monitor.frame_signals(F.col("s"))
-    return f.select("frame", F.round(g["mean_confidence"], 9).alias("mean_confidence"), g["uncertain_count"].alias("uncertain_count"), monitor.should_collect(F.lit(False), g["mean_confidence"], g["uncertain_count"], F.size("s")).alias("should_collect"))
+    return f.select(
+        "frame",
+        F.round(g["mean_confidence"], 9).alias("mean_confidence"),
+        g["uncertain_count"].alias("uncertain_count"),
+        monitor.should_collect(F.lit(False), g["mean_confidence"], g["uncertain_count"], F.size("s")).alias("should_collect"),
+    )
 
 
 @query("retrain_decision", """WITH c AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS f, count(*) FILTER (WHERE event_type = 'signup') AS c, max(value) > 80 AS d
@@ -286,5 +325,9 @@ SELECT user_id, f >= 22 OR c >= 20 OR d AS should_retrain, coalesce(nullif(conca
  WHEN c >= 20 THEN 'corrections=' || c || '>=20' END, CASE WHEN d THEN 'drift_detected' END), ''), 'no retrain conditions met') AS reason,
 CASE WHEN NOT (f >= 22 OR c >= 20 OR d) THEN 'none' WHEN d THEN 'full' ELSE 'incremental' END AS recommended_strategy FROM c""")
 def retrain_decision(spark, d):
-    c = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("f"), F.count_if(F.col("event_type") == "signup").alias("c"), (F.max("value") > 80).alias("d"))
+    c = table(spark, d, "events").groupBy("user_id").agg(
+        F.count_if(F.col("event_type") == "error").alias("f"),
+        F.count_if(F.col("event_type") == "signup").alias("c"),
+        (F.max("value") > 80).alias("d"),
+    )
     return monitor.retrain_decision(c, "f", "c", "d", failure_threshold=22).drop("f", "c", "d")

@@ -24,7 +24,9 @@ def _teacher(request: str):
 def _labeled(spark, d):
     """One teacher call a cluster of near-equal hashes, copied to the rest."""
     members = dedup.greedy_leaders(hashes(spark, d), "h", "vec_id", 15)
-    reps = members.where("vec_id = leader").select("vec_id", teaching.payload(F.col("vec_id"), F.lit(None).cast("string"), ["a"], []).alias("request"))
+    reps = members.where("vec_id = leader").select(
+        "vec_id", teaching.payload(F.col("vec_id"), F.lit(None).cast("string"), ["a"], []).alias("request"),
+    )
     told = teaching.teach(reps, "vec_id", "request", _teacher).select("vec_id", F.col("chosen.primitive_id").alias("primitive_id"))
     return teaching.label_clusters(members, told, "vec_id")
 
@@ -52,5 +54,16 @@ FROM r JOIN o ON o.image = r.image AND o.k = r.k + 1, LATERAL (SELECT count(*) A
  WHERE {IOU_SQL.format(a="p", b="o")} >= 0.6) c)
 SELECT image, pos, round(x1, 6) AS x1 FROM r JOIN o USING (image, k) WHERE ok""")
 def prelabel_boxes(spark, d):
-    raw = boxes(spark, d).select(F.floor(F.col("vec_id") / 20).alias("image"), (F.col("vec_id") % 20).cast("int").alias("at"), F.lit("x").alias("label"), "x1", "y1", "x2", "y2", F.lit(0.5).alias("score"))
-    return teaching.clean_boxes(raw, "image", F.lit(1920), F.lit(1080)).select("image", F.col("at").alias("pos"), F.round("x1", 6).alias("x1"))
+    raw = boxes(spark, d).select(
+        F.floor(F.col("vec_id") / 20).alias("image"),
+        (F.col("vec_id") % 20).cast("int").alias("at"),
+        F.lit("x").alias("label"),
+        "x1",
+        "y1",
+        "x2",
+        "y2",
+        F.lit(0.5).alias("score"),
+    )
+    return teaching.clean_boxes(raw, "image", F.lit(1920), F.lit(1080)).select(
+        "image", F.col("at").alias("pos"), F.round("x1", 6).alias("x1"),
+    )

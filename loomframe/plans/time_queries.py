@@ -12,7 +12,9 @@ from loomframe.plans.registry import EVENTS_SQL, events, query
 def _frames(spark, d):
     """A frame each minute over the span of the events, as a table of our own."""
     span = events(spark, d).agg(F.floor(F.min("ms") / 60000).alias("a"), F.floor(F.max("ms") / 60000).alias("b"))
-    return span.select(F.explode(F.sequence("a", "b")).alias("frame_no")).select(F.col("frame_no").cast("long"), (F.col("frame_no") * 60000.0).alias("frame_ms"))
+    return span.select(F.explode(F.sequence("a", "b")).alias("frame_no")).select(
+        F.col("frame_no").cast("long"), (F.col("frame_no") * 60000.0).alias("frame_ms"),
+    )
 
 
 FRAMES_SQL = "frames AS (SELECT unnest(range((SELECT floor(min(ms) / 60000)::BIGINT FROM ev), (SELECT floor(max(ms) / 60000)::BIGINT FROM ev) + 1)) AS frame_no), fr AS (SELECT frame_no, frame_no * 60000.0 AS frame_ms FROM frames)"
@@ -35,7 +37,9 @@ p AS (SELECT c.event_id, v.ms AS frame_ts, row_number() OVER (PARTITION BY c.eve
 SELECT event_id, round(frame_ts, 3) AS frame_ts FROM p WHERE k = 1""")
 def nearest_frame_unbounded(spark, d):
     e = events(spark, d).select("user_id", "event_id", "ms", "event_type")
-    out = temporal.nearest_unbounded(e.where("event_type = 'click'").drop("event_type"), e.where("event_type = 'view'").drop("event_type"), "ms", "ms", ["user_id"])
+    out = temporal.nearest_unbounded(
+        e.where("event_type = 'click'").drop("event_type"), e.where("event_type = 'view'").drop("event_type"), "ms", "ms", ["user_id"],
+    )
     return out.where("frame_ts IS NOT NULL").select("event_id", F.round("frame_ts", 3).alias("frame_ts"))
 
 
@@ -80,18 +84,38 @@ SELECT g.event_id, CASE WHEN dist > 50 THEN 'drag' WHEN b = 'right' THEN 'right_
 def gesture_classify(spark, d):
     """A click row is a press, the user's next row of another kind its release; the value axis stands for position."""
     w = Window.partitionBy("user_id").orderBy("ms", "event_id")
-    e = events(spark, d).select("event_id", "user_id", "ms", "event_type", "value", F.lead("ms").over(w).alias("t2"), F.lead("event_type").over(w).alias("k2"), F.lead("value").over(w).alias("v2"))
-    g = e.where("event_type = 'click' AND k2 <> 'click'").withColumn("dist", F.abs(F.col("v2") - F.col("value"))).withColumn("dur", F.col("t2") - F.col("ms")).withColumn("b", F.when(F.col("event_id") % 7 == 0, "right").otherwise("left"))
-    quick = temporal.double_clicks(g.where("dist <= 50 AND b <> 'right' AND dur < 7200000"), "user_id", "t2", "event_id", within_ms=43_200_000.0).select("event_id", "is_double")
+    e = events(spark, d).select(
+        "event_id",
+        "user_id",
+        "ms",
+        "event_type",
+        "value",
+        F.lead("ms").over(w).alias("t2"),
+        F.lead("event_type").over(w).alias("k2"),
+        F.lead("value").over(w).alias("v2"),
+    )
+    g = e.where("event_type = 'click' AND k2 <> 'click'").withColumn("dist", F.abs(F.col("v2") - F.col("value"))).withColumn("dur", F.col("t2") - F.col("ms")).withColumn(
+        "b", F.when(F.col("event_id") % 7 == 0, "right").otherwise("left"),
+    )
+    quick = temporal.double_clicks(
+        g.where("dist <= 50 AND b <> 'right' AND dur < 7200000"), "user_id", "t2", "event_id", within_ms=43_200_000.0,
+    ).select("event_id", "is_double")
     named = g.join(quick, "event_id", "left")
-    return named.select("event_id", temporal.classify_release(F.col("dist"), F.col("b"), F.col("dur"), F.coalesce("is_double", F.lit(False)), 50.0, 7_200_000.0).alias("action"))
+    return named.select(
+        "event_id",
+        temporal.classify_release(
+            F.col("dist"), F.col("b"), F.col("dur"), F.coalesce("is_double", F.lit(False)), 50.0, 7_200_000.0,
+        ).alias("action"),
+    )
 
 
 @query("clip_summary", """WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events)
 SELECT user_id, coalesce(min(k) FILTER (WHERE value > 60), 0) AS effect, max(k) AS stable FROM e GROUP BY user_id""")
 def clip_summary(spark, d):
     e = events(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long") - 1)
-    return temporal.clip_summary(e, "user_id", "k", "value", 60.0).select("user_id", F.col("effect").cast("long").alias("effect"), F.col("stable").cast("long").alias("stable"))
+    return temporal.clip_summary(e, "user_id", "k", "value", 60.0).select(
+        "user_id", F.col("effect").cast("long").alias("effect"), F.col("stable").cast("long").alias("stable"),
+    )
 
 
 @query("ring_latest", f"""WITH {EVENTS_SQL}, r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ms DESC) AS k FROM ev) SELECT user_id, event_id
@@ -111,14 +135,20 @@ def record_samples(spark, d):
     c = e.where("event_type = 'click'").select("user_id", "event_id", "ms")
     v = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("f"), F.col("ms").alias("fms"))
     near = temporal.interval_join(c, v, "ms", "fms", 86_400_000.0, 7_200_000.0, ["user_id"])
-    return near.groupBy("event_id").agg(F.coalesce(F.max_by("f", F.when(F.col("fms") <= F.col("ms"), F.col("fms"))), F.lit(-1)).alias("pre_frame"), F.max_by("f", "fms").alias("post_frame"), F.count_if(F.col("fms").between(F.col("ms") - 3_600_000, F.col("ms"))).alias("pre_clip"))
+    return near.groupBy("event_id").agg(
+        F.coalesce(F.max_by("f", F.when(F.col("fms") <= F.col("ms"), F.col("fms"))), F.lit(-1)).alias("pre_frame"),
+        F.max_by("f", "fms").alias("post_frame"),
+        F.count_if(F.col("fms").between(F.col("ms") - 3_600_000, F.col("ms"))).alias("pre_clip"),
+    )
 
 
 @query("tumbling_ext", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def tumbling_ext(spark, d):
     """Extension: counts in windows of a day."""
     e = events(spark, d)
-    return e.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+    return e.groupBy(
+        F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type",
+    ).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
 @query("session_ext", f"""WITH {EVENTS_SQL}, g AS (SELECT user_id, ms, CASE WHEN ms - lag(ms) OVER w > 3600000 OR lag(ms) OVER w IS NULL THEN 1 ELSE 0 END AS s,

@@ -43,9 +43,15 @@ def crops(images: DataFrame, boxes: DataFrame) -> DataFrame:
                 data.append(png(pixels[r["y1"] : r["y2"], r["x1"] : r["x2"]]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary())], names=["name", "content"])
 
-    pixels = images.select(F.col("image.origin").alias("__path"), *(F.col(f"image.{c}").alias(c) for c in ("height", "width", "nChannels", "data")))
-    both = boxes.select("name", _plain(F.col("image_path")).alias("__at"), "crop.*").join(pixels.withColumn("__at", _plain(F.col("__path"))), "__at")
-    return both.select("name", "x1", "y1", "x2", "y2", "height", "width", "nChannels", "data").mapInArrow(run, "name string, content binary")
+    pixels = images.select(
+        F.col("image.origin").alias("__path"), *(F.col(f"image.{c}").alias(c) for c in ("height", "width", "nChannels", "data")),
+    )
+    both = boxes.select(
+        "name", _plain(F.col("image_path")).alias("__at"), "crop.*",
+    ).join(pixels.withColumn("__at", _plain(F.col("__path"))), "__at")
+    return both.select(
+        "name", "x1", "y1", "x2", "y2", "height", "width", "nChannels", "data",
+    ).mapInArrow(run, "name string, content binary")
 
 
 def _plain(path):
@@ -97,6 +103,13 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
                     f.write(r["content"])
                 store.move(f"{path}.part", path)
                 out.append((r["name"], path, len(r["content"])))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int64())], names=["name", "path", "bytes"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([o[0] for o in out], pa.string()),
+                    pa.array([o[1] for o in out], pa.string()),
+                    pa.array([o[2] for o in out], pa.int64()),
+                ],
+                names=["name", "path", "bytes"],
+            )
 
     return rows.select("name", "content").mapInArrow(run, WRITTEN)

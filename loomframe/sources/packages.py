@@ -31,14 +31,21 @@ def read_document(spark: SparkSession, path: str) -> dict:
 def write_package(spark: SparkSession, folder: str, profile: ToolProfile, metrics: dict, labels: list[str], files: DataFrame) -> str:
     """Side files profile, metrics, labels and dataset hash; returns the hash. files: name, content."""
     found = content_hash(files).first()["dataset_hash"]
-    for name, doc in (("profile", asdict(profile) | {"dataset_hash": found}), ("metrics", metrics), ("labels", {"labels": labels}), ("dataset", {"dataset_hash": found})):
+    for name, doc in (
+        ("profile", asdict(profile) | {"dataset_hash": found}),
+        ("metrics", metrics),
+        ("labels", {"labels": labels}),
+        ("dataset", {"dataset_hash": found}),
+    ):
         write_document(spark, doc, f"{folder}/{name}.json")
     return found
 
 
 def record_run(spark: SparkSession, folder: str, tool_id: str, run: dict) -> None:
     """Append one training run to a tool's history."""
-    spark.createDataFrame([(tool_id, json.dumps(run, sort_keys=True))], "tool_id string, run string").withColumn("recorded_at", F.current_timestamp()).write.mode("append").json(f"{folder}/training_history")
+    spark.createDataFrame(
+        [(tool_id, json.dumps(run, sort_keys=True))], "tool_id string, run string",
+    ).withColumn("recorded_at", F.current_timestamp()).write.mode("append").json(f"{folder}/training_history")
 
 
 def save_sample_part(rows: DataFrame, folder: str, part: str) -> None:
@@ -50,7 +57,9 @@ def current_part(spark: SparkSession, folder: str, part: str) -> DataFrame:
     """Newest version of each sample's part."""
     rows = spark.read.parquet(f"{folder}/{part}")
     rest = [c for c in rows.columns if c not in ("session_id", "sample_id")]
-    return rows.groupBy("session_id", "sample_id").agg(F.max_by(F.struct(*rest), "version").alias("r")).select("session_id", "sample_id", "r.*")
+    return rows.groupBy("session_id", "sample_id").agg(
+        F.max_by(F.struct(*rest), "version").alias("r")
+    ).select("session_id", "sample_id", "r.*")
 
 
 def next_sample_ids(samples: DataFrame) -> DataFrame:

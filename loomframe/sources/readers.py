@@ -90,7 +90,9 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
     }
     out = _folders(spark, folder)
     for name, (value, good) in kinds.items():
-        found = _documents(spark, folder, f"{name}.json").select(*keys, value.alias(name), (valid & F.coalesce(good, F.lit(False))).alias(f"__{name}"))
+        found = _documents(spark, folder, f"{name}.json").select(
+            *keys, value.alias(name), (valid & F.coalesce(good, F.lit(False))).alias(f"__{name}"),
+        )
         out = out.join(found, keys, "left")
     whole = F.least(*(F.coalesce(F.col(f"__{n}"), F.lit(True)) for n in kinds))
     out = labels.nested_label(out.where(whole).withColumnRenamed("label", "__raw"), "__raw")
@@ -106,14 +108,38 @@ def input_log_jsonl(spark: SparkSession, path: str) -> DataFrame:
     m = F.from_json("value", "map<string,string>")
     rest = F.map_filter(m, lambda k, v: ~k.isin(*LOG_FIELDS))
     get = lambda k: F.try_element_at(m, F.lit(k))
-    return raw.select(get("timestamp_ms").cast("double").alias("timestamp_ms"), F.coalesce(get("event_type"), F.lit("click")).alias("event_type"), get("x").cast("double").alias("x"), get("y").cast("double").alias("y"), get("key").alias("key"), get("button").alias("button"), F.when(F.size(F.map_keys(rest)) > 0, rest).alias("metadata"))
-
-
-def input_log_csv(spark: SparkSession, path: str, ts_col: str = "timestamp_ms", type_col: str = "event_type", x_col: str = "x", y_col: str = "y", key_col: str = "key", button_col: str = "button") -> DataFrame:
+    return raw.select(
+        get("timestamp_ms").cast("double").alias("timestamp_ms"),
+        F.coalesce(get("event_type"), F.lit("click")).alias("event_type"),
+        get("x").cast("double").alias("x"),
+        get("y").cast("double").alias("y"),
+        get("key").alias("key"),
+        get("button").alias("button"),
+        F.when(F.size(F.map_keys(rest)) > 0, rest).alias("metadata"),
+    )
+
+
+def input_log_csv(
+    spark: SparkSession,
+    path: str,
+    ts_col: str = "timestamp_ms",
+    type_col: str = "event_type",
+    x_col: str = "x",
+    y_col: str = "y",
+    key_col: str = "key",
+    button_col: str = "button",
+) -> DataFrame:
     """Input events from CSV with named columns; empty cells are null, a missing type column means click."""
     raw = spark.read.csv(path, header=True)
     cell = lambda c, kind="string": (blank_to_null(F.col(c)) if c in raw.columns else F.lit(None)).cast(kind)
-    return raw.select(cell(ts_col, "double").alias("timestamp_ms"), F.coalesce(cell(type_col), F.lit("click")).alias("event_type"), cell(x_col, "double").alias("x"), cell(y_col, "double").alias("y"), cell(key_col).alias("key"), cell(button_col).alias("button"))
+    return raw.select(
+        cell(ts_col, "double").alias("timestamp_ms"),
+        F.coalesce(cell(type_col), F.lit("click")).alias("event_type"),
+        cell(x_col, "double").alias("x"),
+        cell(y_col, "double").alias("y"),
+        cell(key_col).alias("key"),
+        cell(button_col).alias("button"),
+    )
 
 
 GROUNDING = "image_path string, prompt string, bbox array<double>, image_id string"
@@ -123,10 +149,16 @@ def grounding_jsonl(spark: SparkSession, path: str, image_root: str | None = Non
     """Grounding rows; one without path, prompt or a box of four is an error that quotes it. image_id: the file name."""
     raw = spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", GROUNDING).alias("r"))
     good = F.coalesce(F.col("r.image_path").isNotNull() & F.col("r.prompt").isNotNull() & (F.size("r.bbox") == 4), F.lit(False))
-    checked = raw.where(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("bad grounding line: "), F.col("value"))).cast("boolean")))
+    checked = raw.where(
+        F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("bad grounding line: "), F.col("value"))).cast("boolean"))
+    )
     image = F.col("r.image_path")
-    full = image if image_root is None else F.when(image.startswith("/"), image).otherwise(F.concat(F.lit(image_root.rstrip("/") + "/"), image))
-    return checked.select(full.alias("image_path"), "r.prompt", "r.bbox", F.coalesce("r.image_id", F.substring_index(image, "/", -1)).alias("image_id"))
+    full = image if image_root is None else F.when(image.startswith("/"), image).otherwise(
+        F.concat(F.lit(image_root.rstrip("/") + "/"), image)
+    )
+    return checked.select(
+        full.alias("image_path"), "r.prompt", "r.bbox", F.coalesce("r.image_id", F.substring_index(image, "/", -1)).alias("image_id"),
+    )
 
 
 def router_csv(spark: SparkSession, path: str, label_col: str = "primitive_id") -> DataFrame:
@@ -156,7 +188,9 @@ def frame_files(spark: SparkSession, folder: str, fps: float) -> DataFrame:
     """frame_path, frame_index (first digits of the name), frame_ts_ms."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(IMAGE_TYPES) + "}").load(folder)
     index = frame_index(F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1))
-    return files.select(F.col("path").alias("frame_path"), index.alias("frame_index"), frame_timestamp_ms(index, F.lit(float(fps))).alias("frame_ts_ms"))
+    return files.select(
+        F.col("path").alias("frame_path"), index.alias("frame_index"), frame_timestamp_ms(index, F.lit(float(fps))).alias("frame_ts_ms"),
+    )
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:

@@ -59,7 +59,12 @@ def from_yaml(spark: SparkSession, path: str, defaults: dict | None = None) -> d
     elements = [(i, n, v.get("semantic_text"), v.get("function_id") or v.get("function_id_or_related_primitive"), _texts(v.get("hotkeys")), _texts(v.get("available_actions")), v.get("roi_hint"), _texts(v.get("text_aliases")) + _texts(v.get("icon_aliases"))) for i, (n, v) in enumerate(_named(part("elements"), "semantic_id"))]
     boxes = [(n, v if isinstance(v, (list, tuple)) else v.get("bbox_norm") or v.get("bbox")) for n, v in _named(part("rois"), "roi_name")]
     rois = [(i, n, *map(float, b)) for i, (n, b) in enumerate((n, b) for n, b in boxes if b is not None and len(b) == 4)]
-    return {"primitive": spark.createDataFrame(primitives, PRIMITIVES), "situation": spark.createDataFrame(situations, SITUATIONS), "element": spark.createDataFrame(elements, ELEMENTS), "roi": spark.createDataFrame(rois, ROIS)}
+    return {
+        "primitive": spark.createDataFrame(primitives, PRIMITIVES),
+        "situation": spark.createDataFrame(situations, SITUATIONS),
+        "element": spark.createDataFrame(elements, ELEMENTS),
+        "roi": spark.createDataFrame(rois, ROIS),
+    }
 
 
 def router_primitives(primitives: DataFrame) -> DataFrame:

@@ -29,7 +29,14 @@ def router_rows(rows: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(c, F.lit(""))
     label = F.col("label")
     out = with_frame(rows).where(~is_duplicate(F.col("flags")) & (text(label["route_label"]["primitive_id"]) != ""))
-    return out.select("sample_id", "image_path", label["route_label"]["primitive_id"].alias("primitive_id"), text(label["page"]["situation_id"]).alias("situation_id"), text(label["page"]["screen_type"]).alias("screen_type"), "session_id")
+    return out.select(
+        "sample_id",
+        "image_path",
+        label["route_label"]["primitive_id"].alias("primitive_id"),
+        text(label["page"]["situation_id"]).alias("situation_id"),
+        text(label["page"]["screen_type"]).alias("screen_type"),
+        "session_id",
+    )
 
 
 def router_split(rows: DataFrame) -> DataFrame:
@@ -102,7 +109,12 @@ def _finish(split: DataFrame, files: DataFrame | None, folder: str) -> DataFrame
 def routing_rows(rows: DataFrame) -> DataFrame:
     """sample_id, record (JSON with nulls) of rows that are neither rejected nor duplicates; a frame isn't needed."""
     kept = rows.where(F.col("label").isNotNull() & (F.col("review_status") != "rejected") & ~is_duplicate(F.col("flags")))
-    return kept.select("sample_id", F.to_json(routing_record(F.col("sample_id"), F.col("event"), F.col("label"), F.col("metadata")), {"ignoreNullFields": "false"}).alias("record"))
+    return kept.select(
+        "sample_id",
+        F.to_json(
+            routing_record(F.col("sample_id"), F.col("event"), F.col("label"), F.col("metadata")), {"ignoreNullFields": "false"},
+        ).alias("record"),
+    )
 
 
 def write_text(rows: DataFrame, column: str, path: str, mode: str = "overwrite") -> None:
@@ -111,7 +123,9 @@ def write_text(rows: DataFrame, column: str, path: str, mode: str = "overwrite")
 
 def elements(rows: DataFrame) -> DataFrame:
     """sample_id, ord, at, e, label, width, height: elements of eligible rows that aren't disabled."""
-    out = with_frame(rows).select("sample_id", "ord", "label", "image_path", "width", "height", F.posexplode("label.elements").alias("at", "e"))
+    out = with_frame(rows).select(
+        "sample_id", "ord", "label", "image_path", "width", "height", F.posexplode("label.elements").alias("at", "e"),
+    )
     return out.where(F.coalesce(F.col("e.enabled_state") != "disabled", F.lit(True)))
 
 
@@ -127,17 +141,35 @@ def category(names: list[str], e: Column, first: int) -> Column:
 
 def coco_annotations(rows: DataFrame, names: list[str]) -> DataFrame:
     """image_no, annotation_no, category_id, x, y, w, h, area, score; numbers from 1 in sample order."""
-    images = numbered(with_frame(rows).select("sample_id", "ord"), ["ord"], "image_no").select("sample_id", (F.col("image_no") + 1).alias("image_no"))
+    images = numbered(
+        with_frame(rows).select("sample_id", "ord"), ["ord"], "image_no",
+    ).select("sample_id", (F.col("image_no") + 1).alias("image_no"))
     every = numbered(elements(rows), ["ord", "at"], "annotation_no")
     parts = xyxy_to_xywh(box_of("e"))
-    return every.join(images, "sample_id").select("image_no", (F.col("annotation_no") + 1).alias("annotation_no"), category(names, F.col("e"), 1).alias("category_id"), *(c.alias(n) for n, c in parts.items()), first_nonzero(F.col("e.confidence"), F.col("label.confidence")).alias("score"))
+    return every.join(images, "sample_id").select(
+        "image_no",
+        (F.col("annotation_no") + 1).alias("annotation_no"),
+        category(names, F.col("e"), 1).alias("category_id"),
+        *(c.alias(n) for n, c in parts.items()),
+        first_nonzero(F.col("e.confidence"), F.col("label.confidence")).alias("score"),
+    )
 
 
 def coco_parts(rows: DataFrame, names: list[str], path: str) -> None:
     """images, annotations and categories as JSON lines folders: the document in parts, so it may have any size."""
-    images = numbered(with_frame(rows).select("image_path", "width", "height", "ord"), ["ord"], "id").select((F.col("id") + 1).alias("id"), F.col("image_path").alias("file_name"), "width", "height")
+    images = numbered(with_frame(rows).select("image_path", "width", "height", "ord"), ["ord"], "id").select(
+        (F.col("id") + 1).alias("id"), F.col("image_path").alias("file_name"), "width", "height",
+    )
     a = coco_annotations(rows, names)
-    annotations = a.select(F.col("annotation_no").alias("id"), F.col("image_no").alias("image_id"), "category_id", F.array("x", "y", "w", "h").alias("bbox"), "area", F.lit(0).alias("iscrowd"), "score")
+    annotations = a.select(
+        F.col("annotation_no").alias("id"),
+        F.col("image_no").alias("image_id"),
+        "category_id",
+        F.array("x", "y", "w", "h").alias("bbox"),
+        "area",
+        F.lit(0).alias("iscrowd"),
+        "score",
+    )
     categories = rows.sparkSession.createDataFrame([(k, n) for k, n in enumerate(names, 1)], "id int, name string")
     for name, part in (("images", images), ("annotations", annotations), ("categories", categories)):
         part.write.mode("overwrite").json(f"{path}/{name}")
@@ -146,13 +178,22 @@ def coco_parts(rows: DataFrame, names: list[str], path: str) -> None:
 def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
     """One row with the whole document; for exchange files, which fit a single JSON text by their nature."""
     pack = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
-    return pack(images, "images").crossJoin(pack(annotations, "annotations")).crossJoin(pack(categories, "categories")).select(F.to_json(F.struct("images", "annotations", "categories")).alias("value"))
+    return pack(images, "images").crossJoin(pack(annotations, "annotations")).crossJoin(pack(categories, "categories")).select(
+        F.to_json(F.struct("images", "annotations", "categories")).alias("value")
+    )
 
 
 def yolo_lines(rows: DataFrame, names: list[str]) -> DataFrame:
     """sample_id, lines: one text per eligible sample, a line per proper box, six decimals."""
     b, w, h = box_of("e"), F.col("width"), F.col("height")
-    line = F.format_string("%d %.6f %.6f %.6f %.6f", category(names, F.col("e"), 0), (b.x1 + b.x2) / 2.0 / w, (b.y1 + b.y2) / 2.0 / h, (b.x2 - b.x1) / w, (b.y2 - b.y1) / h)
+    line = F.format_string(
+        "%d %.6f %.6f %.6f %.6f",
+        category(names, F.col("e"), 0),
+        (b.x1 + b.x2) / 2.0 / w,
+        (b.y1 + b.y2) / 2.0 / h,
+        (b.x2 - b.x1) / w,
+        (b.y2 - b.y1) / h,
+    )
     kept = elements(rows).where((b.x2 > b.x1) & (b.y2 > b.y1)).select("sample_id", F.struct("at", line.alias("line")).alias("l"))
     lines = kept.groupBy("sample_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("lines"))  # one screen's elements
     return with_frame(rows).select("sample_id", "ord").join(lines, "sample_id", "left").withColumn("lines", F.coalesce("lines", F.lit("")))
@@ -164,7 +205,9 @@ def write_yolo(rows: DataFrame, names: list[str], folder: str, share: float = 0.
     lines.select("sample_id", F.col("lines").alias("value")).write.mode("overwrite").partitionBy("sample_id").text(f"{folder}/labels")
     split = head_tail(lines.select("sample_id", "ord"), ["ord"], share)
     for part in ("train", "val"):
-        split.where(F.col("split") == part).select(F.concat(F.lit("images/"), "sample_id", F.lit(".png")).alias("value")).write.mode("overwrite").text(f"{folder}/{part}.txt")
+        split.where(F.col("split") == part).select(
+            F.concat(F.lit("images/"), "sample_id", F.lit(".png")).alias("value")
+        ).write.mode("overwrite").text(f"{folder}/{part}.txt")
     data = f"path: {folder}\ntrain: train.txt\nval: val.txt\nnc: {len(names)}\nnames: [{', '.join(names)}]"
     rows.sparkSession.createDataFrame([(data,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/data.yaml")
 
@@ -173,15 +216,37 @@ def grounding_rows(rows: DataFrame, top: int = 1000) -> DataFrame:
     """One row per proper element: box cut to whole parts of `top`, prompt the first of five that isn't empty."""
     b, w, h, e, label = box_of("e"), F.col("width"), F.col("height"), F.col("e"), F.col("label")
     part = lambda v, size: (v / size * top).cast("int")
-    prompt = first_truthy(e["semantic_text"], e["semantic_id"], e["function_id"], label["route_label"]["primitive_id"], F.lit("interactive_element"))
-    return elements(rows).where((b.x2 > b.x1) & (b.y2 > b.y1)).select("sample_id", "at", "image_path", prompt.alias("prompt"), F.array(part(b.x1, w), part(b.y1, h), part(b.x2, w), part(b.y2, h)).alias("bbox"), e["semantic_id"].alias("semantic_id"), e["function_id"].alias("function_id"), label["route_label"]["primitive_id"].alias("primitive_id"), label["page"]["situation_id"].alias("situation_id"), first_nonzero(e["confidence"], label["confidence"]).alias("confidence"))
+    prompt = first_truthy(
+        e["semantic_text"], e["semantic_id"], e["function_id"], label["route_label"]["primitive_id"], F.lit("interactive_element"),
+    )
+    return elements(rows).where((b.x2 > b.x1) & (b.y2 > b.y1)).select(
+        "sample_id",
+        "at",
+        "image_path",
+        prompt.alias("prompt"),
+        F.array(part(b.x1, w), part(b.y1, h), part(b.x2, w), part(b.y2, h)).alias("bbox"),
+        e["semantic_id"].alias("semantic_id"),
+        e["function_id"].alias("function_id"),
+        label["route_label"]["primitive_id"].alias("primitive_id"),
+        label["page"]["situation_id"].alias("situation_id"),
+        first_nonzero(e["confidence"], label["confidence"]).alias("confidence"),
+    )
 
 
 def region_states(rows: DataFrame) -> DataFrame:
     """sample_id, session_id, ord, turn_state (correction, metadata, situation, primitive, element, unknown), crop."""
     label, flat = F.col("label"), flat_fields(F.col("label"))
-    state = first_truthy(F.get_json_object("corrections", "$.turn_state"), F.get_json_object("metadata", "$.turn_state"), label["page"]["situation_id"], label["route_label"]["primitive_id"], flat["semantic_id"], F.lit("unknown"))
-    return with_frame(rows).select("sample_id", "session_id", "ord", state.alias("turn_state"), corner_crop(F.col("width"), F.col("height")).struct().alias("crop"))
+    state = first_truthy(
+        F.get_json_object("corrections", "$.turn_state"),
+        F.get_json_object("metadata", "$.turn_state"),
+        label["page"]["situation_id"],
+        label["route_label"]["primitive_id"],
+        flat["semantic_id"],
+        F.lit("unknown"),
+    )
+    return with_frame(rows).select(
+        "sample_id", "session_id", "ord", state.alias("turn_state"), corner_crop(F.col("width"), F.col("height")).struct().alias("crop"),
+    )
 
 
 def region_split(rows: DataFrame, share: float = 0.9) -> DataFrame:
@@ -191,7 +256,9 @@ def region_split(rows: DataFrame, share: float = 0.9) -> DataFrame:
 
 def write_region_states(rows: DataFrame, folder: str) -> None:
     """labels, train and val CSV folders of region states; image_path is the crop's name under images."""
-    named = region_split(rows).select("sample_id", F.concat(F.lit("images/"), "sample_id", F.lit(".png")).alias("image_path"), "turn_state", "session_id", "split")
+    named = region_split(rows).select(
+        "sample_id", F.concat(F.lit("images/"), "sample_id", F.lit(".png")).alias("image_path"), "turn_state", "session_id", "split",
+    )
     _write_parts(named, folder)
 
 
@@ -205,20 +272,30 @@ def click_boxes(pairs: DataFrame, names: list[str], radius: float = 64.0) -> Dat
     images = numbered(first, ["__first"], "image_no").select("frame_path", (F.col("image_no") + 1).alias("image_no"))
     at = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("auto_label"))
     b = Box(F.greatest(zero, F.col("x") - radius), F.greatest(zero, F.col("y") - radius), F.col("x") + radius, F.col("y") + radius)
-    return pairs.where("x IS NOT NULL AND y IS NOT NULL").join(images, "frame_path").select("event_id", "image_no", F.when(F.coalesce(at, F.lit(0)) > 0, at).otherwise(F.lit(1).cast("long")).alias("category_id"), *(c.alias(n) for n, c in xyxy_to_xywh(b).items()), F.lit(0.5).alias("score"))
+    return pairs.where("x IS NOT NULL AND y IS NOT NULL").join(images, "frame_path").select(
+        "event_id",
+        "image_no",
+        F.when(F.coalesce(at, F.lit(0)) > 0, at).otherwise(F.lit(1).cast("long")).alias("category_id"),
+        *(c.alias(n) for n, c in xyxy_to_xywh(b).items()),
+        F.lit(0.5).alias("score"),
+    )
 
 
 def grounding_pairs(pairs: DataFrame, radius: float = 64.0) -> DataFrame:
     """event_id, frame_path, text, box of matched clicks with a point; text is the label or the event type."""
     zero = F.lit(0.0)
     box = F.array(F.greatest(zero, F.col("x") - radius), F.greatest(zero, F.col("y") - radius), F.col("x") + radius, F.col("y") + radius)
-    return pairs.where("x IS NOT NULL AND y IS NOT NULL").select("event_id", "frame_path", F.coalesce("auto_label", "event_type").alias("text"), box.alias("bbox"))
+    return pairs.where("x IS NOT NULL AND y IS NOT NULL").select(
+        "event_id", "frame_path", F.coalesce("auto_label", "event_type").alias("text"), box.alias("bbox"),
+    )
 
 
 def correction_boxes(queue: DataFrame, default: str) -> DataFrame:
     """frame_id, image_path, label, box of reviewed rows with corrections (JSON with boxes)."""
     kind = "array<struct<label:string,bbox:array<double>>>"
-    out = queue.where(F.col("reviewed") & F.col("corrections").isNotNull()).select("frame_id", "image_path", F.explode(F.from_json(F.get_json_object("corrections", "$.boxes"), kind)).alias("b"))
+    out = queue.where(F.col("reviewed") & F.col("corrections").isNotNull()).select(
+        "frame_id", "image_path", F.explode(F.from_json(F.get_json_object("corrections", "$.boxes"), kind)).alias("b"),
+    )
     return out.select("frame_id", "image_path", F.coalesce("b.label", F.lit(default)).alias("label"), F.col("b.bbox").alias("bbox"))
 
 
@@ -248,7 +325,9 @@ def clip_files(samples: DataFrame) -> DataFrame:
     picks = F.when(last >= 0, F.array(named("post_effect", F.coalesce("effect", F.lit(0))), named("post_stable", last)))
     every = F.concat(clip("pre"), clip("post"), F.coalesce(picks, F.array().cast("array<struct<part:string,image_path:string>>")))
     rows = samples.select("sample_id", F.explode(every).alias("f"))
-    return rows.select(F.concat("sample_id", F.lit("/clip/"), F.col("f.part"), F.lit(".png")).alias("name"), F.col("f.image_path").alias("image_path"))
+    return rows.select(
+        F.concat("sample_id", F.lit("/clip/"), F.col("f.part"), F.lit(".png")).alias("name"), F.col("f.image_path").alias("image_path"),
+    )
 
 
 FAILURE_ELEMENTS = "array<struct<class_name:string,x1:double,y1:double,x2:double,y2:double,score:double>>"
@@ -266,7 +345,13 @@ def failure_annotations(failures: DataFrame, names: list[str] | None = None) ->
     at = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("e.class_name"))
     category = F.when(F.coalesce(at, F.lit(0)) > 0, at).otherwise(F.lit(1).cast("long"))
     parts = [c.alias(n) for n, c in xyxy_to_xywh(Box.of("e")).items()]
-    return every.select((F.col("__image") + 1).alias("image_no"), (F.col("__annotation") + 1).alias("annotation_no"), category.alias("category_id"), *parts, F.col("e.score").alias("score"))
+    return every.select(
+        (F.col("__image") + 1).alias("image_no"),
+        (F.col("__annotation") + 1).alias("annotation_no"),
+        category.alias("category_id"),
+        *parts,
+        F.col("e.score").alias("score"),
+    )
 
 
 def failure_images(failures: DataFrame, files: DataFrame, stored: str) -> DataFrame:
@@ -314,4 +399,7 @@ def leaderboard(trials: DataFrame, score: str, name: str) -> DataFrame:
 def leaderboard_table(trials: DataFrame, score: str, name: str) -> DataFrame:
     """place, line: the leaderboard as text, a line a trial."""
     placed = leaderboard(trials, score, name)
-    return placed.select("place", F.format_string("%3d  %-24s  %8.4f", F.col("place"), F.col(name).cast("string"), F.col(score).cast("double")).alias("line"))
+    return placed.select(
+        "place",
+        F.format_string("%3d  %-24s  %8.4f", F.col("place"), F.col(name).cast("string"), F.col(score).cast("double")).alias("line"),
+    )

@@ -74,17 +74,28 @@ def recordable(events: DataFrame, hover: bool = False) -> DataFrame:
     return events.where(F.col("action").isin(*RECORDABLE, *(["hover"] if hover else [])))
 
 
-def clip_stream(events: DataFrame, frames: DataFrame, before: str = "300 milliseconds", after: str = "300 milliseconds", late: str = "10 seconds") -> DataFrame:
+def clip_stream(
+    events: DataFrame, frames: DataFrame, before: str = "300 milliseconds", after: str = "300 milliseconds", late: str = "10 seconds",
+) -> DataFrame:
     """Frames within the clip of each event of the same source, ends included: a stream-stream interval join.
 
     events: source, event_ts; frames: source, frame_ts, frame_path.
     """
     e = events.withWatermark("event_ts", late).alias("e")
     f = frames.withWatermark("frame_ts", late).alias("f")
-    return e.join(f, F.expr(f"e.source = f.source AND f.frame_ts BETWEEN e.event_ts - INTERVAL {before} AND e.event_ts + INTERVAL {after}")).select("e.*", "f.frame_ts", "f.frame_path", F.when(F.col("f.frame_ts") <= F.col("e.event_ts"), "pre").otherwise("post").alias("clip"))
+    return e.join(f, F.expr(f"e.source = f.source AND f.frame_ts BETWEEN e.event_ts - INTERVAL {before} AND e.event_ts + INTERVAL {after}")).select(
+        "e.*", "f.frame_ts", "f.frame_path", F.when(F.col("f.frame_ts") <= F.col("e.event_ts"), "pre").otherwise("post").alias("clip"),
+    )
 
 
-def sample_stream(events: DataFrame, frames: DataFrame, ring: str = "5 seconds", delay: str = "500 milliseconds", clip: str = "300 milliseconds", late: str = "10 seconds") -> DataFrame:
+def sample_stream(
+    events: DataFrame,
+    frames: DataFrame,
+    ring: str = "5 seconds",
+    delay: str = "500 milliseconds",
+    clip: str = "300 milliseconds",
+    late: str = "10 seconds",
+) -> DataFrame:
     """A sample for each event of the same source, once the watermark has passed its clips: source, event_ts, event,
     pre_frame (nearest in time, ties to the earlier), post_frame (the latest at event_ts + delay), pre_clip and
     post_clip (frames in order of time), from the ring of frames before and after the event.
@@ -138,7 +149,9 @@ def _monitor(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
 
 def monitor_stream(frames: DataFrame) -> DataFrame:
     """Latch and last-100 history of each source over source, frame_no, mean_confidence, is_drifted."""
-    return frames.groupBy("source").applyInPandasWithState(_monitor, MONITOR, "latched boolean, history array<double>", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("source").applyInPandasWithState(
+        _monitor, MONITOR, "latched boolean, history array<double>", "append", GroupStateTimeout.NoTimeout,
+    )
 
 
 def record(spark: SparkSession, raw_folder: str, out_folder: str, checkpoint: str):

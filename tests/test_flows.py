@@ -31,7 +31,14 @@ def session(tmp_path_factory):
     label = {"page": {"screen_type": "map", "situation_id": "s1"}, "route_label": {"primitive_id": "go"}, "confidence": 0.5}
     label["elements"] = [{"element_id": "e", "bbox_xyxy": [5, 5, 25, 15], "semantic_id": "btn", "confidence": 0.4}]
     gray = np.full((40, 60, 3), 10, np.uint8)
-    cases = [(label, _noise(1), None), (label, _noise(2), None), (label, _noise(1), None), (label, gray, None), (label, None, None), (label, _noise(3), "rejected")]
+    cases = [
+        (label, _noise(1), None),
+        (label, _noise(2), None),
+        (label, _noise(1), None),
+        (label, gray, None),
+        (label, None, None),
+        (label, _noise(3), "rejected"),
+    ]
     for k, (found, pixels, status) in enumerate(cases):
         d = root / "sess" / "samples" / f"sample_{k:06d}"
         d.mkdir(parents=True)
@@ -70,7 +77,9 @@ def test_export_all(spark, session, dims, tmp_path):
     assert len(flows.export(spark, str(session), out, dims, flows.FORMATS)) == 7
     full = spark.read.csv(f"{out}/router_full/labels.csv", header=True).collect()
     assert sorted(r.sample_id for r in full) == [f"sample_00000{k}" for k in range(4)]
-    assert (tmp_path / "out/router_full/images/sample_000001.png").read_bytes() == (session / "sess/samples/sample_000001/pre.png").read_bytes()
+    assert (
+        tmp_path / "out/router_full/images/sample_000001.png"
+    ).read_bytes() == (session / "sess/samples/sample_000001/pre.png").read_bytes()
     crop = spark.read.format("image").load(f"{out}/router_roi/images").where("image.origin LIKE '%sample_000001.png'").first().image
     assert (crop.width, crop.height) == (30, 20)
     assert (np.frombuffer(crop.data, np.uint8).reshape(20, 30, 3)[:, :, ::-1] == _noise(2)[:20, :30]).all()
@@ -122,7 +131,9 @@ def test_models_and_tensors(spark, tmp_path):
 
     pixels = _noise(5)
     (tmp_path / "a.png").write_bytes(image_files.png(pixels))
-    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content").unionByName(spark.createDataFrame([("none", None)], "path string, content binary"))
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content").unionByName(
+        spark.createDataFrame([("none", None)], "path string, content binary")
+    )
     found = models.predict(files, "path", "content", Corner()).collect()
     assert len(found) == 1 and (found[0].label, found[0].score) == ("box", 0.5)
     screens = {r.path[-5:]: r.screen_type for r in models.classify_screens(files, "path", "content", lambda c: "map").collect()}
@@ -134,7 +145,10 @@ def test_models_and_tensors(spark, tmp_path):
 
 
 def test_candidates_by_hand(spark):
-    c = spark.createDataFrame([("a", 1, 0.0, 0.0, 10.0, 10.0), ("a", 2, 0.0, 0.0, 10.0, 10.0), ("b", 1, 900.0, 900.0, 910.0, 910.0)], "s string, o int, x1 double, y1 double, x2 double, y2 double")
+    c = spark.createDataFrame(
+        [("a", 1, 0.0, 0.0, 10.0, 10.0), ("a", 2, 0.0, 0.0, 10.0, 10.0), ("b", 1, 900.0, 900.0, 910.0, 910.0)],
+        "s string, o int, x1 double, y1 double, x2 double, y2 double",
+    )
     near = candidates.nearest_to_click(c.withColumn("px", F.lit(5.0)).withColumn("py", F.lit(8.0)), "s", "o", "px", "py").collect()
     assert [(r.s, r.o, r.distance) for r in near] == [("a", 1, 3.0)]
     boxes = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(w).alias("x2"), F.lit(1.0).alias("y2")) for n, w in ((1, 2.0), (2, 5.0), (3, 2.0))))
@@ -145,11 +159,16 @@ def test_sample_stream(spark, tmp_path):
     at = lambda ms: datetime(2024, 1, 1) + timedelta(milliseconds=ms)
     frames = [("s", at(k * 100), f"f{k:03d}") for k in range(0, 400)]
     events = [("s", at(1040), "a"), ("s", at(2000), "b"), ("other", at(1500), "c"), ("s", at(39000), "late")]
-    for name, rows, kind in (("e", events, "source string, event_ts timestamp, event string"), ("f", frames, "source string, frame_ts timestamp, frame_path string")):
+    for name, rows, kind in (
+        ("e", events, "source string, event_ts timestamp, event string"),
+        ("f", frames, "source string, frame_ts timestamp, frame_path string"),
+    ):
         spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / name))
     read = lambda name: spark.readStream.schema(spark.read.parquet(str(tmp_path / name)).schema).parquet(str(tmp_path / name))
     out = recorder.sample_stream(read("e"), read("f"))
-    q = out.writeStream.format("memory").queryName("samples").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = out.writeStream.format("memory").queryName("samples").option(
+        "checkpointLocation", str(tmp_path / "c"),
+    ).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {r.event: r for r in spark.table("samples").collect()}
     assert set(got) == {"a", "b"}  # nothing of another source; the last event waits for its watermark
@@ -159,10 +178,18 @@ def test_sample_stream(spark, tmp_path):
 
 
 def test_settings_and_weights(spark, tmp_path):
-    s = taxonomy.Settings.from_yaml("recorder: {capture_fps: 5, unknown: 1}\nexport: {normalizing_range: 100}\nrelabel: {max_samples: 3}\ngame_profile: x")
+    s = taxonomy.Settings.from_yaml(
+        "recorder: {capture_fps: 5, unknown: 1}\nexport: {normalizing_range: 100}\nrelabel: {max_samples: 3}\ngame_profile: x"
+    )
     assert s.recorder.ring_frames == 25 and s.export.normalizing_range == 100 and s.relabel.max_samples == 3 and s.game_profile == "x"
     assert s.labeler.fusion_weights["diff"] == 0.35 and s.filter.dedup_hash_threshold == 8
-    for bad in ("recorder: {capture_fps: 0}", "review: {server_port: 80}", "relabel: {max_samples: 0}", "labeler: {diff_threshold: 2}", "recorder: {ui_scale: 0}"):
+    for bad in (
+        "recorder: {capture_fps: 0}",
+        "review: {server_port: 80}",
+        "relabel: {max_samples: 0}",
+        "labeler: {diff_threshold: 2}",
+        "recorder: {ui_scale: 0}",
+    ):
         with pytest.raises(ValueError):
             taxonomy.Settings.from_yaml(bad)
     assert packages.detector_weights(spark, str(tmp_path)) is None
@@ -174,4 +201,6 @@ def test_settings_and_weights(spark, tmp_path):
     (tmp_path / "best_export" / "model.pt").write_bytes(b"w")
     assert packages.detector_weights(spark, str(tmp_path)).endswith("best_export/model.pt")
     board = spark.createDataFrame([("a", 0.5), ("b", 0.9)], "name string, score double")
-    assert [r.line.split() for r in writers.leaderboard_table(board, "score", "name").orderBy("place").collect()] == [["1", "b", "0.9000"], ["2", "a", "0.5000"]]
+    assert [
+        r.line.split() for r in writers.leaderboard_table(board, "score", "name").orderBy("place").collect()
+    ] == [["1", "b", "0.9000"], ["2", "a", "0.5000"]]

@@ -25,7 +25,11 @@ def test_iou_and_distance(spark):
 def test_scales(spark):
     n = G.normalize(box(96, 54, 192, 108), "0-1000", F.lit(1920), F.lit(1080))
     d = G.denormalize(box(50, 50, 100, 100), "0-1000", F.lit(1920), F.lit(1080))
-    g = [G.guess_pixels(box(0.1, 0.1, 1.5, 0.5), F.lit(100), F.lit(100)).x1, G.guess_pixels(box(100, 0, 1200, 0), F.lit(100), F.lit(100)).x1, G.guess_pixels(box(100, 0, 1201, 0), F.lit(100), F.lit(100)).x1]
+    g = [
+        G.guess_pixels(box(0.1, 0.1, 1.5, 0.5), F.lit(100), F.lit(100)).x1,
+        G.guess_pixels(box(100, 0, 1200, 0), F.lit(100), F.lit(100)).x1,
+        G.guess_pixels(box(100, 0, 1201, 0), F.lit(100), F.lit(100)).x1,
+    ]
     r = one(spark, n.x1, n.y2, d.x1, d.y2, *g)
     assert [round(v, 9) for v in r] == [50, 100, 96, 108, 10, 10, 100]
     with pytest.raises(ValueError):
@@ -41,7 +45,18 @@ def test_crops_round_half_to_even(spark):
 
 
 def test_text(spark):
-    r = one(spark, text.clean_json(F.lit('```json\n{"a": 1}\n```')), text.numeric_suffix(F.lit("sample_000012")), text.numeric_suffix(F.lit("x_y")), text.frame_index(F.lit("frame_0007b2")), text.first_nonzero(F.lit(0.0), F.lit(0.4)), text.first_nonzero(F.lit(0.0), F.lit(0.0)), text.sample_id(F.lit(3)), text.response_text(F.lit('{"candidates":[{"content":{"parts":[{"x":1},{"text":"hi"}]}}]}')), text.event_label(F.lit("scroll")))
+    r = one(
+        spark,
+        text.clean_json(F.lit('```json\n{"a": 1}\n```')),
+        text.numeric_suffix(F.lit("sample_000012")),
+        text.numeric_suffix(F.lit("x_y")),
+        text.frame_index(F.lit("frame_0007b2")),
+        text.first_nonzero(F.lit(0.0), F.lit(0.4)),
+        text.first_nonzero(F.lit(0.0), F.lit(0.0)),
+        text.sample_id(F.lit(3)),
+        text.response_text(F.lit('{"candidates":[{"content":{"parts":[{"x":1},{"text":"hi"}]}}]}')),
+        text.event_label(F.lit("scroll")),
+    )
     assert list(r) == ['{"a": 1}', 12, 0, 7, 0.4, 0.0, "sample_000003", "hi", "scroll_area"]
     assert one(spark, text.numbers(F.lit("<1, 2.5, -3, 4, 5>"))).c0 == [1, 2.5, -3, 4]
     with pytest.raises(Exception, match="too few"):
@@ -51,7 +66,11 @@ def test_text(spark):
 def test_hash_bits_against_numpy(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=64).tolist()) for i in range(50)]
-    got = {r.i: r.h for r in spark.createDataFrame(rows, "i int, b array<double>").select("i", hashing.hash_bits(F.col("b")).alias("h")).collect()}
+    got = {
+        r.i: r.h for r in spark.createDataFrame(rows, "i int, b array<double>").select(
+            "i", hashing.hash_bits(F.col("b")).alias("h"),
+        ).collect()
+    }
     for i, b in rows:
         want = int("".join("1" if v > np.median(b[1:]) else "0" for v in b), 2)
         assert got[i] % 2**64 == want

@@ -31,9 +31,25 @@ def test_throttle_looks_at_emitted(spark):
 
 
 def test_gestures(spark):
-    raw = [("s", 0, "press", 0, 0, "left"), ("s", 50, "release", 0, 0, "left"), ("s", 200, "press", 1, 1, "left"), ("s", 250, "release", 1, 1, "left"), ("s", 1000, "press", 0, 0, "left"), ("s", 1400, "release", 0, 0, "left"), ("s", 2000, "press", 0, 0, "right"), ("s", 2500, "release", 0, 0, "right"), ("s", 3000, "press", 0, 0, "left"), ("s", 3100, "release", 30, 0, "left")]
-    df = spark.createDataFrame([(a, float(t), k, float(x), float(y), b, i) for i, (a, t, k, x, y, b) in enumerate(raw)], "src string, ts double, kind string, x double, y double, button string, o int")
-    assert [r.action for r in temporal.gestures(df, "src", "ts", "o").orderBy("ts").collect()] == ["click", "double_click", "hold", "right_click", "drag"]
+    raw = [
+        ("s", 0, "press", 0, 0, "left"),
+        ("s", 50, "release", 0, 0, "left"),
+        ("s", 200, "press", 1, 1, "left"),
+        ("s", 250, "release", 1, 1, "left"),
+        ("s", 1000, "press", 0, 0, "left"),
+        ("s", 1400, "release", 0, 0, "left"),
+        ("s", 2000, "press", 0, 0, "right"),
+        ("s", 2500, "release", 0, 0, "right"),
+        ("s", 3000, "press", 0, 0, "left"),
+        ("s", 3100, "release", 30, 0, "left"),
+    ]
+    df = spark.createDataFrame(
+        [(a, float(t), k, float(x), float(y), b, i) for i, (a, t, k, x, y, b) in enumerate(raw)],
+        "src string, ts double, kind string, x double, y double, button string, o int",
+    )
+    assert [
+        r.action for r in temporal.gestures(df, "src", "ts", "o").orderBy("ts").collect()
+    ] == ["click", "double_click", "hold", "right_click", "drag"]
 
 
 @pytest.mark.parametrize("most", [7, 8, 20])
@@ -130,7 +146,14 @@ def test_effective_label(spark):
     kind = f"id int, label {labels.LABEL}, status string, corrections string"
     e = ("e1", 1.0, 1.0, 2.0, 2.0, "old", None, "fn", [], [], "enabled", None, True, 0.5, None)
     label = (("map", "sit", [], 0.8), (None,) * 8 + (None,), [e], None, 0.7, False)
-    cases = [(1, label, "edited", '{"semantic_id":"new","screen_type":null}'), (2, label, "pending", '{"semantic_id":"new"}'), (3, None, "edited", "{}"), (4, label, "edited", '{"page":{"screen_type":"city"},"elements":[]}'), (5, label, "edited", None), (6, label, "edited", "{}")]
+    cases = [
+        (1, label, "edited", '{"semantic_id":"new","screen_type":null}'),
+        (2, label, "pending", '{"semantic_id":"new"}'),
+        (3, None, "edited", "{}"),
+        (4, label, "edited", '{"page":{"screen_type":"city"},"elements":[]}'),
+        (5, label, "edited", None),
+        (6, label, "edited", "{}"),
+    ]
     df = labels.effective_label(spark.createDataFrame(cases, kind), status="status", name="l")
     got = {r.id: r.l for r in df.collect()}
     assert got[1].page.screen_type is None and got[1].elements[0].semantic_id == "new" and got[1].route_label.primitive_id == "fn"
@@ -141,21 +164,38 @@ def test_effective_label(spark):
 def test_flags_and_score(spark):
     df = spark.createDataFrame([(["quality_issue", "missing_primitive_id"],), ([],), (list(quality.PENALTIES),)], "f array<string>")
     assert [round(r[0], 6) for r in df.select(quality.score(F.col("f"))).collect()] == [0.4, 1.0, 0.0]
-    merged = spark.createDataFrame([(["a", quality.DUPLICATE], ["a", "b"], True), (None, None, False)], "o array<string>, n array<string>, r boolean").select(quality.merge_flags(F.col("o"), F.col("n"), F.col("r"))).collect()
+    merged = spark.createDataFrame(
+        [(["a", quality.DUPLICATE], ["a", "b"], True), (None, None, False)], "o array<string>, n array<string>, r boolean",
+    ).select(quality.merge_flags(F.col("o"), F.col("n"), F.col("r"))).collect()
     assert [r[0] for r in merged] == [["a", "b"], [quality.DUPLICATE]]
 
 
 def test_review_priority_and_ambiguity(spark):
     none = F.lit(None)
-    p = review.priority(F.lit(0.9), F.array(F.lit("candidate_conflict")), F.lit(True), F.lit(False), F.lit(9), none.cast("boolean"), F.lit(False), F.array(F.lit(0.5), F.lit(0.45)))
+    p = review.priority(
+        F.lit(0.9),
+        F.array(F.lit("candidate_conflict")),
+        F.lit(True),
+        F.lit(False),
+        F.lit(9),
+        none.cast("boolean"),
+        F.lit(False),
+        F.array(F.lit(0.5), F.lit(0.45)),
+    )
     assert spark.range(1).select(p).first()[0] == pytest.approx(0.9 - 0.15 - 0.10 - 0.20 - 0.20)
-    b = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 2, 1.0, 1.0, 10.0, 10.0, 0.3), (1, 3, 50.0, 50.0, 60.0, 60.0, 0.8)], "g int, o int, x1 double, y1 double, x2 double, y2 double, s double")
+    b = spark.createDataFrame(
+        [(1, 1, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 2, 1.0, 1.0, 10.0, 10.0, 0.3), (1, 3, 50.0, 50.0, 60.0, 60.0, 0.8)],
+        "g int, o int, x1 double, y1 double, x2 double, y2 double, s double",
+    )
     assert {r.o: r.uncertainty for r in review.ambiguity(b, "g", "o", "s").collect()} == {1: 0.3, 2: 0.9, 3: 0.2}
 
 
 def test_heuristic_judge(spark):
     j = improve.heuristic(Box.cols(), F.col("x"), F.col("y"), F.col("c"), F.lit(1000), F.lit(1000))
-    df = spark.createDataFrame([(10.0, 10.0, 60.0, 60.0, 20.0, 20.0, 0.9), (5.0, 5.0, 5.0, 9.0, 5.0, 5.0, 0.9), (0.0, 0.0, 100.0, 5.0, 500.0, 0.0, 0.1)], "x1 double, y1 double, x2 double, y2 double, x double, y double, c double")
+    df = spark.createDataFrame(
+        [(10.0, 10.0, 60.0, 60.0, 20.0, 20.0, 0.9), (5.0, 5.0, 5.0, 9.0, 5.0, 5.0, 0.9), (0.0, 0.0, 100.0, 5.0, 500.0, 0.0, 0.1)],
+        "x1 double, y1 double, x2 double, y2 double, x double, y double, c double",
+    )
     a, b, c = [r[0] for r in df.select(j).collect()]
     assert a.score == 1 and a.penalties == [] and b.score == 0 and "degenerate_bbox" in b.penalties
     assert c.score == pytest.approx(0.3) and c.penalties == ["extreme_aspect_ratio", "click_outside_bbox", "low_confidence"]
@@ -192,8 +232,18 @@ def test_profile_and_monitor(spark):
 
     assert profile.class_balance(c, "c").first()[0] == pytest.approx(-(0.75 * math.log(0.75) + 0.25 * math.log(0.25)) / math.log(2))
     assert profile.class_balance(c.where("c = 'a'"), "c").first()[0] == 1
-    p = spark.createDataFrame([(10, 10, 1, 1.0, 0.1, 1.0, "trivial"), (500, 900, 3, 1.8, 0.1, 1.0, "moderate"), (5000, 900, 30, 1.8, 0.1, 1.0, "complex"), (100, 200, 1, 2.0, 0.1, 1.0, "simple")], "num_images int, num_annotations int, num_classes int, avg_annotations_per_image double, avg_box_area_ratio double, class_balance_score double, estimated_complexity string")
-    assert [r.model_name for r in profile.strategy(p).orderBy("num_images").collect()] == ["microsoft/Florence-2-base", "yolov8n.pt", "yolov8s.pt", "yolov8m.pt"]
+    p = spark.createDataFrame(
+        [
+            (10, 10, 1, 1.0, 0.1, 1.0, "trivial"),
+            (500, 900, 3, 1.8, 0.1, 1.0, "moderate"),
+            (5000, 900, 30, 1.8, 0.1, 1.0, "complex"),
+            (100, 200, 1, 2.0, 0.1, 1.0, "simple"),
+        ],
+        "num_images int, num_annotations int, num_classes int, avg_annotations_per_image double, avg_box_area_ratio double, class_balance_score double, estimated_complexity string",
+    )
+    assert [
+        r.model_name for r in profile.strategy(p).orderBy("num_images").collect()
+    ] == ["microsoft/Florence-2-base", "yolov8n.pt", "yolov8s.pt", "yolov8m.pt"]
     d = spark.createDataFrame([(60, 5, True, None), (1, 1, False, None), (60, 30, False, 2.0)], "f int, c int, d boolean, h double")
     got = monitor.retrain_decision(d, "f", "c", "d", "h").collect()
     assert [(r.should_retrain, r.recommended_strategy) for r in got] == [(True, "full"), (False, "none"), (False, "none")]

@@ -51,7 +51,9 @@ def test_sessions(spark, tmp_path):
     assert zero.event.x == 5 and zero.label is None and zero.review_status == "pending" and zero.image_path is None
     assert out["s2", "sample_000000"].event is None and out["s2", "sample_000000"].image_path
     assert out["s2", "sample_000001"].review_status == "rejected" and out["s2", "sample_000001"].corrections is None
-    after = labels.effective_label(readers.sessions(spark, str(tmp_path))).where("sample_id = 'sample_000001' AND session_id = 's1'").first()
+    after = labels.effective_label(readers.sessions(spark, str(tmp_path))).where(
+        "sample_id = 'sample_000001' AND session_id = 's1'"
+    ).first()
     assert after.label.page.screen_type == "x"
     assert readers.sessions(spark, str(tmp_path / "none")).count() == 0
 
@@ -62,11 +64,25 @@ def test_flat_labels_come_back_nested(spark, tmp_path):
         "hotkeys": ["G"], "available_actions": ["click"], "situation_id": "sit", "screen_type": "map", "confidence": 0.6, "candidates": [], "evidence": {"roi": {"n": 1}},
     }
     listed = {"element_id": "e1", "bbox_xyxy": [1, 2, 3, 4], "function_id": "f1"}
-    target = {"element_id": "e2", "bbox_x_min": 5, "bbox_x_max": 7, "is_route_target": True, "function_id": "f2", "confidence": 0.2, "metadata": {"k": [1]}}
+    target = {
+        "element_id": "e2",
+        "bbox_x_min": 5,
+        "bbox_x_max": 7,
+        "is_route_target": True,
+        "function_id": "f2",
+        "confidence": 0.2,
+        "metadata": {"k": [1]},
+    }
     cases = [
         flat,
         {"function_id": "only", "confidence": 0.1},
-        {"elements": [listed, target], "page": {"screen_type": "p"}, "route_label": {"roi_name": "r"}, "confidence": 0.3, "function_id": "old"},
+        {
+            "elements": [listed, target],
+            "page": {"screen_type": "p"},
+            "route_label": {"roi_name": "r"},
+            "confidence": 0.3,
+            "function_id": "old",
+        },
         {"elements": [listed], "function_id": "own"},
         {"page": None, "route_label": {"primitive_id": "p", "target_element_id": "t"}, "hotkeys": ["X"]},
     ]
@@ -75,13 +91,19 @@ def test_flat_labels_come_back_nested(spark, tmp_path):
     a, b, c, d, e = [r.label for r in readers.sessions(spark, str(tmp_path)).orderBy("ord").collect()]
     assert (a.page.screen_type, a.page.situation_id, a.page.state_flags, a.page.confidence) == ("map", "sit", [], 0.6)
     one = a.elements[0]
-    assert len(a.elements) == 1 and (one.element_id, one.bbox_x_min, one.bbox_y_max, one.semantic_text, one.hotkeys) == ("elem_001", 10, 40, "Go", ["G"])
+    assert len(a.elements) == 1 and (
+        one.element_id, one.bbox_x_min, one.bbox_y_max, one.semantic_text, one.hotkeys,
+    ) == ("elem_001", 10, 40, "Go", ["G"])
     assert (one.is_route_target, one.confidence, one.enabled_state) == (True, 0.6, "enabled")
     assert (a.route_label.primitive_id, a.route_label.target_element_id, a.route_label.confidence) == ("go", "elem_001", 0.6)
     assert json.loads(a.evidence) == {"roi": {"n": 1}} and a.transition_detected is False
     assert b.elements == [] and b.route_label.primitive_id == "only" and b.route_label.target_element_id is None and b.page.screen_type is None
-    assert [x.element_id for x in c.elements] == ["e1", "e2"] and (c.elements[0].bbox_x_max, c.elements[1].bbox_y_min, c.elements[1].bbox_y_max) == (3, 0, 1)
-    assert (c.route_label.primitive_id, c.route_label.target_element_id, c.route_label.roi_name) == ("f2", "e2", "r") and json.loads(c.elements[1].metadata) == {"k": [1]}
+    assert [x.element_id for x in c.elements] == ["e1", "e2"] and (
+        c.elements[0].bbox_x_max, c.elements[1].bbox_y_min, c.elements[1].bbox_y_max,
+    ) == (3, 0, 1)
+    assert (
+        c.route_label.primitive_id, c.route_label.target_element_id, c.route_label.roi_name,
+    ) == ("f2", "e2", "r") and json.loads(c.elements[1].metadata) == {"k": [1]}
     assert (d.route_label.primitive_id, d.route_label.target_element_id) == ("own", "e1")
     assert (e.route_label.primitive_id, e.route_label.target_element_id, e.elements[0].hotkeys) == ("p", "t", ["X"])
 
@@ -105,7 +127,9 @@ def test_frames_logs_taxonomy(spark, tmp_path):
         writers.append_log(spark.createDataFrame([(k,)], "a int"), log)
     assert readers.json_log(spark, log, "a int").count() == 2
     y = tmp_path / "t.yaml"
-    y.write_text("primitives:\n  A: {router_enabled: false}\n  B:\nsituations:\n  s: {screen_types: [m], allowed_primitives: [B]}\nelements:\n  e: {function_id_or_related_primitive: B, text_aliases: [x], icon_aliases: [y]}\nrois:\n  r: [0, 0, 1, 1]\n  bad: [0, 1]\n")
+    y.write_text(
+        "primitives:\n  A: {router_enabled: false}\n  B:\nsituations:\n  s: {screen_types: [m], allowed_primitives: [B]}\nelements:\n  e: {function_id_or_related_primitive: B, text_aliases: [x], icon_aliases: [y]}\nrois:\n  r: [0, 0, 1, 1]\n  bad: [0, 1]\n"
+    )
     dims = taxonomy.load(spark, "yaml", str(y))
     assert [r.primitive_id for r in taxonomy.router_primitives(dims["primitive"]).collect()] == ["B"]
     e = dims["element"].first()
@@ -136,7 +160,19 @@ def test_gesture_stream_equals_steps(spark, tmp_path):
     for _ in range(120):
         t += float(rng.integers(20, 500))
         kind = str(rng.choice(["press", "release", "move", "scroll", "key"], p=[0.3, 0.35, 0.2, 0.1, 0.05]))
-        raw.append({"source": f"s{rng.integers(2)}", "ts_ms": t, "kind": kind, "x": float(rng.integers(0, 15)), "y": 0.0, "button": str(rng.choice(["left", "right"])), "dx": 1.0, "dy": -1.0, "key": "a"})
+        raw.append(
+            {
+                "source": f"s{rng.integers(2)}",
+                "ts_ms": t,
+                "kind": kind,
+                "x": float(rng.integers(0, 15)),
+                "y": 0.0,
+                "button": str(rng.choice(["left", "right"])),
+                "dx": 1.0,
+                "dy": -1.0,
+                "key": "a",
+            }
+        )
     src = tmp_path / "in"
     src.mkdir()
     (src / "a.json").write_text("\n".join(map(json.dumps, raw)))
@@ -162,13 +198,20 @@ def test_windows_and_monitor_streams(spark, tmp_path, data):
     q = recorder.windowed_counts(stream, "ts", "event_type", "1 day").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("w").agg(F.sum("n")).first()[0] == e.count()
-    frames = stream.select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("frame_no"), (F.col("value") / 100).alias("mean_confidence"), (F.col("value") > 60).alias("is_drifted"))
+    frames = stream.select(
+        F.col("user_id").cast("string").alias("source"),
+        F.col("event_id").alias("frame_no"),
+        (F.col("value") / 100).alias("mean_confidence"),
+        (F.col("value") > 60).alias("is_drifted"),
+    )
     m = recorder.monitor_stream(frames).writeStream.format("memory").queryName("m").outputMode("append").trigger(availableNow=True).start()
     m.awaitTermination(120)
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("event_id")
-    want = e.select(F.col("event_id").alias("frame_no"), F.max(F.col("value") > 60).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("latched"))
+    want = e.select(
+        F.col("event_id").alias("frame_no"), F.max(F.col("value") > 60).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("latched"),
+    )
     assert spark.table("m").select("frame_no", "latched").exceptAll(want).count() == 0 and spark.table("m").count() == e.count()
 
 
@@ -177,9 +220,15 @@ def test_packages(spark, tmp_path):
 
     files = spark.createDataFrame([("b", b"2"), ("a", b"1")], "name string, content binary")
     h = packages.write_package(spark, str(tmp_path / "p"), packages.ToolProfile("t"), {"map50": 0.5}, ["x"], files)
-    assert h == packages.content_hash(files.orderBy("name")).first()[0] and packages.read_document(spark, str(tmp_path / "p" / "profile.json"))["dataset_hash"] == h
+    assert h == packages.content_hash(files.orderBy("name")).first()[0] and packages.read_document(
+        spark, str(tmp_path / "p" / "profile.json"),
+    )["dataset_hash"] == h
     for v, status in ((1, "pending"), (2, "edited")):
-        packages.save_sample_part(spark.createDataFrame([("s", "a", v, status)], "session_id string, sample_id string, version int, status string"), str(tmp_path), "review")
+        packages.save_sample_part(
+            spark.createDataFrame([("s", "a", v, status)], "session_id string, sample_id string, version int, status string"),
+            str(tmp_path),
+            "review",
+        )
     assert packages.current_part(spark, str(tmp_path), "review").first().status == "edited"
     assert packages.next_sample_ids(packages.current_part(spark, str(tmp_path), "review")).first().next_id == "sample_000002"
 
@@ -199,4 +248,6 @@ def test_teaching(spark):
     model = lambda c: [{"label": "a", "bbox": [0, 0, 0.5, 0.5]}, {"label": "a", "bbox": [0, 0, 0.5, 0.49]}, {"label": "b", "bbox": [0.6, 0.6, 0.6, 0.9]}]
     out = teaching.prelabel(img, "id", "c", model, F.lit(100), F.lit(100)).collect()
     assert [(r.label, r.x2) for r in out] == [("a", 50.0)]
-    assert teaching.analyze(spark.createDataFrame([("Slider", 0.9), ("x", 0.1), ("y", 0.5)], "label string, score double"), {"slider": ("drag",)}).select("affordances", "element_type").collect() == [(["drag"], "drag"), (["click"], "button")]
+    assert teaching.analyze(
+        spark.createDataFrame([("Slider", 0.9), ("x", 0.1), ("y", 0.5)], "label string, score double"), {"slider": ("drag",)},
+    ).select("affordances", "element_type").collect() == [(["drag"], "drag"), (["click"], "button")]
