@@ -15,7 +15,7 @@ def vocabulary(rows: DataFrame, label: str, skip_blank: bool = False) -> DataFra
 
 def encode(rows: DataFrame, vocab: DataFrame, label: str, missing: int = -100) -> DataFrame:
     return rows.join(
-        F.broadcast(vocab.select(label, F.col("index").alias(f"{label}_index"))), label, "left",
+        vocab.select(label, F.col("index").alias(f"{label}_index")), label, "left",
     ).withColumn(f"{label}_index", F.coalesce(f"{label}_index", F.lit(missing)))
 
 
