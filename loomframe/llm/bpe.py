@@ -19,7 +19,8 @@ class Merges:
     def __init__(self, rank, keep: int = 1_000_000) -> None:
         self.rank = rank  # (left, right) -> number or None
         self.keep = keep
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.histories: dict[str, tuple] = {}
 
     @staticmethod
     def symbols(text: str) -> list[str]:
@@ -29,26 +30,75 @@ class Merges:
 
     def merge(self, text: str) -> list[str]:
         parts = self.symbols(text)
-        rank = self.rank
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = rank(parts[i], parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        rank, none = self.rank, float("inf")
+        ranks = [none if (r := rank(a, b)) is None else r for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) != none:
+            at = ranks.index(best)
+            joint = parts[at] + parts[at + 1]
+            parts[at : at + 2] = [joint]
+            del ranks[at]
+            if at:
+                r = rank(parts[at - 1], joint)
+                ranks[at - 1] = none if r is None else r
+            if at < len(ranks):
+                r = rank(joint, parts[at + 1])
+                ranks[at] = none if r is None else r
         return parts
 
+    def _history(self, token: str) -> tuple[str, str, list[tuple[float, str, str]]]:
+        """First and last symbol of a token, and the rank, first and last symbol after each of its merges in turn."""
+        found = self.histories.get(token)
+        if found is None:
+            parts = self.symbols(token)
+            first, last, steps = parts[0], parts[-1], []
+            rank, none = self.rank, float("inf")
+            while len(parts) > 1:
+                ranks = [none if (r := rank(x, y)) is None else r for x, y in zip(parts, parts[1:], strict=False)]
+                if (best := min(ranks)) == none:
+                    break
+                at = ranks.index(best)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                steps.append((best, parts[0], parts[-1]))
+            if len(self.histories) >= self.keep:
+                self.histories.clear()
+            found = self.histories[token] = first, last, steps
+        return found
+
+    def _apart(self, left: str, right: str) -> bool:
+        """Merges both tokens anew, side by side and in order of rank, until the pair across their border would merge.
+        Of equal ranks the leftmost merges first: left's before the border's, the border's before right's."""
+        _, last, one = self._history(left)
+        first, _, two = self._history(right)
+        rank, none = self.rank, float("inf")
+        i = j = 0
+        across = rank(last, first)
+        while True:
+            a = one[i][0] if i < len(one) else none
+            b = two[j][0] if j < len(two) else none
+            if across is not None and across < a and across <= b:
+                return False
+            if a <= b:
+                if a == none:
+                    return True
+                if one[i][2] != last:
+                    last = one[i][2]
+                    across = rank(last, first)
+                i += 1
+            else:
+                if two[j][1] != first:
+                    first = two[j][1]
+                    across = rank(last, first)
+                j += 1
+
     def compatible(self, left: str, right: str) -> bool:
-        """Whether the two tokens stay apart when their joint text is merged anew."""
+        """Whether the two tokens stay apart when their joint text is merged anew. Both merge to themselves alone."""
         key = (left, right)
-        known = self._pairs.get(key)
+        known = self.pairs.get(key)
         if known is None:
-            if len(self._pairs) >= self.keep:
-                self._pairs.clear()
-            known = self._pairs[key] = self.merge(left + right) == [left, right]
+            if len(self.pairs) >= self.keep:
+                self.pairs.clear()
+            whole = right == WORD_END  # the mark alone would be one symbol with the character before it
+            known = self.pairs[key] = self.merge(left + right) == [left, right] if whole else self._apart(left, right)
         return known
 
 
@@ -67,7 +117,11 @@ class BacktrackEncoder:
     def __init__(self, tokens, merges: Merges) -> None:
         self.merges = merges
         self.tokens = {t for t in tokens if len(t) == 1 or merges.merge(t) == [t]}
-        self.matches = automaton(self.tokens)
+        self.matches = ahocorasick.Automaton()
+        for t in self.tokens:
+            if len(t) > 1:  # a character by itself is what a position begins with
+                self.matches.add_word(t, (len(t) - 1, t))
+        self.matches.make_automaton()
         self._shorter: dict[str, str | None] = {}
 
     def shorter(self, token: str) -> str | None:
@@ -78,30 +132,38 @@ class BacktrackEncoder:
 
     def encode(self, text: str) -> list[str]:
         """Tokens of text; a character that is in no token stands alone."""
-        if text in self.tokens:
+        known = self.tokens
+        if text in known:
             return [text]
         longest = list(text)  # by start
-        for end, token in self.matches.iter(text):
-            longest[end - len(token) + 1] = token  # ends come in ascending order
+        if len(text) > 1:
+            for end, (back, token) in self.matches.iter(text):
+                longest[end - back] = token  # ends come in ascending order
         out: list[str] = []
         at, n = 0, len(text)
         failed = bytearray(n + 1)
-        token = longest[0] if n else None
-        compatible, known = self.merges.compatible, self.tokens
+        token, last = longest[0] if n else None, None
+        compatible, checked, shorter = self.merges.compatible, self.merges.pairs, self._shorter
         while at < n:
-            last = out[-1] if out else None
             while token is not None:
                 end = at + len(token)
-                if not failed[end] and (last is None or last not in known or token not in known or compatible(last, token)):
-                    break
-                token = self.shorter(token)
+                if not failed[end]:
+                    if last is None:
+                        break
+                    fits = checked.get((last, token))
+                    if fits is None:
+                        fits = last not in known or token not in known or compatible(last, token)
+                    if fits:
+                        break
+                token = shorter[token] if token in shorter else self.shorter(token)
             if token is None:
                 failed[at] = 1
                 token = out.pop()
+                last = out[-1] if out else None
                 at -= len(token)
             else:
                 out.append(token)
-                at = end
+                last, at = token, end
                 token = longest[at] if at < n else None
         return out
 

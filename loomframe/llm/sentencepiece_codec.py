@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("dec
 class Codec:
     """encode() and decode() as the library does them without begin and end ids, and without its sampling."""
 
-    def __init__(self, model_file: str, remember: int = 200_000) -> None:
+    def __init__(self, model_file: str, remember: int = 500_000) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -44,6 +45,8 @@ class Codec:
         scores = {p: -model.get_score(i) for p, i in self.ids.items()}
         self.encoder = BacktrackEncoder(self.ids, Merges(lambda a, b, get=scores.get: get(a + b)))
         self.skipped = skip - set(self.byte_of)
+        #: Ids from here on are plain pieces.
+        self.plain_from = max(skip, default=-1) + 1
         self.remember = remember
         self.joints = {p[k : k + 2] for p in self.encoder.tokens for k in range(len(p) - 1)}
         #: For a segment without its first mark: its ids joined by commas, and what decode() makes of them.
@@ -76,6 +79,8 @@ class Codec:
         return self._join(ids)[1:] if ids and self.pieces[ids[0]].startswith(MARK) else self._join(ids)
 
     def _join(self, ids: list[int]) -> str:
+        if min(ids, default=0) >= self.plain_from:
+            return "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
         out, raw = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -92,20 +97,18 @@ class Codec:
 
     def _split(self, segment: str) -> list[int]:
         """Ids of a segment by its parts."""
+        joints, parts = self.joints, self.parts
+        cuts = [k for k, joint in enumerate(map(add, segment, segment[1:]), 1) if joint not in joints]
         out: list[int] = []
-        start, joints, parts = 0, self.joints, self.parts
-        for k in range(1, len(segment) + 1):
-            if k == len(segment) or segment[k - 1 : k + 1] not in joints:
-                part = segment[start:k]
-                ids = parts.get(part)
-                if ids is None:
-                    ids = self.segment(part)
-                    if len(part) <= 100:
-                        if len(parts) >= self.remember:
-                            parts.clear()
-                        parts[part] = ids
-                out += ids
-                start = k
+        for part in map(segment.__getitem__, map(slice, [0, *cuts], [*cuts, len(segment)])) if cuts else (segment,):
+            ids = parts.get(part)
+            if ids is None:
+                ids = self.segment(part)
+                if len(part) <= 100:
+                    if len(parts) >= self.remember:
+                        parts.clear()
+                    parts[part] = ids
+            out += ids
         return out
 
     def _learn(self, segment: str) -> tuple[str, str]:
