@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import ddl, scratch, ship, texts
+from loomframe.llm.common import ddl, released, scratch, ship, texts
 from loomframe.llm.components import connected_components
 from loomframe.llm.simhash import golay_indices
 
@@ -292,7 +292,7 @@ def links(nodes: DataFrame, rows: DataFrame, exact: int = EXACT) -> DataFrame:
     """
     keyed = nodes.select("node", *FP).mapInArrow(_keys(exact), ddl(KEYS)).select(F.explode("keys").alias("key"), *(c for c, _ in MEMBER))
     # one exchange; a key has at most one row of each node, which is one in a hundred of all rows
-    shared = scratch(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near(TOGETHER), ddl(SHARED)), "golay-keys")
+    shared = scratch(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(released(_near(TOGETHER)), ddl(SHARED)), "golay-keys")
     first = shared.select("node", F.explode(F.arrays_zip("others", "distances")).alias("o")).select(
         "node", F.col("o.others").alias("other"), F.col("o.distances").alias("distance"),
     )
@@ -333,7 +333,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    found = scratch(rows.mapInArrow(_prints, ddl(PRINTS)), "wide-prints")
+    found = scratch(rows.mapInArrow(released(_prints), ddl(PRINTS)), "wide-prints")
     nodes = scratch(found.groupBy("node").agg(F.min("doc_id").alias("least_id"), *(F.min(w).alias(w) for w in FP + SHINGLE_FP)), "distinct-sets")
     parts = connected_components(links(nodes, rows, exact), "a", "b")
     rooted = nodes.select("node", "least_id").join(parts, "node", "left").withColumn("root", F.coalesce("component", "node"))

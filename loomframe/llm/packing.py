@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import ddl, scratch, ship, texts
+from loomframe.llm.common import ddl, released, scratch, ship, texts
 from loomframe.llm.token_counts import SPACE, byte_letters
 
 #: Letters of the Latin blocks, and ASCII marks without the apostrophe.
@@ -297,7 +297,7 @@ def pack(
     ship(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     run, schema = _pieces(path, capacity, end_id, with_ids)
-    pieces = scratch(rows.mapInArrow(run, ddl(schema)).withColumn("rid", F.monotonically_increasing_id()), "pieces")
+    pieces = scratch(rows.mapInArrow(released(run), ddl(schema)).withColumn("rid", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     shipped = spark.sparkContext.broadcast(places(solve(counts, capacity)))  # bounded by capacity, not by the corpus
     many = [(length, -(-n // max(group_rows, isqrt(n)))) for length, n in counts.items()]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import ddl, ship, texts
+from loomframe.llm.common import ddl, released, ship, texts
 from loomframe.llm.labelled import remainder, sample
 
 #: Multiplier of the n-gram hash (2^64 divided by the golden ratio, odd).
@@ -72,7 +72,7 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def scorer(self, remember: int = 150_000, together: int = 10_000):
+    def scorer(self, remember: int = 100_000, together: int = 10_000):
         """A function from texts to their scores. together: number of new words that are hashed at once."""
         known: dict[str, complex] = {}
         weights, buckets = self.weights.astype(np.float64), len(self.weights)
@@ -192,8 +192,8 @@ def fit(
     """Model trained on at most sample_rows labelled rows whose id isn't held out, in one task on an executor."""
     ship(docs.sparkSession)
     rows = sample(docs, labels, label, folds, held_out, sample_rows, id_col, text_col)
-    examples = rows.mapInArrow(_featurise(buckets), ddl(EXAMPLES)).repartition(1)
-    found = examples.mapInArrow(_train(buckets), ddl(TRAINED)).collect()  # one row of `buckets` numbers
+    examples = rows.mapInArrow(released(_featurise(buckets)), ddl(EXAMPLES)).repartition(1)
+    found = examples.mapInArrow(released(_train(buckets)), ddl(TRAINED)).collect()  # one row of `buckets` numbers
     return Model(np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"])
 
 
@@ -209,7 +209,7 @@ def apply(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 part = batch.slice(a, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(texts(part)), pa.float64())], schema=SCORES)
 
-    return rows.mapInArrow(run, ddl(SCORES))
+    return rows.mapInArrow(released(run), ddl(SCORES))
 
 
 def keep_good(
@@ -236,7 +236,7 @@ def keep_good(
                 part = batch.slice(a, 500)
                 yield part.filter(pa.array(np.array(scores(texts(part, text_col))) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def quality_scores(

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import ddl, scratch, ship, texts
+from loomframe.llm.common import ddl, released, scratch, ship, texts
 from loomframe.llm.labelled import remainder, sample
 
 _WORD = re.compile(r"[^\W_]+")
@@ -234,7 +234,7 @@ class Scorer:
     def __init__(self, index: BlockMaxIndex, words: list[str], base: float, without: float, k: int, prior: float) -> None:
         self.index, self.words, self.base, self.without, self.k, self.prior = index, words, base, without, k, prior
 
-    def near(self, vectors: Vectors, most: int = 400_000):
+    def near(self, vectors: Vectors, most: int = 250_000):
         """(texts' vectors, neighbours) of parts that read about `most` list entries, one text at least."""
         read = np.concatenate(([0], np.cumsum(self.index.entries[vectors.terms])))[vectors.starts]
         a = 0
@@ -331,7 +331,7 @@ def fit(
     batches = found.to_batches()
     vectors = Vectors.of_batch(batches[0]) if batches else Vectors(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
     every = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    table = scratch(every.mapInArrow(_vectors(shipped, ["doc_id"], VECTORS), ddl(VECTORS)), "term-counts")
+    table = scratch(every.mapInArrow(released(_vectors(shipped, ["doc_id"], VECTORS)), ddl(VECTORS)), "term-counts")
     counted = table.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()  # bounded by the vocabulary
     frequencies = np.zeros(len(words))
     frequencies[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
@@ -371,7 +371,7 @@ def keep_clean(
                 scores = scorer.scores(Vectors.of_texts(texts(part, text_col), vocabulary))
                 yield part.filter(pa.array(scores < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def toxicity_scores(
@@ -406,7 +406,7 @@ def toxicity_scores(
                     [part.column("doc_id"), *(pa.array(v, f.type) for v, f in zip(found, list(SCORES)[1:], strict=True))], schema=SCORES,
                 )
 
-    out = table.mapInArrow(run, ddl(SCORES))
+    out = table.mapInArrow(released(run), ddl(SCORES))
     held = (remainder("doc_id", folds) == held_out).alias("held_out")
     predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
     return out.select(F.col("doc_id").alias(id_col), held, "score", predicted, "neighbours", "similarities", "evidence")
