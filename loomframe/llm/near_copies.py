@@ -301,7 +301,9 @@ def links(nodes: DataFrame, rows: DataFrame, exact: int = EXACT) -> DataFrame:
     placed = _mixed(shared, found)
     member = F.struct("node", "w0", "w1")
     ends = placed.where("component = main").groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high"))
-    outside = placed.where("component != main").join(ends, "key").withColumn("end", F.explode(F.array("low", "high")))
+    away = lambda e: F.bit_count(F.col("w0").bitwiseXOR(e["w0"])) + F.bit_count(F.col("w1").bitwiseXOR(e["w1"]))
+    near_ends = F.filter(F.array("low", "high"), lambda e: away(e) <= NEAR)
+    outside = placed.where("component != main").join(ends, "key").withColumn("end", F.explode(near_ends))
     outside = outside.select(
         "node", F.col("end.node").alias("other"), F.expr(_distance("", "end.")).alias("distance"),
     ).where(f"distance <= {NEAR}")
