@@ -178,7 +178,7 @@ class RelabelSettings:
 class Settings:
     """All settings groups of a session; unknown keys are left out, a value out of bounds is an error."""
 
-    workdir: str = "runs/harvest_session_01"
+    workdir: str = "runs/session_01"
     game_profile: str | None = None
     recorder: RecorderSettings = field(default_factory=RecorderSettings)
     labeler: LabelerSettings = field(default_factory=LabelerSettings)
