@@ -96,6 +96,36 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm.source_divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+t AS (SELECT r, lang, source, unnest(words) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+e AS MATERIALIZED (SELECT lang, source, term, k.n AS in_lang, coalesce(c.n, 0) AS n, v.v, v.n AS total FROM g JOIN k USING (lang) JOIN v USING (lang)
+  LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT lang, source, sum(n) AS n FROM e GROUP BY lang, source),
+w AS MATERIALIZED (SELECT e.lang, e.source, term, e.n, 1 + (1000000000 * (e.n + 1)::HUGEINT) // (s.n + v) AS p,
+  1 + (1000000000 * (in_lang + 1)::HUGEINT) // (total + v) AS q FROM e JOIN s USING (lang, source)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM w a JOIN w b ON a.lang = b.lang AND a.term = b.term
+  AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM w WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM o QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
 OP7_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -109,4 +139,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_grid_order_join": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op1_grid_order_join": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op13_source_divergence": OP13_SQL}
