@@ -96,6 +96,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomframe.llm.source_divergence import divergence
 
