@@ -67,12 +67,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as a compressed table in the shared folder and read it back with its columns prunable."""
+#: Session setting by which Spark deletes a query's shuffle files once the query is done.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def scratch(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write df once as a compressed table in the shared folder and read it back with its columns prunable.
+
+    free: delete the shuffle files of the writing when it is done, for a df that is run this once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loomframe-{name}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_FREE, "false")
+    try:
+        spark.conf.set(_FREE, str(free or before == "true").lower())
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_FREE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

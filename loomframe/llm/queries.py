@@ -96,6 +96,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from loomframe.llm.repeated_passages import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    removed = F.expr("aggregate(zip_with(starts, ends, (s, e) -> e - s), 0L, (x, y) -> x + y)").alias("n_removed")
+    return out.select("doc_id", "n_bytes", removed, F.size("starts").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomframe.llm.alignment import align
 
