@@ -1,24 +1,26 @@
-"""The commands as functions: each reads a session folder, runs a flow of operators and returns what it reports.
+"""The commands as functions over a session folder and a store (sources.store) in which each leaves its results.
 
-Nothing is changed in the session folder. Decisions and labels that a flow makes are appended as parts
-(packages.save_sample_part) below `out`, newest version last, so a run that is repeated only adds equal rows.
+Nothing is changed in the session folder. What a flow finds is committed to the store and laid over the folder by the
+next flow that reads it, so label-auto, relabel, filter, review, stats and export see each other's results. A flow that
+is repeated adds the same rows again, which changes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.functions.hashing import change_ratios, hash_bits, image_statistics
 from loomframe.operators import candidates, dedup, labels, quality, review, teaching
 from loomframe.operators.split import numbered
 from loomframe.runtime import checkpoint
-from loomframe.sources import packages, readers, writers
+from loomframe.sources import image_files, readers, writers
+from loomframe.sources import store as stores
 from loomframe.sources.taxonomy import Settings
 
-KEYS = ["session_id", "sample_id"]
+KEYS = stores.KEYS
 
 
 def _images(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,80 +29,210 @@ def _images(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return found.select(*readers.place(F.col("image.origin")), "image")
 
 
-def load(spark: SparkSession, folder: str) -> DataFrame:
-    """The session's samples as operators and writers take them: effective label, flags of the last filter run, event
-    as JSON, image and its size, ord over all samples. Written once to the checkpoint folder."""
-    rows = labels.effective_label(readers.sessions(spark, folder))
+def load(spark: SparkSession, folder: str, store: str | None = None) -> DataFrame:
+    """The samples as operators and writers take them: what folder and store hold together, effective label, flags of the
+    last filter run, event as JSON (and its parts), image and its size, ord over all samples. Written once."""
+    rows = labels.effective_label(stores.merged(spark, folder, store))
     sizes = _images(spark, folder, "pre.png").select(*KEYS, F.col("image.width").alias("width"), F.col("image.height").alias("height"))
     flags = F.from_json(F.get_json_object("metadata", "$.filter.flags"), "array<string>")
-    rows = rows.join(sizes, KEYS, "left").withColumn("flags", flags).withColumn("action", F.col("event.action")).withColumn("x", F.col("event.x"))
-    rows = rows.withColumn("y", F.col("event.y")).withColumn("key", F.col("event.key")).withColumn("event", F.to_json("event")).drop("ord")
+    rows = rows.join(sizes, KEYS, "left").withColumn("flags", flags).withColumn("trigger", F.col("event"))
+    rows = rows.withColumn("action", F.col("event.action")).withColumn("x", F.col("event.x"))
+    rows = rows.withColumn("y", F.col("event.y")).withColumn("key", F.col("event.key")).withColumn("event", F.to_json("event"))
     return checkpoint(numbered(rows, KEYS, "ord"))
 
 
+def _entries(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Rows of the metadata part: an entry for each name whose JSON isn't null."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items())))
+    return rows.select(*KEYS, each.alias("e")).select(*KEYS, "e.*").where("value IS NOT NULL")
+
+
+def _clusters(rows: DataFrame, hashes: DataFrame, threshold: int) -> DataFrame:
+    """ord, leader, cluster_id, is_representative over all rows; hashes: session_id, sample_id, hash."""
+    hashed = checkpoint(rows.select(*KEYS, "ord").join(hashes, KEYS, "left"))
+    led = dedup.cluster_ids(hashed, "hash", "ord", threshold)
+    return checkpoint(led.select("ord", "leader", "cluster_id", "is_representative"))
+
+
+def _words(dims: dict[str, DataFrame], name: str, column: str) -> list[str]:
+    return [r[0] for r in dims[name].orderBy("ord").select(column).collect()]  # a taxonomy's ids
+
+
+def _requests(rows: DataFrame, dims: dict[str, DataFrame]) -> Column:
+    """What the teacher gets: the event, the ids to choose from, the regions, the label so far, metadata, the image."""
+    regions = F.array(*(F.lit(n) for n in _words(dims, "roi", "roi_name"))).cast("array<string>")
+    now = F.when(F.col("label").isNotNull(), F.struct("label.page", "label.route_label", "label.confidence"))
+    return teaching.payload(
+        F.col("ord"),
+        F.col("event"),
+        _words(dims, "primitive", "primitive_id"),
+        _words(dims, "situation", "situation_id"),
+        rois=regions,
+        metadata=F.col("metadata"),
+        current_label=now,
+        pre_image_b64=F.base64("content"),
+    )
+
+
+def _local(rows: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+    """ord, local: the whole label that hotkeys and regions give a row with an image."""
+    at = candidates.event_position(F.col("metadata"), F.col("x"), F.col("y"), F.col("width"), F.col("height"))
+    placed = rows.withColumn("__at", at).withColumn("__x", F.col("__at.x")).withColumn("__y", F.col("__at.y"))
+    found = labels.hotkey_match(labels.roi_hits(placed, dims["roi"], "__x", "__y"), dims["element"], "key")
+    found = labels.local_labels(found, dims["situation"])
+    primary = dims["situation"].select(
+        F.col("situation_id").alias("__sid"), labels.primary_roi(F.col("roi_priority"), F.col("likely_rois")).alias("__roi"),
+    )
+    found = found.join(primary, F.col("situation_id") == F.col("__sid"), "left")
+    evidence = F.to_json(
+        F.struct(
+            F.lit("local_routing_fallback").alias("mode"),
+            F.col("signals").alias("signals_used"),
+            F.parse_json("event").alias("event"),
+            F.col("roi_hits").alias("matched_rois"),
+        )
+    )
+    own = labels.routing_label(
+        F.col("trigger"), F.col("primitive_id"), F.col("situation_id"), F.col("screen_type"), F.col("__roi"),
+        F.lit(None).cast("array<double>"), F.col("confidence"), evidence,
+    )
+    return found.select("ord", F.when(F.col("width").isNotNull(), own).alias("local"))
+
+
 def label_auto(
     spark: SparkSession,
     folder: str,
     dims: dict[str, DataFrame],
-    out: str,
+    store: str,
     teacher: Callable = teaching.offline,
     settings: Settings | None = None,
 ) -> DataFrame:
-    """status, n: label samples that have an event and no label, one teacher call a cluster of near-equal screens.
+    """One row: unlabeled, clusters, labeled, teacher_calls, fallback, copied, blocked, calls_saved.
 
-    The local labeler (hotkeys, regions) answers where the teacher doesn't (status fallback); without either the cluster
-    is blocked. Samples without an image are clusters of one. Labels go to out/label, provider stamps to out/metadata.
+    Samples with an event and no label are clustered by near-equal screens, and the teacher is asked once a cluster (none
+    with the provider local_vlm). Where it doesn't answer, the local labeler does if provider_fallback_to_local is set
+    and the sample has an image; otherwise the cluster stays without labels. Samples without an image are clusters of
+    one. Labels go to the store whole, and so do the metadata entries label_auto, label_auto_provider and filter.
     """
     settings = settings or Settings()
-    rows = load(spark, folder).where("event IS NOT NULL AND label IS NULL")
+    own = settings.labeler
+    rows = load(spark, folder, store).where("event IS NOT NULL AND label IS NULL")
     blocks = image_statistics(_images(spark, folder, "pre.png").select("image"))
     hashes = blocks.select(*readers.place(F.col("path")), hash_bits(F.col("block")).alias("hash"))
-    rows = checkpoint(rows.join(hashes, KEYS, "left"))
-    led = dedup.cluster_ids(rows, "hash", "ord", settings.filter.dedup_hash_threshold)
-    led = checkpoint(led.select("ord", "leader", "cluster_id", "is_representative"))
-    leaders = rows.join(led.where("is_representative").select("ord"), "ord")
-    words = lambda name, col: [r[0] for r in dims[name].orderBy("ord").select(col).collect()]  # a taxonomy's ids
-    request = teaching.payload(F.col("ord"), F.col("event"), words("primitive", "primitive_id"), words("situation", "situation_id"))
-    told = teaching.teach(leaders.withColumn("request", request), "ord", "request", teacher, settings.relabel.max_retries)
-    at = candidates.event_position(F.col("metadata"), F.col("x"), F.col("y"), F.col("width"), F.col("height"))
-    placed = leaders.withColumn("__at", at).withColumn("__x", F.col("__at.x")).withColumn("__y", F.col("__at.y"))
-    local = labels.hotkey_match(labels.roi_hits(placed, dims["roi"], "__x", "__y"), dims["element"], "key")
-    local = labels.local_labels(local, dims["situation"]).select(
-        "ord", *(F.col(c).alias(f"local_{c}") for c in ("primitive_id", "situation_id", "screen_type", "confidence")),
-    )
-    both = told.select("ord", "chosen").join(local, "ord")
+    led = _clusters(rows, hashes, settings.filter.dedup_hash_threshold)
+    leaders = checkpoint(rows.join(led.where("is_representative").select("ord"), "ord"))
+    asked = own.provider != "local_vlm"
+    with_image = image_files.fetched(leaders, "image_path")
+    requests = with_image.withColumn("request", _requests(with_image, dims))
+    told = teaching.teach(requests, "ord", "request", teacher if asked else teaching.offline, settings.relabel.max_retries if asked else 1)
+    local = _local(leaders, dims)
+    both = leaders.join(told.select("ord", "chosen"), "ord").join(local, "ord")
     taught = F.col("chosen").isNotNull()
-    pick = lambda c: F.when(taught, F.col("chosen")[c]).otherwise(F.col(f"local_{c}")).alias(c)
-    source = F.when(taught, "teacher").when(F.col("local_primitive_id").isNotNull(), "fallback").alias("source")
-    result = checkpoint(
-        both.select(F.col("ord").alias("leader"), *(pick(c) for c in ("primitive_id", "situation_id", "screen_type", "confidence")), source)
-    )
-    every = rows.select(*KEYS, "ord", "metadata").join(led, "ord").join(result, "leader")
-    status = F.when(
-        F.col("source").isNull(), F.when(F.col("is_representative"), "failed").otherwise("blocked"),
-    ).when(F.col("is_representative"), F.col("source")).otherwise("copied")
-    every = checkpoint(every.withColumn("status", status))
-    stamped = teaching.stamp(
-        F.col("metadata"),
-        "label_auto_provider",
-        {"status": F.col("status"), "cluster_id": F.col("cluster_id"), "source_ord": F.col("leader")},
-    )
-    named = [F.col(c) for c in ("primitive_id", "situation_id", "screen_type", "confidence")]
-    packages.save_sample_part(every.where("source IS NOT NULL").select(*KEYS, *named, F.current_timestamp().alias("version")), out, "label")
-    packages.save_sample_part(every.select(*KEYS, stamped.alias("metadata"), F.current_timestamp().alias("version")), out, "metadata")
-    return teaching.label_counts(every)
-
-
-def filter_samples(spark: SparkSession, folder: str, out: str, settings: Settings | None = None) -> DataFrame:
+    usable = F.lit(own.provider_fallback_to_local or not asked) & F.col("local").isNotNull()
+    # the sample has no label yet, so the teacher's answer has nothing to fall back to
+    answer = labels.taught_label(F.lit(None).cast(labels.LABEL), F.col("chosen"), F.col("trigger"))
+    result = both.select(
+        F.col("ord").alias("leader"),
+        F.col("sample_id").alias("source_sample_id"),
+        F.when(taught, answer).when(usable, F.col("local")).alias("new"),
+        F.when(taught, "teacher").when(usable, "fallback").otherwise("failed").alias("by"),
+    )
+    every = checkpoint(rows.drop("label").join(led, "ord").join(checkpoint(result), "leader"))
+    has, first = F.col("by") != "failed", F.col("is_representative")
+    provider = F.when(F.col("by") == "fallback", "local_vlm").otherwise(own.provider)
+    status = F.when(first, F.when(has, "ok").otherwise("failed")).otherwise(
+        F.when(has, "copied_from_representative").otherwise("blocked_by_representative_failure")
+    )
+    stamp = F.struct(
+        provider.alias("provider"),
+        F.when(provider != "local_vlm", settings.relabel.model_name).alias("model_name"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("processed_at"),
+        status.alias("status"),
+        F.when(first & (F.col("by") == "fallback") & F.lit(asked), own.provider).alias("fallback_from"),
+        F.when(~first, F.col("source_sample_id")).alias("source_sample_id"),
+        F.when(~first, F.when(has, "ok").otherwise("failed")).alias("source_provider_status"),
+    )
+    flags = quality.merge_flags(F.col("flags"), F.array().cast("array<string>"), first)
+    filtered = F.struct(flags.alias("flags"), F.col("cluster_id"), first.alias("cluster_representative"))
+    score = F.get_json_object("metadata", "$.filter.score").cast("double")
+    label = F.col("new")
+    auto = F.struct(label["page"].alias("page"), label["route_label"].alias("route_label"), label["confidence"].alias("confidence"), F.parse_json(label["evidence"]).alias("evidence"))
+    entries = {
+        "label_auto_provider": F.to_json(stamp),
+        "filter": F.to_json(filtered.withField("score", score)),
+        "label_auto": F.when(has, F.to_json(auto)),
+    }
+    stores.save(store, label=every.where(has).select(*KEYS, label.alias("label")), metadata=_entries(every, entries))
+    n = lambda test: F.count_if(test)
+    return every.agg(
+        F.count("*").alias("unlabeled"),
+        n(first).alias("clusters"),
+        n(has).alias("labeled"),
+        n(first & F.lit(asked)).alias("teacher_calls"),
+        n(first & (F.col("by") == "fallback")).alias("fallback"),
+        n(~first & has).alias("copied"),
+        n(~first & ~has).alias("blocked"),
+        n(~first & has & F.lit(asked)).alias("calls_saved"),
+    )
+
+
+def relabel(
+    spark: SparkSession,
+    folder: str,
+    dims: dict[str, DataFrame],
+    store: str,
+    teacher: Callable = teaching.offline,
+    settings: Settings | None = None,
+) -> DataFrame:
+    """processed, success, failed: ask the teacher again for labeled samples; answers become the samples' labels.
+
+    A sample whose labels a review has edited keeps the corrections over the new label.
+    """
+    limits = (settings or Settings()).relabel
+    rows = load(spark, folder, store).where("label IS NOT NULL AND trigger IS NOT NULL")
+    taken = checkpoint(rows if limits.max_samples is None else rows.orderBy("ord").limit(limits.max_samples))
+    with_image = image_files.fetched(taken, "image_path")
+    requests = with_image.withColumn("request", _requests(with_image, dims))
+    done = checkpoint(teaching.relabel(requests, "ord", "ord", "request", teacher, None, limits.max_retries))
+    told = taken.join(done, "ord")
+    raw = stores.merged(spark, folder, store).select(*KEYS, F.col("label").alias("raw"))
+    new = told.where("status = 'ok'").join(raw, KEYS)
+    stamp = F.struct(
+        F.lit(limits.provider).alias("provider"),
+        F.lit(limits.model_name).alias("model_name"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("processed_at"),
+        F.col("status"),
+        F.when(F.col("status") == "ok", "routing_only").alias("mode"),
+    )
+    stores.save(
+        store,
+        label=new.select(*KEYS, labels.taught_label(F.col("raw"), F.col("chosen"), F.col("trigger")).alias("label")),
+        metadata=_entries(told, {"relabel": F.to_json(stamp)}),
+    )
+    return teaching.relabel_counts(done)
+
+
+def filter_samples(spark: SparkSession, folder: str, store: str, settings: Settings | None = None) -> DataFrame:
     """drop_stage, n over labeled samples: invalid_action, quality, transition, dedup, and kept.
 
-    Flags and scores go to out/filter; pending samples that are dropped are rejected in out/review.
+    The metadata entry filter (flags, score, cluster_id, cluster_representative) of every labeled sample goes to the
+    store. Clusters are over all of them, dropped ones too, and nothing is rejected: reject() does that.
     """
+    rows = checkpoint(_filtered(spark, folder, store, settings))
+    entry = F.struct("flags", "score", "cluster_id", F.col("is_representative").alias("cluster_representative"))
+    stores.save(store, metadata=_entries(rows, {"filter": F.to_json(entry)}))
+    return quality.drop_counts(rows)
+
+
+def _filtered(spark: SparkSession, folder: str, store: str | None, settings: Settings | None) -> DataFrame:
+    """The labeled samples with drop_stage, flags, score and cluster."""
     limits = (settings or Settings()).filter
-    rows = load(spark, folder).where("label IS NOT NULL AND event IS NOT NULL")
+    rows = load(spark, folder, store).where("label IS NOT NULL AND event IS NOT NULL")
     before, after = _images(spark, folder, "pre.png"), _images(spark, folder, "post.png")
-    stats = image_statistics(before.select("image")).select(
-        *readers.place(F.col("path")), "blur", "brightness", hash_bits(F.col("block")).alias("hash"),
+    stats = checkpoint(
+        image_statistics(before.select("image")).select(
+            *readers.place(F.col("path")), "blur", "brightness", hash_bits(F.col("block")).alias("hash"),
+        )
     )
     pairs = before.withColumnRenamed("image", "before").join(after.withColumnRenamed("image", "after"), KEYS)
     ratios = change_ratios(pairs.withColumn("sample_id", F.concat_ws("/", *KEYS)))
@@ -113,37 +245,41 @@ def filter_samples(spark: SparkSession, folder: str, out: str, settings: Setting
     issue = quality.quality_issue(
         F.col("__pre"), F.col("blur"), F.col("brightness"), limits.blur_laplacian_threshold, limits.dark_overlay_threshold,
     )
-    rows = checkpoint(
-        quality.cascade(
-            rows, {"invalid_action": invalid, "quality": issue, "transition": F.col("label.transition_detected")},
-        ).withColumn("__issue", issue)
-    )
+    stages = {"invalid_action": invalid, "quality": issue, "transition": F.col("label.transition_detected")}
+    rows = checkpoint(quality.cascade(rows, stages).withColumn("__issue", issue).withColumn("__invalid", invalid))
     stay = rows.where("drop_stage IS NULL")
     kept = checkpoint(dedup.deduplicate(stay, "hash", "ord", limits.dedup_hash_threshold).select("ord"))
-    rows = rows.join(kept.withColumn("__kept", F.lit(True)), "ord", "left")
+    led = _clusters(rows, stats.select(*KEYS, "hash"), limits.dedup_hash_threshold)
+    rows = rows.join(kept.withColumn("__kept", F.lit(True)), "ord", "left").join(led, "ord")
     rows = rows.withColumn(
         "drop_stage", F.when(F.col("drop_stage").isNull() & F.col("__kept").isNull(), "dedup").otherwise(F.col("drop_stage")),
     )
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
     tests = {
         "quality_issue": F.col("__issue"),
-        quality.DUPLICATE: F.col("drop_stage") == "dedup",
         "missing_primitive_id": empty(F.col("label.route_label.primitive_id")),
         "missing_situation_id": empty(F.col("label.page.situation_id")),
-        "legacy_invalid_action": F.col("drop_stage") == "invalid_action",
+        "legacy_invalid_action": F.col("__invalid"),
         "legacy_transition": F.col("label.transition_detected"),
+        quality.DUPLICATE: ~F.col("is_representative"),
     }
-    rows = checkpoint(rows.withColumn("flags", quality.flags(tests)).withColumn("score", quality.score(F.col("flags"))))
-    version = F.current_timestamp().alias("version")
-    packages.save_sample_part(rows.select(*KEYS, "flags", "score", "drop_stage", version), out, "filter")
-    decided = quality.reject_dropped(rows.select(*KEYS, "ord", "review_status"), rows.where("drop_stage IS NULL").select("ord"), "ord")
-    packages.save_sample_part(decided.select(*KEYS, "review_status", version), out, "review")
-    return quality.drop_counts(rows)
+    return rows.withColumn("flags", quality.flags(tests)).withColumn("score", quality.score(F.col("flags")))
+
 
+def reject_filtered(spark: SparkSession, folder: str, store: str, settings: Settings | None = None) -> DataFrame:
+    """rejected, left_alone: pending samples that the filter drops are rejected in the store (auto_filter_rejected), those
+    already decided are left alone. No flow does this by itself."""
+    rows = checkpoint(_filtered(spark, folder, store, settings))
+    dropped = rows.where("drop_stage IS NOT NULL")
+    marked = quality.reject_dropped(dropped.select(*KEYS, "ord", "review_status", "corrections"), dropped.limit(0).select("ord"), "ord", corrections="corrections")
+    pending = dropped.where("review_status = 'pending'").select("ord")
+    stores.save(store, review=marked.join(pending, "ord", "left_semi").select(*KEYS, "review_status", "corrections"))
+    return dropped.agg(F.count_if(F.col("review_status") == "pending").alias("rejected"), F.count_if(F.col("review_status") != "pending").alias("left_alone"))
 
-def stats(spark: SparkSession, folder: str) -> DataFrame:
+
+def stats(spark: SparkSession, folder: str, store: str | None = None) -> DataFrame:
     """One row of counts over all samples."""
-    rows = load(spark, folder)
+    rows = load(spark, folder, store)
     flat = labels.flat_fields(F.col("label"))
     return quality.dataset_stats(
         rows,
@@ -156,15 +292,29 @@ def stats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def review_queue(spark: SparkSession, folder: str, settings: Settings | None = None) -> DataFrame:
-    """The labeled, pending, distinct samples with decision and priority; read it in order of (priority, ord)."""
+def review_queue(spark: SparkSession, folder: str, store: str, settings: Settings | None = None) -> DataFrame:
+    """The labeled, pending, distinct samples with decision and priority; read it in order of (priority, ord).
+
+    Samples that the settings approve are approved in the store.
+    """
     limits = (settings or Settings()).review
-    rows, none = load(spark, folder), F.lit(False)
+    rows = load(spark, folder, store)
     confidence = F.col("label.confidence")
-    confidences = F.from_json(F.get_json_object("label.evidence", "$.route_candidates[*].confidence"), "array<double>")
-    flags = F.coalesce("flags", F.array().cast("array<string>"))
-    score = review.priority(confidence, flags, none, none, F.lit(0), none, none, F.coalesce(confidences, F.array().cast("array<double>")))
-    return review.load_queue(rows, score, "ord", limits.auto_approve_confidence if limits.enable_auto_approve else None, confidence)
+    queue = checkpoint(
+        review.load_queue(
+            rows, review.sample_priority("label", "metadata", "flags"), "ord", limits.auto_approve_confidence if limits.enable_auto_approve else None, confidence,
+        )
+    )
+    approved = queue.where("decision = 'approved'")
+    if limits.enable_auto_approve:
+        stores.save(store, review=approved.select(*KEYS, F.lit("approved").alias("review_status"), "corrections"))
+    return queue
+
+
+def decide(spark: SparkSession, store: str, session_id: str, sample_id: str, status: str, corrections: str | None = None) -> int:
+    """Approve, reject or edit one sample; returns the store's commit. store.decide takes a table of them."""
+    row = [(session_id, sample_id, status, corrections)]
+    return stores.decide(spark, store, spark.createDataFrame(row, "session_id string, sample_id string, review_status string, corrections string"))
 
 
 FORMATS = ("router_full", "router_roi", "unified", "coco", "yolo", "grounding", "roi_state")
@@ -177,14 +327,15 @@ def export(
     dims: dict[str, DataFrame],
     formats: tuple[str, ...] = FORMATS[:2],
     settings: Settings | None = None,
+    store: str | None = None,
 ) -> list[str]:
     """Write the formats asked for (router by default, FORMATS for all) below out; returns their folders."""
     unknown = set(formats) - set(FORMATS)
     if unknown:
         raise ValueError(f"unknown formats: {', '.join(sorted(unknown))}; known: {', '.join(FORMATS)}")
     limits = (settings or Settings()).export
-    rows = load(spark, folder).where("label IS NOT NULL AND event IS NOT NULL AND review_status <> 'rejected'")
-    names = [r[0] for r in dims["element"].orderBy("ord").select("semantic_id").collect()]  # a taxonomy's elements
+    rows = load(spark, folder, store).where("label IS NOT NULL AND event IS NOT NULL AND review_status <> 'rejected'")
+    names = _words(dims, "element", "semantic_id")
     write = {
         "router_full": lambda at: writers.write_router_full(rows, at),
         "router_roi": lambda at: writers.write_router_roi(rows, at, dims["situation"], dims["roi"], limits.router_roi_fallbacks),
@@ -197,28 +348,3 @@ def export(
     for name in formats:
         write[name](f"{out}/{name}")
     return [f"{out}/{name}" for name in formats]
-
-
-def relabel(
-    spark: SparkSession,
-    folder: str,
-    dims: dict[str, DataFrame],
-    out: str,
-    teacher: Callable = teaching.offline,
-    settings: Settings | None = None,
-) -> DataFrame:
-    """processed, success, failed: ask the teacher again for labeled samples; answers go to out/label."""
-    limits = (settings or Settings()).relabel
-    words = lambda name, col: [r[0] for r in dims[name].orderBy("ord").select(col).collect()]  # a taxonomy's ids
-    rows = load(spark, folder)
-    request = teaching.payload(F.col("ord"), F.col("event"), words("primitive", "primitive_id"), words("situation", "situation_id"))
-    done = checkpoint(
-        teaching.relabel(rows.withColumn("request", request), "ord", "ord", "request", teacher, limits.max_samples, limits.max_retries)
-    )
-    told = rows.select(*KEYS, "ord", "label", "metadata").join(done, "ord")
-    new = labels.apply_teacher(rows, done.where("status = 'ok'").select("ord", "chosen", F.lit("[]").alias("route_candidates")), "ord")
-    kept = new.join(done.where("status = 'ok'").select("ord"), "ord", "left_semi")
-    packages.save_sample_part(kept.select(*KEYS, "label", F.current_timestamp().alias("version")), out, "relabel")
-    stamped = teaching.stamp(F.col("metadata"), "relabel", {"status": F.col("status"), "mode": F.lit("routing_only")})
-    packages.save_sample_part(told.select(*KEYS, stamped.alias("metadata"), F.current_timestamp().alias("version")), out, "metadata")
-    return teaching.relabel_counts(done)

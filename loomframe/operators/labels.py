@@ -375,6 +375,54 @@ def apply_teacher(rows: DataFrame, results: DataFrame, key: str) -> DataFrame:
     return out.withColumn("label", F.when(chosen.isNotNull(), new).otherwise(label)).drop("chosen", "route_candidates")
 
 
+def trigger(event: Column) -> dict[str, Column]:
+    """The trigger fields of a route from an event struct."""
+    keyboard = event["action"].isin("press", "type")
+    return {
+        "trigger_modality": F.when(keyboard, "keyboard").otherwise("mouse"),
+        "trigger_action_type": event["action"],
+        "trigger_mouse_button": event["button"],
+        "trigger_key": event["key"],
+    }
+
+
+def routing_label(
+    event: Column, primitive: Column, situation: Column, screen: Column, roi: Column, box: Column, confidence: Column, evidence: Column,
+) -> Column:
+    """A whole label that routes only: page, route with the event's trigger, evidence (JSON), no elements."""
+    page = {"screen_type": screen, "situation_id": situation, "state_flags": _texts(F.lit(None)), "confidence": confidence}
+    route = {"primitive_id": primitive, "target_element_id": F.lit(None).cast("string"), "roi_name": roi, "roi_bbox_norm": box}
+    return _struct(
+        {
+            "page": _struct(page),
+            "route_label": _struct(route | trigger(event) | {"confidence": confidence}),
+            "elements": F.array().cast(f"array<{ELEMENT}>"),
+            "evidence": evidence,
+            "confidence": confidence,
+            "transition_detected": F.lit(False),
+        }
+    ).cast(LABEL)
+
+
+def teacher_evidence(chosen: Column) -> Column:
+    """JSON of the teacher's evidence with its candidates as route_candidates."""
+    own = F.coalesce(F.from_json(chosen["evidence"], "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    ranked = F.create_map(F.lit("route_candidates"), F.parse_json(F.coalesce(chosen["candidates"], F.lit("[]"))))
+    return F.to_json(F.map_concat(F.map_filter(own, lambda k, v: k != "route_candidates"), ranked))
+
+
+def taught_label(label: Column, chosen: Column, event: Column) -> Column:
+    """The label of a teacher's answer: ids fall back to the label's own (null: none), the region doesn't, the primitive
+    to the answer's function, confidence to the first that isn't 0. Elements go: the teacher routes only."""
+    page, route = label["page"], label["route_label"]
+    confidence = F.coalesce(first_nonzero(chosen["confidence"], label["confidence"]), F.lit(0.0))
+    primitive = first_truthy(chosen["primitive_id"], chosen["function_id"], route["primitive_id"])
+    situation = first_truthy(chosen["situation_id"], page["situation_id"])
+    screen = first_truthy(chosen["screen_type"], page["screen_type"])
+    box = F.when(F.size(chosen["roi_bbox_norm"]) > 0, chosen["roi_bbox_norm"])
+    return routing_label(event, primitive, situation, screen, chosen["roi_name"], box, confidence, teacher_evidence(chosen))
+
+
 def element_norm(e: Column, width: Column, height: Column) -> Column:
     """The element with bbox_xyxy and bbox_norm (null without an image size)."""
     box = F.array(e["bbox_x_min"], e["bbox_y_min"], e["bbox_x_max"], e["bbox_y_max"])

@@ -67,12 +67,19 @@ def flag_counts(rows: DataFrame, flag_col: str = "flags") -> DataFrame:
     return rows.select(F.explode(flag_col).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
 
 
-def reject_dropped(rows: DataFrame, kept: DataFrame, key: str, status: str = "review_status") -> DataFrame:
-    """Rows not kept become rejected where they are pending; others stay as they are."""
+def reject_dropped(rows: DataFrame, kept: DataFrame, key: str, status: str = "review_status", corrections: str | None = None) -> DataFrame:
+    """Rows not kept become rejected where they are pending; others stay as they are.
+
+    corrections: a column of JSON objects (null: none) that gets auto_filter_rejected where it doesn't say so already.
+    """
     marked = rows.join(kept.select(key, F.lit(True).alias("__kept")), key, "left")
-    return marked.withColumn(
-        status, F.when(F.col("__kept").isNull() & (F.col(status) == "pending"), "rejected").otherwise(F.col(status)),
-    ).drop("__kept")
+    gone = F.col("__kept").isNull() & (F.col(status) == "pending")
+    if corrections:
+        own = F.from_json(F.coalesce(F.col(corrections), F.lit("{}")), "map<string,variant>")
+        told = F.map_concat(F.create_map(F.lit("auto_filter_rejected"), F.parse_json(F.lit("true"))), F.map_filter(own, lambda k, v: k != "auto_filter_rejected"))
+        named = F.when(F.map_contains_key(own, "auto_filter_rejected"), own).otherwise(told)
+        marked = marked.withColumn(corrections, F.when(gone, F.to_json(named)).otherwise(F.col(corrections)))
+    return marked.withColumn(status, F.when(gone, "rejected").otherwise(F.col(status))).drop("__kept")
 
 
 def exportable(label: Column, status: Column) -> Column:

@@ -37,6 +37,31 @@ def priority(
     return F.greatest(F.lit(0.0), confidence - total)
 
 
+def _truthy(document: Column, path: str) -> Column:
+    """Whether a part of a JSON document is there and not empty, zero or false."""
+    value = F.get_json_object(document, path)
+    return F.coalesce(~F.trim(value).isin("", "[]", "{}", "false", "null", "0", "0.0"), F.lit(False))
+
+
+def sample_priority(label: str, metadata: str, flag_list: str) -> Column:
+    """priority() of a sample from its nested label with evidence (JSON), its metadata (JSON) and its flags."""
+    evidence, none = F.col(label)["evidence"], F.array().cast("array<string>")
+    negatives = F.from_json(F.get_json_object(evidence, "$.triggered_hard_negatives"), "array<string>")
+    ranked = F.from_json(F.get_json_object(evidence, "$.route_candidates"), "array<struct<confidence:double>>")
+    confidences = F.transform(F.array_compact(ranked), lambda c: F.coalesce(c["confidence"], F.lit(0.0)))
+    popup = (F.col(label)["route_label"]["primitive_id"] == "popup_primitive") & _truthy(evidence, "$.open_screen_detected")
+    return priority(
+        F.col(label)["confidence"],
+        F.coalesce(F.col(flag_list), none),
+        _truthy(F.col(metadata), "$.filter.cluster_representative"),
+        _truthy(F.col(metadata), "$.screen_novelty"),
+        F.greatest(F.size(F.coalesce(negatives, none)), F.lit(0)),
+        _truthy(evidence, "$.conflict_pair"),
+        popup,
+        F.coalesce(confidences, F.array().cast("array<double>")),
+    )
+
+
 def queue(rows: DataFrame, score: Column, order: str, auto_approve: float | None = None, confidence: Column | None = None) -> DataFrame:
     """rows, decision (approved or review), priority. Ties keep the order column; sort by (priority, order) to read."""
     approved = F.lit(False) if auto_approve is None else confidence >= auto_approve

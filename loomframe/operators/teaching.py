@@ -6,6 +6,7 @@ and after it is columns. The default teacher answers nothing, so that every flow
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
@@ -18,6 +19,8 @@ from loomframe.functions.text import lookup
 from loomframe.operators.dedup import suppress_overlaps
 
 CHOICE = "primitive_id string, situation_id string, screen_type string, roi_name string, confidence double"
+#: What a teacher may answer besides: a box, evidence and ranked candidates, kept as JSON.
+DETAILS = "roi_bbox_norm array<double>, function_id string, evidence string, candidates string"
 BOXES = "prompt string, label string, x1 double, y1 double, x2 double, y2 double, score double"
 
 
@@ -41,8 +44,9 @@ def with_retries(call: Callable, retries: int = 3, first_wait: float = 0.8) -> C
     return run
 
 
-def payload(sample_id: Column, event: Column, primitives: list[str], situations: list[str]) -> Column:
-    """JSON request for one sample: the event and the ids to choose from."""
+def payload(sample_id: Column, event: Column, primitives: list[str], situations: list[str], **more: Column) -> Column:
+    """JSON request for one sample: the event and the ids to choose from, and what else is given by name (such as
+    metadata, current_label, rois, pre_image_b64); a null part is left out."""
     words = lambda v: F.array(*(F.lit(x) for x in v)) if v else F.array().cast("array<string>")
     return F.to_json(
         F.struct(
@@ -50,25 +54,33 @@ def payload(sample_id: Column, event: Column, primitives: list[str], situations:
             event.alias("event"),
             words(primitives).alias("primitives"),
             words(situations).alias("situations"),
+            *(c.alias(n) for n, c in more.items()),
         )
     )
 
 
 def teach(rows: DataFrame, key: str, request: str, teacher: Callable = offline, retries: int = 3) -> DataFrame:
-    """key, chosen (null: no answer), attempted for each row; the teacher sees the request column."""
-    names = [c.split()[0] for c in CHOICE.split(", ")]
+    """key, chosen (null: no answer), attempted for each row; the teacher sees the request column.
+
+    An answer is a dict of CHOICE and DETAILS, any of which may be missing.
+    """
+    names = [c.split()[0] for c in f"{CHOICE}, {DETAILS}".split(", ")]
     call = with_retries(teacher, retries)
     kind = dict(rows.dtypes)[key]
 
+    def field(answer, name):
+        found = None if answer is None else answer.get(name)
+        return json.dumps(found) if name in ("evidence", "candidates") and found is not None else found
+
     def run(frames):
         for f in frames:
             answers = [call(p) for p in f[request]]
             out = pd.DataFrame({key: f[key], "answered": [a is not None for a in answers]})
             for n in names:
-                out[n] = [None if a is None else a.get(n) for a in answers]
+                out[n] = [field(a, n) for a in answers]
             yield out[[key, "answered", *names]]
 
-    told = rows.select(key, request).mapInPandas(run, f"{key} {kind}, answered boolean, {CHOICE}")
+    told = rows.select(key, request).mapInPandas(run, f"{key} {kind}, answered boolean, {CHOICE}, {DETAILS}")
     return told.select(key, F.when(F.col("answered"), F.struct(*names)).alias("chosen"), F.lit(True).alias("attempted"))
 
 

@@ -39,7 +39,7 @@ def dedup_le(spark, d):
     return dedup.deduplicate(hashes(spark, d), "h", "vec_id", 15, inclusive=True).select("vec_id")
 
 
-@query("dedup_clusters", LEADERS_SQL.format(hashes=HASHES_SQL, most=15) + ", n AS (SELECT leader, row_number() OVER (ORDER BY leader) - 1 AS c FROM (SELECT DISTINCT leader FROM l)) SELECT vec_id, leader, 'cluster_' || lpad(c::VARCHAR, 6, '0') AS cluster_id, vec_id = leader AS is_representative FROM l JOIN n USING (leader)")
+@query("dedup_clusters", LEADERS_SQL.format(hashes=HASHES_SQL, most=15) + ", n AS (SELECT leader, row_number() OVER (ORDER BY leader) AS c FROM (SELECT DISTINCT leader FROM l)) SELECT vec_id, leader, 'cluster_' || lpad(c::VARCHAR, 6, '0') AS cluster_id, vec_id = leader AS is_representative FROM l JOIN n USING (leader)")
 def dedup_clusters(spark, d):
     return dedup.cluster_ids(hashes(spark, d), "h", "vec_id", 16)
 

@@ -63,19 +63,20 @@ def router_crops(rows: DataFrame, situations: DataFrame, rois: DataFrame, fallba
 
 def write_router_full(rows: DataFrame, folder: str) -> DataFrame:
     """images and the CSV parts, whose image_path is the copy; rows whose image isn't there are left out. Returns them."""
-    spark, split = rows.sparkSession, checkpoint(router_split(rows))
-    named = split.select(F.concat("sample_id", F.lit(".png")).alias("name"), "image_path")
-    root = _root(split)
-    return _finish(split, image_files.copies(spark, named, root) if root else None, folder)
+    split = checkpoint(router_split(rows))
+    named = split.select(_image_name(), "image_path")
+    return _finish(split, image_files.write_copies(named, f"{folder}/images"), folder)
 
 
 def write_router_roi(rows: DataFrame, folder: str, situations: DataFrame, rois: DataFrame, fallbacks: list[str] | None = None) -> DataFrame:
     """As write_router_full, with the crop of each image."""
-    spark, split = rows.sparkSession, checkpoint(router_split(rows))
-    boxes = router_crops(rows, situations, rois, fallbacks).select(F.concat("sample_id", F.lit(".png")).alias("name"), "image_path", "crop")
-    root = _root(split)
-    images = image_files.decoded(spark, root) if root else None
-    return _finish(split, None if images is None else image_files.crops(images, boxes), folder)
+    split = checkpoint(router_split(rows))
+    boxes = router_crops(rows, situations, rois, fallbacks).select(_image_name(), "image_path", "crop")
+    return _finish(split, image_files.write_crops(boxes, f"{folder}/images"), folder)
+
+
+def _image_name() -> Column:
+    return F.concat("sample_id", F.lit(".png")).alias("name")
 
 
 def write_router(rows: DataFrame, folder: str, situations: DataFrame, rois: DataFrame, fallbacks: list[str] | None = None) -> None:
@@ -84,24 +85,15 @@ def write_router(rows: DataFrame, folder: str, situations: DataFrame, rois: Data
     write_router_roi(rows, f"{folder}/roi", situations, rois, fallbacks)
 
 
-def _root(rows: DataFrame) -> str | None:
-    """The deepest folder that holds all images, found from the smallest and largest path."""
-    low, high = rows.agg(F.min("image_path"), F.max("image_path")).first()
-    if low is None:
-        return None
-    shared = 0
-    while shared < min(len(low), len(high)) and low[shared] == high[shared]:
-        shared += 1
-    return low[: low.rfind("/", 0, max(shared, 1)) + 1] or "/"
-
-
-def _finish(split: DataFrame, files: DataFrame | None, folder: str) -> DataFrame:
-    written = checkpoint(image_files.write_files(files, f"{folder}/images").select("name", "path")) if files is not None else None
-    if written is None:
-        out = split.limit(0)
-    else:
-        by_name = written.select(F.regexp_replace("name", r"\.png$", "").alias("sample_id"), F.col("path").alias("image_path"))
-        out = split.drop("image_path").join(by_name, "sample_id").select(*split.columns)
+def _with_files(split: DataFrame, written: DataFrame) -> DataFrame:
+    """Rows whose file is written, with its path as image_path."""
+    written = checkpoint(written.where("path IS NOT NULL").select("name", "path"))
+    by_name = written.select(F.regexp_replace("name", r"\.png$", "").alias("sample_id"), F.col("path").alias("image_path"))
+    return split.drop("image_path").join(by_name, "sample_id").select(*split.columns)
+
+
+def _finish(split: DataFrame, written: DataFrame, folder: str) -> DataFrame:
+    out = _with_files(split, written)
     _write_parts(out, folder)
     return out
 
@@ -200,10 +192,15 @@ def yolo_lines(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def write_yolo(rows: DataFrame, names: list[str], folder: str, share: float = 0.9) -> None:
-    """labels (partitioned by sample), train and val lists, data.yaml."""
-    lines = yolo_lines(rows, names)
-    lines.select("sample_id", F.col("lines").alias("value")).write.mode("overwrite").partitionBy("sample_id").text(f"{folder}/labels")
-    split = head_tail(lines.select("sample_id", "ord"), ["ord"], share)
+    """images, labels (a text a sample, each in one folder), train and val lists of the images that are there, data.yaml."""
+    kept = checkpoint(with_frame(rows).select("sample_id", "ord", "image_path"))
+    written = image_files.write_copies(kept.select(_image_name(), "image_path"), f"{folder}/images")
+    there = checkpoint(_with_files(kept, written))
+    lines = yolo_lines(rows, names).join(there.select("sample_id"), "sample_id", "left_semi")
+    text = F.when(F.col("lines") == "", "").otherwise(F.concat("lines", F.lit("\n")))
+    files = lines.select(F.concat("sample_id", F.lit(".txt")).alias("name"), text.cast("binary").alias("content"))
+    image_files.write_files(files, f"{folder}/labels").count()
+    split = checkpoint(head_tail(there.select("sample_id", "ord"), ["ord"], share))
     for part in ("train", "val"):
         split.where(F.col("split") == part).select(
             F.concat(F.lit("images/"), "sample_id", F.lit(".png")).alias("value")
@@ -254,12 +251,15 @@ def region_split(rows: DataFrame, share: float = 0.9) -> DataFrame:
     return head_tail(region_states(rows), ["ord"], share)
 
 
-def write_region_states(rows: DataFrame, folder: str) -> None:
-    """labels, train and val CSV folders of region states; image_path is the crop's name under images."""
-    named = region_split(rows).select(
-        "sample_id", F.concat(F.lit("images/"), "sample_id", F.lit(".png")).alias("image_path"), "turn_state", "session_id", "split",
-    )
-    _write_parts(named, folder)
+def write_region_states(rows: DataFrame, folder: str) -> DataFrame:
+    """The corner crops under images, and labels, train and val CSV folders of the rows whose crop is there. Returns them."""
+    own = region_states(rows).join(with_frame(rows).select("sample_id", "image_path"), "sample_id")
+    states = checkpoint(own.where("crop IS NOT NULL"))
+    written = image_files.write_crops(states.select(_image_name(), "image_path", "crop"), f"{folder}/images")
+    there = checkpoint(_with_files(states.drop("crop"), written))
+    split = head_tail(there, ["ord"], 0.9).select("sample_id", "image_path", "turn_state", "session_id", "split")
+    _write_parts(split, folder)
+    return split
 
 
 def click_boxes(pairs: DataFrame, names: list[str], radius: float = 64.0) -> DataFrame:
@@ -316,7 +316,7 @@ def clip_files(samples: DataFrame) -> DataFrame:
     (the frame at place effect) and post_stable (the last) of samples with a post clip.
 
     samples: sample_id, pre_clip, post_clip (arrays of paths), effect (place in post_clip, null: the first). Copy them
-    with image_files.copies and write_files.
+    with image_files.write_copies.
     """
     item = lambda part, i, path: F.struct(F.format_string("%s_%03d", F.lit(part), i).alias("part"), path.alias("image_path"))
     clip = lambda part: F.transform(F.coalesce(f"{part}_clip", F.array().cast("array<string>")), lambda p, i: item(part, i, p))
