@@ -97,6 +97,26 @@ def test_close_pairs_against_brute_force(spark, most):
     assert rows(dedup.close_pairs(df, "h", "o", most)) == sorted(want)
 
 
+def test_far_pairs_in_tiles(spark, monkeypatch):
+    """Beyond 15 bits blocks meet in tiles, never in a nested loop, and groups too far apart don't meet."""
+    rng = random.Random(5)
+    centers = [rng.getrandbits(64) for _ in range(6)]
+    hashes = {c ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(9))) for c in centers for _ in range(120)}
+    signed = sorted(h - (1 << 64) if h >> 63 else h for h in hashes)
+    df = spark.createDataFrame([(h,) for h in [*signed, None]], "h long")
+    for block, pivots in ((37, 256), (4096, 1)):
+        monkeypatch.setattr(dedup, "BLOCK", block)
+        monkeypatch.setattr(dedup, "PIVOTS", pivots)
+        for most in (17, 20):
+            got = dedup.close_hashes(df, most)
+            assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+            found = {(r.h, r.g): r.distance for r in got.collect()}
+            unsigned = [h % (1 << 64) for h in signed]
+            want = {(signed[i], signed[j]): d for j in range(len(signed)) for i in range(j) if (d := (unsigned[i] ^ unsigned[j]).bit_count()) <= most}
+            assert found == want and len(want) > 20_000
+    assert dedup.close_hashes(df.limit(0), 20).count() == 0
+
+
 def test_throttle_over_keys_and_nulls(spark):
     rng = random.Random(3)
     data = [(rng.choice(["a", "b", None]), rng.choice([None, *map(float, range(0, 900, 7))]), i) for i in range(400)]
