@@ -88,16 +88,24 @@ def scratch(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete the scratch tables that this application has written; returns their number.
+def drop_scratch(spark: SparkSession, since: int = 0, keep: Iterable[str] = ()) -> int:
+    """Delete the scratch tables that this application has written, but for the first `since` and those in keep (paths);
+    returns their number.
 
     The DataFrames that operators return still read them, so call this once their results are written.
     """
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
+    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    gone = [p for p in paths[since:] if p not in set(keep)]
+    for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return len(paths)
+        paths.remove(path)
+    return len(gone)
+
+
+def scratch_tables(spark: SparkSession) -> list[str]:
+    """Paths of the scratch tables that this application has written and not deleted."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,20 +1,21 @@
-"""Near copies by SimHash and Golay keys: candidates from a wide fingerprint, judged by five-word shingles.
+"""Near copies by SimHash and Golay keys: candidates from two wide fingerprints, judged by five-word shingles.
 
-Near copies of similarity 0.8 differ in far more than two bits of a fingerprint, so the fingerprint here is wide: 512
-bits over a text's distinct words, whose edits move fewer bits than those of shingles. 460 of them are cut into 20
-segments of 23 bits. Each segment is decoded with the Golay code to the indices of the code words near it
-(simhash.golay_indices), and an index with the first bits of the segment after it, taken exactly, is a key. With e
-errors in all, some segment has at most e / 20 of them (pigeonhole), and with the few that near copies have, several of
-the twenty keys hold.
+Near copies of similarity 0.8 differ in far more than two bits of a fingerprint, so there are two fingerprints of 512
+bits. One is a SimHash over a text's distinct words, which scattered edits hardly move. The other has a bit of the least
+of a text's shingles under each of 512 hashes: a bit differs between two texts with half of one less their similarity,
+whatever was edited, added or cut. Of both, segments of 23 bits are decoded with the Golay code to the indices of the
+code words near them (simhash.golay_indices), and an index with the first bits of the segment after it, taken exactly, is
+a key. With e errors in s segments, some segment has at most e / s of them (pigeonhole), and at a similarity of 0.8 a
+tenth of the second fingerprint's bits differ: two or three a segment, so that several of its 22 segments meet.
 
-Documents that share a key are candidates if few bits of the fingerprint differ, and few of a second one of 512 bits over
-five-word shingles; a candidate is a link if the Jaccard similarity of the sets of five-word shingles is 0.8 or more,
-computed on the whole texts.
+Documents that share a key are candidates unless more bits of the second fingerprint differ than chance allows at a
+similarity of 0.8 (six deviations beyond a tenth); a candidate is a link if the Jaccard similarity of the sets of
+five-word shingles is 0.8 or more, computed on the whole texts.
 
 Only distinct sets take part, so exact copies never multiply. Keys are sorted and each is gone through once; members
 without a near member in a key leave there, so accidental keys cost no more than that. Only links that can join two
 components are sought, in three steps: each member is compared with the few nearest that it shares a key with; then
-members outside a key's largest component with two members of that; then, in the keys that still hold several
+members outside a key's largest component with a member of that; then, in the keys that still hold several
 components, all members outside the largest with all members of others whose common shingles allow a similarity of 0.8.
 The first two steps only leave less to the third, which is exact: pairs within a component can't change the components.
 """
@@ -32,21 +33,30 @@ from loomframe.llm.components import connected_components
 from loomframe.llm.simhash import golay_indices
 
 SEED = 42
-#: Number of segments, bits of a segment, 64-bit words of a fingerprint.
-SEGMENTS, WIDTH, WORDS = 20, 23, 8
-#: Bits of the next segment in a key. One more for each doubling of the documents beyond 10^8 keeps keys small.
-EXACT = 15
-#: Most differing bits of candidates: of the first two words, and of all. Similar sets differ in 15 % at most as a rule.
-NEAR, NEAR_ALL = 28, 112
-#: Most differing bits, of 512, of the fingerprints over five-word shingles: 78 are expected at a similarity of 0.8, with
-#: a deviation of 8, and 61 on average among similar pairs of the test tables, of which 600 have 91 at most.
-NEAR_SHINGLES = 94
+#: Bits of a segment, 64-bit words of a fingerprint.
+WIDTH, WORDS = 23, 8
+#: Segments of the SimHash and of the fingerprint of least shingles, and bits of the next segment in a key of each. One
+#: more exact bit for each doubling of the documents beyond 10^8 keeps keys small.
+SEGMENTS, EXACT = (8, 22), (15, 12)
+#: The similarity that links, and deviations beyond the mean that its differing bits are allowed.
+LEAST, DEVIATIONS = 0.8, 6
+
+
+def _most(bits: int) -> int:
+    """Most differing bits of candidates: each differs with half of one less the similarity."""
+    share = (1 - LEAST) / 2
+    return int(bits * share + DEVIATIONS * (bits * share * (1 - share)) ** 0.5)
+
+
+#: Of the first two words, and of all of the fingerprint of least shingles.
+NEAR, NEAR_ALL = _most(128), _most(64 * WORDS)
 #: Partners of a member in the first two steps.
 FEW = 4
 #: Members of a key that are compared with each other at once.
 TOGETHER = 256
-FP, SHINGLE_FP = [f"w{k}" for k in range(WORDS)], [f"v{k}" for k in range(WORDS)]
-PRINTS = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), *((w, pa.int64()) for w in FP + SHINGLE_FP)])
+#: Words of the fingerprint of least shingles, and of the SimHash.
+FP, SIM = [f"w{k}" for k in range(WORDS)], [f"v{k}" for k in range(WORDS)]
+PRINTS = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), *((w, pa.int64()) for w in FP + SIM)])
 MEMBER = [("node", pa.int64()), ("w0", pa.int64()), ("w1", pa.int64())]
 KEYS = pa.schema([*MEMBER, ("keys", pa.list_(pa.int64()))])
 SHARED = pa.schema([("key", pa.int64()), *MEMBER, ("others", pa.list_(pa.int64())), ("distances", pa.list_(pa.int32()))])
@@ -99,16 +109,35 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
 
 
-def keys_of(prints: np.ndarray, exact: int = EXACT) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every key of the fingerprints, rows of WORDS 64-bit numbers."""
+#: 512 hashes of 32 bits: an odd factor and a summand each, by the hash of their number.
+_FACTORS, _SUMMANDS = (
+    np.array([xxhash.xxh64_intdigest(f"{name}{k}", SEED) & 0xFFFFFFFF for k in range(64 * WORDS)], np.uint32) for name in ("factor", "summand")
+)
+_FACTORS |= np.uint32(1)
+
+
+def least_bits(hashes: np.ndarray) -> np.ndarray:
+    """For each of 512 hashes one bit of the least value among the hashes given (at least one)."""
+    h = (hashes.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    least = np.full(64 * WORDS, np.iinfo(np.uint32).max, np.uint32)
+    for k in range(0, len(h), 64):
+        np.minimum(least, (h[k : k + 64, None] * _FACTORS + _SUMMANDS).min(axis=0), out=least)
+    mixed = (least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return np.packbits((mixed >> np.uint32(31)).astype(bool), bitorder="little").view(np.int64)
+
+
+def keys_of(prints: np.ndarray, segments: int, exact: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every key of the fingerprints, rows of WORDS 64-bit numbers. first: the number of the first segment,
+    which is part of a key."""
     bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
-    segments = bits[:, : SEGMENTS * WIDTH].reshape(-1, SEGMENTS, WIDTH) @ (1 << np.arange(WIDTH, dtype=np.int64))
+    every = 64 * WORDS // WIDTH
+    words = bits[:, : every * WIDTH].reshape(-1, every, WIDTH) @ (1 << np.arange(WIDTH, dtype=np.int64))
     rows, keys = [], []
-    for k in range(SEGMENTS):
-        row, index = golay_indices(segments[:, k])
+    for k in range(segments):
+        row, index = golay_indices(words[:, k])
         rows.append(row)
-        low = segments[row, (k + 1) % SEGMENTS] & ((1 << exact) - 1)
-        keys.append((k << (12 + exact)) | (low << 12) | index)
+        low = words[row, (k + 1) % every] & ((1 << exact) - 1)
+        keys.append(((first + k) << (12 + exact)) | (low << 12) | index)
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -121,18 +150,20 @@ def _prints(it):
                 words = split_words(text)
                 own = shingles(words)
                 nodes.append(node_of(own))
-                prints.append(np.concatenate((fingerprint(word_hashes(words)), fingerprint(own))))
+                prints.append(np.concatenate((least_bits(own), fingerprint(word_hashes(words)))))
             columns = np.array(prints).T
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), *map(pa.array, columns)], schema=PRINTS)
 
 
-def _keys(exact: int):
+def _keys(exact: tuple[int, int]):
     def run(it):
         for batch in it:
-            prints = np.stack([batch.column(w).to_numpy() for w in FP], axis=1)
-            row, key = keys_of(prints, exact)
+            sim, least = (np.stack([batch.column(w).to_numpy() for w in names], axis=1) for names in (SIM, FP))
+            one = keys_of(sim, SEGMENTS[0], exact[0])
+            two = keys_of(least, SEGMENTS[1], exact[1], first=SEGMENTS[0] << max(0, exact[0] - exact[1]))
+            row, key = (np.concatenate(c) for c in zip(one, two, strict=True))
             order = np.argsort(row, kind="stable")
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(prints))))).astype(np.int32)
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(least))))).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c, _ in MEMBER), keys], schema=KEYS)
 
@@ -231,8 +262,8 @@ def similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
 
     nodes: node, least_id, fingerprint words. rows: doc_id, text.
     """
-    one, two = (nodes.select(F.col("node").alias(k), *(F.col(w).alias(f"{k}{w}") for w in FP + SHINGLE_FP)) for k in "ab")
-    near = pairs.join(one, "a").join(two, "b").where(f"{_differ('a', 'b', FP)} <= {NEAR_ALL} AND {_differ('a', 'b', SHINGLE_FP)} <= {NEAR_SHINGLES}")
+    one, two = (nodes.select(F.col("node").alias(k), *(F.col(w).alias(f"{k}{w}") for w in FP)) for k in "ab")
+    near = pairs.join(one, "a").join(two, "b").where(f"{_differ('a', 'b', FP)} <= {NEAR_ALL}")
     near = scratch(near.select("a", "b"), "candidates")
     sets = shingle_sets(near.select(F.explode(F.array("a", "b")).alias("node")), nodes, rows)
     one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
@@ -285,12 +316,12 @@ def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
     return scratch(placed.join(mixed.select("key", F.col("most.component").alias("main")), "key"), "mixed-keys")
 
 
-def links(nodes: DataFrame, rows: DataFrame, exact: int = EXACT) -> DataFrame:
+def links(nodes: DataFrame, rows: DataFrame, exact: tuple[int, int] = EXACT) -> DataFrame:
     """a, b: similar pairs that join all similar sets that share a key, directly or by way of others.
 
     nodes: node, least_id, fingerprint words. rows: doc_id, text.
     """
-    keyed = nodes.select("node", *FP).mapInArrow(_keys(exact), ddl(KEYS)).select(F.explode("keys").alias("key"), *(c for c, _ in MEMBER))
+    keyed = nodes.select("node", *FP, *SIM).mapInArrow(_keys(exact), ddl(KEYS)).select(F.explode("keys").alias("key"), *(c for c, _ in MEMBER))
     # one exchange; a key has at most one row of each node, which is one in a hundred of all rows
     shared = scratch(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(released(_near(TOGETHER)), ddl(SHARED)), "golay-keys")
     first = shared.select("node", F.explode(F.arrays_zip("others", "distances")).alias("o")).select(
@@ -302,23 +333,21 @@ def links(nodes: DataFrame, rows: DataFrame, exact: int = EXACT) -> DataFrame:
     member = F.struct("node", "w0", "w1")
     ends = placed.where("component = main").groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high"))
     away = lambda e: F.bit_count(F.col("w0").bitwiseXOR(e["w0"])) + F.bit_count(F.col("w1").bitwiseXOR(e["w1"]))
-    near_ends = F.filter(F.array("low", "high"), lambda e: away(e) <= NEAR)
-    outside = placed.where("component != main").join(ends, "key").withColumn("end", F.explode(near_ends))
-    outside = outside.select(
-        "node", F.col("end.node").alias("other"), F.expr(_distance("", "end.")).alias("distance"),
-    ).where(f"distance <= {NEAR}")
+    near_ends = F.transform(F.array("low", "high"), lambda e: F.struct(away(e).alias("distance"), e["node"].alias("node")))
+    outside = placed.where("component != main").join(ends, "key").withColumn("end", F.array_min(near_ends))
+    outside = outside.select("node", F.col("end.node").alias("other"), F.col("end.distance").alias("distance")).where(f"distance <= {NEAR}")
     more = scratch(_closest(outside).join(tested, ["a", "b"], "left_anti"), "main-pairs")
     if more.limit(1).count():
         tested = tested.unionByName(more)
         found = found.unionByName(scratch(similar(more, nodes, rows), "similar-pairs"))
         placed = _mixed(shared, found)
     own = placed.groupBy("node").agg(F.collect_list("key").alias("own"))  # a node has about a hundred keys
-    able = common_parts(placed, nodes, rows).join(own, "node").join(nodes.select("node", *SHINGLE_FP), "node")
+    able = common_parts(placed, nodes, rows).join(own, "node").join(nodes.select("node", *FP[2:]), "node")
     placed = scratch(placed.join(able, "node"), "last-keys")
     near = (
         "x.key = y.key AND x.component != y.component AND (y.component = y.main OR x.node < y.node) "
         "AND 9 * least(x.common, y.common) >= 4 * (x.size + y.size) AND "
-        f"{_distance('x.', 'y.')} <= {NEAR} AND {_differ('x.', 'y.', SHINGLE_FP)} <= {NEAR_SHINGLES} "
+        f"{_distance('x.', 'y.')} <= {NEAR} AND {_differ('x.', 'y.', FP)} <= {NEAR_ALL} "
         "AND x.key = array_min(array_intersect(x.own, y.own))"  # of the keys that both have, at the first
     )
     rest = placed.where("component != main").alias("x").join(placed.alias("y"), F.expr(near)).select(*_pair("x.node", "y.node")).distinct()
@@ -326,7 +355,7 @@ def links(nodes: DataFrame, rows: DataFrame, exact: int = EXACT) -> DataFrame:
     return found.unionByName(similar(rest, nodes, rows)) if rest.limit(1).count() else found
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: int = EXACT) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: tuple[int, int] = EXACT) -> DataFrame:
     """id_col, component_id: the smallest id reachable over links (similarity 0.8 or more), a row per row.
 
     Null text counts as empty; texts without words are copies of each other, and so are texts of equal shingle sets.
@@ -336,7 +365,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     found = scratch(rows.mapInArrow(released(_prints), ddl(PRINTS)), "wide-prints")
-    nodes = scratch(found.groupBy("node").agg(F.min("doc_id").alias("least_id"), *(F.min(w).alias(w) for w in FP + SHINGLE_FP)), "distinct-sets")
+    nodes = scratch(found.groupBy("node").agg(F.min("doc_id").alias("least_id"), *(F.min(w).alias(w) for w in FP + SIM)), "distinct-sets")
     parts = connected_components(links(nodes, rows, exact), "a", "b")
     rooted = nodes.select("node", "least_id").join(parts, "node", "left").withColumn("root", F.coalesce("component", "node"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))

@@ -43,6 +43,50 @@ def test_stage_against_brute_force(spark):
     assert near_copies.near_copies(docs.limit(0)).count() == 0
 
 
+def _edited(rng, words, size, kind):
+    """A text and a copy, edited as far as a similarity of 0.8 allows or a little less."""
+    base = rng.choices(words, k=size)
+    shingles, at = max(1, size - 4), rng.randrange(size)
+    if kind == "end":
+        return base, base + rng.choices(words, k=shingles // 4)
+    if kind == "inserted":
+        return base, base[:at] + rng.choices(words, k=max(0, shingles // 4 - 8)) + base[at:]
+    if kind == "cut":
+        return base, base[: size - shingles // 5]
+    if kind == "head":
+        return base, base[shingles // 5 :]
+    own = list(base)
+    if kind == "changed":
+        own[size - max(1, shingles // 9) :] = rng.choices(words, k=max(1, shingles // 9))
+    else:
+        for _ in range(max(1, shingles // 45)):
+            own[rng.randrange(size)] = rng.choice(words)
+    return base, own
+
+
+def test_recall_of_every_kind_of_edit(spark):
+    """Added, inserted, cut and scattered edits of 8 to 5,000 words: nearly all pairs of 0.8 or more are joined, no other."""
+    rng, rows, pairs = random.Random(11), [], []
+    words = [f"w{k}" for k in range(20_000)]
+    for size, many in ((8, 25), (16, 25), (60, 25), (120, 25), (300, 20), (1000, 8), (5000, 3)):
+        for kind in ("end", "inserted", "cut", "head", "changed", "scattered"):
+            for _ in range(many):
+                one, two = _edited(rng, words, size, kind)
+                sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (one, two)]
+                similar = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+                pairs.append((len(rows), kind, size, similar))
+                rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join(two))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    component = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    wrong = [p for p in pairs if p[3] < 0.8 and component[p[0] + 1] != p[0] + 1]
+    due = [p for p in pairs if p[3] >= 0.8]
+    missed = [p for p in due if component[p[0] + 1] != p[0]]
+    assert not wrong and len(due) > 450 and len(missed) <= 0.03 * len(due)
+    for kind in {p[1] for p in due}:
+        own = [p for p in due if p[1] == kind]
+        assert sum(p in missed for p in own) <= 0.05 * len(own), kind
+
+
 def test_null_and_repeated_ids(spark):
     base = [f"a{k}" for k in range(60)]
     bridge, far = base[:58], base[:50]
