@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm import line_dedup, near_copies, packing, quality, simhash, toxicity
-from loomframe.llm.common import scratch, table, unused
+from loomframe.llm.common import drop_scratch, scratch, scratch_tables, table, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a similarity of 0.8 or more over five-word shingles the smallest id stays.
 
-    Candidates come from Golay keys of a SimHash fingerprint. Texts without words are one group. Of rows that share an
+    Candidates come from Golay keys of a SimHash and of a fingerprint of least shingles. Texts without words are one group. Of rows that share an
     id and stay, one stays; rows with a null id stay.
     """
     return simhash.keep_one_of_each(docs, groups=near_copies.near_copies)
@@ -64,8 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents table."""
+    """The stages over the documents table. What a stage has written is deleted once the next one's rows are."""
     docs = table(spark, sf_dir, "documents")
+    before = len(scratch_tables(spark))
     for name, stage in STAGES[:-1]:
         docs = scratch(stage(spark, docs, sf_dir), name)
+        drop_scratch(spark, since=before, keep=scratch_tables(spark)[-1:])
     return STAGES[-1][1](spark, docs, sf_dir)
