@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.functions.regions import aligned as align
+
 SIDE, SCALE = 8, 4
 
 
@@ -71,13 +73,6 @@ def changed_ratio(before: np.ndarray, after: np.ndarray, least: int = 5) -> floa
     return float((np.abs(before - after) > least).mean()) if before.size else 0.0
 
 
-def align(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """`before` shifted onto `after` by phase correlation."""
-    cross = np.fft.fft2(after) * np.conj(np.fft.fft2(before))
-    peak = np.unravel_index(np.argmax(np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)).real), before.shape)
-    return np.roll(before, peak, axis=(0, 1))
-
-
 def image_statistics(images: DataFrame) -> DataFrame:
     """path, blur (Laplacian variance), brightness (mean gray), block (64 coefficients) of image-source rows."""
 
@@ -99,6 +94,21 @@ def image_statistics(images: DataFrame) -> DataFrame:
     ).mapInPandas(run, "path string, blur double, brightness double, block array<double>")
 
 
+def image_pairs(pairs: DataFrame, *keep: str) -> DataFrame:
+    """The columns in keep, and data, height, width, channels of before and after (image structs) as columns of each."""
+    fields = {"data": "data", "height": "height", "width": "width", "nChannels": "channels"}
+    parts = [F.col(c)[f].alias(f"{c}_{n}") for c in ("before", "after") for f, n in fields.items()]
+    return pairs.select(*keep, *parts)
+
+
+def gray_pair(row) -> tuple[np.ndarray, np.ndarray]:
+    """Both gray images of a row of image_pairs."""
+    return (
+        gray_of(row.before_data, row.before_height, row.before_width, row.before_channels),
+        gray_of(row.after_data, row.after_height, row.after_width, row.after_channels),
+    )
+
+
 def change_ratios(pairs: DataFrame, aligned: bool = False) -> DataFrame:
     """sample_id, ratio for rows sample_id, before, after (image structs)."""
 
@@ -106,24 +116,13 @@ def change_ratios(pairs: DataFrame, aligned: bool = False) -> DataFrame:
         for f in frames:
             rows = []
             for r in f.itertuples():
-                a, b = gray_of(*r.before), gray_of(*r.after)
+                a, b = gray_pair(r)
                 if aligned and a.shape == b.shape:
-                    a = align(a, b)
+                    a = np.rint(align(a, b))
                 rows.append((r.sample_id, changed_ratio(a, b)))
             yield pd.DataFrame(rows, columns=["sample_id", "ratio"])
 
-    part = lambda c: F.struct(F.col(c)["data"].alias("data"), F.col(c)["height"].alias("height"), F.col(c)["width"].alias("width"), F.col(c)["nChannels"].alias("channels")).alias(c)
-    flat = pairs.select("sample_id", part("before"), part("after"))
-
-    def unpack(frames):
-        for f in frames:
-            yield from run(
-                [pd.DataFrame({"sample_id": f["sample_id"], "before": [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in f["before"].apply(lambda s: s if not hasattr(s, "asDict") else s.asDict())], "after": [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in f["after"].apply(lambda s: s if not hasattr(s, "asDict") else s.asDict())]})]
-            )
-
-    return flat.mapInPandas(unpack, "sample_id string, ratio double")
-
-
+    return image_pairs(pairs, "sample_id").mapInPandas(run, "sample_id string, ratio double")
 def content_hash(files: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
     """One hash of a set of files: SHA-256 over the files' own SHA-256 in order of name (a variant that distributes)."""
     each = files.select(F.col(name).alias("n"), F.sha2(F.col(content), 256).alias("h"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.functions.geometry import Box, area, center
+from loomframe.functions.hashing import gray_pair, image_pairs
+from loomframe.functions.regions import changed_boxes, changed_near
 from loomframe.operators.labels import primary_roi
 
 #: A candidate of any signal.
@@ -45,18 +48,52 @@ def largest_first(boxes: Column) -> Column:
 
 
 def contour_boxes(found: DataFrame, total_pixels: Column, least_area: float = 100.0) -> DataFrame:
-    """Changed regions of at least least_area pixels as candidates; confidence is a hundredfold share of the image."""
-    size = (F.col("w") * F.col("h")).cast("double")
+    """Changed regions (x, y, w, h, area of the shape) of at least least_area as candidates; confidence is a hundredfold
+    share of the image by the shape's area."""
     kept = found.where(F.col("area") >= least_area)
     values = {"x1": F.col("x"), "y1": F.col("y"), "x2": F.col("x") + F.col("w"), "y2": F.col("y") + F.col("h")}
     rest = [F.col(c) for c in found.columns if c not in (*CANDIDATE, "x", "y", "w", "h", "area")]
-    confidence = F.least(F.lit(1.0), size / total_pixels * 100)
+    confidence = F.least(F.lit(1.0), F.col("area").cast("double") / total_pixels * 100)
     own = [c.cast("double").alias(n) for n, c in values.items()]
     return kept.select(
         *rest, *own, F.lit("diff").alias("signal"), confidence.alias("confidence"), F.lit(None).cast("string").alias("semantic_text"),
     )
 
 
+def diff_boxes(
+    pairs: DataFrame, key: str, threshold: float = 0.02, least_area: float = 100.0, align: bool = False,
+) -> DataFrame:
+    """key, at, and a candidate's columns: the regions that differ between before and after (image structs), the largest
+    first (at from 0). Images of different size have none."""
+    return _diff(pairs, key, "diff", lambda r, a, b: changed_boxes(a, b, threshold, least_area, align))
+
+
+def local_diff_boxes(
+    pairs: DataFrame, key: str, x: str, y: str, radius: int = 180, threshold: float = 0.02, least_area: float = 40.0, align: bool = True,
+) -> DataFrame:
+    """diff_boxes within `radius` pixels of the point in columns x and y; rows without a point have none."""
+
+    def find(r, a, b):
+        return [] if pd.isna(r.px) or pd.isna(r.py) else changed_near(a, b, r.px, r.py, radius, threshold, least_area, align)
+
+    return _diff(pairs.withColumn("px", F.col(x).cast("double")).withColumn("py", F.col(y).cast("double")), key, "diff_local", find, "px", "py")
+
+
+def _diff(pairs: DataFrame, key: str, signal: str, find, *more: str) -> DataFrame:
+    def run(frames):
+        for f in frames:
+            rows = []
+            for r in f.itertuples():
+                found = find(r, *gray_pair(r))
+                rows += [(r.key, k, *box[:4], signal, box[4], None) for k, box in enumerate(found)]
+            yield pd.DataFrame(rows, columns=[key, "at", *CANDIDATE])
+
+    kind = dict(pairs.dtypes)[key]
+    schema = f"{key} {kind}, at int, x1 double, y1 double, x2 double, y2 double, signal string, confidence double, semantic_text string"
+    rows = pairs.where("before IS NOT NULL AND after IS NOT NULL").withColumn("key", F.col(key))
+    return image_pairs(rows, "key", *more).mapInPandas(run, schema)
+
+
 def event_position(metadata: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
     """Struct x, y within [0, 1]: the recorded normalised point if both parts are there, else the event's over the size.
 

@@ -59,7 +59,7 @@ def largest_first(spark, d):
     )
 
 
-@query("contour_boxes", """SELECT p_partkey, (p_size * 3)::DOUBLE AS x1, (p_size * 4)::DOUBLE AS x2, least(1::DOUBLE, p_size * (p_partkey % 50) / 1e6 * 100) AS confidence
+@query("contour_boxes", """SELECT p_partkey, (p_size * 3)::DOUBLE AS x1, (p_size * 4)::DOUBLE AS x2, least(1::DOUBLE, p_size * 4 / 1e6 * 100) AS confidence
  FROM part WHERE p_size * 4 >= 100""")
 def contour_boxes(spark, d):
     size = F.col("p_size")
@@ -74,6 +74,31 @@ def contour_boxes(spark, d):
     return candidates.contour_boxes(found, F.lit(1e6)).select("p_partkey", "x1", "x2", "confidence")
 
 
+def _frames(spark, d):
+    """Two frames of 32 by 32 gray pixels a vector: its first 64 values as squares, and the same with those of the next id's
+    label (every fourth square or so) in other shades."""
+    shade = lambda v: f"abs(cast({v} * 997 AS int)) % 256"
+    pixel = "embedding[(p div 128) * 8 + (p % 32) div 4]"
+    other = f"CASE WHEN ((p div 128) * 8 + (p % 32) div 4 + vec_id) % 11 < 3 THEN ({shade(pixel)} + 60 + vec_id % 40) % 256 ELSE {shade(pixel)} END"
+    data = lambda v: F.expr(f"unhex(array_join(transform(sequence(0, 1023), p -> lpad(hex({v}), 2, '0')), ''))")
+    image = lambda c: F.struct(F.lit(32).alias("height"), F.lit(32).alias("width"), F.lit(1).alias("nChannels"), c.alias("data"))
+    return table(spark, d, "embeddings").where("size(embedding) >= 64").select(
+        "vec_id", image(data(shade(pixel))).alias("before"), image(data(other)).alias("after"),
+    )
+
+
+@query("diff_boxes")
+def diff_boxes(spark, d):
+    """Boxes of changed squares; connected shapes have no SQL, tests hold them against a flood fill."""
+    return candidates.diff_boxes(_frames(spark, d), "vec_id", least_area=4.0)
+
+
+@query("local_diff_boxes")
+def local_diff_boxes(spark, d):
+    frames = _frames(spark, d).withColumn("cx", F.col("vec_id") % 32).withColumn("cy", (F.col("vec_id") * 7) % 32)
+    return candidates.local_diff_boxes(frames, "vec_id", "cx", "cy", radius=10, least_area=4.0, align=False)
+
+
 @query("event_position", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.25 WHEN event_id % 7 <> 0 THEN value / 1920 END AS x, CASE WHEN event_id % 3 = 0 THEN 0.5
  WHEN event_id % 7 <> 0 THEN user_id / 1080 END AS y FROM events""")
 def event_position(spark, d):
