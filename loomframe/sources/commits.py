@@ -29,25 +29,26 @@ def numbers(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
 
+def entry(spark: SparkSession, folder: str, number: int) -> dict:
+    path, files = _open(spark, f"{folder}/{_name(number)}")
+    stream = files.open(path)
+    try:
+        return json.loads(bytes(stream.readAllBytes()))
+    finally:
+        stream.close()
+
+
 def read(spark: SparkSession, folder: str) -> list[tuple[int, dict]]:
     """(number, entry) in order. The log holds an entry a commit, not rows."""
-    out = []
-    for n in numbers(spark, folder):
-        path, files = _open(spark, f"{folder}/{_name(n)}")
-        with_ = files.open(path)
-        try:
-            out.append((n, json.loads(bytes(with_.readAllBytes()))))
-        finally:
-            with_.close()
-    return out
+    return [(n, entry(spark, folder, n)) for n in numbers(spark, folder)]
 
 
-def _put(spark: SparkSession, folder: str, number: int, entry: dict) -> bool:
-    """Whether the entry is now commit `number`; False where another writer has it. The entry appears whole or not."""
+def _put(spark: SparkSession, folder: str, number: int, body: dict) -> bool:
+    """Whether the body is now commit `number`; False where another writer has it. The entry appears whole or not."""
     path, files = _open(spark, folder)
     files.mkdirs(path)
     path = files.makeQualified(path)
-    text = json.dumps(entry, sort_keys=True)
+    text = json.dumps(body, sort_keys=True)
     if files.getUri().getScheme() == "file":
         base = path.toUri().getPath()
         draft = f"{base}/.{uuid.uuid4().hex}"
@@ -83,14 +84,14 @@ def _rename(spark: SparkSession, path, number: int, text: str) -> bool:
     return True
 
 
-def append(spark: SparkSession, folder: str, entry: dict, number: int | None = None) -> int:
+def append(spark: SparkSession, folder: str, body: dict, number: int | None = None) -> int:
     """Add an entry and return its number: the last one and one, tried again while other writers are faster.
 
     With a number, the entry is that commit or an error: for writers whose entry holds only after the commits they read.
     """
     while True:
         own = (numbers(spark, folder) or [0])[-1] + 1 if number is None else number
-        if _put(spark, folder, own, entry):
+        if _put(spark, folder, own, body):
             return own
         if number is not None:
             raise FileExistsError(f"commit {number} of {folder} is taken")

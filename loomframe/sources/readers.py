@@ -44,6 +44,7 @@ def _folders(spark: SparkSession, folder: str) -> DataFrame:
             raise
         return spark.createDataFrame([], "session_id string, sample_id string, image_path string")
     pre = F.max(F.when(F.col("path").endswith("/pre.png"), F.col("path")))
+    files = files.where(F.col("path").rlike(r"/samples/sample_[^/]+/[^/]+$"))  # not those of a folder in it, such as clip
     return files.groupBy(*place(F.col("path"))).agg(pre.alias("image_path"))
 
 

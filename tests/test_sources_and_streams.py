@@ -175,8 +175,8 @@ def test_gesture_stream_equals_steps(spark, tmp_path):
         )
     src = tmp_path / "in"
     src.mkdir()
-    (src / "a.json").write_text("\n".join(map(json.dumps, raw)))
-    q = recorder.record(spark, str(src), str(tmp_path / "out"), str(tmp_path / "cp"))
+    (src / "a.json").write_text("\n".join(map(json.dumps, raw)) + "\n")
+    q = recorder.record_events(spark, str(src), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert q.exception() is None
     got = sorted((r.source, r.timestamp_ms, r.action) for r in spark.read.parquet(str(tmp_path / "out")).collect())
