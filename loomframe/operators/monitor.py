@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.operators import scans
+
 
 def frame_signals(scores: Column, low: float = 0.25) -> dict[str, Column]:
     """mean_confidence (0 without elements) and uncertain_count of a frame's array of scores."""
@@ -21,16 +23,30 @@ def is_drifted(score: Column, bits: int = 12) -> Column:
     return score > bits / 64.0
 
 
-def latch(rows: DataFrame, flag: str, order: str, key: str) -> DataFrame:
-    """latched: the flag has been true on this row or one before it of the same key."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("latched", F.max(flag).over(w))
+def latch(rows: DataFrame, flag: str, order: str, key: str, spread: bool | None = None) -> DataFrame:
+    """latched: the flag has been true on this row or one before it of the same key.
+
+    spread: whether a key's rows are spread over ranges (scans); None: if one has more than scans.HOT rows.
+    """
+    own = rows.columns
+    spread = scans.crowded(rows.select(key), [key]) if spread is None else spread
+    if not spread:
+        w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("latched", F.max(flag).over(w))
+    parts = scans.carried(scans.parted(rows, [key], [order]), "__before", F.max(flag), lambda c: F.max(c))
+    w = scans.within().orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return parts.select(*own, F.greatest(F.max(flag).over(w), F.col("__before")).alias("latched"))
 
 
-def confidence_window(rows: DataFrame, value: str, order: str, key: str, n: int = 100) -> DataFrame:
-    """window_n, window_mean over the last n rows of the key."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(n - 1), 0)
-    return rows.withColumn("window_n", F.count(value).over(w)).withColumn("window_mean", F.avg(value).over(w))
+def confidence_window(rows: DataFrame, value: str, order: str, key: str, n: int = 100, spread: bool | None = None) -> DataFrame:
+    """window_n, window_mean over the last n rows of the key. spread: as in latch."""
+    own = rows.columns
+    spread = scans.crowded(rows.select(key), [key]) if spread is None else spread
+    if spread:
+        rows = scans.with_rows_before(scans.parted(rows, [key], [order]), [order], n - 1)
+    w = (scans.within() if spread else Window.partitionBy(key)).orderBy(order).rowsBetween(-(n - 1), 0)
+    out = rows.withColumn("window_n", F.count(value).over(w)).withColumn("window_mean", F.avg(value).over(w))
+    return out.where(f"NOT {scans.HALO}").select(*own, "window_n", "window_mean") if spread else out
 
 
 def retrain_decision(

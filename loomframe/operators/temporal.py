@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.operators import scans
+
 
 def nearest_asof(
     events: DataFrame, frames: DataFrame, event_ts: str, frame_ts: str, frame_ord: str, tolerance: float, keys: tuple[str, ...] = (),
@@ -31,15 +33,28 @@ def nearest_asof(
     return best.select(*events.columns, *(F.col("__frame")[c].alias(c) for c in own), "time_delta")
 
 
-def nearest_unbounded(probes: DataFrame, frames: DataFrame, probe_ts: str, frame_ts: str, keys: list[str]) -> DataFrame:
-    """Each probe with the nearest frame of its keys, however far; ties to the earlier frame. keys cut the work."""
+def nearest_unbounded(
+    probes: DataFrame, frames: DataFrame, probe_ts: str, frame_ts: str, keys: list[str], spread: bool | None = None,
+) -> DataFrame:
+    """Each probe with the nearest frame of its keys, however far; ties to the earlier frame.
+
+    spread: whether a key's rows are spread over ranges (scans); None: if one has more than scans.HOT rows.
+    """
     cols = [F.col(k) for k in keys]
     both = probes.select(*cols, F.col(probe_ts).alias("__t"), F.struct(*probes.columns).alias("__probe"), F.lit(None).cast("double").alias("__f")).unionByName(
         frames.select(*cols, F.col(frame_ts).alias("__t"), F.col(frame_ts).cast("double").alias("__f")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__t")
+    spread = scans.crowded(both.select(*keys), keys) if spread is None else spread
+    if spread:
+        both = scans.parted(both, keys, ["__t"])
+        both = scans.carried(both, "__low", F.max("__f"), lambda c: F.max(c))
+        both = scans.carried(both, "__high", F.min("__f"), lambda c: F.min(c), ahead=True)
+    w = (scans.within() if spread else Window.partitionBy(*keys)).orderBy("__t")
+    none = F.lit(None).cast("double")
     seen = both.withColumn(
-        "__before", F.last("__f", True).over(w.rangeBetween(Window.unboundedPreceding, 0)),
-    ).withColumn("__after", F.first("__f", True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+        "__before", F.coalesce(F.last("__f", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.col("__low") if spread else none),
+    ).withColumn(
+        "__after", F.coalesce(F.first("__f", True).over(w.rangeBetween(0, Window.unboundedFollowing)), F.col("__high") if spread else none),
+    )
     before, after, t = F.col("__before"), F.col("__after"), F.col("__t")
     pick = F.when(after.isNull() | (t - before <= after - t), before).otherwise(after)
     return seen.where(F.col("__probe").isNotNull()).select("__probe.*", pick.alias("frame_ts"))
@@ -75,14 +90,23 @@ def double_clicks(
     y: str | None = None,
     within_ms: float = 300.0,
     within_px: float = 12.0,
+    spread: bool | None = None,
 ) -> DataFrame:
-    """is_double: the click-like row before it of the same key is near in time and, given x and y, in place."""
-    w = Window.partitionBy(key).orderBy(ts, order)
+    """is_double: the click-like row before it of the same key is near in time and, given x and y, in place.
+
+    spread: whether a key's rows are spread over ranges (scans); None: if one has more than scans.HOT rows.
+    """
+    own = clicks.columns
+    spread = scans.crowded(clicks.select(key), [key]) if spread is None else spread
+    if spread:
+        clicks = scans.with_rows_before(scans.parted(clicks, [key], [ts, order]), [ts, order], 1)
+    w = (scans.within() if spread else Window.partitionBy(key)).orderBy(ts, order)
     near = F.col(ts) - F.lag(ts).over(w) <= within_ms
     if x and y:
         dx, dy = F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)
         near = near & (F.sqrt(dx * dx + dy * dy) <= within_px)
-    return clicks.withColumn("is_double", F.coalesce(near, F.lit(False)))
+    out = clicks.withColumn("is_double", F.coalesce(near, F.lit(False)))
+    return out.where(f"NOT {scans.HALO}").select(*own, "is_double") if spread else out
 
 
 def throttle(rows: DataFrame, key: str, ts: str, order: str, gap: float) -> DataFrame:

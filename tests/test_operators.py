@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomframe.functions.geometry import Box
-from loomframe.operators import dedup, improve, labels, metrics, monitor, profile, quality, review, split, temporal
+from loomframe.operators import dedup, improve, labels, metrics, monitor, profile, quality, review, scans, split, temporal
 
 
 def rows(df):
@@ -97,6 +97,30 @@ def test_close_pairs_against_brute_force(spark, most):
     assert rows(dedup.close_pairs(df, "h", "o", most)) == sorted(want)
 
 
+def test_scans_of_hot_keys(spark):
+    """One key with nearly all rows is spread over ranges, with the result of one window."""
+    rng = random.Random(6)
+    data = [("hot" if k % 50 else rng.choice(["a", "b", None]), float(rng.randrange(4000)), k, rng.random() < 0.01, rng.random() if k % 7 else None) for k in range(3000)]
+    df = spark.createDataFrame(data, "k string, t double, o int, flag boolean, v double").repartition(4)
+    place = F.struct("t", "o")
+    df = df.withColumn("at", place)
+    parts = scans.parted(df, ["k"], ["t", "o"], ranges=9)
+    assert parts.where("k = 'hot'").select(scans.PART).distinct().count() >= 7
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same = lambda f: sorted(map(str, f(True).collect())) == sorted(map(str, f(False).collect()))
+        assert same(lambda s: monitor.latch(df, "flag", "at", "k", spread=s))
+        for n in (1, 2, 100, 2900):
+            assert same(lambda s: monitor.confidence_window(df, "v", "at", "k", n=n, spread=s).withColumn("window_mean", F.round("window_mean", 9)))
+        assert same(lambda s: temporal.double_clicks(df, "k", "t", "o", "v", "t", within_ms=2.0, spread=s))
+        probes, frames = df.where("o % 3 = 0").select("k", "t", "o"), df.where("o % 3 = 1 AND o < 900").select("k", F.col("t").alias("f"))
+        assert same(lambda s: temporal.nearest_unbounded(probes, frames, "t", "f", ["k"], spread=s))
+        assert scans.crowded(df, ["k"], 2000) and not scans.crowded(df, ["k"])
+        assert monitor.latch(df.limit(0), "flag", "at", "k", spread=True).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_far_pairs_in_tiles(spark, monkeypatch):
     """Beyond 15 bits blocks meet in tiles, never in a nested loop, and groups too far apart don't meet."""
     rng = random.Random(5)
