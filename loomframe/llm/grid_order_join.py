@@ -40,7 +40,13 @@ LEAF = 256
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
     v = vectors.astype(np.float64)
-    return v / np.sqrt((v * v).sum(axis=1))[:, None]
+    with np.errstate(over="ignore"):
+        norm = np.sqrt((v * v).sum(axis=1))
+    odd = ~np.isfinite(norm) | (norm < 1e-150)  # squares beyond what a double holds
+    if odd.any():
+        v[odd] /= np.abs(v[odd]).max(axis=1)[:, None]
+        norm[odd] = np.sqrt((v[odd] * v[odd]).sum(axis=1))
+    return v / norm[:, None]
 
 
 def _by_dim(batch):
@@ -80,7 +86,7 @@ def principal(vectors: DataFrame, leading: int) -> dict[int, np.ndarray]:
     return out
 
 
-def _place(axes, eps):
+def _place(axes, eps, kind):
     def run(it):
         for batch in it:
             n = batch.num_rows
@@ -88,7 +94,7 @@ def _place(axes, eps):
             for dim, rows, matrix in _by_dim(batch):
                 c = np.floor(_unit(matrix) @ axes.value[dim] / eps).astype(np.int64)
                 for i, row in enumerate(rows):
-                    cells[row], data[row] = c[i].tolist(), matrix[i].astype("<f4").tobytes()
+                    cells[row], data[row] = c[i].tolist(), matrix[i].astype(kind).tobytes()
                 dims[rows] = dim
             yield pa.RecordBatch.from_arrays(
                 [
@@ -136,13 +142,13 @@ def _arrow(rows, schema):
 
 
 class Side:
-    """A block: ids, numbers, unit vectors and their projections."""
+    """A block: ids, numbers, unit vectors and their projections. kind: of a vector's numbers, <f4 or <f8."""
 
-    def __init__(self, data: bytes, dim: int, axes: np.ndarray) -> None:
-        n = len(data) // (16 + 4 * dim)
+    def __init__(self, data: bytes, dim: int, axes: np.ndarray, kind: str = "<f4") -> None:
+        n = len(data) // (16 + np.dtype(kind).itemsize * dim)
         self.ids = np.frombuffer(data, "<i8", n)
         self.n = np.frombuffer(data, "<i8", n, 8 * n)
-        self.unit = _unit(np.frombuffer(data, "<f4", n * dim, 16 * n).reshape(n, dim))
+        self.unit = _unit(np.frombuffer(data, kind, n * dim, 16 * n).reshape(n, dim))
         self.at = self.unit @ axes
         self.links = np.zeros(n, np.int64)
 
@@ -210,14 +216,14 @@ def join_blocks(a: Side, b: Side, same: bool, least: float, eps: float) -> np.nd
     return np.array([find(x) for x in range(len(parent))])
 
 
-def _join(axes, least, eps):
+def _join(axes, least, eps, kind):
     def run(it):
         for batch in it:
             for k in range(batch.num_rows):
                 dim, one, two, left, right = (batch.column(c)[k].as_py() for c in ("dim", "one", "two", "left", "right"))
-                a = Side(left, dim, axes.value[dim])
+                a = Side(left, dim, axes.value[dim], kind)
                 same = one == two
-                b = a if same else Side(right, dim, axes.value[dim])
+                b = a if same else Side(right, dim, axes.value[dim], kind)
                 roots = join_blocks(a, b, same, least, eps)
                 ids = a.ids if same else np.concatenate([a.ids, b.ids])
                 links = a.links if same else np.concatenate([a.links, b.links])
@@ -246,9 +252,11 @@ def near_vectors(
     spark = vectors.sparkSession
     ship(spark)
     eps = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
+    narrow = dict(vectors.dtypes)[vector_col] == "array<float>"  # other numbers are kept in double precision
+    kind = "<f4" if narrow else "<f8"
     rows = vectors.select(
         F.col(id_col).cast("bigint").alias("id"),
-        F.col(vector_col).cast("array<float>").alias("embedding"),
+        F.col(vector_col).cast(f"array<{'float' if narrow else 'double'}>").alias("embedding"),
         F.col(label_col).cast("bigint").alias("label"),
     )
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -257,7 +265,7 @@ def near_vectors(
     distinct = good.groupBy("label", "embedding").agg(F.min("id").alias("least_id"), F.count("*").alias("n"))
     distinct = scratch(distinct.withColumn("rid", F.monotonically_increasing_id()), "vectors")
     axes = spark.sparkContext.broadcast(principal(distinct, leading))  # a matrix of dim x leading
-    placed = scratch(distinct.select("rid", "label", "n", "embedding").mapInArrow(_place(axes, eps), ddl(PLACED)), "placed-vectors")
+    placed = scratch(distinct.select("rid", "label", "n", "embedding").mapInArrow(_place(axes, eps, kind), ddl(PLACED)), "placed-vectors")
     order = ["label", "dim", "cells", "rid"]
     blocks = placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks(block_rows), ddl(BLOCKS))
     blocks = scratch(blocks.withColumn("block", F.monotonically_increasing_id()), "vector-blocks")
@@ -267,7 +275,7 @@ def near_vectors(
         F.col("block").alias("two"), F.col("data").alias("right"),
     )
     joined = near.join(one, "one").join(two, "two").select("dim", "one", "two", "left", "right")
-    found = scratch(joined.mapInArrow(_join(axes, least, eps), ddl(FOUND)), "vector-links")
+    found = scratch(joined.mapInArrow(_join(axes, least, eps, kind), ddl(FOUND)), "vector-links")
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select("rid", "root"), "rid", "root").withColumnRenamed("node", "rid")
     named = distinct.select("rid", "label", "embedding", "n", "least_id").join(parts, "rid", "left").join(links, "rid", "left")

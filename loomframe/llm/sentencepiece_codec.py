@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from functools import lru_cache
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +51,15 @@ class Codec:
         self.plain_from = max(skip, default=-1) + 1
         self.remember = remember
         self.joints = {p[k : k + 2] for p in self.encoder.tokens for k in range(len(p) - 1)}
-        #: For a segment without its first mark: its ids joined by commas, and what decode() makes of them.
-        self.known: dict[str, tuple[str, str]] = {}
+        #: For a segment without its first mark: its ids as 32-bit numbers.
+        self.known: dict[str, bytes] = {}
+        #: By id: a comma and the id in decimal, and the piece's text where that is short, each padded with zeros.
+        self.spelled = np.array([f",{i}".encode() for i in range(size)], "S8").view(np.uint64)
+        self.texts = np.zeros(size, "S16")
+        short = [(i, t) for p, i in self.ids.items() if len(t := p.replace(MARK, " ").encode()) <= 16 and b"\0" not in t]
+        self.texts[[i for i, _ in short]] = [t for _, t in short]
+        self.short = np.zeros(size, bool)
+        self.short[[i for i, _ in short]] = True
         self.parts: dict[str, list[int]] = {}
 
     def segment(self, text: str) -> list[int]:
@@ -111,28 +120,35 @@ class Codec:
             out += ids
         return out
 
-    def _learn(self, segment: str) -> tuple[str, str]:
-        ids = self._split(MARK + segment)
-        found = ",".join(map(str, ids)), self._join(ids)
+    def _learn(self, segment: str) -> bytes:
+        found = array("i", self._split(MARK + segment)).tobytes()
         if len(segment) <= 100:
             if len(self.known) >= self.remember:
                 self.known.clear()
             self.known[segment] = found
         return found
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text.
-
-        Every segment begins with a word mark, which no run of bytes crosses, so the ids of a text decode to what its
-        segments' ids decode to one after the other, without the space before the first.
-        """
+    def ids_of(self, text: str) -> np.ndarray:
+        """encode() as an array."""
         segments = self.segments(text)
         found = list(map(self.known.get, segments))
         if None in found:
             learn, get = self._learn, self.known.get
             found = [x or get(s) or learn(s) for x, s in zip(found, segments, strict=True)]
-        ids, decoded = ("".join(x) if k else ",".join(x) for k, x in enumerate(zip(*found, strict=True))) if found else ("", "")
-        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded[1:].encode("utf-8", "replace")).hexdigest()
+        return np.frombuffer(b"".join(found), np.int32)
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """decode() of an array in UTF-8: the pieces of all ids side by side, without the space before the first."""
+        if not self.short[ids].all():  # bytes, long pieces
+            return self.decode(ids.tolist()).encode("utf-8", "replace")
+        out = self.texts[ids].tobytes().translate(None, b"\0")
+        return out[1:] if len(ids) and self.pieces[ids[0]].startswith(MARK) else out
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of what the ids decode to."""
+        ids = self.ids_of(text)
+        joined = self.spelled[ids].tobytes().translate(None, b"\0")[1:]
+        return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(self.decoded(ids)).hexdigest()
 
 
 def _bytes(raw: bytearray) -> str:

@@ -53,6 +53,49 @@ def test_grid_order_join_against_brute_force(spark):
     assert grid_order_join.near_vectors(df.limit(0)).count() == 0
 
 
+def test_grid_order_join_in_double_precision(spark):
+    """Double components stay double: pairs on both sides of the limit by less than a float can tell, huge and tiny ones."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=8)
+    base /= np.linalg.norm(base)
+    other = rng.normal(size=8)
+    other -= (other @ base) * base
+    other /= np.linalg.norm(other)
+    rows = []
+    for c in (0.93 + 2e-12, 0.93 - 2e-12):
+        label = len(rows)
+        rows += [(len(rows), base.tolist(), label), (len(rows) + 1, (c * base + np.sqrt(1 - c * c) * other).tolist(), label)]
+    rows += [(4, [1e300, 1e300, 0.0], 9), (5, [1.0, 1.0, 0.0], 9), (6, [1e-200, 1e-200, 0.0], 9), (7, [0.0, 0.0, 1e300], 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in grid_order_join.near_vectors(df).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (0, 3), 4: (2, 4), 5: (2, 4), 6: (2, 4), 7: (0, 7)}
+
+
+def test_gradient_by_differences():
+    """Each step of training moves the parameters by minus the rate times the loss's slope, here measured by differences."""
+    buckets, dim, rate, seed = 12, 8, 0.01, 11
+    rows, counts, y = np.array([1, 4, 7]), np.array([2, 1, 3]), 1
+    table = np.random.default_rng(seed).uniform(-1 / dim, 1 / dim, (buckets, dim))
+    out, bias = np.zeros((2, dim)), np.log([1.0, 2.0])
+    for k in range(8):
+        lr = rate * (1 - k / 8)
+        by_table = np.zeros_like(table)
+        by_out = np.zeros_like(out)
+        loss = lambda t, o: -np.log((e := np.exp(o @ ((counts / counts.sum()) @ t[rows]) + bias))[y] / e.sum())  # noqa: B023, E731
+        for a, g in ((table, by_table), (out, by_out)):
+            for i in range(a.size):
+                held = a.flat[i]
+                a.flat[i] = held + 1e-6
+                high = loss(table, out)
+                a.flat[i] = held - 1e-6
+                g.flat[i] = (high - loss(table, out)) / 2e-6
+                a.flat[i] = held
+        table -= lr * by_table
+        out -= lr * 0.25 * by_out
+    model = quality.train([(rows, counts, y)], buckets, dim, epochs=8, least_steps=0, rate=rate, seed=seed)
+    assert np.allclose(model.weights, table @ (out[1] - out[0]), rtol=2e-3, atol=1e-9) and np.abs(model.weights).max() > 1e-5
+
+
 def _check_shards(rows, shards):
     by = {}
     for r in rows:
