@@ -29,6 +29,14 @@ def hamming_pairs(spark, d):
     return dedup.close_pairs(hashes(spark, d), "h", "vec_id", 15)
 
 
+@query("hamming_far", f"""WITH {HASHES_SQL}, u AS (SELECT DISTINCT h, CASE WHEN h >= 9223372036854775808::UBIGINT THEN (h::HUGEINT - 18446744073709551616)::BIGINT
+ ELSE h::BIGINT END AS s FROM hashes)
+SELECT a.s AS h, b.s AS g, bit_count(xor(a.h, b.h))::INT AS distance FROM u a JOIN u b ON a.s < b.s WHERE bit_count(xor(a.h, b.h)) <= 20""")
+def hamming_far(spark, d):
+    """Distinct hashes up to 20 bits apart, where no key of bits selects: tiles of blocks."""
+    return dedup.close_hashes(hashes(spark, d).select("h").distinct(), 20)
+
+
 @query("dedup_greedy", LEADERS_SQL.format(hashes=HASHES_SQL, most=15) + "SELECT vec_id FROM l WHERE vec_id = leader")
 def dedup_greedy(spark, d):
     return dedup.deduplicate(hashes(spark, d), "h", "vec_id", 16).select("vec_id")

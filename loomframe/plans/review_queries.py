@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomframe.functions.geometry import Box
-from loomframe.operators import improve, monitor, review, split
+from loomframe import improvement
 from loomframe.functions import text as T
-from loomframe.plans.registry import BOXES_SQL, EVENTS_SQL, IOU_SQL, boxes, events, query
+from loomframe.functions.geometry import Box
+from loomframe.operators import improve, monitor, review, search, split
+from loomframe.plans.registry import BOXES_SQL, EVENTS_SQL, IOU_SQL, SQL, boxes, events, query
 from loomframe.runtime import table
 
 AMBIGUITY_SQL = f"""{BOXES_SQL}, s AS (SELECT *, vec_id // 20 AS image, (vec_id % 97) / 97.0 AS score FROM boxes),
@@ -80,24 +81,43 @@ def mark_reviewed(spark, d):
     return review.mark_reviewed(e, decided, "user_id", "event_id").select("event_id", "reviewed")
 
 
-@query("candidate_choices", """SELECT event_id, array_to_string(list_distinct_keep, ',') AS choices
- FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ['b', 'a', 'x', 'y'] ELSE ['cur', 'b', 'a', 'x', 'y'] END AS list_distinct_keep FROM events)""")
+#: Five candidates an event from its numbers: equal ranks and confidences, absent, empty and repeated values among them.
+CHOICES_SQL = """v AS (SELECT *, (event_id * 7 + user_id) AS k FROM events),
+c AS (SELECT event_id, user_id, k, i, 1 + (k + i) % 3 AS rank, ((k + 2 * i) % 4) / 4.0 AS conf, CASE WHEN (k + i) % 5 = 0 THEN NULL WHEN (k + i) % 7 = 0
+ THEN '' ELSE 'v' || ((k * (i + 1)) % 6) END AS value FROM v, (SELECT unnest(range(5)) AS i)),
+t AS (SELECT event_id, user_id, i, value, row_number() OVER (PARTITION BY event_id ORDER BY rank, -conf, value NULLS FIRST) AS n FROM c),
+f AS (SELECT event_id, value, min(n) AS n FROM t WHERE n <= 3 AND value <> '' GROUP BY 1, 2)"""
+
+
+def _choices(spark, d):
+    k = F.col("event_id") * 7 + F.col("user_id")
+    value = lambda i: F.when((k + i) % 5 == 0, None).when((k + i) % 7 == 0, "").otherwise(F.concat(F.lit("v"), ((k * (i + 1)) % 6).cast("string")))
+    made = [F.struct((1 + (k + i) % 3).alias("rank"), (((k + 2 * i) % 4) / 4.0).alias("confidence"), value(i).alias("value")) for i in range(5)]
+    current = F.when(F.col("user_id") % 4 == 0, None).when(F.col("user_id") % 4 == 1, "").otherwise(F.concat(F.lit("v"), (F.col("user_id") % 9).cast("string")))
+    return table(spark, d, "events").withColumn("made", F.array(*made)).withColumn("current", current)
+
+
+@query("candidate_choices", f"""WITH {CHOICES_SQL}, l AS (SELECT event_id, list(value ORDER BY n) AS top FROM f GROUP BY 1),
+w AS (SELECT event_id, coalesce(top, []::VARCHAR[]) AS top, CASE user_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'v' || (user_id % 9) END AS cur
+ FROM v LEFT JOIN l USING (event_id)),
+x AS (SELECT event_id, CASE WHEN coalesce(cur, '') = '' OR list_contains(top, cur) THEN top ELSE list_prepend(cur, top) END AS firsts FROM w)
+SELECT event_id, array_to_string(firsts || list_filter(['v1', 'x', 'v8'], lambda t: NOT list_contains(firsts, t)), ',') AS choices FROM x""")
 def candidate_choices(spark, d):
-    c = lambda r, conf, v: F.struct(F.lit(r).alias("rank"), F.lit(conf).alias("confidence"), F.lit(v).alias("value"))
-    cands = F.array(c(2, 0.9, "a"), c(1, 0.2, "b"), c(2, 0.5, "b"), c(3, 0.9, "z"))
-    current = F.when(F.col("event_id") % 2 == 0, "a").otherwise("cur")
-    return table(spark, d, "events").select(
-        "event_id",
-        F.array_join(review.candidate_choices(cands, current, F.array(F.lit("x"), F.lit("a"), F.lit("y"))), ",").alias("choices"),
-    )
+    taxonomy = F.array(F.lit("v1"), F.lit("x"), F.lit("v8"))
+    return _choices(spark, d).select("event_id", F.array_join(review.candidate_choices(F.col("made"), F.col("current"), taxonomy), ",").alias("choices"))
 
 
-@query("preferred_first", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'c,a,b' ELSE 'b,a,c' END AS ordering FROM events")
+@query("preferred_first", """WITH l AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN []::VARCHAR[] ELSE [event_type, 'u' || (user_id % 5)] END AS had,
+ ['view', 'u' || (event_id % 5), 'click', 'u3', 'error'] AS every FROM events),
+o AS (SELECT event_id, every, list_filter(had, lambda x: list_contains(every, x)) AS p FROM l)
+SELECT event_id, array_to_string(p || list_filter(every, lambda x, i: NOT list_contains(p, x) AND list_position(every, x) = i), ',') AS ordering FROM o""")
 def preferred_first(spark, d):
-    pref = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("c"), F.lit("zz"))).otherwise(F.array(F.lit("b")))
-    return table(spark, d, "events").select(
-        "event_id", F.array_join(review.preferred_first(pref, F.array(F.lit("a"), F.lit("b"), F.lit("c"))), ",").alias("ordering"),
-    )
+    """A type and a user's group come first where they are known; none on every eleventh event, repeated ones count once."""
+    pref = F.array("event_type", F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string")), "event_type")
+    pref = F.when(F.col("event_id") % 11 == 0, F.array().cast("array<string>")).otherwise(pref)
+    group = F.concat(F.lit("u"), (F.col("event_id") % 5).cast("string"))
+    every = F.array_distinct(F.array(F.lit("view"), group, F.lit("click"), F.lit("u3"), F.lit("error")))
+    return table(spark, d, "events").select("event_id", F.array_join(review.preferred_first(pref, every), ",").alias("ordering"))
 
 
 @query("parse_numbers", "SELECT page_id, list_transform(regexp_extract_all(html, '(-?\\d+(?:\\.\\d+)?)', 1)[1:4], lambda x: x::DOUBLE)[1] AS n1, len(regexp_extract_all(html, '(-?\\d+(?:\\.\\d+)?)', 1)) >= 4 AS enough FROM pages")
@@ -212,6 +232,60 @@ def pref_pairwise(spark, d):
     return improve.ranked_pairs(_ensemble(spark, d), "vec_id", "score", "vec_id")
 
 
+LEVELS_SQL = f"{JUDGE_SQL}, lv AS (SELECT vec_id, floor(score * 4) / 4 AS score FROM en)"
+
+
+@query("pref_pairwise_levels", f"""WITH {LEVELS_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS k, score - lead(score) OVER (ORDER BY score DESC, vec_id) AS gap
+ FROM lv) SELECT a.vec_id AS chosen, b.vec_id AS rejected, a.score AS chosen_score, b.score AS rejected_score FROM r a JOIN r b ON a.k < b.k
+ WHERE a.gap >= 0.1""")
+def pref_pairwise_levels(spark, d):
+    """pref_pairwise over scores in quarters: many ties, and gaps that make pairs."""
+    quarters = _ensemble(spark, d).withColumn("score", F.floor(F.col("score") * 4) / 4)
+    return improve.ranked_pairs(quarters, "vec_id", "score", "vec_id")
+
+
+def _predicted(spark, d):
+    """Boxes of two prompts a vector: one moved, one of twice the width or none on every third."""
+    b = boxes(spark, d).select(F.col("label").cast("string").alias("session_id"), F.col("vec_id").cast("string").alias("sample_id"), "vec_id", "x1", "y1", "x2", "y2")
+    keys = ["session_id", "sample_id"]
+    moved = b.select(*keys, F.lit("a").alias("prompt"), (F.col("x1") + F.col("vec_id") % 50).alias("x1"), "y1", (F.col("x2") + F.col("vec_id") % 50).alias("x2"), "y2")
+    there = F.col("vec_id") % 3 != 0
+    wide = b.select(*keys, F.lit("b").alias("prompt"), *(F.when(there, c).alias(n) for n, c in (("x1", F.col("x1")), ("y1", F.col("y1")), ("x2", 2 * F.col("x2") - F.col("x1")), ("y2", F.col("y2")))))
+    return b, moved.unionByName(wide).where("cast(sample_id AS int) % 7 <> 0")
+
+
+PREDICTED_SQL = f"""{BOXES_SQL}, p AS (SELECT vec_id, 'a' AS prompt, x1 + vec_id % 50 AS x1, y1, x2 + vec_id % 50 AS x2, y2 FROM boxes UNION ALL
+ SELECT vec_id, 'b', CASE WHEN vec_id % 3 <> 0 THEN x1 END, y1, 2 * x2 - x1, y2 FROM boxes),
+i AS (SELECT a.vec_id, CASE WHEN b.x1 IS NULL THEN 0 ELSE {IOU_SQL.format(a="b", b="a")} END AS iou FROM boxes a JOIN p b ON a.vec_id = b.vec_id AND a.vec_id % 7 <> 0),
+s AS (SELECT b.vec_id, coalesce(avg(iou), 0) AS score FROM boxes b LEFT JOIN i USING (vec_id) GROUP BY 1)"""
+
+
+@query("judge_predictions", f"WITH {PREDICTED_SQL} SELECT vec_id, round(score, 9)::DOUBLE AS vision_score FROM s")
+def judge_predictions(spark, d):
+    samples, predictions = _predicted(spark, d)
+    found = improvement.prediction_score(samples.drop("vec_id"), predictions)
+    return found.select(F.col("sample_id").cast("bigint").alias("vec_id"), F.round("vision_score", 9).alias("vision_score"))
+
+
+@query("mean_rewards", f"""WITH {PREDICTED_SQL} SELECT count(*) AS n, round(avg(greatest(0, least(1, score * 1.5))), 9)::DOUBLE AS mean_reward,
+ round(avg(score), 9)::DOUBLE AS mean_iou FROM s""")
+def mean_rewards(spark, d):
+    samples, predictions = _predicted(spark, d)
+    judged = improvement.prediction_score(samples.drop("vec_id"), predictions).withColumn("reward", improve.clamp(F.col("vision_score") * 1.5))
+    out = improvement.mean_rewards(judged)
+    return out.select("n", F.round("mean_reward", 9).alias("mean_reward"), F.round("mean_iou", 9).alias("mean_iou"))
+
+
+@query("parzen_search")
+def parzen_search(spark, d):
+    """Twelve trials for two weights of the judged boxes; the estimator has no SQL, tests hold it against known functions."""
+    space = {"rule": search.Range(0.0, 1.0), "confidence": search.Range(0.0, 1.0)}
+    goal = -((F.col("w.rule") * F.col("j.score") + F.col("w.confidence") * F.col("conf") - 0.5) ** 2)
+    trials = search.search(_judged(spark, d).select("vec_id", "j", "conf"), space, goal, "vec_id", trials=12, seed=3)
+    rows = [(t.number, t.params["rule"], t.params["confidence"], t.value, t.pruned) for t in trials]
+    return spark.createDataFrame(rows, "trial int, rule double, confidence double, value double, pruned boolean")
+
+
 @query("pref_margin", f"""WITH {JUDGE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS k FROM en)
  SELECT a.vec_id AS chosen, b.vec_id AS rejected, a.score AS chosen_score, b.score AS rejected_score FROM r a
  JOIN r b ON a.k < b.k AND a.score - b.score >= 0.1""")
@@ -281,10 +355,15 @@ def weight_search(spark, d):
     return out.select("candidate", F.round("value", 6).alias("value"))
 
 
-@query("normalized_weights", "SELECT event_id, round((event_id % 5) / (event_id % 5 + 3.0), 6) AS a FROM events")
+@query("normalized_weights", """WITH w AS (SELECT event_id, (event_id % 5)::DOUBLE AS a, (event_id % 3)::DOUBLE AS b, abs(user_id % 2)::DOUBLE AS c FROM events)
+SELECT event_id, round(CASE WHEN a + b + c = 0 THEN a ELSE a / (a + b + c) END, 6) AS a, round(CASE WHEN a + b + c = 0 THEN c ELSE c / (a + b + c) END, 6) AS c FROM w""")
 def normalized_weights(spark, d):
-    w = F.create_map(F.lit("a"), (F.col("event_id") % 5).cast("double"), F.lit("b"), F.lit(3.0))
-    return table(spark, d, "events").select("event_id", F.round(improve.normalize_weights(w)["a"], 6).alias("a"))
+    """Weights from an event's numbers; all three are 0 on some."""
+    w = F.create_map(
+        F.lit("a"), (F.col("event_id") % 5).cast("double"), F.lit("b"), (F.col("event_id") % 3).cast("double"), F.lit("c"), F.abs(F.col("user_id") % 2).cast("double"),
+    )
+    n = improve.normalize_weights(w)
+    return table(spark, d, "events").select("event_id", F.round(n["a"], 6).alias("a"), F.round(n["c"], 6).alias("c"))
 
 
 @query("confidence_window", f"""WITH {EVENTS_SQL} SELECT event_id, count(value) OVER w AS window_n, round(avg(value) OVER w, 9) AS window_mean
@@ -303,6 +382,22 @@ def drift_latch(spark, d):
     return monitor.latch(e, "flag", "o", "user_id").select("event_id", "latched")
 
 
+@query("confidence_window_spread", SQL.get("confidence_window"))
+def confidence_window_spread(spark, d):
+    """confidence_window with every user's rows spread over ranges."""
+    e = events(spark, d).withColumn("o", F.struct("ms", "event_id"))
+    return monitor.confidence_window(e, "value", "o", "user_id", spread=True).select(
+        "event_id", "window_n", F.round("window_mean", 9).alias("window_mean"),
+    )
+
+
+@query("drift_latch_spread", SQL.get("drift_latch"))
+def drift_latch_spread(spark, d):
+    """drift_latch with every user's rows spread over ranges."""
+    e = events(spark, d).withColumn("o", F.struct("ms", "event_id")).withColumn("flag", F.col("value") > 60)
+    return monitor.latch(e, "flag", "o", "user_id", spread=True).select("event_id", "latched")
+
+
 @query("frame_signals", """WITH f AS (SELECT event_id // 8 AS frame, list(value / 100) AS s FROM events
  GROUP BY 1), g AS (SELECT frame, coalesce(list_avg(s), 0) AS m, len(list_filter(s, lambda x: x < 0.25)) AS u, len(s) AS n FROM f)
  SELECT frame, round(m, 9) AS mean_confidence, u::INT AS uncertain_count, m < 0.25 OR u > n / 2 AS should_collect FROM g""")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomframe.operators import temporal
-from loomframe.plans.registry import EVENTS_SQL, events, query
+from loomframe.plans.registry import EVENTS_SQL, SQL, events, query
 
 
 def _frames(spark, d):
@@ -62,6 +62,23 @@ def double_click(spark, d):
     return temporal.double_clicks(clicks, "user_id", "ms", "event_id", within_ms=3_600_000.0).select("event_id", "is_double")
 
 
+@query("nearest_frame_spread", SQL.get("nearest_frame_unbounded"))
+def nearest_frame_spread(spark, d):
+    """nearest_frame_unbounded with every user's rows spread over ranges."""
+    e = events(spark, d).select("user_id", "event_id", "ms", "event_type")
+    out = temporal.nearest_unbounded(
+        e.where("event_type = 'click'").drop("event_type"), e.where("event_type = 'view'").drop("event_type"), "ms", "ms", ["user_id"], spread=True,
+    )
+    return out.where("frame_ts IS NOT NULL").select("event_id", F.round("frame_ts", 3).alias("frame_ts"))
+
+
+@query("double_click_spread", SQL.get("double_click"))
+def double_click_spread(spark, d):
+    """double_click with every user's rows spread over ranges."""
+    clicks = events(spark, d).where("event_type = 'click'")
+    return temporal.double_clicks(clicks, "user_id", "ms", "event_id", within_ms=3_600_000.0, spread=True).select("event_id", "is_double")
+
+
 @query("hover_throttle", f"""WITH RECURSIVE {EVENTS_SQL}, v AS (SELECT user_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS k FROM ev
  WHERE event_type = 'view'),
 r AS (SELECT user_id, k, ms AS last, true AS emit FROM v WHERE k = 1 UNION ALL
