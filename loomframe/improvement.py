@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
+import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,23 @@ class LoopSettings:
     tuning_trials: int = 30
     judge: JudgeSettings = field(default_factory=JudgeSettings)
 
+    @staticmethod
+    def from_yaml(text: str) -> LoopSettings:
+        """From groups loop, weight_tuner (n_samples, n_trials) and judge; unknown keys are left out, a value out of bounds is
+        an error."""
+        doc = yaml.safe_load(text) or {}
+        group = lambda name, *keys: {k: v for k, v in (doc.get(name) or {}).items() if k in keys}
+        loop = group("loop", "max_iterations", "patience", "improvement_threshold")
+        tuner = {f"tuning_{k[2:]}": v for k, v in group("weight_tuner", "n_samples", "n_trials").items()}
+        judge_ = JudgeSettings(**group("judge", *(f.name for f in fields(JudgeSettings))))
+        own = LoopSettings(**loop, **tuner, judge=judge_)
+        whole = {"max_iterations": 1, "patience": 1, "tuning_samples": 5, "tuning_trials": 5, "improvement_threshold": 0}
+        wrong = [n for n, least in whole.items() if getattr(own, n) < least]
+        wrong += [f.name for f in fields(JudgeSettings) if not 0 <= getattr(judge_, f.name) <= 1]
+        if wrong:
+            raise ValueError(f"out of bounds: {', '.join(wrong)}")
+        return own
+
 
 def prediction_score(samples: DataFrame, predictions: DataFrame) -> DataFrame:
     """session_id, sample_id, vision_score, ious: the mean IoU of a sample's label box with a judge's predicted boxes, one

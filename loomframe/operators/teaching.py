@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.functions.geometry import Box, guess_pixels, valid
+from loomframe.functions.geometry import Box, guess_pixels, semantic_id, valid
 from loomframe.functions.text import lookup
 from loomframe.operators.dedup import suppress_overlaps
 
@@ -177,15 +177,23 @@ ELEMENT_TYPES = {
 }
 
 
-def analyze(detections: DataFrame, affordances: dict[str, tuple[str, ...]] | None = None, low: float = 0.25) -> DataFrame:
+def analyze(
+    detections: DataFrame,
+    affordances: dict[str, tuple[str, ...]] | None = None,
+    low: float = 0.25,
+    width: Column | None = None,
+    height: Column | None = None,
+) -> DataFrame:
     """Detections of at least `low` with affordances (array, default click) and element_type (default button), by the
-    label without case. A map of the caller's takes part as literals."""
+    label without case. A map of the caller's takes part as literals. With the size of the frame also semantic_id: the
+    label and the cell of the centre of the box in columns x1, y1, x2, y2."""
     label = F.lower("label")
     texts = {k: ",".join(v) for k, v in (affordances or AFFORDANCES).items()}
     kept = detections.where(F.col("score") >= low)
-    return kept.withColumn(
+    kept = kept.withColumn(
         "affordances", F.split(lookup(label, texts, "click"), ","),
     ).withColumn("element_type", lookup(label, ELEMENT_TYPES, "button"))
+    return kept if width is None else kept.withColumn("semantic_id", semantic_id(label, Box.cols(), width, height))
 
 
 def training_records(pairs: DataFrame) -> DataFrame:

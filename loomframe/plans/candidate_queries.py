@@ -254,6 +254,26 @@ def analyze_frames(spark, d):
     return found.select("event_id", F.array_join("affordances", ",").alias("affordances"), "element_type")
 
 
+@query("analyze_elements", f"""WITH {BOXES_SQL}, s AS (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'toggle' WHEN 1 THEN 'icon' ELSE 'other' END AS label, (x1 + x2) / 2 AS cx,
+ (y1 + y2) / 2 AS cy FROM boxes WHERE (vec_id % 10) / 10.0 >= 0.25)
+SELECT vec_id, label || '_r' || least(2, trunc(cy / 1080 * 3)::INT) || 'c' || least(2, trunc(cx / 1920 * 3)::INT) AS semantic_id, CASE label
+ WHEN 'toggle' THEN 'toggle' ELSE 'button' END AS element_type FROM s""")
+def analyze_elements(spark, d):
+    """Boxes as elements of a screen with their semantic ids."""
+    v = F.col("vec_id")
+    label = F.when(v % 3 == 0, "Toggle").when(v % 3 == 1, "icon").otherwise("OTHER")
+    rows = boxes(spark, d).withColumn("label", label).withColumn("score", (v % 10) / 10.0)
+    return teaching.analyze(rows, width=F.lit(1920), height=F.lit(1080)).select("vec_id", "semantic_id", "element_type")
+
+
+@query("coco_categories", """SELECT r_regionkey + 1 AS id, r_name AS name FROM region UNION ALL
+ SELECT (SELECT count(*) FROM region) + row_number() OVER (ORDER BY n_name), n_name FROM (SELECT DISTINCT n_name FROM nation)""")
+def coco_categories(spark, d):
+    """A document's categories (regions) and more that go on from them (nations)."""
+    names = [r[0] for r in table(spark, d, "nation").select("n_name").distinct().orderBy("n_name").collect()]  # a taxonomy's names
+    return writers.register_categories(table(spark, d, "region").select((F.col("r_regionkey") + 1).alias("id"), F.col("r_name").alias("name")), names)
+
+
 @query("clip_files", """WITH s AS (SELECT event_id // 8 AS s, list('f' || event_id ORDER BY event_id) AS frames FROM events GROUP BY 1),
 c AS (SELECT s, frames[1:3] AS pre, frames[4:] AS post FROM s),
 e AS (SELECT s, unnest(pre) AS path, 'pre_' || lpad((generate_subscripts(pre, 1) - 1)::VARCHAR, 3, '0') AS part FROM c UNION ALL

@@ -131,6 +131,14 @@ def category(names: list[str], e: Column, first: int) -> Column:
     return F.when(F.coalesce(at, F.lit(0)) > 0, at - 1 + first).otherwise(F.lit(first).cast("long"))
 
 
+def register_categories(existing: DataFrame, names: list[str]) -> DataFrame:
+    """id, name: the categories of a document and one more for each name, numbered on from their count. A name that the
+    document has already gets another number, as the original gives it."""
+    start = existing.count() + 1
+    new = existing.sparkSession.createDataFrame([(k, n) for k, n in enumerate(names, start)], "id bigint, name string")
+    return existing.select(F.col("id").cast("bigint").alias("id"), "name").unionByName(new)
+
+
 def coco_annotations(rows: DataFrame, names: list[str]) -> DataFrame:
     """image_no, annotation_no, category_id, x, y, w, h, area, score; numbers from 1 in sample order."""
     images = numbered(

@@ -83,3 +83,17 @@ def test_pixels():
     assert hashing.changed_ratio(flat, flat) == 0 and hashing.changed_ratio(flat, edge) == 1 and hashing.changed_ratio(flat, edge[:5]) == 1
     assert np.allclose(hashing.align(np.roll(edge, 3, axis=1), edge), edge)
     assert hashing.perceptual_block(edge).shape == (8, 8)
+
+
+def test_perceptual_hash_of_a_fixed_image():
+    """Coefficients by the cosine sum's own words on an image that needs no resize, and the hash of a fixed one."""
+    y, x = np.mgrid[:32, :32]
+    gray = ((x * 7 + y * y) % 256).astype(float)
+    got = hashing.perceptual_block(gray)
+    for u, v in ((0, 0), (0, 3), (5, 2), (7, 7)):
+        waves = np.cos(np.pi * (2 * np.arange(32) + 1) * u / 64)[:, None] * np.cos(np.pi * (2 * np.arange(32) + 1) * v / 64)[None, :]
+        scale = (1 / 32 if u == 0 else 1 / 16) ** 0.5 * (1 / 32 if v == 0 else 1 / 16) ** 0.5
+        assert got[u, v] == pytest.approx(scale * (gray * waves).sum(), abs=1e-6)
+    larger = np.kron(gray, np.ones((4, 4)))  # shrunk again it is nearly the same
+    bits = lambda b: b.ravel() > np.median(b.ravel()[1:])
+    assert (bits(hashing.perceptual_block(larger)) != bits(got)).sum() <= 4

@@ -127,3 +127,13 @@ def test_judge_with_a_table_of_predictions(spark, tmp_path):
     assert means.n == 3 and means.mean_reward == pytest.approx((0.85 + 0.28 + 0.16) / 3) and means.mean_iou == pytest.approx(0.25)
     entry = improvement.iteration(spark, str(tmp_path), predictions=predictions)(1)
     assert entry["n_samples"] == 3 and entry["n_preference_pairs"] == 3
+
+
+def test_settings_of_the_loop():
+    text = "loop: {max_iterations: 7, run_dpo: false}\nweight_tuner: {n_samples: 9}\njudge: {vlm_weight: 0.5, vlm_device_map: auto}"
+    own = improvement.LoopSettings.from_yaml(text)
+    assert (own.max_iterations, own.tuning_samples, own.tuning_trials, own.judge.vlm_weight, own.patience) == (7, 9, 30, 0.5, 3)
+    assert improvement.LoopSettings.from_yaml("") == improvement.LoopSettings()
+    for bad in ("loop: {patience: 0}", "weight_tuner: {n_trials: 2}", "judge: {vlm_weight: 2}", "loop: {improvement_threshold: -1}"):
+        with pytest.raises(ValueError):
+            improvement.LoopSettings.from_yaml(bad)
