@@ -9,7 +9,7 @@ a key. With e errors in s segments, some segment has at most e / s of them (pige
 tenth of the second fingerprint's bits differ: two or three a segment, so that several of its 22 segments meet.
 
 Documents that share a key are candidates unless more bits of the second fingerprint differ than chance allows at a
-similarity of 0.8 (six deviations beyond a tenth); a candidate is a link if the Jaccard similarity of the sets of
+similarity of 0.8 (three deviations beyond a tenth, which one pair in some hundred at the very limit exceeds); a candidate is a link if the Jaccard similarity of the sets of
 five-word shingles is 0.8 or more, computed on the whole texts.
 
 Only distinct sets take part, so exact copies never multiply. Keys are sorted and each is gone through once; members
@@ -39,7 +39,7 @@ WIDTH, WORDS = 23, 8
 #: more exact bit for each doubling of the documents beyond 10^8 keeps keys small.
 SEGMENTS, EXACT = (8, 22), (15, 12)
 #: The similarity that links, and deviations beyond the mean that its differing bits are allowed.
-LEAST, DEVIATIONS = 0.8, 6
+LEAST, DEVIATIONS = 0.8, 3
 
 
 def _most(bits: int) -> int:
@@ -306,14 +306,19 @@ def _distance(x: str, y: str) -> str:
 
 
 def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """key, node, w0, w1, component, main (the key's largest component) of the keys that hold several components."""
+    """key, node, w0, w1, component, main (the key's largest component), low and high (two members of that) of the keys
+    that hold several components: one pass over the rows of a key, no join."""
     parts = connected_components(found, "a", "b")
     placed = shared.select("key", *(c for c, _ in MEMBER)).join(parts, "node", "left").withColumn(
         "component", F.coalesce("component", "node"),
     )
-    counted = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = counted.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("n")).where("n > 1")
-    return scratch(placed.join(mixed.select("key", F.col("most.component").alias("main")), "key"), "mixed-keys")
+    whole, member = Window.partitionBy("key"), F.struct(*(c for c, _ in MEMBER))
+    sized = placed.withColumn("n", F.count("*").over(Window.partitionBy("key", "component")))
+    several = F.min("component").over(whole) != F.max("component").over(whole)
+    mixed = sized.withColumn("several", several).withColumn("main", F.max(F.struct("n", "component")).over(whole)["component"]).where("several")
+    of_main = F.when(F.col("component") == F.col("main"), member)
+    ends = mixed.withColumn("low", F.min(of_main).over(whole)).withColumn("high", F.max(of_main).over(whole))
+    return scratch(ends.drop("n", "several"), "mixed-keys")
 
 
 def links(nodes: DataFrame, rows: DataFrame, exact: tuple[int, int] = EXACT) -> DataFrame:
@@ -330,17 +335,16 @@ def links(nodes: DataFrame, rows: DataFrame, exact: tuple[int, int] = EXACT) ->
     tested = scratch(_closest(first), "nearest-pairs")
     found = scratch(similar(tested, nodes, rows), "similar-pairs")
     placed = _mixed(shared, found)
-    member = F.struct("node", "w0", "w1")
-    ends = placed.where("component = main").groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high"))
     away = lambda e: F.bit_count(F.col("w0").bitwiseXOR(e["w0"])) + F.bit_count(F.col("w1").bitwiseXOR(e["w1"]))
     near_ends = F.transform(F.array("low", "high"), lambda e: F.struct(away(e).alias("distance"), e["node"].alias("node")))
-    outside = placed.where("component != main").join(ends, "key").withColumn("end", F.array_min(near_ends))
+    outside = placed.where("component != main").withColumn("end", F.array_min(near_ends))
     outside = outside.select("node", F.col("end.node").alias("other"), F.col("end.distance").alias("distance")).where(f"distance <= {NEAR}")
     more = scratch(_closest(outside).join(tested, ["a", "b"], "left_anti"), "main-pairs")
     if more.limit(1).count():
         tested = tested.unionByName(more)
         found = found.unionByName(scratch(similar(more, nodes, rows), "similar-pairs"))
         placed = _mixed(shared, found)
+    placed = placed.drop("low", "high")
     own = placed.groupBy("node").agg(F.collect_list("key").alias("own"))  # a node has about a hundred keys
     able = common_parts(placed, nodes, rows).join(own, "node").join(nodes.select("node", *FP[2:]), "node")
     placed = scratch(placed.join(able, "node"), "last-keys")
