@@ -88,6 +88,13 @@ def scratch(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder for several tables; drop_scratch deletes it like a scratch table."""
+    path = f"{shared_dir(spark).rstrip('/')}/loomframe-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def drop_scratch(spark: SparkSession, since: int = 0, keep: Iterable[str] = ()) -> int:
     """Delete the scratch tables that this application has written, but for the first `since` and those in keep (paths);
     returns their number.

@@ -9,8 +9,8 @@ a key. With e errors in s segments, some segment has at most e / s of them (pige
 tenth of the second fingerprint's bits differ: two or three a segment, so that several of its 22 segments meet.
 
 Documents that share a key are candidates unless more bits of the second fingerprint differ than chance allows at a
-similarity of 0.8 (three deviations beyond a tenth, which one pair in some hundred at the very limit exceeds); a candidate is a link if the Jaccard similarity of the sets of
-five-word shingles is 0.8 or more, computed on the whole texts.
+similarity of 0.8: three deviations beyond a tenth, which some pairs in a thousand exceed at the very limit. A candidate
+is a link if the Jaccard similarity of the sets of five-word shingles is 0.8 or more, computed on the whole texts.
 
 Only distinct sets take part, so exact copies never multiply. Keys are sorted and each is gone through once; members
 without a near member in a key leave there, so accidental keys cost no more than that. Only links that can join two

@@ -5,20 +5,23 @@ size class (sizes kept to 8 significant bits, so a bounded number of classes who
 A flow network carries every row from its old shard to a new one, either by the free arc that stays or by an arc that
 takes its size classes from cheap to dear at their mean bytes a row; successive shortest paths give the transfers that
 move the fewest bytes, to within that 1 in 128. Rows of a shard are ranked from small to large, transfers take ranges
-of ranks, and shard and slot of every row follow from its rank by arithmetic. rewrite() then replaces the files of the
-shards that get or lose rows, and no others.
+of ranks, and shard and slot of every row follow from its rank by arithmetic. rewrite() then writes the shards that get
+or lose rows anew, and no others, and commits them together by a manifest.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 from dataclasses import dataclass
+from functools import reduce
 from math import isqrt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import scratch
+from loomframe.llm.common import scratch, scratch_folder, unused
+from loomframe.sources import commits
 
 
 class Network:
@@ -196,28 +199,64 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, size: Column, carry
     )
 
 
-def rewrite(placed: DataFrame, folder: str, file_rows: int = 1_000_000) -> list[int]:
-    """Replace the files of the affected shards (folder/shard=N/) by reshard()'s rows; the others' files stay.
+def current_shards(spark: SparkSession, folder: str) -> dict[int, str]:
+    """Folder of each shard by the table's last manifest; empty for a table that isn't there."""
+    log = f"{folder}/_manifests"
+    every = commits.numbers(spark, log)
+    return {int(k): v for k, v in commits.entry(spark, log, every[-1])["shards"].items()} if every else {}
 
-    folder holds the old table in partitions shard=N, or nothing yet. Shards that got or lost rows are overwritten as
-    wholes, old shards that are left without rows are deleted, so every row is in the table once. Returns the shards
-    written. placed must not read from folder itself (reshard() reads a copy in the shared folder).
+
+def read_shards(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The table's rows with their shard; null for a table without rows."""
+    by_write: dict[str, list[str]] = {}
+    for path in current_shards(spark, folder).values():
+        by_write.setdefault(path.rsplit("/", 1)[0], []).append(f"{folder}/{path}")
+    parts = [spark.read.option("basePath", f"{folder}/{base}").parquet(*paths) for base, paths in sorted(by_write.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def write_shards(rows: DataFrame, folder: str, keep: dict[int, str] | None = None, order: str | None = None) -> dict[int, str]:
+    """Write rows (with a column shard) to folders of their own, and commit a manifest of them and of the shards in keep.
+    order: a column that orders the rows of a file and isn't written.
+
+    Until the manifest is there the table is what it was; of two writers one gets the next manifest, and the other an
+    error. Files that no manifest names any more stay for readers of the table before.
+    """
+    spark = rows.sparkSession
+    log, at = f"{folder}/_manifests", f"write-{uuid.uuid4().hex}"
+    number = (commits.numbers(spark, log) or [0])[-1] + 1
+    rows = rows.sortWithinPartitions("shard", order).drop(order) if order else rows.sortWithinPartitions("shard")
+    rows.write.option("compression", "zstd").partitionBy("shard").parquet(f"{folder}/{at}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{at}")
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [s.getPath().getName() for s in listed]
+    shards = (keep or {}) | {int(n.split("=")[1]): f"{at}/{n}" for n in names if n.startswith("shard=")}
+    commits.append(spark, log, {"shards": shards}, number=number)
+    return shards
+
+
+def rewrite(placed: DataFrame, folder: str, rows: DataFrame, key: str = "rid") -> list[int]:
+    """Replace the files of the affected shards as reshard() has placed the rows; the others' files stay. Returns the
+    shards written.
+
+    folder holds the old table (write_shards), or nothing yet; rows are its rows, and placed has their key (one row a key)
+    with shard, old_shard and slot. Shards that got or lost rows are written as wholes to a new place, in order of slots,
+    and take the old ones' by one manifest, so every row is in the table once at any time.
     """
     spark = placed.sparkSession
-    placed = scratch(placed, "placed")
+    placed = scratch(placed.select(key, "shard", "old_shard", "slot"), "placed")
     pairs = placed.where("shard != old_shard").select("old_shard", "shard").distinct().collect()  # at most old x new pairs
     held = {r["shard"] for r in placed.select("shard").distinct().collect()}
     changed = {r["shard"] for r in pairs} | {r["old_shard"] for r in pairs}
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    there = lambda shard: files.exists(spark._jvm.org.apache.hadoop.fs.Path(at, f"shard={shard}"))
-    shards = sorted(s for s in held if s in changed or not there(s))
-    rows = placed.where(F.col("shard").isin(shards)).repartition(
-        "shard", F.floor(F.col("slot") / file_rows),
-    ).sortWithinPartitions("shard", "slot")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
-    for shard in changed - held:
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(at, f"shard={shard}"), True)
+    before = current_shards(spark, folder)
+    shards = sorted(s for s in held if s in changed or s not in before)
+    if not shards and not (changed - held) & set(before):
+        return []
+    own = rows.drop("shard").columns
+    slot = unused([*own, "shard"], "__slot")[0]
+    new = placed.where(F.col("shard").isin(shards)).select(key, "shard", F.col("slot").alias(slot))
+    new = rows.drop("shard").join(new, key)
+    write_shards(new, folder, {s: p for s, p in before.items() if s in held and s not in shards}, slot)
     return shards
 
 
@@ -226,18 +265,30 @@ def reshard_documents(
 ) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard for documents whose old shards are by source.
 
-    The documents table has no shards of its own; the hash of the source modulo old_shards stands for them. size: UTF-8
-    bytes of the text (null: none) and 8. The law is rows: shards' counts are at most one apart.
+    The documents table has no shards of its own; the hash of the source modulo old_shards stands for them. Ids and texts
+    are written so, the new shards are planned from the old ones' sizes, the affected files are rewritten, and what is
+    returned is read from them. size: UTF-8 bytes of the text (null: none) and 8. The law is rows: shards' counts are at
+    most one apart. Null texts and ids stay null; repeated rows are rows like others.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = reshard(
-        docs,
-        F.pmod(F.xxhash64(source_col), F.lit(old_shards)),
-        shards,
-        F.octet_length(text) + 8,
-        {"doc_id": F.col(id_col).cast("bigint"), "text_crc32": F.crc32(text)},
+    spark = docs.sparkSession
+    folder = scratch_folder(spark, "shards")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    old = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(source_col), F.lit(old_shards)).cast("int").alias("shard"),
+    )
+    write_shards(old.withColumn("rid", F.monotonically_increasing_id()), folder)
+    table = read_shards(spark, folder)
+    if table is None:  # no rows
+        table = old.withColumn("rid", F.lit(0).cast("bigint"))
+        placed = table.select("rid", F.lit(0).cast("bigint").alias("slot"), F.col("shard").alias("old_shard"))
+    else:
+        placed = scratch(reshard(table, F.col("shard"), shards, F.octet_length(text) + 8, {"rid": F.col("rid")}), "placement")
+        rewrite(placed, folder, table)
+        table = read_shards(spark, folder)
+    found = table.select(
+        "rid", "doc_id", "shard", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
     )
-    return out.select(
+    return found.join(placed.select("rid", "slot", "old_shard"), "rid").select(
         F.col("doc_id").alias(id_col),
         "size",
         "text_crc32",

@@ -199,23 +199,30 @@ def test_reshard_rows_against_brute_force(spark):
 
 
 @pytest.mark.parametrize("shards", [4, 2, 7])
-def test_rewrite_replaces_only_affected_files(spark, tmp_path, shards):
+def test_rewrite_replaces_only_affected_files(spark, tmp_path, shards, monkeypatch):
     folder = str(tmp_path / "table")
-    start = spark.createDataFrame([(i, 0 if i < 30 else i % 4) for i in range(60)], "id long, shard int")
-    start.repartition("shard").write.partitionBy("shard").parquet(folder)
-    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "table").rglob("*.parquet")}
-    table = spark.read.parquet(folder)
+    start = spark.createDataFrame([(i, 0 if i < 30 else i % 4, f"t{i}") for i in range(60)], "id long, shard int, text string")
+    before = resharding.write_shards(start, folder)
+    stamps = {f: f.stat().st_mtime_ns for f in (tmp_path / "table").rglob("*.parquet")}
+    table = resharding.read_shards(spark, folder)
     placed = resharding.reshard(table, F.col("shard"), shards, F.lit(10), {"id": F.col("id")})
-    written = resharding.rewrite(placed, folder)
-    back = spark.read.parquet(folder).select("id", "shard").collect()
-    assert sorted(r.id for r in back) == list(range(60)) and {r.shard for r in back} == set(range(shards))
-    counts = Counter(r.shard for r in back)
+    ids = lambda: sorted((r.id, r.text) for r in resharding.read_shards(spark, folder).collect())
+    whole = [(i, f"t{i}") for i in range(60)]
+    append = resharding.commits.append
+    monkeypatch.setattr(resharding.commits, "append", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):  # half way: files are there, the manifest isn't
+        resharding.rewrite(placed, folder, table, "id")
+    monkeypatch.setattr(resharding.commits, "append", append)
+    assert resharding.current_shards(spark, folder) == before and ids() == whole
+    written = resharding.rewrite(placed, folder, table, "id")
+    after = resharding.current_shards(spark, folder)
+    assert ids() == whole and set(after) == set(range(shards))
+    counts = Counter(r.shard for r in resharding.read_shards(spark, folder).collect())
     assert max(counts.values()) - min(counts.values()) <= 1
-    for f, stamp in before.items():
-        untouched = int(f.parent.name.split("=")[1]) not in written and int(f.parent.name.split("=")[1]) < shards
-        assert f.exists() == untouched and (not untouched or f.stat().st_mtime_ns == stamp)
-    again = resharding.reshard(spark.read.parquet(folder), F.col("shard"), shards, F.lit(10), {"id": F.col("id")})
-    assert resharding.rewrite(again, folder) == []
+    assert all((after[s] == before.get(s)) == (s not in written) for s in after) and all(f.stat().st_mtime_ns == t for f, t in stamps.items())
+    again = resharding.reshard(resharding.read_shards(spark, folder), F.col("shard"), shards, F.lit(10), {"id": F.col("id")})
+    assert resharding.rewrite(again, folder, resharding.read_shards(spark, folder), "id") == [] and resharding.current_shards(spark, folder) == after
+    assert resharding.read_shards(spark, str(tmp_path / "none")) is None
 
 
 def test_packing_is_whole_and_tight(spark, data):
