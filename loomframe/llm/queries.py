@@ -106,6 +106,22 @@ def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed, F.size("starts").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT r, j, substr(h, 2048 * j + 1, 2848) AS t, least(1024, len(h) // 2 - 399 - 1024 * j) AS n
+  FROM (SELECT r, h, unnest(range(0, (len(h) // 2 + 624) // 1024)) AS j FROM d)),
+p AS (SELECT r, 1024 * j + i AS i, md5(substr(t, 2 * i + 1, 800)) AS s FROM (SELECT r, j, t, unnest(range(0, n)) AS i FROM b)),
+k AS (SELECT s FROM p GROUP BY s HAVING count(*) > 1),
+m AS (SELECT r, i, lag(i) OVER w AS before, lead(i) OVER w AS after FROM p SEMI JOIN k USING (s) WINDOW w AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, sum(least(400, coalesce(after - i, 400))) AS removed, list(i ORDER BY i) FILTER (WHERE before IS NULL OR i - before > 400) AS starts,
+  list(i + 400 ORDER BY i) FILTER (WHERE after IS NULL OR after - i > 400) AS ends FROM m GROUP BY r),
+x AS (SELECT doc_id, h, len(h) // 2 AS n, coalesce(removed, 0) AS removed, list_append(coalesce(starts, []), len(h) // 2) AS stops,
+  list_prepend(0, coalesce(ends, [])) AS begins FROM d LEFT JOIN g USING (r))
+SELECT doc_id, n::BIGINT AS n_bytes, removed::BIGINT AS n_removed, (len(stops) - 1)::BIGINT AS n_spans,
+  sha256(unhex(array_to_string(list_transform(begins, lambda b, j: substr(h, 2 * b + 1, 2 * (stops[j] - b))), ''))) AS kept_sha256 FROM x
+"""
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomframe.llm.alignment import align
 
@@ -155,4 +171,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_grid_order_join": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op13_source_divergence": OP13_SQL}
+    return {"op1_grid_order_join": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op11_repeated_passages": OP11_SQL, "op13_source_divergence": OP13_SQL}
