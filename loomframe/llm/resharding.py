@@ -255,7 +255,7 @@ def rewrite(placed: DataFrame, folder: str, rows: DataFrame, key: str = "rid") -
     own = rows.drop("shard").columns
     slot = unused([*own, "shard"], "__slot")[0]
     new = placed.where(F.col("shard").isin(shards)).select(key, "shard", F.col("slot").alias(slot))
-    new = rows.drop("shard").join(new, key)
+    new = rows.drop("shard").join(new.hint("merge"), key)  # as many rows as the table has: never broadcast
     write_shards(new, folder, {s: p for s, p in before.items() if s in held and s not in shards}, slot)
     return shards
 
