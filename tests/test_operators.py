@@ -97,6 +97,14 @@ def test_close_pairs_against_brute_force(spark, most):
     assert rows(dedup.close_pairs(df, "h", "o", most)) == sorted(want)
 
 
+def test_variants_of_hashes_are_never_broadcast(spark):
+    """2,000 hashes look like 16 KB before they are exploded, and are a million rows after."""
+    df = spark.range(2000).select(F.xxhash64("id").alias("h"))
+    for most in (3, 15):
+        plan = dedup.close_hashes(df, most)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_scans_of_hot_keys(spark):
     """One key with nearly all rows is spread over ranges, with the result of one window."""
     rng = random.Random(6)
