@@ -78,8 +78,13 @@ def session_id(metadata_json: Column, folder: Column) -> Column:
     return first_truthy(F.get_json_object(metadata_json, "$.session_id"), folder)
 
 
+def padded(number: Column) -> Column:
+    """A whole number with zeros before it up to six digits; longer ones stay whole, which lpad would cut."""
+    return F.when(number.isNotNull(), F.format_string("%06d", number))
+
+
 def sample_id(number: Column) -> Column:
-    return F.concat(F.lit("sample_"), F.lpad(number.cast("string"), 6, "0"))
+    return F.concat(F.lit("sample_"), padded(number))
 
 
 def prettify(slug: Column) -> Column:

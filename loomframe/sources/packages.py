@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.functions.hashing import content_hash
+from loomframe.functions.text import padded
 
 
 @dataclass(frozen=True)
@@ -64,7 +65,7 @@ def current_part(spark: SparkSession, folder: str, part: str) -> DataFrame:
 
 def next_sample_ids(samples: DataFrame) -> DataFrame:
     """session_id, next_id: the number of samples and one, as sample_NNNNNN."""
-    return samples.groupBy("session_id").agg(F.concat(F.lit("sample_"), F.lpad((F.count("*") + 1).cast("string"), 6, "0")).alias("next_id"))
+    return samples.groupBy("session_id").agg(F.concat(F.lit("sample_"), padded(F.count("*") + 1)).alias("next_id"))
 
 
 def apply_weights(settings: dict, best: dict[str, float]) -> dict:

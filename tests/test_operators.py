@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomframe.functions import text as T
 from loomframe.functions.geometry import Box
 from loomframe.operators import dedup, improve, labels, metrics, monitor, profile, quality, review, scans, split, temporal
 
@@ -265,6 +266,13 @@ def test_pairs_and_history(spark):
     assert improve.stalled(h, "s", "i", 2, 0.01).first().stalled and not improve.stalled(h, "s", "i", 4, 0.01).first().stalled
 
 
+def test_split_of_more_than_a_million_rows(spark):
+    """Numbers of seven digits stay whole: cut to six, the last rows would fall among those of 100,000 and on."""
+    numbered = spark.range(999_900, 1_000_100).select("id", F.lit("s").alias("session"), T.sample_id(F.col("id")).alias("sid"))
+    got = split.by_session(numbered, "session", "sid", T.numeric_suffix(F.col("sid")))
+    assert rows(got.where("split = 'val'").select("id", "sid")) == [(i, f"sample_{i}") for i in range(1_000_080, 1_000_100)]
+
+
 def test_splits(spark):
     one = spark.createDataFrame([("s", f"sample_{i:06d}") for i in range(11)], "session string, id string")
     from loomframe.functions.text import numeric_suffix
