@@ -67,6 +67,37 @@ def ranked(rows: DataFrame, score: str, order: str, name: str = "rank") -> DataF
     return numbered(rows, [F.desc(score), F.col(order)], name).withColumn(name, F.col(name) + 1)
 
 
+#: Blocks that a side of paired rows is cut into at most, and rows of a block at least.
+BLOCKS, LEAST_BLOCK = 32, 1024
+
+
+def _apart(chosen: DataFrame, rejected: DataFrame, margin: float, rank: bool = False) -> DataFrame:
+    """Pairs of rows whose chosen_score is margin over rejected_score (rank: and __i < __j), with the columns of both.
+
+    chosen has its place from 1 as __i, rejected as __j, in order of falling score. Blocks of places meet in tiles, one
+    group of an equi-join a tile, so no side is broadcast or read again for each part of the other. Tiles whose best and
+    worst scores are nearer than margin are left out. A row goes to at most BLOCKS tiles: what is shuffled grows with the
+    rows, only what is returned with their square. One block's rows come in the same order for each row of the other,
+    which Parquet packs well.
+    """
+
+    def blocks(side: DataFrame, place: str, block: str) -> DataFrame:
+        ends = side.agg(F.min(place).alias("__first"), F.max(place).alias("__last"))  # one row
+        size = F.greatest(F.lit(LEAST_BLOCK), F.ceil((F.col("__last") - F.col("__first") + 1) / BLOCKS))
+        return side.crossJoin(F.broadcast(ends)).withColumn(block, F.floor((F.col(place) - F.col("__first")) / size)).drop("__first", "__last")
+
+    a, b = blocks(chosen, "__i", "__a"), blocks(rejected, "__j", "__b")
+    best = a.groupBy("__a").agg(F.max("chosen_score").alias("__best"), F.min("__i").alias("__from"))
+    worst = b.groupBy("__b").agg(F.min("rejected_score").alias("__worst"), F.max("__j").alias("__to"))
+    meet = F.col("__best") - F.col("__worst") >= margin
+    tiles = checkpoint(best.join(F.broadcast(worst), meet & (F.col("__from") < F.col("__to")) if rank else meet).select("__a", "__b"))
+    parts = max(1, tiles.count())  # at most BLOCKS * BLOCKS
+    a, b = a.join(F.broadcast(tiles), "__a"), b.join(F.broadcast(tiles), "__b")
+    both = a.repartition(parts, "__a", "__b").hint("merge").join(b.repartition(parts, "__a", "__b"), ["__a", "__b"])
+    kept = F.col("chosen_score") - F.col("rejected_score") >= margin
+    return both.where(kept & (F.col("__i") < F.col("__j")) if rank else kept).drop("__a", "__b", "__i", "__j")
+
+
 def top_bottom_pairs(judged: DataFrame, key: str, score: str, order: str, share: float = 0.3, margin: float = 0.1) -> DataFrame:
     """chosen, rejected, scores: each of the best k with each of the worst k, k = max(1, int(n * share)), a margin apart.
 
@@ -104,10 +135,10 @@ def margin_pairs(judged: DataFrame, key: str, score: str, order: str, margin: fl
 
     All pairs are the result that is asked for, and grow with the square of the rows: judge a bounded set.
     """
-    places = ranked(judged, score, order)
+    places = checkpoint(ranked(judged.select(*dict.fromkeys((key, score, order))), score, order))
     a = places.select(F.col(key).alias("chosen"), F.col(score).alias("chosen_score"), F.col("rank").alias("__i"))
     b = places.select(F.col(key).alias("rejected"), F.col(score).alias("rejected_score"), F.col("rank").alias("__j"))
-    return a.join(b, (F.col("__i") < F.col("__j")) & (F.col("chosen_score") - F.col("rejected_score") >= margin)).drop("__i", "__j")
+    return _apart(a, b, margin, rank=True).select("chosen", "chosen_score", "rejected", "rejected_score")
 
 
 def pair_records(pairs: DataFrame, samples: DataFrame, key: str, prompt: str, box: str, path: str) -> DataFrame:

@@ -172,6 +172,32 @@ def test_ranked_pairs_stop_at_the_first_small_gap(spark):
     assert improve.ranked_pairs(j.limit(0), "id", "s", "id").count() == 0
 
 
+def _judged(spark, monkeypatch):
+    """Rows with ties, no scores and gaps, in blocks of a few rows; and their order by score."""
+    monkeypatch.setattr(improve, "LEAST_BLOCK", 7)
+    rng = random.Random(8)
+    data = [(i, None if i % 41 == 0 else rng.randrange(25) / 20) for i in range(150)]
+    rng.shuffle(data)
+    placed = sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    return spark.createDataFrame(data, "id int, s double").repartition(3), placed
+
+
+def _first_step(df):
+    """The join or exchange that makes the rows of a result."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return next(line for line in plan.splitlines() if "Join" in line or "Exchange" in line or "Cartesian" in line)
+
+
+@pytest.mark.parametrize("margin", [0.1, 0.0, -0.2, 9.0])
+def test_margin_pairs_in_tiles(spark, monkeypatch, margin):
+    judged, placed = _judged(spark, monkeypatch)
+    got = improve.margin_pairs(judged, "id", "s", "id", margin)
+    assert "SortMergeJoin [__a" in _first_step(got)
+    far = lambda a, b: a is not None and b is not None and a - b >= margin
+    want = [(i, a, j, b) for k, (i, a) in enumerate(placed) for j, b in placed[k + 1 :] if far(a, b)]
+    assert rows(got.select("chosen", "chosen_score", "rejected", "rejected_score")) == sorted(want) and (want or margin == 9)
+
+
 def test_ranks_of_equal_scores(spark):
     j = spark.range(5000).selectExpr("id", "CASE WHEN id < 10 THEN 1.0D ELSE 0.5D END AS s")
     got = improve.ranked(j, "s", "id")
