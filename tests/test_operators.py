@@ -198,6 +198,18 @@ def test_margin_pairs_in_tiles(spark, monkeypatch, margin):
     assert rows(got.select("chosen", "chosen_score", "rejected", "rejected_score")) == sorted(want) and (want or margin == 9)
 
 
+def test_top_bottom_pairs_in_tiles(spark, monkeypatch):
+    judged, placed = _judged(spark, monkeypatch)
+    scored = [r for r in placed if r[1] is not None]
+    for share, margin in ((0.3, 0.1), (0.9, -0.5), (0.001, 0.1)):
+        df = judged.where("s IS NOT NULL")
+        got = improve.top_bottom_pairs(df, "id", "s", "id", share, margin)
+        assert "SortMergeJoin [__a" in _first_step(got)
+        k = max(1, int(len(scored) * share))
+        want = [(i, a, j, b) for i, a in scored[:k] for j, b in scored[-k:] if a - b >= margin]
+        assert want and rows(got.select("chosen", "chosen_score", "rejected", "rejected_score")) == sorted(want)
+
+
 def test_ranks_of_equal_scores(spark):
     j = spark.range(5000).selectExpr("id", "CASE WHEN id < 10 THEN 1.0D ELSE 0.5D END AS s")
     got = improve.ranked(j, "s", "id")
