@@ -147,12 +147,26 @@ def margin_pairs(judged: DataFrame, key: str, score: str, order: str, margin: fl
     return _apart(a, b, margin, rank=True).select("chosen", "chosen_score", "rejected", "rejected_score")
 
 
+def _side(samples: DataFrame, name: str, key: str, prompt: str, box: str, path: str) -> DataFrame:
+    text = F.coalesce(F.nullif(F.col(prompt), F.lit("")), F.lit("detect the UI element"))
+    return samples.select(F.col(key).alias(name), text.alias(f"{name}_prompt"), F.col(box).alias(f"{name}_bbox"), F.col(path).alias(f"{name}_image_path"))
+
+
 def pair_records(pairs: DataFrame, samples: DataFrame, key: str, prompt: str, box: str, path: str) -> DataFrame:
-    """Pairs with prompt, box and image of both sides; pairs with an unknown side go."""
-    side = lambda name: samples.select(F.col(key).alias(name), F.coalesce(F.nullif(F.col(prompt), F.lit("")), F.lit("detect the UI element")).alias(f"{name}_prompt"), F.col(box).alias(f"{name}_bbox"), F.col(path).alias(f"{name}_image_path"))
+    """Pairs with prompt, box and image of both sides; pairs with an unknown side go. Moves every pair twice: see
+    top_bottom_records."""
+    side = lambda name: _side(samples, name, key, prompt, box, path)
     return pairs.join(side("chosen"), "chosen").join(side("rejected"), "rejected")
 
 
+def top_bottom_records(judged: DataFrame, samples: DataFrame, key: str, score: str, order: str, prompt: str, box: str, path: str, share: float = 0.3, margin: float = 0.1) -> DataFrame:
+    """pair_records of top_bottom_pairs. Places are those among all judged rows; each side then gets its records, or
+    goes, before it is paired, so that rows are joined and not their pairs."""
+    top, low = _top_bottom(judged, key, score, order, share)
+    chosen = top.join(_side(samples, "chosen", key, prompt, box, path), "chosen")
+    return _apart(chosen, low.join(_side(samples, "rejected", key, prompt, box, path), "rejected"), margin)
+
+
 #: The history of iterations has one row an iteration; its windows need no partitioning.
 def _history(order: str):
     return Window.orderBy(order)

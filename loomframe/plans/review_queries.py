@@ -298,14 +298,14 @@ def pref_margin(spark, d):
  JOIN r b ON a.k <= greatest(1, trunc(a.n * 0.3)) AND b.k > b.n - greatest(1, trunc(b.n * 0.3)) AND a.score - b.score >= 0.1
  WHERE a.vec_id % 3 <> 0 AND b.vec_id % 3 <> 0""")
 def preference_records(spark, d):
-    pairs = improve.top_bottom_pairs(_ensemble(spark, d), "vec_id", "score", "vec_id")
     known = boxes(spark, d).where("vec_id % 3 <> 0").select(
         "vec_id",
         F.when(F.col("vec_id") % 2 == 0, "").otherwise("text").alias("prompt"),
         F.array("x1", "y1", "x2", "y2").alias("box"),
         T.sample_id(F.col("vec_id")).alias("path"),
     )
-    return improve.pair_records(pairs, known, "vec_id", "prompt", "box", "path").select("chosen", "rejected", "chosen_prompt")
+    out = improve.top_bottom_records(_ensemble(spark, d), known, "vec_id", "score", "vec_id", "prompt", "box", "path")
+    return out.select("chosen", "rejected", "chosen_prompt")
 
 
 HISTORY_SQL = "d AS (SELECT date_trunc('day', ts) AS day, round(avg(value), 4) AS score FROM events GROUP BY 1), h AS (SELECT row_number() OVER (ORDER BY day) AS it, score FROM d)"

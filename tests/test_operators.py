@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from loomframe.functions import text as T
 from loomframe.functions.geometry import Box
 from loomframe.operators import dedup, improve, labels, metrics, monitor, profile, quality, review, scans, split, temporal
+from loomframe.plans import review_queries
 
 
 def rows(df):
@@ -210,6 +211,21 @@ def test_top_bottom_pairs_in_tiles(spark, monkeypatch):
         assert want and rows(got.select("chosen", "chosen_score", "rejected", "rejected_score")) == sorted(want)
 
 
+def test_records_are_joined_before_the_pairs_are_made(spark, data, monkeypatch):
+    judged, _ = _judged(spark, monkeypatch)
+    known = spark.range(150).where("id % 3 != 0").selectExpr("cast(id AS int) AS id", "CASE WHEN id % 2 = 0 THEN '' ELSE 't' END AS p", "array(id) AS b", "'f' AS f")
+    known = known.union(known.where("id < 40"))
+    cols = [f"{a}{b}" for a in ("chosen", "rejected") for b in ("", "_score", "_prompt", "_bbox", "_image_path")]
+    want = improve.pair_records(improve.top_bottom_pairs(judged, "id", "s", "id", 0.5), known, "id", "p", "b", "f")
+    got = improve.top_bottom_records(judged, known, "id", "s", "id", "p", "b", "f", 0.5)
+    assert rows(got.select(*cols)) == rows(want.select(*cols)) != []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin [__a" in _first_step(review_queries.preference_records(spark, data))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_ranks_of_equal_scores(spark):
     j = spark.range(5000).selectExpr("id", "CASE WHEN id < 10 THEN 1.0D ELSE 0.5D END AS s")
     got = improve.ranked(j, "s", "id")
