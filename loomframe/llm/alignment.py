@@ -7,7 +7,8 @@ text's own figures. No text is looked at by itself, and no token in a loop.
 
 A text's ids come from its parts: stretches that begin with a space between two characters that aren't white space.
 A's pattern begins a word there, and no piece of B holds a word mark after another character, so neither merges across.
-Parts are remembered per worker in a bounded memory, which changes no result.
+A new part's ids come from its words: runs of letters, of digits and of marks, where no piece of B goes across either.
+Parts and words are remembered per worker in a bounded memory, which changes no result.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import ddl, released, scratch, ship
+from loomframe.llm.packing import _WORDS
 from loomframe.llm.token_counts import SPACE, byte_letters
 
 MARK = "▁"
@@ -32,6 +35,8 @@ _CUT = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 _NOT_PLAIN = re.compile(f"[{SPACE}] | (?:[{SPACE}]|$)")
 #: Bytes of text that are laid end to end, and links of a group beyond which its ids are counted before they are paired.
 LAID, MANY = 1 << 20, 4096
+#: Words that are encoded in one call.
+TOGETHER = 1000
 #: Most pairs whose counts are broadcast (about 50 bytes each); more are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000
 TOKENS = pa.schema(
@@ -56,11 +61,13 @@ class Vocabularies:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # their strings inside texts are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        byte_of = {letter: b for b, letter in byte_letters().items()}
+        letters = byte_letters()
+        byte_of = {letter: b for b, letter in letters.items()}
         special = self.a.get_added_tokens_decoder()
         self.bytes_a = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
@@ -73,8 +80,26 @@ class Vocabularies:
             raise ValueError("a piece of B holds a word mark after another character")
         self.size_a, self.size_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
         self.digits_a, self.digits_b = (_spelled(len(y)) for y in (self.bytes_a, self.bytes_b))
+        self.letters = {k: "".join(letters[b] for b in chr(k).encode()) for k in range(0x250) if chr(k) != "\n"}
+        self.lines = Tokenizer(self.a.model)  # of words that are spelled already, one a line
+        self.lines.pre_tokenizer = CharDelimiterSplit("\n")
+        self.line_end = self._same(b"\n", self.a.encode("\n", add_special_tokens=False).ids, self.b.encode("\n")[1:])
+        plain = (x for i in range(len(self.bytes_b)) if not self._special(i) for x in [self.b.id_to_piece(i)])
+        joints = {x[k : k + 2] for x in plain for k in range(len(x) - 1)}
+        before = self.a.pre_tokenizer
+        usual = isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space
+        usual = usual and self.a.normalizer is None and all(t.special for t in special.values())
+        #: Whether A makes these words, and no piece of B holds a border of words or a line end beside another character.
+        self.by_words = usual and self.line_end is not None and not any("\n" in x or len(_WORDS.findall(x)) > 1 for x in joints)
         self.remember = remember
+        #: What is remembered of parts and of words, and of both what was before the memory was last full.
         self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.known_before: dict[str, tuple[bytes, bytes] | None] = {}
+        self.words: dict[str, tuple[bytes, bytes] | None] = {}
+        self.words_before: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def _special(self, i: int) -> bool:
+        return self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_byte(i)
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -85,16 +110,77 @@ class Vocabularies:
         parts[0] = parts[0][1:]
         return parts
 
+    def _same(self, data: bytes, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
+        """Both as 32-bit numbers; None where their bytes aren't data."""
+        same = b"".join([self.bytes_a[i] for i in a]) == data == b"".join([self.bytes_b[i] for i in b])
+        return (array("i", a).tobytes(), array("i", b).tobytes()) if same else None
+
+    def _of_words(self, words: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """Ids of words of A's pattern, a space before them included; each is merged by itself."""
+        if len(self.words) > self.remember:
+            self.words, self.words_before = {}, self.words
+        known, before = self.words, self.words_before
+        found, own = {"\n": self.line_end}, []
+        for word in words - found.keys():
+            ids = known.get(word) or before.get(word)
+            if ids is None:
+                own.append(word)
+            else:
+                found[word] = known[word] = ids
+        for k in range(0, len(own), TOGETHER):
+            some = own[k : k + TOGETHER]
+            for word, ids in zip(some, self._together(some), strict=True):
+                found[word] = ids
+                if len(word) <= 60:
+                    known[word] = ids
+        return found
+
+    def _together(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of words that are laid a line each, since a line end merges with nothing. None for all if bytes differ."""
+        lines, sizes = "\n".join(words), np.array([len(w.encode()) for w in words])
+        data, ends, out = lines.encode(), np.cumsum(sizes), []
+        for ids, of_id, size_of, want, stops in (
+            (self.lines.encode_batch_fast([lines.translate(self.letters)], add_special_tokens=False)[0].ids, self.bytes_a, self.size_a, data.replace(b"\n", b""), ends),
+            (self.b.encode("\n" + lines), self.bytes_b, self.size_b, b" \n" + data, ends + np.arange(2, len(words) + 2)),
+        ):
+            if b"".join([of_id[i] for i in ids]) != want:
+                return [None] * len(words)
+            numbers = np.array(ids, np.int32)
+            upto = np.concatenate(([0], np.cumsum(size_of[numbers])))
+            first, last = np.searchsorted(upto, stops - sizes), np.searchsorted(upto, stops)
+            if (upto[first] != stops - sizes).any() or (upto[last] != stops).any():
+                raise ValueError("a token goes across the border of a word")
+            spelled = numbers.tobytes()
+            out.append([spelled[s:e] for s, e in zip((4 * first).tolist(), (4 * last).tolist(), strict=True)])
+        return list(zip(*out, strict=True))
+
     def learn(self, parts: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
         """Ids of A and of B of each part as 32-bit numbers; None where their bytes aren't the part's."""
-        new, own = {}, list(parts)
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in own], add_special_tokens=False)]
-        for part, a, b in zip(own, ids_a, self.b.encode(own, num_threads=1), strict=True):
-            data = (" " + part).encode()
-            same = b"".join([self.bytes_a[i] for i in a]) == data == b"".join([self.bytes_b[i] for i in b])
-            new[part] = (np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if same else None
+        new, whole, cut, before = {}, [], {}, self.known_before.get
+        for part in parts:
+            if ids := before(part):
+                new[part] = ids
+                continue
+            if not self.by_words:
+                whole.append(part)
+            elif part.isascii() and part.isalpha():
+                cut[part] = [" " + part]
+            elif len("".join(words := _WORDS.findall(" " + part))) == len(part) + 1:
+                cut[part] = words
+            else:
+                whole.append(part)
+        found = self._of_words({w for words in cut.values() for w in words})
+        for part, words in cut.items():
+            ids = [found[w] for w in words]
+            if None in ids:
+                whole.append(part)
+            else:
+                new[part] = ids[0] if len(ids) == 1 else (b"".join([x for x, _ in ids]), b"".join([x for _, x in ids]))
+        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in whole], add_special_tokens=False)]
+        for part, a, b in zip(whole, ids_a, self.b.encode(whole, num_threads=1), strict=True):
+            new[part] = self._same((" " + part).encode(), a, b)
         if len(self.known) + len(new) > self.remember:
-            self.known.clear()
+            self.known, self.known_before = {}, self.known
         for part, ids in new.items():
             if len(part) <= 60 and len(self.known) < self.remember:
                 self.known[part] = ids
@@ -103,18 +189,15 @@ class Vocabularies:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of A and of B of whole texts; None for a text whose bytes a vocabulary doesn't give back."""
         split = [self.parts(t) if t and MARK not in t else [] for t in texts]
-        known = self.known
-        found = [list(map(known.get, parts)) for parts in split]
-        missing = {p for parts, ids in zip(split, found, strict=True) if None in ids for p, i in zip(parts, ids, strict=True) if i is None}
-        if missing:
-            new = self.learn(missing)
-            found = [
-                [i if i is not None else new[p] for p, i in zip(parts, ids, strict=True)] if None in ids else ids
-                for parts, ids in zip(split, found, strict=True)
-            ]
-        return [
-            (b"".join([x for x, _ in ids]), b"".join([x for _, x in ids])) if ids and None not in ids else None for ids in found
-        ]
+        known = self.known.get
+        found = {p: known(p) for p in set().union(*split)}
+        if missing := {p for p, ids in found.items() if ids is None}:
+            found |= self.learn(missing)
+        out = []
+        for parts in split:
+            ids = list(map(found.__getitem__, parts))
+            out.append((b"".join([x for x, _ in ids]), b"".join([x for _, x in ids])) if ids and None not in ids else None)
+        return out
 
 
 def _spelled(size: int) -> dict[str, np.ndarray]:

@@ -94,3 +94,57 @@ def test_odd_texts_in_other_company(libraries):
     for text in [" ".join(x for x in ODD if x and alignment.MARK not in x), "a \n b\n\n c  　 d", "it 's  'll\t'd"]:
         ids = [list(memoryview(x).cast("i")) for x in v.encode([text])[0]]
         assert ids == [a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)]
+
+
+def test_words_of_new_parts_are_encoded_once(libraries):
+    """A word in many new parts is encoded once; ids are those of the library, whatever is remembered and however little."""
+    a, b, _ = libraries
+    words = ["Quernizol", "Zweißgrün", "ciónó", "12", "***", "x" * 70]
+    texts = [" ".join(x + y + z for x in words for y in (".", ",", "\n", ".\n", "\n\n", "'") for z in ["", *words])]
+    texts += [" ".join(f"{w}{k}" for w in words) for k in range(40)] + ["\n".join(words), "\n" + texts[0] + "\n", "ǃª µ² ½ " + texts[0], *texts]
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.letters = model, 0
+
+        def __getattr__(self, name):
+            return getattr(self.model, name)
+
+        def encode(self, given, **options):
+            self.letters += len("".join(given))
+            return self.model.encode(given, **options)
+
+    for remember, together in ((150_000, alignment.TOGETHER), (3, 2)):
+        v = alignment.Vocabularies(*alignment.default_vocabularies(), remember=remember)
+        v.b = Counted(v.b)
+        before, alignment.TOGETHER = alignment.TOGETHER, together
+        try:
+            for own in (texts[:1], texts[1:20], texts[20:], texts[:3]):
+                for text, ids in zip(own, v.encode(own), strict=True):
+                    assert [list(memoryview(x).cast("i")) for x in ids] == [a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)]
+        finally:
+            alignment.TOGETHER = before
+        if remember > 3:
+            v.b.letters = 0
+            v.encode([" ".join(x + "," + y for x in ("neuword", "Wort") for y in words), "neuword! Wort! neuword; Wort; neuword?!"])
+            assert v.b.letters < 150  # the parts have 313
+
+
+def test_words_of_another_pattern(tmp_path):
+    """Where A cuts words in its own way, or a piece of B may hold their border, parts are encoded as they are."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    path_a, path_b = alignment.default_vocabularies()
+    other = Tokenizer.from_file(path_a)
+    cut = pre_tokenizers.Split("e", "isolated")
+    other.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    other.save(str(tmp_path / "a.json"))
+    text = "one, therefore two.\nthree"
+    v, own = alignment.Vocabularies(path_a, path_b), alignment.Vocabularies(str(tmp_path / "a.json"), path_b)
+    assert v.by_words and not own.by_words
+    ids = [list(memoryview(x).cast("i")) for x in own.encode([text])[0]]
+    assert ids == [other.encode(" " + text, add_special_tokens=False).ids, v.b.encode(text)]
+    want = v.encode([text])
+    v = alignment.Vocabularies(path_a, path_b)
+    v.by_words = False
+    assert v.encode([text]) == want and not v.words
