@@ -211,6 +211,17 @@ def test_top_bottom_pairs_in_tiles(spark, monkeypatch):
         assert want and rows(got.select("chosen", "chosen_score", "rejected", "rejected_score")) == sorted(want)
 
 
+def test_bytes_of_a_pair_do_not_grow_with_the_blocks(spark, tmp_path, monkeypatch):
+    """A pair took 0.88 bytes in a block of 2,500 when whole blocks were laid out in turn."""
+    monkeypatch.setattr(improve, "LEAST_BLOCK", 2500)
+    judged = spark.range(5000).selectExpr("id", "CASE WHEN id < 2500 THEN 2.0D ELSE 0.0D END + (id * 37 % 101) / 101.0D AS s")
+    pairs = improve.top_bottom_pairs(judged, "id", "s", "id", 0.5)
+    pairs.write.option("compression", "snappy").parquet(str(tmp_path / "pairs"))
+    got = spark.read.parquet(str(tmp_path / "pairs"))
+    assert rows(got.agg(F.count("*"), F.sum("chosen"), F.sum("rejected"))) == [(6_250_000, 2500 * sum(range(2500)), 2500 * sum(range(2500, 5000)))]
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.25 * 6_250_000
+
+
 def test_records_are_joined_before_the_pairs_are_made(spark, data, monkeypatch):
     judged, _ = _judged(spark, monkeypatch)
     known = spark.range(150).where("id % 3 != 0").selectExpr("cast(id AS int) AS id", "CASE WHEN id % 2 = 0 THEN '' ELSE 't' END AS p", "array(id) AS b", "'f' AS f")
