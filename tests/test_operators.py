@@ -1,4 +1,5 @@
 import random
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from loomframe.functions import text as T
 from loomframe.functions.geometry import Box
 from loomframe.operators import dedup, improve, labels, metrics, monitor, profile, quality, review, scans, split, temporal
-from loomframe.plans import review_queries
+from loomframe.plans import dedup_queries, review_queries
 
 
 def rows(df):
@@ -99,6 +100,34 @@ def test_close_pairs_against_brute_force(spark, most):
     assert rows(dedup.close_pairs(df, "h", "o", most)) == sorted(want)
 
 
+def test_pairs_of_vectors_with_nulls(spark, tmp_path):
+    """Absent and null vectors have the hash 0 and are paired; a null component is over no median and sorts last."""
+    v = [float(k * 37 % 64) for k in range(64)]
+    vectors = [None, None, [0.0] * 64, v, [*v[:5], None, *v[6:]], [None, *v[1:]], [], [1.0, 2.0], [*v, 9.0], v[:60]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").withColumn("label", F.lit(1))
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+
+    def bits(v):
+        v = [*(v or []), *[None] * 64][:64]
+        held = sorted(x for x in v[1:] if x is not None)
+        return [len(held) > 31 and x is not None and x > held[31] for x in v]
+
+    apart = lambda a, b: sum(x != y for x, y in zip(bits(vectors[a]), bits(vectors[b]), strict=True))
+    want = [(a, b, apart(a, b)) for b in range(10) for a in range(b) if apart(a, b) <= 15]
+    assert rows(dedup_queries.hamming_pairs(spark, str(tmp_path))) == sorted(want) and {(0, 1, 0), (0, 2, 0), (3, 8, 0)} <= set(want)
+
+
+def test_no_band_hides_a_pair(spark):
+    """15 bits spread so that the nearest of the four bands is as far off as it can be, and in other ways."""
+    rng = random.Random(4)
+    spreads = [*sorted(set(permutations((4, 4, 4, 3)))), (15, 0, 0, 0), (5, 5, 5, 0), (3, 3, 3, 6)]
+    flips = [sum(1 << k for band, n in enumerate(s) for k in rng.sample(range(16 * band, 16 * band + 16), n)) for s in spreads for _ in range(20)]
+    hashes = [h for f in flips for g in [rng.getrandbits(64)] for h in (g, g ^ f)]
+    df = spark.createDataFrame([(i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(hashes)], "o int, h long")
+    want = [(i, j, d) for j, b in enumerate(hashes) for i, a in enumerate(hashes[:j]) if (d := (a ^ b).bit_count()) <= 15]
+    assert rows(dedup.close_pairs(df, "h", "o", 15)) == sorted(want) and len(want) >= len(flips)
+
+
 def test_variants_of_hashes_are_never_broadcast(spark):
     """2,000 hashes look like 16 KB before they are exploded, and are a million rows after."""
     df = spark.range(2000).select(F.xxhash64("id").alias("h"))
